@@ -28,38 +28,27 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabshift.llm.common import shard_count, staged
 from tabshift.llm.components import components
 from tabshift.llm.shards import mix64, packed_batch, reduce_shards
+from tabshift.llm.shingles import shingle_hashes
 
 SEED = 42
 #: The generator polynomial of the binary Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0xC75
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
-LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 KEYED = np.dtype([("key", "<u8"), ("fp", "<u8")])
 SMALL_GROUP = 8
 
 
 def fingerprint(text: str | None, width: int = 4) -> int:
     """SimHash of the word shingles of a whole text: a bit is set if it is set in over half of their hashes."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
-    n = len(words)
-    if not n:
+    hashes = shingle_hashes(text, width, SEED)
+    if not len(hashes):
         return 0
-    joined = b" ".join(words)
-    if n <= width:
-        hashes = np.array([xxhash.xxh64_intdigest(joined, SEED)], "<u8")
-    else:
-        lengths = np.fromiter(map(len, words), np.int64, n)
-        ends = np.cumsum(lengths + 1) - 1
-        starts = (ends - lengths)[: n - width + 1].tolist()
-        digest = xxhash.xxh64_intdigest
-        hashes = np.fromiter([digest(joined[s:e], SEED) for s, e in zip(starts, ends[width - 1 :].tolist(), strict=True)], "<u8", n - width + 1)
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 14):
         part = hashes[i : i + (1 << 14)]
