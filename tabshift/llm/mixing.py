@@ -55,7 +55,7 @@ def _boundary(hist: DataFrame) -> DataFrame:
     return first.select("source", F.col("b.at").alias("at"), (F.col("b.rest") - F.col("b.upto") + F.col("b.words")).alias("rest"))
 
 
-def mix(docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", with_source: bool = False) -> DataFrame:
     """(id, size, source_size, target, taken) for every document: how many of its words the mix takes, repeats counted."""
     sized = staged(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long").alias("size"), F.xxhash64(F.col(id_col)).alias("h")), "mix-sized")
     hist = staged(sized.groupBy("source", _prefix(1).alias("at")).agg(F.sum("size").alias("words")), "mix-hist")
@@ -86,11 +86,19 @@ def mix(docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), share: float =
     joined = rows.join(decided, rows["source"].eqNullSafe(decided["d_source"]) & (rows["at"] == decided["d_at"]))
     extra = F.when(F.col("ends").isNull() | (_prefix(LEVELS) < F.col("ends")) | F.col("h").eqNullSafe(F.col("filler")), 1).otherwise(0)
     extra = F.when(F.col("whole") >= F.lit(int(most)), 0).otherwise(extra)
-    return joined.select(F.col("id").alias(id_col), "size", "source_size", F.col("target"), (F.col("size") * (F.col("whole") + extra)).alias("taken"))
+    named = [F.col("source")] if with_source else []
+    return joined.select(F.col("id").alias(id_col), *named, "size", "source_size", F.col("target"), (F.col("size") * (F.col("whole") + extra)).alias("taken"))
 
 
-def repeated(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Documents as often as the mix takes them; a document without words, of which nothing can be taken, stays once."""
-    times = mixed.groupBy(F.col(id_col).alias("m_id")).agg(F.max(F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(F.lit(1))).cast("int").alias("times"))
-    joined = docs.join(times, docs[id_col].eqNullSafe(times["m_id"]))
-    return joined.withColumn("m_n", F.explode(F.expr("sequence(1, times)"))).where("times > 0").select(*[docs[c] for c in docs.columns])
+def mixed(docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them; a document without words, of which nothing can be taken, stays once.
+
+    Rows are matched by id, source and size; those with all three equal are taken alike.
+    """
+    found = mix(docs, weights=weights, share=share, most=most, id_col=id_col, text_col=text_col, source_col=source_col, with_source=True)
+    times = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(F.lit(1)).cast("int")
+    times = found.select(F.col(id_col).alias("m_id"), F.col("source").alias("m_source"), F.col("size").alias("m_size"), times.alias("m_times")).filter("m_times > 0").distinct()
+    size = F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long")
+    same = docs[id_col].eqNullSafe(times["m_id"]) & docs[source_col].eqNullSafe(times["m_source"]) & (size == times["m_size"])
+    joined = docs.join(times, same).withColumn("m_n", F.explode(F.sequence(F.lit(1), F.col("m_times"))))
+    return joined.select(*[docs[c] for c in docs.columns])
