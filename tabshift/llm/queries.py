@@ -8,13 +8,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabshift.llm import chat, decontaminate, fingerprints, html_text, mixing, quality, simhash, sql, suffixes, tokens
+from tabshift.llm import chat, decontaminate, fingerprints, html_text, licenses, mixing, quality, simhash, sql, suffixes, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files source/lang/<thousand>/<hundred>/<id>: the table has no paths of its own."""
+    folder = lambda k: F.coalesce(F.floor(F.col("doc_id") / k), F.lit(0)).cast("string")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), folder(1000), folder(100), F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.lit(".txt")))
+    return licenses.scan(_table(spark, sf_dir, "documents").withColumn("path", path))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality.classify(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
@@ -60,6 +67,7 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_licenses": op1_licenses,
     "op2_quality": op2_quality,
     "op3_fingerprints": op3_fingerprints,
     "op4_mixing": op4_mixing,
