@@ -35,25 +35,31 @@ def _probes(n: int) -> np.ndarray:
     return (mix64(at + np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BIN_BITS)).astype(np.int64)
 
 
-def minhash(text: str | None) -> bytes:
-    """The packed low-order bits, two bins a byte; empty for a text without words."""
-    hashes = shingle_hashes(text, WIDTH, SEED)
-    if not len(hashes):
-        return b""
-    hashes.sort()
+def least_hashes(hashes: np.ndarray) -> np.ndarray:
+    """The least hash of each bin, empty bins filled; needs one hash at least."""
+    hashes = np.sort(hashes)
     bins = (hashes >> np.uint64(64 - BIN_BITS)).astype(np.int64)
     first = np.flatnonzero(np.r_[True, bins[1:] != bins[:-1]])
     full = np.zeros(BINS, bool)
-    low = np.zeros(BINS, np.uint8)
+    least = np.zeros(BINS, np.uint64)
     full[bins[first]] = True
-    low[bins[first]] = (hashes[first] & np.uint64((1 << BITS) - 1)).astype(np.uint8)
+    least[bins[first]] = hashes[first]
     empty, n = np.flatnonzero(~full), 32
     while len(empty):
         probes = _probes(n)[empty]
         hit = full[probes]
         found = hit.any(axis=1)
-        low[empty[found]] = low[probes[found, hit[found].argmax(axis=1)]]
+        least[empty[found]] = least[probes[found, hit[found].argmax(axis=1)]]
         empty, n = empty[~found], n * 8
+    return least
+
+
+def minhash(text: str | None) -> bytes:
+    """The packed low-order bits, two bins a byte; empty for a text without words."""
+    hashes = shingle_hashes(text, WIDTH, SEED)
+    if not len(hashes):
+        return b""
+    low = (least_hashes(hashes) & np.uint64((1 << BITS) - 1)).astype(np.uint8)
     return (low[0::2] << 4 | low[1::2]).tobytes()
 
 

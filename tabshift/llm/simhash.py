@@ -28,11 +28,13 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabshift.llm.common import shard_count, staged
 from tabshift.llm.components import components
+from tabshift.llm.fingerprints import BINS, least_hashes
 from tabshift.llm.shards import mix64, packed_batch, reduce_shards
 from tabshift.llm.shingles import shingle_hashes
 
@@ -47,8 +49,10 @@ SMALL_GROUP = 8
 def fingerprint(text: str | None, width: int = 4) -> int:
     """SimHash of the word shingles of a whole text: a bit is set if it is set in over half of their hashes."""
     hashes = shingle_hashes(text, width, SEED)
-    if not len(hashes):
-        return 0
+    return _vote(hashes) if len(hashes) else 0
+
+
+def _vote(hashes: np.ndarray) -> int:
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 14):
         part = hashes[i : i + (1 << 14)]
@@ -234,22 +238,117 @@ def near_duplicates(docs: DataFrame, *, distance: int = 4, width: int = 4, id_co
     """(id, fingerprint, component_id) for every row; a component is named by its smallest id."""
     prints = staged(fingerprints(docs, id_col, text_col, width), "simhash-prints")
     classes = staged(prints.groupBy("fp").agg(F.min("id").alias("first_id")), "simhash-classes")
-    found = components(staged(links(classes.select("fp"), distance).distinct(), "simhash-links"), "a", "b")
+    edges = staged(links(classes.select("fp"), distance).distinct(), "simhash-links")
+    hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
+    return _named(prints, classes, edges).select(F.col("id").alias(id_col), hexed.alias("fingerprint"), "component_id")
+
+
+def _named(prints: DataFrame, classes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, fp, component_id) of the rows, from classes (fp, first_id) and links (a, b) between them."""
+    found = components(edges, "a", "b")
     named = classes.join(found, classes["fp"] == found["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     by_class = staged(named.join(smallest, "root").select(F.col("fp").alias("c_fp"), "component_id"), "simhash-named")
-    hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     # a class may hold a third of all rows: the join on fp is between rows and one row a class, which Spark splits or broadcasts
-    return prints.join(by_class, prints["fp"] == by_class["c_fp"]).select(F.col("id").alias(id_col), hexed.alias("fingerprint"), "component_id")
+    return prints.join(by_class, prints["fp"] == by_class["c_fp"]).select("id", "fp", "component_id")
 
 
-def deduplicated(docs: DataFrame, *, distance: int = 4, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group: that with its smallest id (of rows with that id, the first by text)."""
-    found = near_duplicates(docs, distance=distance, width=width, id_col=id_col, text_col=text_col)
-    keep = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("k_id")).distinct()
-    kept = docs.join(keep, docs[id_col].eqNullSafe(keep["k_id"]), "left_semi")
-    return kept.dropDuplicates([id_col]) if _repeats(found, id_col) else kept
+# ---- similarity beyond four bits ----
+# Texts whose shingle sets have a Jaccard similarity of 0.8 differ in about nine bits of 64, so four bits find few of them. With
+# ``similarity`` set, min-wise keys of the same shingle hashes give further candidates, and a sketch of their bins verifies them.
+
+BANDS, ROWS, SLACK = 32, 8, 0.03
+SKETCHED = "id long, fp long, sketch binary, bands binary"
+PAIRED = np.dtype([("key", "<u8"), ("fp", "<u8")])
+
+
+def _sketched(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(id, fp, sketch, bands): the SimHash, the low byte of each bin's least hash, and the hashes of BANDS groups of bins."""
+
+    def one(text: str | None) -> tuple[int, bytes, bytes]:
+        hashes = shingle_hashes(text, width, SEED)
+        if not len(hashes):
+            return 0, b"", b""
+        least = least_hashes(hashes)
+        bands = [xxhash.xxh64_intdigest(part.tobytes(), i) for i, part in enumerate(least.reshape(BANDS, ROWS))]
+        return _vote(hashes), (least & np.uint64(255)).astype(np.uint8).tobytes(), np.array(bands, "<u8").tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [one(t.as_py()) for t in batch.column(1)]
+            fps = np.array([r[0] for r in rows], "<u8").view("<i8")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["id", "fp", "sketch", "bands"])
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, SKETCHED)
 
 
-def _repeats(found: DataFrame, id_col: str) -> bool:
-    return not found.groupBy(id_col).count().filter("count > 1").isEmpty()
+def band_pairs(records: np.ndarray) -> np.ndarray:
+    """(n, 2): candidates of a shard's band keys: all pairs of small groups, two rings in an order of the key's own for others."""
+    turned = mix64(records["fp"] ^ records["key"])
+    records = records[np.lexsort((turned, records["key"]))]
+    key, fps = records["key"], records["fp"]
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    sizes = np.repeat(np.diff(np.r_[starts, len(key)]), np.diff(np.r_[starts, len(key)]))
+    found = []
+    for off in range(1, SMALL_GROUP):
+        if off >= len(key):
+            break
+        hit = np.flatnonzero((key[off:] == key[:-off]) & ((sizes[:-off] <= SMALL_GROUP) | (off <= 2)))
+        found.append(np.stack([np.minimum(fps[hit], fps[hit + off]), np.maximum(fps[hit], fps[hit + off])], axis=1))
+    return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), "<u8")
+
+
+def similar_links(classes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of fingerprints whose sketches agree to ``similarity`` less SLACK, the sketch's own error."""
+    n = shard_count(classes, 4 << 20)
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = batch.column(0).to_numpy(zero_copy_only=False).view("<u8")
+            bands = [np.frombuffer(b.as_buffer(), "<u8") for b in batch.column(1)]
+            records = np.empty(sum(map(len, bands)), PAIRED)
+            if len(records):
+                records["key"], records["fp"] = np.concatenate(bands), np.repeat(fps, [len(b) for b in bands])
+                yield packed_batch((mix64(records["key"]) % np.uint64(n)).astype(np.int32), records)
+
+    def met(records: np.ndarray) -> Iterator[pa.RecordBatch]:
+        found = band_pairs(records)
+        if len(found):
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, i].view("<i8").copy()) for i in range(2)], names=["a", "b"])
+
+    packed = classes.select("fp", "bands").mapInArrow(keyed, "shard int, payload binary")
+    pairs = staged(reduce_shards(packed, n, PAIRED, met, "a long, b long").distinct(), "simhash-pairs")
+    left = classes.select(F.col("fp").alias("a"), F.col("sketch").alias("s"))
+    right = classes.select(F.col("fp").alias("b"), F.col("sketch").alias("t"))
+    least = similarity - SLACK
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s, t = ([np.frombuffer(x.as_buffer(), np.uint8) for x in batch.column(batch.schema.get_field_index(c))] for c in ("s", "t"))
+            same = np.array([np.count_nonzero(x == y) / BINS for x, y in zip(s, t, strict=True)])
+            keep = pa.array((same - 2.0**-8) / (1 - 2.0**-8) >= least)
+            yield batch.select(["a", "b"]).filter(keep)
+
+    return pairs.join(left, "a").join(right, "b").mapInArrow(verified, "a long, b long")
+
+
+def groups(docs: DataFrame, *, similarity: float, distance: int = 4, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, component_id) where SimHash links join with those of similar shingle sets."""
+    prints = staged(_sketched(docs, id_col, text_col, width), "simhash-sketches")
+    best = prints.groupBy("fp").agg(F.min(F.struct("id", "sketch", "bands")).alias("m"))
+    classes = staged(best.select("fp", F.col("m.id").alias("first_id"), "m.sketch", "m.bands"), "simhash-classes")
+    edges = staged(links(classes.select("fp"), distance).union(similar_links(classes, similarity)).distinct(), "simhash-links")
+    return _named(prints.select("id", "fp"), classes.select("fp", "first_id"), edges).select(F.col("id").alias(id_col), "component_id")
+
+
+def deduplicated(docs: DataFrame, *, similarity: float | None = None, distance: int = 4, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group: that with its smallest id (of rows with that id, one). Null ids group with their likes."""
+    if similarity is None:
+        found = near_duplicates(docs, distance=distance, width=width, id_col=id_col, text_col=text_col)
+    else:
+        found = groups(docs, similarity=similarity, distance=distance, width=width, id_col=id_col, text_col=text_col)
+    found = staged(found.select(id_col, "component_id"), "simhash-found")
+    keep = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("k_id")).distinct()
+    kept = docs.join(keep, docs[id_col].eqNullSafe(keep["k_id"]), "left_semi")
+    repeats = not found.groupBy(id_col).count().filter("count > 1").isEmpty()
+    return kept.dropDuplicates([id_col]) if repeats else kept
