@@ -46,7 +46,7 @@ FOOTER = struct.Struct("<QQQQQQII8s")
 RESTART = 16
 BLOCK_BYTES = 1 << 16
 BLOOM_BITS_A_KEY, BLOOM_HASHES = 10, 7
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 600_000
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -215,8 +215,9 @@ class Encoder:
     """The tokenizer with a bounded memory of the pieces between spaces.
 
     The pre-tokenizer's pattern lets a token begin with a space but never go on after one, so a text may be cut before any
-    single space between two characters that aren't white space, and its ids are those of the pieces in order. A text with
-    other spaces goes to the tokenizer whole.
+    single space between two characters that aren't white space, and around any single newline between such characters; its
+    ids are those of the pieces in order. Full stops and commas after a letter or digit are a token run of their own, so a
+    piece that ends in them is put together from its core and them. A text with other white space goes to the tokenizer whole.
     """
 
     def __init__(self, path: str, special_as_text: bool):
@@ -227,6 +228,8 @@ class Encoder:
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
+        self.newline = self._ids(["\n"])[0]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -234,20 +237,32 @@ class Encoder:
     def _learn(self, known: dict[str, bytes], pieces: set[str], lead: str) -> None:
         if len(known) > CACHE_ENTRIES:
             known.clear()
-        # a piece with white space at its edge is never known, so that its text goes whole
-        new = [p for p in pieces if p not in known and p and not p[0].isspace() and not p[-1].isspace()]
+        cores: dict[str, str] = {}
+        for p in pieces:
+            # a piece with white space at its edge is never known, so that its text goes whole
+            if p not in known and p and not p[0].isspace() and not p[-1].isspace():
+                core = p.rstrip(".,")
+                cores[p] = core if core and core[-1].isalnum() else p
+        new = list({c for c in cores.values() if c not in known})
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
             known.update(zip(part, self._ids([lead + p for p in part]), strict=True))
+        for p, core in cores.items():
+            if core is not p:
+                tail = p[len(core) :]
+                if tail not in self.tails:
+                    self.tails[tail] = self._ids([tail])[0]
+                known[p] = known[core] + self.tails[tail]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") for t in texts]
-        self._learn(self.first, {p[0] for p in split}, "")
-        self._learn(self.later, set(itertools.chain.from_iterable(p[1:] for p in split)), " ")
-        out = []
-        for text, pieces in zip(texts, split, strict=True):
+        split = [[line.split(" ") for line in t.split("\n")] for t in texts]
+        lines = list(itertools.chain.from_iterable(split))
+        self._learn(self.first, {line[0] for line in lines}, "")
+        self._learn(self.later, set(itertools.chain.from_iterable(line[1:] for line in lines)), " ")
+        first, later, out = self.first, self.later.__getitem__, []
+        for text, cut in zip(texts, split, strict=True):
             try:
-                out.append(self.first[pieces[0]] + b"".join(map(self.later.__getitem__, pieces[1:])))
+                out.append(self.newline.join([first[line[0]] + b"".join(map(later, line[1:])) for line in cut]))
             except KeyError:
                 out.append(self._ids([text])[0] if text else b"")
         return out
