@@ -155,10 +155,12 @@ class LeafWalk:
 
 
 class CsvCells:
-    """UDTF: the cells of a CSV text as (r, c, value)."""
+    """UDTF: the cells of a CSV text as (r, c, value); a row without cells gives (r, -1, null)."""
 
     def eval(self, text: str):
         for r, row in enumerate(csv_rows(text or "") or []):
+            if not row:
+                yield r, -1, None
             for c, value in enumerate(row):
                 yield r, c, value
 
@@ -201,14 +203,14 @@ def json_accuracy(pairs: DataFrame, id_col: str, actual: str, expected: str) ->
 def csv_accuracy(pairs: DataFrame, id_col: str, actual: str, expected: str) -> DataFrame:
     """(id, content_accuracy): the share of expected cells that the actual table has in the same place; 0 if headers differ."""
     want, have = csv_cells(pairs, id_col, expected), csv_cells(pairs, id_col, actual)
-    keys = lambda cells, name: cells.filter("r = 0").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", G.header_key(F.col("value")).alias("k")))), lambda s: s["k"]).alias(name))
+    keys = lambda cells, name: cells.filter("r = 0 and c >= 0").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", G.header_key(F.col("value")).alias("k")))), lambda s: s["k"]).alias(name))
     alike = keys(want, "w").join(keys(have, "h"), "id").filter("w = h").select("id", F.size("w").alias("width"))
     rows = want.groupBy("id").agg((F.max("r")).alias("rows"))
     h = have.select(F.col("id").alias("h_id"), F.col("r").alias("h_r"), F.col("c").alias("h_c"), F.col("value").alias("h_value"))
-    body = want.filter("r > 0").join(alike, "id")
+    body = want.filter("r > 0 and c >= 0").join(alike, "id")
     joined = body.join(h, (body["id"] == h["h_id"]) & (body["r"] == h["h_r"]) & (body["c"] == h["h_c"]), "left")
     same = joined.groupBy("id", "width").agg(F.sum(F.when(G.values_equal(F.col("value"), F.coalesce("h_value", F.lit(""))), 1).otherwise(0)).alias("same"))
-    ratios = same.join(rows, "id").select("id", F.least(F.lit(1.0), F.col("same") / (F.col("rows") * F.col("width"))).alias("ratio"))
+    ratios = same.join(rows.filter("rows > 0"), "id").select("id", F.least(F.lit(1.0), F.col("same") / (F.col("rows") * F.col("width"))).alias("ratio"))
     return pairs.select(F.col(id_col).alias("id")).join(ratios, "id", "left").select(F.col("id").alias(id_col), F.coalesce("ratio", F.lit(0.0)).alias("content_accuracy"))
 
 

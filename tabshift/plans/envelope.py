@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from typing import Any
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Row, SparkSession
 from pyspark.sql import functions as F
 
 from tabshift.operators import profile as P
@@ -30,7 +30,7 @@ def _typed(value: str, dtype: str) -> Any:
 
 def envelope(spark: SparkSession, path: str, *, head_n: int = 3, middle_n: int = 1, tail_n: int = 1, sample_values: int = 3, max_rows: int | None = None) -> dict:
     """The envelope as a dict. All rows are profiled unless ``max_rows`` is given; rates are over the rows profiled."""
-    found = S.encodings(spark, path).first()
+    found = S.encodings(spark, path).first() or Row(size=0, encoding="utf-8-sig", attempted=[])  # empty files have no row
     out: dict[str, Any] = {"format": "csv", "file_path": path, "file_size_bytes": found.size, "encoding": found.encoding, "schema_version": SCHEMA_VERSION}
     warnings = [_warning("LATIN1_FALLBACK", "warn", "not valid UTF-8; read as latin-1", attempted_encodings=list(found.attempted), final_encoding="latin-1")] if found.encoding == "latin-1" else []
     samples: dict[str, list] = {"head": [], "middle": [], "tail": []}
