@@ -256,7 +256,7 @@ def main_text(html: str | None) -> str:
     if tag[best] not in ("article", "main", "body", "html"):
         for i in range(1, n):
             if parent[i] == parent[best] and i != best and not hidden[i]:
-                near = scored[i] and score[i] >= max(10.0, most * 0.2) and density(i) < 0.3
+                near = scored[i] and score[i] >= max(8.0, most * 0.2) and density(i) < 0.3
                 prose = tag[i] in PARAGRAPHS and length[i] > 80 and density(i) < 0.25
                 title = tag[i] in ("h1", "h2") and i < best
                 chosen[i] = near or prose or title
