@@ -63,10 +63,21 @@ def mix(docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), share: float =
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     targets = staged(targets.withColumn("whole", whole).withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size"))), "mix-targets")
 
-    first = hist.alias("x").join(targets.alias("t"), F.col("x.source").eqNullSafe(F.col("t.source"))).select("x.source", "x.at", "x.words", "t.source_size", "t.target", "t.whole", "t.rest")
+    first = hist.alias("x").join(targets.alias("t"), F.col("x.source").eqNullSafe(F.col("t.source"))).select("x.source", "x.at", "t.source_size", "t.target", "t.whole", "t.rest")
     first = staged(first, "mix-first")
-    bound = staged(_boundary(first), "mix-bound")
-    cell = sized.withColumn("at", _prefix(1))
+    rows = sized.withColumn("at", _prefix(1))
+
+    def with_cells(cells: DataFrame) -> DataFrame:
+        """Rows with what their (source, leading bits) cell says; no source is one join key."""
+        named = cells.withColumnsRenamed({"source": "c_source", "at": "c_at"})
+        return rows.join(named, rows["source"].eqNullSafe(named["c_source"]) & (rows["at"] == named["c_at"])).drop("c_source", "c_at")
+
+    # a document larger than a source's rest can't be within it and must not stop the threshold
+    within = with_cells(first.select("source", "at", "rest")).filter(F.col("size") <= F.col("rest"))
+    fine = staged(within.groupBy("source", "at").agg(F.sum("size").alias("words"), F.max("rest").alias("rest")), "mix-within")
+    sums = fine.groupBy("source").agg(F.sum("words").alias("sum"))
+    bound = staged(_boundary(fine), "mix-bound")
+    cell = within.select("source", "h", "size", "at")
     for level in range(2, LEVELS + 1):
         # only rows of a boundary bucket go on
         b = bound.select(F.col("source").alias("b_source"), F.col("at").alias("b_at"), "rest")
@@ -77,17 +88,19 @@ def mix(docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), share: float =
         cell = cell.select("source", "h", "size", _prefix(level).alias("at"))
     # a last document fills what the threshold leaves: the one nearest to that rest, by one aggregate over the documents beyond
     ends = bound.select(F.col("source").alias("e_source"), F.col("at").alias("ends"), F.col("rest").alias("left_over"))
-    decided = first.join(ends, first["source"].eqNullSafe(ends["e_source"]), "left").select(F.col("source").alias("d_source"), F.col("at").alias("d_at"), "source_size", "target", "whole", "ends", "left_over")
-    rows = sized.withColumn("at", _prefix(1))
-    beyond = rows.join(decided, rows["source"].eqNullSafe(decided["d_source"]) & (rows["at"] == decided["d_at"])).filter((F.col("size") > 0) & (_prefix(LEVELS) >= F.col("ends")))
-    nearest = beyond.groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("left_over")).alias("miss"), "h")).alias("n"), F.first("left_over").alias("left_over"))
-    nearest = nearest.select(F.col("source").alias("n_source"), F.when(F.col("n.miss") <= F.col("left_over"), F.col("n.h")).alias("filler"))
-    decided = staged(decided.join(nearest, decided["d_source"].eqNullSafe(nearest["n_source"]), "left").drop("n_source", "left_over"), "mix-decided")
-    joined = rows.join(decided, rows["source"].eqNullSafe(decided["d_source"]) & (rows["at"] == decided["d_at"]))
-    extra = F.when(F.col("ends").isNull() | (_prefix(LEVELS) < F.col("ends")) | F.col("h").eqNullSafe(F.col("filler")), 1).otherwise(0)
+    s = sums.select(F.col("source").alias("s_source"), "sum")
+    decided = first.join(ends, first["source"].eqNullSafe(ends["e_source"]), "left").join(s, first["source"].eqNullSafe(s["s_source"]), "left")
+    left_over = F.when(F.col("ends").isNull(), F.col("rest") - F.coalesce("sum", F.lit(0))).otherwise(F.col("left_over"))
+    decided = staged(decided.select("source", "at", "source_size", "target", "whole", "rest", "ends", left_over.alias("left_over")), "mix-ends")
+    taken = (F.col("size") <= F.col("rest")) & (F.col("ends").isNull() | (_prefix(LEVELS) < F.col("ends")))
+    beyond = with_cells(decided).filter((F.col("size") > 0) & ~taken)
+    nearest = beyond.groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("left_over")).alias("miss"), "h")).alias("n"), F.first("left_over").alias("n_left"))
+    nearest = nearest.select(F.col("source").alias("n_source"), F.when(F.col("n.miss") <= F.col("n_left"), F.col("n.h")).alias("filler"))
+    decided = staged(decided.join(nearest, decided["source"].eqNullSafe(nearest["n_source"]), "left").drop("n_source", "left_over"), "mix-decided")
+    extra = F.when(taken | F.col("h").eqNullSafe(F.col("filler")), 1).otherwise(0)
     extra = F.when(F.col("whole") >= F.lit(int(most)), 0).otherwise(extra)
     named = [F.col("source")] if with_source else []
-    return joined.select(F.col("id").alias(id_col), *named, "size", "source_size", F.col("target"), (F.col("size") * (F.col("whole") + extra)).alias("taken"))
+    return with_cells(decided).select(F.col("id").alias(id_col), *named, "size", "source_size", F.col("target"), (F.col("size") * (F.col("whole") + extra)).alias("taken"))
 
 
 def mixed(docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
