@@ -51,17 +51,19 @@ def shard_count(df: DataFrame, bytes_each: int) -> int:
 def with_order_bucket(df: DataFrame, key: str, n: int, name: str = "bucket") -> DataFrame:
     """Add an int bucket that never falls as ``key`` grows, with about equally many rows in each of at most n buckets.
 
-    The cut points are n - 1 approximate quantiles, so what reaches the driver is bounded by n. Null keys get the bucket
-    after the last.
+    The cut points are n - 1 approximate quantiles, so what reaches the driver is bounded by n. Null keys get
+    a null bucket.
     """
     n = min(n, 4096)
     column = F.col(key).cast("double")
     shares = F.array(*[F.lit(i / n) for i in range(1, n)]) if n > 1 else F.array(F.lit(0.5))
     row = df.agg(F.percentile_approx(column, shares, max(10_000, 20 * n)).alias("q")).first()
     cuts = sorted({float(x) for x in (row.q or [])})
+    if not cuts:
+        return df.withColumn(name, F.when(F.col(key).isNotNull(), 0))
     splits = [-math.inf, *cuts, math.inf]
     out = Bucketizer(splits=splits, inputCol=f"_{name}", outputCol=f"_{name}_out", handleInvalid="keep").transform(df.withColumn(f"_{name}", column))
-    return out.withColumn(name, F.col(f"_{name}_out").cast("int")).drop(f"_{name}", f"_{name}_out")
+    return out.withColumn(name, F.when(F.col(key).isNotNull(), F.col(f"_{name}_out").cast("int"))).drop(f"_{name}", f"_{name}_out")
 
 
 def text_or_empty(name: str = "text") -> Column:

@@ -290,7 +290,8 @@ def write_shards(docs: DataFrame, *, tokenizer: str, end_id: int = 2, path: str
     path = path or fresh_path(spark, "shards")
     n = shard_count(docs, 64 << 20)
     rows = with_order_bucket(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "id", n)
-    ordered = rows.repartitionById(n + 2, F.coalesce("bucket", F.lit(n + 1))).sortWithinPartitions("bucket", F.col("id").asc_nulls_last(), "text")
+    rows = rows.withColumn("bucket", F.coalesce("bucket", F.lit(n + 1)))  # null ids come last
+    ordered = rows.repartitionById(n + 2, "bucket").sortWithinPartitions("bucket", F.col("id").asc_nulls_last(), "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, special_as_text)
