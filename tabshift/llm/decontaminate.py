@@ -26,7 +26,6 @@ WINDOW, RAREST = 10, 2
 BROADCAST_KEYS = 500_000
 #: What parts words: ASCII other than letters and digits.
 BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -61,7 +60,7 @@ def postings(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col
 
 
 def anchors(items: DataFrame, counts: DataFrame, window: int = WINDOW, rarest: int = RAREST) -> DataFrame:
-    """(item, ipos, term, need): the windows' rarest words; need: the places of the same window that must agree."""
+    """(item, needs): for each distinct window its rarest words as (count, term, ipos), ipos their places in the item."""
     at = items.select("item", F.size("iw").alias("n"), F.posexplode("iw").alias("ipos", "term")).join(counts, "term", "left")
     ranked = at.groupBy("item", "n").agg(F.array_sort(F.collect_list(F.struct("ipos", F.coalesce(F.col("n_corpus"), F.lit(0)).alias("count"), "term"))).alias("ws"))
     width = F.least(F.lit(window), F.col("n"))
@@ -80,7 +79,6 @@ def candidates(stored: DataFrame, needs: DataFrame) -> DataFrame:
     return joined.filter(F.exists("sets", lambda s: F.size(F.array_except(s, F.col("have"))) == 0)).select("item", "id", "h", "start")
 
 
-
 def matches(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id") -> DataFrame:
     """(id, h, spans) of the documents with a verified match; a span is (item_id, at, length)."""
     items = items_of(benchmark, item_id_col, "text")
@@ -100,7 +98,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, id_c
         keyed = keyed.join(small, keyed["id"].eqNullSafe(small["k_id"]) & (keyed["h"] == small["k_h"]), "left_semi")
     named = found.select(F.col("id").alias("f_id"), F.col("h").alias("f_h"), "found")
     both = keyed.dropDuplicates(["id", "h"]).join(named, keyed["id"].eqNullSafe(named["f_id"]) & (keyed["h"] == named["f_h"]))
-    both = both.select("id", "h", words(F.col("text")).alias("dw"), "found")
+    # written, as the functions below would else part the text into words again for every place
+    both = staged(both.select("id", "h", words(F.col("text")).alias("dw"), "found"), "candidate-words")
 
     def spans(c: Column) -> Column:
         width = F.least(F.lit(window), F.size(c["iw"]))
@@ -116,7 +115,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
     hit = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["at"], s["at"] + s["length"] - 1)))))
     ids = F.array_sort(F.array_distinct(F.transform("spans", lambda s: F.coalesce(s["item_id"], F.lit("")))))
     found = staged(found.select(F.col("id").alias("f_id"), F.col("h").alias("f_h"), hit.cast("long").alias("n_hit"), ids.alias("items")), "hits")
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("h"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("n_words"))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("h"), F.size(F.array_remove(F.split(F.coalesce(F.col(text_col), F.lit("")), BREAK), "")).cast("long").alias("n_words"))
     joined = rows.join(found, rows["id"].eqNullSafe(found["f_id"]) & (rows["h"] == found["f_h"]), "left")
     none = F.expr("cast(array() as array<string>)")
     items = F.coalesce("items", none)
