@@ -35,8 +35,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabshift.llm.common import shard_count, staged
-from tabshift.llm.shards import mix64, runs_of
+from tabshift.llm.common import discard, shard_count, staged
+from tabshift.llm.shards import mix64
 
 MATCH, GRAM = 50, 20
 WINDOW = MATCH - GRAM + 1
@@ -185,28 +185,39 @@ def settle(suffix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return settled, edge
 
 
-# A suffix on its way to a shard is stored by columns: 5 bytes of key, 5 of context, ids as differences, tags, numbers.
-def pack_suffixes(x: np.ndarray) -> bytes:
-    five = lambda c: np.ascontiguousarray(x[c].view("u1").reshape(len(x), -1)[:, :5]) if x[c].flags["C_CONTIGUOUS"] else np.ascontiguousarray(np.ascontiguousarray(x[c]).view("u1").reshape(len(x), 8)[:, :5])
-    ids = np.ascontiguousarray(x["id"])
-    return b"".join([np.int64(len(x)).tobytes(), five("key").tobytes(), five("ctx").tobytes(), np.r_[ids[:1], np.diff(ids)].tobytes(), np.ascontiguousarray(x["tag"]).tobytes(), np.ascontiguousarray(x["n"]).tobytes()])
+# Records on their way to a shard are stored by columns, each in as few bytes as it needs: numbers that hardly change from one
+# record to the next as differences, hashes by their leading bytes (those kept in the type's low bytes).
+def pack(x: np.ndarray, hashes: dict[str, int], rising: tuple[str, ...]) -> bytes:
+    parts = [np.int64(len(x)).tobytes()]
+    for name in x.dtype.names:
+        column = np.ascontiguousarray(x[name])
+        if name in hashes:
+            parts.append(np.ascontiguousarray(column.view("u1").reshape(len(x), 8)[:, : hashes[name]]).tobytes())
+        else:
+            parts.append((np.r_[column[:1], column[1:] - column[:-1]] if name in rising else column).tobytes())
+    return b"".join(parts)
 
 
-def unpack_suffixes(blob: bytes) -> np.ndarray:
+def unpack(blob, dtype: np.dtype, hashes: dict[str, int], rising: tuple[str, ...]) -> np.ndarray:
     n = int(np.frombuffer(blob, "<i8", 1)[0])
-    x = np.zeros(n, SUFFIX)
-    at = 8
-    for c in ("key", "ctx"):
-        wide = np.zeros((n, 8), np.uint8)
-        wide[:, :5] = np.frombuffer(blob, np.uint8, 5 * n, at).reshape(n, 5)
-        x[c] = wide.view("<u8")[:, 0]
-        at += 5 * n
-    x["id"] = np.cumsum(np.frombuffer(blob, "<i8", n, at))
-    x["tag"] = np.frombuffer(blob, "<u4", n, at + 8 * n)
-    x["n"] = np.frombuffer(blob, "<u4", n, at + 12 * n)
+    x, at = np.empty(n, dtype), 8
+    for name in dtype.names:
+        if name in hashes:
+            wide = np.zeros((n, 8), np.uint8)
+            wide[:, : hashes[name]] = np.frombuffer(blob, np.uint8, hashes[name] * n, at).reshape(n, hashes[name])
+            x[name] = wide.view("<u8")[:, 0]
+            at += hashes[name] * n
+        else:
+            column = np.frombuffer(blob, dtype[name], n, at)
+            x[name] = np.cumsum(column, dtype=dtype[name]) if name in rising else column
+            at += column.nbytes
     return x
 
 
+SUFFIX_FORM = (SUFFIX, {"key": 5, "ctx": 5}, ("id",))
+PLACE_FORM = (PLACE, {"hash": 8}, ("id", "at"))
+
+
 def _dealt(to: np.ndarray, records: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     order = np.argsort(to, kind="stable")
     to, records = to[order], records[order]
@@ -337,7 +348,7 @@ def duplicated_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             out = [(TO_BUCKET, d, r.tobytes()) for d, r in _dealt(bucket_of(known["id"], buckets), known)]
             shard = (new["key"] >> np.uint64(40)) % np.uint64(shards)
             for d, r in _dealt(shard.astype(np.int32), new):
-                out.append((TO_SHARD, d, pack_suffixes(r[np.argsort(r["id"], kind="stable")])))
+                out.append((TO_SHARD, d, pack(r[np.lexsort((r["n"], r["id"]))], *SUFFIX_FORM[1:])))
             return _rows(out)
 
         for batch in batches:
@@ -361,7 +372,7 @@ def duplicated_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 if kind.as_py() == TO_BUCKET:
                     ready.append((TO_BUCKET, dest.as_py(), payload.as_py()))
                 else:
-                    run = unpack_suffixes(payload.as_buffer())
+                    run = unpack(payload.as_buffer(), *SUFFIX_FORM)
                     levels.add(run[np.lexsort((run["ctx"], run["key"]))])
         if ready:
             yield _rows(ready)
@@ -413,7 +424,7 @@ def duplicated_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                     known = _intervals(np.r_[removed[:, 0], at], np.r_[removed[:, 1], at + MATCH])
                     out.append({"kind": 2, "id": doc_id, "text": data.decode("utf-8", "surrogatepass"), "payload": known.tobytes()})
                 shard = mix64(new["hash"]) % np.uint64(shards)
-                out += [{"kind": 1, "dest": d, "payload": r.tobytes()} for d, r in _dealt(shard.astype(np.int32), new)]
+                out += [{"kind": 1, "dest": d, "payload": pack(r[np.lexsort((r["at"], r["id"]))], *PLACE_FORM[1:])} for d, r in _dealt(shard.astype(np.int32), new)]
             out += [{"kind": 3, **r} for r in results]
             yield pa.RecordBatch.from_pylist(out, schema=MET)
 
@@ -421,9 +432,10 @@ def duplicated_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     told = marks.select(F.lit(0).alias("kind"), "dest", F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("text"), "payload")
     met = told.unionByName(rows).repartitionById(buckets, "dest").sortWithinPartitions("kind")
     met = staged(met.mapInArrow(meet, MET_SQL), "suffix-met")
+    discard(marks)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs = list(runs_of(batches, PLACE))
+        runs = [unpack(blob.as_buffer(), *PLACE_FORM) for batch in batches for blob in batch.column(1)]
         if runs:
             x = np.concatenate(runs)
             x = x[np.argsort(x["hash"], kind="stable")]
