@@ -454,6 +454,7 @@ def duplicated_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema(RESULT))
 
     windows = met.filter("kind = 1").select("dest", "payload").repartitionById(shards, "dest").mapInArrow(compare, ROWS_SQL)
+    windows = staged(windows, "suffix-windows")
     answers = windows.select(F.lit(0).alias("kind"), "dest", F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("text"), "payload")
     left = met.filter("kind = 2").select(F.lit(1).alias("kind"), F.coalesce(F.pmod("id", F.lit(buckets)), F.lit(LAST_ID % buckets)).cast("int").alias("dest"), "id", "text", "payload")
     last = answers.unionByName(left).repartitionById(buckets, "dest").sortWithinPartitions("kind").mapInArrow(finish, RESULT_SQL)
