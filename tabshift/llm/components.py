@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabshift.llm.common import staged
+from tabshift.llm.common import discard, staged
 
 MAX_ROUNDS = 60
 
@@ -37,7 +37,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         if not mark.n or mark == before:
             break
         before = mark
-        now = staged(_star(_star(now, True), False), "components")
+        last, now = now, staged(_star(_star(now, True), False), "components")
+        discard(last)
     else:
         raise RuntimeError("components did not settle")
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabshift.llm.common import shard_count, staged
+from tabshift.llm.common import discard, shard_count, staged
 from tabshift.llm.components import components
 from tabshift.llm.fingerprints import BINS, least_hashes
 from tabshift.llm.shards import mix64, packed_batch, reduce_shards
@@ -329,25 +329,29 @@ def similar_links(classes: DataFrame, similarity: float) -> DataFrame:
             keep = pa.array((same - 2.0**-8) / (1 - 2.0**-8) >= least)
             yield batch.select(["a", "b"]).filter(keep)
 
-    return pairs.join(left, "a").join(right, "b").mapInArrow(verified, "a long, b long")
+    out = staged(pairs.join(left, "a").join(right, "b").mapInArrow(verified, "a long, b long"), "simhash-similar")
+    discard(pairs)
+    return out
 
 
 def groups(docs: DataFrame, *, similarity: float, distance: int = 4, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component_id) where SimHash links join with those of similar shingle sets."""
-    prints = staged(_sketched(docs, id_col, text_col, width), "simhash-sketches")
-    best = prints.groupBy("fp").agg(F.min(F.struct("id", "sketch", "bands")).alias("m"))
+    sketches = staged(_sketched(docs, id_col, text_col, width), "simhash-sketches")
+    best = sketches.groupBy("fp").agg(F.min(F.struct("id", "sketch", "bands")).alias("m"))
     classes = staged(best.select("fp", F.col("m.id").alias("first_id"), "m.sketch", "m.bands"), "simhash-classes")
     edges = staged(links(classes.select("fp"), distance).union(similar_links(classes, similarity)).distinct(), "simhash-links")
-    return _named(prints.select("id", "fp"), classes.select("fp", "first_id"), edges).select(F.col("id").alias(id_col), "component_id")
+    found = _named(sketches.select("id", "fp"), classes.select("fp", "first_id"), edges)
+    out = staged(found.select(F.col("id").alias(id_col), "component_id"), "simhash-found")
+    discard(sketches, classes, edges)
+    return out
 
 
 def deduplicated(docs: DataFrame, *, similarity: float | None = None, distance: int = 4, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group: that with its smallest id (of rows with that id, one). Null ids group with their likes."""
     if similarity is None:
-        found = near_duplicates(docs, distance=distance, width=width, id_col=id_col, text_col=text_col)
+        found = staged(near_duplicates(docs, distance=distance, width=width, id_col=id_col, text_col=text_col).select(id_col, "component_id"), "simhash-found")
     else:
         found = groups(docs, similarity=similarity, distance=distance, width=width, id_col=id_col, text_col=text_col)
-    found = staged(found.select(id_col, "component_id"), "simhash-found")
     keep = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("k_id")).distinct()
     kept = docs.join(keep, docs[id_col].eqNullSafe(keep["k_id"]), "left_semi")
     repeats = not found.groupBy(id_col).count().filter("count > 1").isEmpty()
