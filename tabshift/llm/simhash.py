@@ -29,12 +29,12 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabshift.llm.common import discard, shard_count, staged
+from tabshift.llm.common import MAX_SHARDS, discard, shard_count, staged
 from tabshift.llm.components import components
-from tabshift.llm.fingerprints import BINS, least_hashes
+from tabshift.llm.fingerprints import least_hashes
 from tabshift.llm.shards import mix64, packed_batch, reduce_shards
 from tabshift.llm.shingles import shingle_hashes
 
@@ -243,106 +243,219 @@ def near_duplicates(docs: DataFrame, *, distance: int = 4, width: int = 4, id_co
     return _named(prints, classes, edges).select(F.col("id").alias(id_col), hexed.alias("fingerprint"), "component_id")
 
 
-def _named(prints: DataFrame, classes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, fp, component_id) of the rows, from classes (fp, first_id) and links (a, b) between them."""
+def _named(prints: DataFrame, classes: DataFrame, edges: DataFrame, *more: str) -> DataFrame:
+    """The rows with component_id (and root), from classes (fp, first_id) and links (a, b) between them."""
     found = components(edges, "a", "b")
     named = classes.join(found, classes["fp"] == found["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_class = staged(named.join(smallest, "root").select(F.col("fp").alias("c_fp"), "component_id"), "simhash-named")
+    by_class = staged(named.join(smallest, "root").select(F.col("fp").alias("c_fp"), "component_id", *more), "simhash-named")
     # a class may hold a third of all rows: the join on fp is between rows and one row a class, which Spark splits or broadcasts
-    return prints.join(by_class, prints["fp"] == by_class["c_fp"]).select("id", "fp", "component_id")
+    return prints.join(by_class, prints["fp"] == by_class["c_fp"]).select(*prints.columns, "component_id", *more)
 
 
 # ---- similarity beyond four bits ----
 # Texts whose shingle sets have a Jaccard similarity of 0.8 differ in about nine bits of 64, so four bits find few of them. With
-# ``similarity`` set, min-wise keys of the same shingle hashes give further candidates, and a sketch of their bins verifies them.
+# ``similarity`` set, texts that share a min-wise key of the same shingle hashes form families, and within a family the shingle
+# sets themselves are compared, every one with every other but for those already reached from it. A family of many shingles
+# is cut into blocks, and each pair of blocks is one comparison, so that no task holds a large family.
 
 BANDS, ROWS, SLACK = 32, 8, 0.03
-SKETCHED = "id long, fp long, sketch binary, bands binary"
+BLOCK = 1 << 20  # shingles a block, about
+SKETCHED = "id long, row long, fp long, variant long, n int, bands binary"
 PAIRED = np.dtype([("key", "<u8"), ("fp", "<u8")])
+HEAD = 5  # task, side, variant, fingerprint and number of shingles go before a set's hashes
+
+
+def _row(id_col: str, text_col: str) -> Column:
+    """What tells rows apart besides their ids: a hash of id and text."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
 
 
 def _sketched(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, fp, sketch, bands): the SimHash, the low byte of each bin's least hash, and the hashes of BANDS groups of bins."""
+    """(id, row, fp, variant, n, bands): the SimHash, its variant, the size of the shingle set and the hashes of BANDS groups of bins."""
 
-    def one(text: str | None) -> tuple[int, bytes, bytes]:
+    def one(text: str | None) -> tuple[int, int, int, bytes]:
         hashes = shingle_hashes(text, width, SEED)
         if not len(hashes):
-            return 0, b"", b""
-        least = least_hashes(hashes)
+            return 0, 0, 0, b""
+        fp, least = _vote(hashes), least_hashes(hashes)
         bands = [xxhash.xxh64_intdigest(part.tobytes(), i) for i, part in enumerate(least.reshape(BANDS, ROWS))]
-        return _vote(hashes), (least & np.uint64(255)).astype(np.uint8).tobytes(), np.array(bands, "<u8").tobytes()
+        return fp, fp, len(np.unique(hashes)), np.array(bands, "<u8").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [one(t.as_py()) for t in batch.column(1)]
-            fps = np.array([r[0] for r in rows], "<u8").view("<i8")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["id", "fp", "sketch", "bands"])
+            rows = [one(t.as_py()) for t in batch.column(2)]
+            fps, variants = (np.array([r[i] for r in rows], "<u8").view("<i8") for i in range(2))
+            made = [pa.array(fps), pa.array(variants), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["id", "row", "fp", "variant", "n", "bands"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, SKETCHED)
+    return docs.select(F.col(id_col).cast("long").alias("id"), _row(id_col, text_col).alias("row"), F.col(text_col).alias("text")).mapInArrow(run, SKETCHED)
 
 
-def band_pairs(records: np.ndarray) -> np.ndarray:
-    """(n, 2): candidates of a shard's band keys: all pairs of small groups, two rings in an order of the key's own for others."""
-    turned = mix64(records["fp"] ^ records["key"])
-    records = records[np.lexsort((turned, records["key"]))]
+def band_stars(records: np.ndarray) -> np.ndarray:
+    """(n, 2): the least text of each band key with every other text of it."""
+    records = records[np.lexsort((records["fp"], records["key"]))]
     key, fps = records["key"], records["fp"]
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    sizes = np.repeat(np.diff(np.r_[starts, len(key)]), np.diff(np.r_[starts, len(key)]))
+    least = np.repeat(fps[starts], np.diff(np.r_[starts, len(key)]))
+    return np.unique(np.stack([least, fps], axis=1)[least != fps], axis=0)
+
+
+class _Rest:
+    """Sets not reached yet, in order of size, as one flat array of term numbers."""
+
+    def __init__(self, members: np.ndarray, terms: list[np.ndarray]):
+        self.members = members
+        self.sizes = np.array([len(terms[i]) for i in members], np.int64)
+        self.flat = np.concatenate([terms[i] for i in members]) if len(members) else np.empty(0, np.int64)
+        self.ends = np.cumsum(self.sizes)
+
+    def take(self, gone: np.ndarray) -> np.ndarray:
+        out = self.members[gone]
+        self.flat = self.flat[~np.repeat(gone, self.sizes)]
+        self.members, self.sizes = self.members[~gone], self.sizes[~gone]
+        self.ends = np.cumsum(self.sizes)
+        return out
+
+    def first(self) -> int:
+        gone = np.zeros(len(self.members), bool)
+        gone[0] = True
+        return int(self.take(gone)[0])
+
+    def near(self, mark: np.ndarray, size: int, least: float) -> np.ndarray:
+        """Members whose similarity to the marked set is ``least`` or more; the sizes alone rule out those outside a range."""
+        a, b = np.searchsorted(self.sizes, least * size - 1e-9), np.searchsorted(self.sizes, size / least + 1e-9, "right")
+        if a >= b:
+            return np.empty(0, np.int64)
+        start = int(self.ends[a] - self.sizes[a])
+        both = np.add.reduceat(mark[self.flat[start : self.ends[b - 1]]], self.ends[a:b] - self.sizes[a:b] - start)
+        gone = np.zeros(len(self.members), bool)
+        gone[a:b] = both >= least * (size + self.sizes[a:b] - both) - 1e-9
+        return self.take(gone) if gone.any() else np.empty(0, np.int64)
+
+
+def set_links(sets: list[np.ndarray], side: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """A forest of the pairs of sets with a Jaccard similarity of ``least`` or more: between sides if there are two, else within the one."""
+    sizes = np.array(list(map(len, sets)), np.int64)
+    values, numbers = np.unique(np.concatenate(sets), return_inverse=True)
+    terms = np.split(numbers, np.cumsum(sizes)[:-1])
+    order = np.argsort(sizes, kind="stable")
+    two = int(side.max() > 0)
+    rest = [_Rest(order[side[order] == s], terms) for s in range(1 + two)]
+    mark = np.zeros(len(values), np.int32)
+    out = []
+    while len(rest[0].members) and len(rest[two].members):
+        queue = [rest[0].first()]
+        while queue:
+            at = queue.pop()
+            other = rest[1 - side[at] if two else 0]
+            if not len(other.members):
+                continue
+            mark[terms[at]] = 1
+            reached = other.near(mark, int(sizes[at]), least).tolist()
+            mark[terms[at]] = 0
+            out += [(at, r) for r in reached]
+            queue += reached
+    return out
+
+
+def family_links(records: np.ndarray, least: float) -> np.ndarray:
+    """(n, 2) fingerprints: the links of all comparisons of a shard; records: HEAD and hashes of each set, one after the other."""
+    tasks: dict[int, dict[tuple[int, int], tuple[int, np.ndarray]]] = {}
+    at = 0
+    while at < len(records):
+        task, side, variant, fp, n = records[at : at + HEAD].tolist()
+        tasks.setdefault(task, {})[side, variant] = fp, records[at + HEAD : at + HEAD + n]
+        at += HEAD + n
     found = []
-    for off in range(1, SMALL_GROUP):
-        if off >= len(key):
-            break
-        hit = np.flatnonzero((key[off:] == key[:-off]) & ((sizes[:-off] <= SMALL_GROUP) | (off <= 2)))
-        found.append(np.stack([np.minimum(fps[hit], fps[hit + off]), np.maximum(fps[hit], fps[hit + off])], axis=1))
-    return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), "<u8")
+    for members in tasks.values():
+        if len(members) > 1:
+            sides, fps, sets = np.array([s for s, _ in members]), [f for f, _ in members.values()], [x for _, x in members.values()]
+            found += [(fps[a], fps[b]) for a, b in set_links(sets, sides, least) if fps[a] != fps[b]]
+    return np.array(found, "<u8").reshape(-1, 2)
+
+
+def _pairs(found: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(found[:, i].astype("<u8").view("<i8").copy()) for i in range(2)], names=["a", "b"])
 
 
-def similar_links(classes: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) of fingerprints whose sketches agree to ``similarity`` less SLACK, the sketch's own error."""
-    n = shard_count(classes, 4 << 20)
+def similar_links(docs: DataFrame, variants: DataFrame, similarity: float, width: int, id_col: str, text_col: str) -> DataFrame:
+    """(a, b) of fingerprints whose texts share a band key, directly or by others, and have a Jaccard similarity of ``similarity`` less SLACK."""
+    n = shard_count(variants, 4 << 20)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = batch.column(0).to_numpy(zero_copy_only=False).view("<u8")
+            own = batch.column(0).to_numpy(zero_copy_only=False).view("<u8")
             bands = [np.frombuffer(b.as_buffer(), "<u8") for b in batch.column(1)]
             records = np.empty(sum(map(len, bands)), PAIRED)
             if len(records):
-                records["key"], records["fp"] = np.concatenate(bands), np.repeat(fps, [len(b) for b in bands])
+                records["key"], records["fp"] = np.concatenate(bands), np.repeat(own, [len(b) for b in bands])
                 yield packed_batch((mix64(records["key"]) % np.uint64(n)).astype(np.int32), records)
 
     def met(records: np.ndarray) -> Iterator[pa.RecordBatch]:
-        found = band_pairs(records)
+        found = band_stars(records)
         if len(found):
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, i].view("<i8").copy()) for i in range(2)], names=["a", "b"])
-
-    packed = classes.select("fp", "bands").mapInArrow(keyed, "shard int, payload binary")
-    pairs = staged(reduce_shards(packed, n, PAIRED, met, "a long, b long").distinct(), "simhash-pairs")
-    left = classes.select(F.col("fp").alias("a"), F.col("sketch").alias("s"))
-    right = classes.select(F.col("fp").alias("b"), F.col("sketch").alias("t"))
-    least = similarity - SLACK
-
-    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield _pairs(found)
+
+    packed = variants.select("variant", "bands").mapInArrow(keyed, "shard int, payload binary")
+    stars = staged(reduce_shards(packed, n, PAIRED, met, "a long, b long").distinct(), "simhash-stars")
+    families = components(stars, "a", "b")
+    members = staged(variants.drop("bands").join(families, variants["variant"] == families["node"]).drop("node"), "simhash-members")
+    discard(stars)
+    # families of more than one block are few: a BLOCK of shingles each at least
+    large = members.groupBy("root").agg(F.ceil(F.sum(F.col("n") + HEAD) / BLOCK).cast("int").alias("blocks")).filter("blocks > 1")
+    large = large.select(F.col("root").alias("l_root"), "blocks")
+    members = members.join(F.broadcast(large), members["root"] == F.col("l_root"), "left").select("id", "row", "fp", "variant", "n", "root", F.coalesce("blocks", F.lit(1)).alias("blocks"))
+    members = staged(members, "simhash-blocks")
+    total = members.agg(F.sum((F.col("n") + HEAD).cast("long") * F.col("blocks"))).first()[0] or 0
+    m = min(MAX_SHARDS, max(n, -(-total // BLOCK)))
+    texts = docs.select(F.col(id_col).cast("long").alias("t_id"), _row(id_col, text_col).alias("t_row"), F.col(text_col).alias("text"))
+    sets = texts.join(members, F.col("t_id").eqNullSafe(members["id"]) & (F.col("t_row") == members["row"])).select("text", "fp", "variant", "root", "blocks")
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s, t = ([np.frombuffer(x.as_buffer(), np.uint8) for x in batch.column(batch.schema.get_field_index(c))] for c in ("s", "t"))
-            same = np.array([np.count_nonzero(x == y) / BINS for x, y in zip(s, t, strict=True)])
-            keep = pa.array((same - 2.0**-8) / (1 - 2.0**-8) >= least)
-            yield batch.select(["a", "b"]).filter(keep)
+            shards: list[int] = []
+            blobs: list[bytes] = []
+            fps, variant, roots = (batch.column(i).to_numpy(zero_copy_only=False).view("<u8") for i in (1, 2, 3))
+            for i, k in enumerate(batch.column(4).to_pylist()):
+                hashes = np.unique(shingle_hashes(batch.column(0)[i].as_py(), width, SEED))
+                own = int(mix64(variant[i : i + 1] ^ np.uint64(SEED))[0] % np.uint64(k))
+                for j in range(k):
+                    low, high = min(own, j), max(own, j)
+                    task = xxhash.xxh64_intdigest(np.array([roots[i], low, high], "<u8").tobytes(), SEED)
+                    shards.append(task % m)
+                    blobs.append(np.r_[np.array([task, own != low, variant[i], fps[i], len(hashes)], "<u8"), hashes].tobytes())
+                    if len(blobs) >= 4096:
+                        yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(blobs, pa.binary())], names=["shard", "payload"])
+                        shards, blobs = [], []
+            if blobs:
+                yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(blobs, pa.binary())], names=["shard", "payload"])
+
+    def compared(records: np.ndarray) -> Iterator[pa.RecordBatch]:
+        found = family_links(records, similarity - SLACK)
+        if len(found):
+            yield _pairs(found)
 
-    out = staged(pairs.join(left, "a").join(right, "b").mapInArrow(verified, "a long, b long"), "simhash-similar")
-    discard(pairs)
+    out = staged(reduce_shards(sets.mapInArrow(dealt, "shard int, payload binary"), m, np.dtype("<u8"), compared, "a long, b long"), "simhash-similar")
+    discard(members)
     return out
 
 
 def groups(docs: DataFrame, *, similarity: float, distance: int = 4, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component_id) where SimHash links join with those of similar shingle sets."""
+    return _grouped(docs, similarity, distance, width, id_col, text_col).select(F.col("id").alias(id_col), "component_id")
+
+
+def _grouped(docs: DataFrame, similarity: float, distance: int, width: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, row, component_id, root): each row's group, which ``root`` names even where all ids are null."""
     sketches = staged(_sketched(docs, id_col, text_col, width), "simhash-sketches")
-    best = sketches.groupBy("fp").agg(F.min(F.struct("id", "sketch", "bands")).alias("m"))
-    classes = staged(best.select("fp", F.col("m.id").alias("first_id"), "m.sketch", "m.bands"), "simhash-classes")
-    edges = staged(links(classes.select("fp"), distance).union(similar_links(classes, similarity)).distinct(), "simhash-links")
-    found = _named(sketches.select("id", "fp"), classes.select("fp", "first_id"), edges)
-    out = staged(found.select(F.col("id").alias(id_col), "component_id"), "simhash-found")
-    discard(sketches, classes, edges)
+    classes = staged(sketches.groupBy("fp").agg(F.min("id").alias("first_id")), "simhash-classes")
+    best = sketches.filter("n > 0").groupBy("fp").agg(F.min(F.struct("id", "row", "variant", "n", "bands")).alias("m"))
+    variants = staged(best.select("fp", "m.variant", "m.id", "m.row", "m.n", "m.bands"), "simhash-variants")
+    edges = staged(links(classes.select("fp"), distance).union(similar_links(docs, variants, similarity, width, id_col, text_col)).distinct(), "simhash-links")
+    found = _named(sketches.select("id", "row", "fp"), classes, edges, "root")
+    out = staged(found.select("id", "row", "component_id", "root"), "simhash-found")
+    discard(sketches, classes, variants, edges)
     return out
 
 

@@ -107,3 +107,47 @@ def test_similarity_finds_what_four_bits_miss(spark, make_docs):
     got = {r.doc_id: r.component_id for r in simhash.groups(make_docs(docs), similarity=0.8).collect()}
     assert all(got[a] == got[b] == a for a, b in pairs)
     assert len(set(got.values())) == 40
+
+
+def copies_of_one(n, similarity, words=1000, seed=7):
+    """An original and n copies edited independently, each alike to it by ``similarity`` or a little more."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+    shingles = words - 4
+    edits = int((1 - similarity) / (1 + similarity) * shingles / 5)
+    docs = [(0, " ".join(base))]
+    for i in range(1, n + 1):
+        near = list(base)
+        for j, at in enumerate(rng.sample(range(1, words // 5 - 1), edits)):
+            near[5 * at] = f"e{i}_{j}"
+        docs.append((i, " ".join(near)))
+    return docs
+
+
+def test_copies_that_hang_on_one_original(spark, make_docs):
+    for n in (300, 2000):
+        got = [r.component_id for r in simhash.groups(make_docs(copies_of_one(n, 0.82)), similarity=0.8).collect()]
+        assert len(got) == n + 1 and sum(c != 0 for c in got) <= n // 200  # keys miss one pair in a thousand
+
+
+def test_blocks_link_as_one_family():
+    rng = np.random.default_rng(4)
+    base = np.unique(rng.integers(0, 1 << 62, 400, dtype=np.uint64))
+    sets = [base] + [np.unique(np.r_[base[rng.permutation(400)[:370]], rng.integers(0, 1 << 62, 20, dtype=np.uint64)]) for _ in range(60)]
+    block = np.arange(len(sets)) % 3
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for low in range(3):
+        for high in range(low, 3):
+            at = np.flatnonzero((block == low) | (block == high))
+            for a, b in simhash.set_links([sets[i] for i in at], (block[at] != low).astype(int), 0.8):
+                x, y = sets[at[a]], sets[at[b]]
+                both = len(np.intersect1d(x, y))
+                assert both >= 0.8 * (len(x) + len(y) - both)
+                root[find(at[a])] = find(at[b])
+    assert len({find(i) for i in range(len(sets))}) == 1
