@@ -259,7 +259,7 @@ def _named(prints: DataFrame, classes: DataFrame, edges: DataFrame, *more: str)
 # sets themselves are compared, every one with every other but for those already reached from it. A family of many shingles
 # is cut into blocks, and each pair of blocks is one comparison, so that no task holds a large family.
 
-BANDS, ROWS, SLACK = 32, 8, 0.03
+BANDS, ROWS = 32, 8
 BLOCK = 1 << 20  # shingles a block, about
 SKETCHED = "id long, row long, fp long, variant long, n int, bands binary"
 PAIRED = np.dtype([("key", "<u8"), ("fp", "<u8")])
@@ -380,7 +380,7 @@ def _pairs(found: np.ndarray) -> pa.RecordBatch:
 
 
 def similar_links(docs: DataFrame, variants: DataFrame, similarity: float, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(a, b) of fingerprints whose texts share a band key, directly or by others, and have a Jaccard similarity of ``similarity`` less SLACK."""
+    """(a, b) of fingerprints whose texts share a band key, directly or by others, and have a Jaccard similarity of ``similarity`` or more."""
     n = shard_count(variants, 4 << 20)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -432,7 +432,7 @@ def similar_links(docs: DataFrame, variants: DataFrame, similarity: float, width
                 yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(blobs, pa.binary())], names=["shard", "payload"])
 
     def compared(records: np.ndarray) -> Iterator[pa.RecordBatch]:
-        found = family_links(records, similarity - SLACK)
+        found = family_links(records, similarity)
         if len(found):
             yield _pairs(found)
 

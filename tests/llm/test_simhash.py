@@ -151,3 +151,22 @@ def test_blocks_link_as_one_family():
                 assert both >= 0.8 * (len(x) + len(y) - both)
                 root[find(at[a])] = find(at[b])
     assert len({find(i) for i in range(len(sets))}) == 1
+
+
+def test_documents_of_one_template_stay_apart(spark, make_docs):
+    docs = copies_of_one(300, 0.856)[1:]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in docs]
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                root[find(i)] = find(j)
+    assert len({find(i) for i in range(len(sets))}) > 290
+    assert simhash.deduplicated(make_docs(docs), similarity=0.8, distance=0).count() == len({find(i) for i in range(len(sets))})
