@@ -60,16 +60,22 @@ def _vote(hashes: np.ndarray) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """(id, fp): the fingerprint of each row as a long with the same bits."""
+def _row(id_col: str, text_col: str) -> Column:
+    """What tells rows apart besides their ids: a hash of id and text."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, rows: bool = False) -> DataFrame:
+    """(id, fp): the fingerprint of each row as a long with the same bits; with ``rows`` also its row hash, between them."""
+    names = ["id", "row", "fp"] if rows else ["id", "fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((fingerprint(t.as_py(), width) for t in batch.column(1)), "<u8", batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view("<i8"))], names=["id", "fp"])
+            fps = np.fromiter((fingerprint(t.as_py(), width) for t in batch.column(0)), "<u8", batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(fps.view("<i8"))], names=names)
 
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, "id long, fp long")
+    source = docs.select(F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("id"), *([_row(id_col, text_col).alias("row")] if rows else []))
+    return source.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 @cache
@@ -266,11 +272,6 @@ PAIRED = np.dtype([("key", "<u8"), ("fp", "<u8")])
 HEAD = 5  # task, side, variant, fingerprint and number of shingles go before a set's hashes
 
 
-def _row(id_col: str, text_col: str) -> Column:
-    """What tells rows apart besides their ids: a hash of id and text."""
-    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
-
-
 def _sketched(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """(id, row, fp, variant, n, bands): the SimHash, its variant, the size of the shingle set and the hashes of BANDS groups of bins."""
 
@@ -460,12 +461,22 @@ def _grouped(docs: DataFrame, similarity: float, distance: int, width: int, id_c
 
 
 def deduplicated(docs: DataFrame, *, similarity: float | None = None, distance: int = 4, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group: that with its smallest id (of rows with that id, one). Null ids group with their likes."""
+    """One row of each group: that with its smallest id, null ids last, then of those with that id the least by a hash of the row.
+
+    Rows are told apart by id and text; of rows equal in both one stays.
+    """
     if similarity is None:
-        found = staged(near_duplicates(docs, distance=distance, width=width, id_col=id_col, text_col=text_col).select(id_col, "component_id"), "simhash-found")
+        prints = staged(fingerprints(docs, id_col, text_col, width, rows=True), "simhash-prints")
+        classes = staged(prints.groupBy("fp").agg(F.min("id").alias("first_id")), "simhash-classes")
+        edges = staged(links(classes.select("fp"), distance).distinct(), "simhash-links")
+        found = staged(_named(prints, classes, edges, "root"), "simhash-found")
     else:
-        found = groups(docs, similarity=similarity, distance=distance, width=width, id_col=id_col, text_col=text_col)
-    keep = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("k_id")).distinct()
-    kept = docs.join(keep, docs[id_col].eqNullSafe(keep["k_id"]), "left_semi")
-    repeats = not found.groupBy(id_col).count().filter("count > 1").isEmpty()
-    return kept.dropDuplicates([id_col]) if repeats else kept
+        found = _grouped(docs, similarity, distance, width, id_col, text_col)
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), F.col("id"), F.col("row"))).alias("m"))
+    keep = first.select(F.col("m.id").alias("k_id"), F.col("m.row").alias("k_row"))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("k_id")) & (_row(id_col, text_col) == F.col("k_row"))
+    kept = docs.join(keep, same, "left_semi")
+    repeats = not found.groupBy("id", "row").count().filter("count > 1").isEmpty()
+    if not repeats:
+        return kept
+    return kept.withColumn("_kept_row", _row(id_col, text_col)).dropDuplicates([id_col, "_kept_row"]).drop("_kept_row")

@@ -170,3 +170,15 @@ def test_documents_of_one_template_stay_apart(spark, make_docs):
                 root[find(i)] = find(j)
     assert len({find(i) for i in range(len(sets))}) > 290
     assert simhash.deduplicated(make_docs(docs), similarity=0.8, distance=0).count() == len({find(i) for i in range(len(sets))})
+
+
+def test_one_row_of_each_group_whatever_the_ids(spark, make_docs):
+    rng = random.Random(9)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(120))
+    twin, other = text(), text()
+    docs = [(None, text()) for _ in range(5)] + [(4, text()) for _ in range(3)] + [(None, twin), (8, twin), (9, twin), (None, other), (None, other), (6, text()), (6, twin)]
+    for similarity in (None, 0.8):
+        kept = [(r.doc_id, r.text) for r in simhash.deduplicated(make_docs(docs), similarity=similarity).collect()]
+        want = docs[:8] + [(None, other), (6, docs[13][1]), (6, twin)]
+        order = lambda rows: sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        assert order(kept) == order(want)
