@@ -273,15 +273,15 @@ HEAD = 5  # task, side, variant, fingerprint and number of shingles go before a
 
 
 def _sketched(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, row, fp, variant, n, bands): the SimHash, its variant, the size of the shingle set and the hashes of BANDS groups of bins."""
+    """(id, row, fp, variant, n, bands): the SimHash, a hash of it and the shingle set, the set's size, the hashes of BANDS groups of bins."""
 
     def one(text: str | None) -> tuple[int, int, int, bytes]:
         hashes = shingle_hashes(text, width, SEED)
         if not len(hashes):
             return 0, 0, 0, b""
-        fp, least = _vote(hashes), least_hashes(hashes)
+        fp, least, terms = _vote(hashes), least_hashes(hashes), np.unique(hashes)
         bands = [xxhash.xxh64_intdigest(part.tobytes(), i) for i, part in enumerate(least.reshape(BANDS, ROWS))]
-        return fp, fp, len(np.unique(hashes)), np.array(bands, "<u8").tobytes()
+        return fp, xxhash.xxh64_intdigest(terms.tobytes(), fp), len(terms), np.array(bands, "<u8").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -451,8 +451,8 @@ def _grouped(docs: DataFrame, similarity: float, distance: int, width: int, id_c
     """(id, row, component_id, root): each row's group, which ``root`` names even where all ids are null."""
     sketches = staged(_sketched(docs, id_col, text_col, width), "simhash-sketches")
     classes = staged(sketches.groupBy("fp").agg(F.min("id").alias("first_id")), "simhash-classes")
-    best = sketches.filter("n > 0").groupBy("fp").agg(F.min(F.struct("id", "row", "variant", "n", "bands")).alias("m"))
-    variants = staged(best.select("fp", "m.variant", "m.id", "m.row", "m.n", "m.bands"), "simhash-variants")
+    best = sketches.filter("n > 0").groupBy("fp", "variant").agg(F.min(F.struct("id", "row", "n", "bands")).alias("m"))
+    variants = staged(best.select("fp", "variant", "m.id", "m.row", "m.n", "m.bands"), "simhash-variants")
     edges = staged(links(classes.select("fp"), distance).union(similar_links(docs, variants, similarity, width, id_col, text_col)).distinct(), "simhash-links")
     found = _named(sketches.select("id", "row", "fp"), classes, edges, "root")
     out = staged(found.select("id", "row", "component_id", "root"), "simhash-found")

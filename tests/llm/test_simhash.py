@@ -182,3 +182,14 @@ def test_one_row_of_each_group_whatever_the_ids(spark, make_docs):
         want = docs[:8] + [(None, other), (6, docs[13][1]), (6, twin)]
         order = lambda rows: sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
         assert order(kept) == order(want)
+
+
+def test_texts_of_one_simhash_have_links_of_their_own(spark, make_docs):
+    rng = random.Random(11)
+    words = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(80))
+    first, second = words(), words()
+    # one shingle decides all bits of 1 and 2; 3 has nearly the shingles of 2 and bits of its own
+    docs = [(1, "x " * 300 + first), (2, "x " * 300 + second), (3, "x " * 5 + second)]
+    fps = [simhash.fingerprint(t, 5) for _, t in docs]
+    assert fps[0] == fps[1] and (fps[0] ^ fps[2]).bit_count() > 4
+    assert {r.component_id for r in simhash.groups(make_docs(docs), similarity=0.8).collect()} == {1}
