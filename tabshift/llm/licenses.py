@@ -1,10 +1,10 @@
 """Licence scans in DataFrame functions alone: sparse TF-IDF cosine to templates, then inheritance by path joins.
 
-The terms are those of the templates. A notice is a line of a file (all lines are scanned, not the first few), or all of a file
-that is a licence file by its name. Its weights are tf * idf over the templates' terms, with idf from the document counts of
+The terms are those of the templates. A notice is a line or a paragraph of a file (all are scanned, not the first few), or all of
+a file that is a licence file by its name. Its weights are tf * idf over the templates' terms, with idf from the document counts of
 the whole corpus; every other word weighs as much as a term that no document has, so a licence's words in passing, amid prose,
 score low. Notices without a telling word (``SIGNAL``) are passed over. A file's own licence is the best template above the
-threshold, if any. A licence file, by name or because a notice is its first or last line, speaks for its directory; files without a
+threshold, if any. A licence file, by name or because a notice is its first or last line or paragraph, speaks for its directory; files without a
 notice of their own inherit from the nearest ancestor directory that has one: ancestors are exploded, joined to the
 directories' licences by path, and the longest wins.
 
@@ -20,6 +20,12 @@ from pyspark.sql import functions as F
 
 from tabshift.llm.common import staged
 
+MIT_GRANT = (
+    'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, '
+    "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+    "subject to the following conditions:"
+)
+GPL_HEADER = "This {0} is free software; you can redistribute it and/or modify it under the terms of the GNU {1} as published by the Free Software Foundation; either version {2} of the License, or (at your option) any later version."
 #: Notices of common licences, in the words in which files carry them.
 TEMPLATES = {
     "Apache-2.0": (
@@ -27,15 +33,16 @@ TEMPLATES = {
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
         "Apache License Version 2.0, January 2004",
     ),
-    "MIT": ("Released under the MIT License.", "Licensed under the MIT License.", "The MIT License (MIT)", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    "MIT": ("Released under the MIT License.", "Licensed under the MIT License.", "The MIT License (MIT)", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", MIT_GRANT),
     "GPL-3.0": (
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License",
         "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+        GPL_HEADER.format("program", "General Public License", "3"),
     ),
-    "GPL-2.0": ("Licensed under the GNU General Public License, version 2.", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
-    "LGPL-2.1": ("Licensed under the GNU Lesser General Public License, version 2.1.", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
-    "AGPL-3.0": ("Licensed under the GNU Affero General Public License, version 3.", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    "GPL-2.0": ("Licensed under the GNU General Public License, version 2.", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991", GPL_HEADER.format("program", "General Public License", "2")),
+    "LGPL-2.1": ("Licensed under the GNU Lesser General Public License, version 2.1.", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999", GPL_HEADER.format("library", "Lesser General Public License", "2.1")),
+    "AGPL-3.0": ("Licensed under the GNU Affero General Public License, version 3.", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007", GPL_HEADER.format("program", "Affero General Public License", "3")),
     "BSD-3-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Licensed under the BSD 3-Clause License."),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
@@ -49,6 +56,8 @@ TEMPLATES = {
 SIGNAL = r"(?i)licen[sc]|copyright|rights reserved|public domain|permission is hereby|redistribut|\bCC0\b|SPDX"
 LICENSE_FILE = r"(?i)(^|/)(licen[sc]e|copying|unlicense|notice)(\.[a-z]+)?$"
 THRESHOLD = 0.6
+#: Between paragraphs: lines without letters and digits, as in comments.
+BLANK = r"\n(?:[^\p{L}\p{N}\n]*\n)+"
 BREAK = r"[^0-9A-Za-z]+"
 
 
@@ -62,7 +71,7 @@ def _templates(spark: SparkSession) -> DataFrame:
 
 
 def own_licenses(files: DataFrame, *, id_col: str, path_col: str, text_col: str, threshold: float = THRESHOLD) -> DataFrame:
-    """(id, path, h, own, similarity, leads): the best notice of each file that has one; leads: it is the file's first or last line."""
+    """(id, path, h, own, similarity, leads): the best notice of each file that has one; leads: it is the file's first or last line or paragraph."""
     spark = files.sparkSession
     templates = _templates(spark)
     said = templates.select("license", "variant", F.explode(terms_of(F.col("words"))).alias("term")).groupBy("license", "variant", "term").agg(F.count("*").alias("tf"))
@@ -83,9 +92,17 @@ def own_licenses(files: DataFrame, *, id_col: str, path_col: str, text_col: str,
     keyed = files.select(F.col(id_col).alias("id"), F.col(path_col).alias("path"), F.xxhash64(F.col(text_col)).alias("h"), text.alias("text"))
     keyed = keyed.filter(F.col("text").rlike(SIGNAL))
     whole = F.coalesce(F.col("path").rlike(LICENSE_FILE), F.lit(False))
-    lines = F.when(whole, F.array(F.col("text"))).otherwise(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""))
-    notices = keyed.select("id", "path", "h", F.size(lines).alias("n"), F.posexplode(lines).alias("line", "notice")).filter(F.col("notice").rlike(SIGNAL))
-    notices = notices.withColumn("edge", (F.col("line") == 0) | (F.col("line") == F.col("n") - 1)).drop("n")
+    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+    paragraphs = F.filter(F.split("text", BLANK), lambda x: x.rlike(r"[\p{L}\p{N}]"))
+    piece = lambda line, edge, notice: F.struct(line.cast("int").alias("line"), edge.alias("edge"), notice.alias("notice"))
+    keyed = keyed.select("id", "path", "h", "text", whole.alias("whole"), lines.alias("lines"), paragraphs.alias("paragraphs"))
+    pieces = F.concat(
+        F.transform("lines", lambda x, i: piece(i, (i == 0) | (i == F.size("lines") - 1), x)),
+        # notices wrapped over lines are read as one; a paragraph of one line is that line
+        F.filter(F.transform("paragraphs", lambda x, i: piece(-1 - i, (i == 0) | (i == F.size("paragraphs") - 1), x)), lambda x: F.trim(x["notice"]).contains("\n")),
+        F.when(F.col("whole"), F.array(piece(F.lit(-(1 << 31) + 1), F.lit(True), F.col("text")))).otherwise(F.array().cast("array<struct<line:int,edge:boolean,notice:string>>")),
+    )
+    notices = keyed.select("id", "path", "h", F.inline(pieces)).filter(F.col("notice").rlike(SIGNAL))
     notices = staged(notices.distinct(), "license-notices")
 
     words = notices.select("id", "path", "h", "line", "edge", F.explode(terms_of(F.col("notice"))).alias("term"))

@@ -42,3 +42,69 @@ def test_empty_table_and_root(spark):
 def test_no_python_in_the_plan(spark):
     plan = L.scan(spark.createDataFrame([(1, "a/b", "x")], FILES))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_licence_files_and_wrapped_headers(spark):
+    mit = """Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.
+"""
+    bsd = """Copyright (c) 2020, Somebody
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+    apache = """
+                                 Apache License
+                           Version 2.0, January 2004
+                        http://www.apache.org/licenses/
+
+   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION
+
+   1. Definitions.
+
+      "License" shall mean the terms and conditions for use, reproduction,
+      and distribution as defined by Sections 1 through 9 of this document.
+"""
+    gpl = """                    GNU GENERAL PUBLIC LICENSE
+                       Version 3, 29 June 2007
+
+ Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>
+ Everyone is permitted to copy and distribute verbatim copies
+ of this license document, but changing it is not allowed.
+"""
+    header = """#!/usr/bin/python
+#
+# This program is free software; you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation; either version {} of the License, or
+# (at your option) any later version.
+#
+import os
+"""
+    texts = [("m/LICENSE", mit, "MIT"), ("b/COPYING", bsd, "BSD-3-Clause"), ("a/LICENSE.txt", apache, "Apache-2.0"), ("g/COPYING", gpl, "GPL-3.0"), ("x/h3.py", header.format(3), "GPL-3.0"), ("x/h2.py", header.format(2), "GPL-2.0")]
+    rows = [(i, path, text) for i, (path, text, _) in enumerate(texts)] + [(10 + i, path[:1] + "/src/code.py", "import os") for i, (path, _, _) in enumerate(texts[:4])]
+    rows += [(100 + i, f"z/{i}", "the software of a and to use it in copies is free for any person") for i in range(50)]
+    got = {k[0]: r for k, r in scan(spark, rows).items()}
+    assert [got[i].own_license for i in range(len(texts))] == [want for _, _, want in texts]
+    assert [got[10 + i].license for i in range(4)] == [want for _, _, want in texts[:4]]
