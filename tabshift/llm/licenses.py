@@ -42,9 +42,10 @@ TEMPLATES = {
     ),
     "GPL-2.0": ("Licensed under the GNU General Public License, version 2.", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991", GPL_HEADER.format("program", "General Public License", "2")),
     "LGPL-2.1": ("Licensed under the GNU Lesser General Public License, version 2.1.", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999", GPL_HEADER.format("library", "Lesser General Public License", "2.1")),
+    "LGPL-3.0": ("GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",),
     "AGPL-3.0": ("Licensed under the GNU Affero General Public License, version 3.", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007", GPL_HEADER.format("program", "Affero General Public License", "3")),
     "BSD-3-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Licensed under the BSD 3-Clause License."),
-    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
+    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Mozilla Public License Version 2.0"),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
@@ -56,6 +57,7 @@ TEMPLATES = {
 SIGNAL = r"(?i)licen[sc]|copyright|rights reserved|public domain|permission is hereby|redistribut|\bCC0\b|SPDX"
 LICENSE_FILE = r"(?i)(^|/)(licen[sc]e|copying|unlicense|notice)(\.[a-z]+)?$"
 THRESHOLD = 0.6
+WHOLE = -(1 << 31) + 1  # the line number of a whole text
 #: Between paragraphs: lines without letters and digits, as in comments.
 BLANK = r"\n(?:[^\p{L}\p{N}\n]*\n)+"
 BREAK = r"[^0-9A-Za-z]+"
@@ -100,7 +102,7 @@ def own_licenses(files: DataFrame, *, id_col: str, path_col: str, text_col: str,
         F.transform("lines", lambda x, i: piece(i, (i == 0) | (i == F.size("lines") - 1), x)),
         # notices wrapped over lines are read as one; a paragraph of one line is that line
         F.filter(F.transform("paragraphs", lambda x, i: piece(-1 - i, (i == 0) | (i == F.size("paragraphs") - 1), x)), lambda x: F.trim(x["notice"]).contains("\n")),
-        F.when(F.col("whole"), F.array(piece(F.lit(-(1 << 31) + 1), F.lit(True), F.col("text")))).otherwise(F.array().cast("array<struct<line:int,edge:boolean,notice:string>>")),
+        F.when(F.col("whole"), F.array(piece(F.lit(WHOLE), F.lit(True), F.col("text")))).otherwise(F.array().cast("array<struct<line:int,edge:boolean,notice:string>>")),
     )
     notices = keyed.select("id", "path", "h", F.inline(pieces)).filter(F.col("notice").rlike(SIGNAL))
     notices = staged(notices.distinct(), "license-notices")
@@ -113,6 +115,8 @@ def own_licenses(files: DataFrame, *, id_col: str, path_col: str, text_col: str,
     dot = counted.filter("idf is not null").join(weighted, "term").groupBy(*keys, "license", "variant").agg(F.sum(F.col("tf") * F.col("idf") * F.col("w")).alias("dot"))
     same = [dot[k].eqNullSafe(length[k]) for k in keys]
     scored = dot.join(length, same[0] & same[1] & same[2] & same[3] & same[4]).select(*[dot[k] for k in keys], "license", F.round(F.col("dot") / F.col("length"), 6).alias("similarity"))
+    # a licence file's copyright line is no licence
+    scored = scored.filter((F.col("license") != "Proprietary") | (F.col("line") == WHOLE) | ~F.coalesce(F.col("path").rlike(LICENSE_FILE), F.lit(False)))
     best = scored.filter(F.col("similarity") >= threshold).groupBy("id", "path", "h").agg(
         F.min(F.struct((-F.col("similarity")).alias("s"), F.col("license"), F.col("line"))).alias("b"), F.max("edge").alias("leads"))
     return staged(best.select("id", "path", "h", F.col("b.license").alias("own"), (-F.col("b.s")).alias("similarity"), "leads"), "license-own")

@@ -108,3 +108,8 @@ import os
     got = {k[0]: r for k, r in scan(spark, rows).items()}
     assert [got[i].own_license for i in range(len(texts))] == [want for _, _, want in texts]
     assert [got[10 + i].license for i in range(4)] == [want for _, _, want in texts[:4]]
+
+
+def test_a_copyright_line_in_a_licence_file_is_no_licence(spark):
+    bsd = "Copyright (c) The Regents of the University of California.\nAll rights reserved.\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:\n1. Redistributions of source code must retain the above copyright\n   notice, this list of conditions and the following disclaimer.\n"
+    assert scan(spark, [(1, "b/COPYING", bsd), (2, "b/x", "y")])[1, "b/COPYING"].own_license == "BSD-3-Clause"
