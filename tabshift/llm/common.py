@@ -6,17 +6,21 @@ import math
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_SHARDS = 20_000
+MAX_SHARDS, MAX_BUCKETS = 20_000, 200_000
+MAX_SAMPLE = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: ``spark.checkpoint.dir``, or a fresh local one where that is unset (tests)."""
+    """The folder that all executors see: ``spark.checkpoint.dir``; where that is unset and all runs in one process (tests), a fresh local one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
         root = "file://" + tempfile.mkdtemp(prefix="tabshift-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -59,28 +63,36 @@ def input_bytes(df: DataFrame) -> int | None:
     return size if size < 1 << 60 else None
 
 
-def shard_count(df: DataFrame, bytes_each: int) -> int:
+def shard_count(df: DataFrame, bytes_each: int, most: int = MAX_SHARDS) -> int:
     """Shards so that each has about ``bytes_each`` of input, never fewer than the shuffle partitions."""
     spark = df.sparkSession
     least = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(1, min(MAX_SHARDS, max(least, math.ceil((input_bytes(df) or 0) / bytes_each))))
+    return max(1, min(most, max(least, math.ceil((input_bytes(df) or 0) / bytes_each))))
 
 
-def with_order_bucket(df: DataFrame, key: str, n: int, name: str = "bucket") -> DataFrame:
-    """Add an int bucket that never falls as ``key`` grows, with about equally many rows in each of at most n buckets.
+def order_cuts(df: DataFrame, key: str, n: int) -> list[float]:
+    """At most n - 1 rising cut points that part the rows into about equal shares by ``key``.
 
-    The cut points are n - 1 approximate quantiles, so what reaches the driver is bounded by n. Null keys get
-    a null bucket.
+    They are quantiles of a sample of about 64 keys a share, MAX_SAMPLE in all at most (small tables are taken whole). Cuts only
+    balance work: whatever they are, every row keeps its place in the order.
     """
-    n = min(n, 4096)
-    column = F.col(key).cast("double")
-    shares = F.array(*[F.lit(i / n) for i in range(1, n)]) if n > 1 else F.array(F.lit(0.5))
-    row = df.agg(F.percentile_approx(column, shares, max(10_000, 20 * n)).alias("q")).first()
-    cuts = sorted({float(x) for x in (row.q or [])})
+    keys = df.select(F.col(key).cast("double").alias("k")).filter("k is not null")
+    want = min(64 * n, MAX_SAMPLE)
+    total = keys.count()
+    if total > 2 * want:
+        keys = keys.sample(fraction=want / total, seed=7)
+    found = np.sort(keys.toArrow()["k"].to_numpy())
+    if not len(found):
+        return []
+    return sorted({float(found[len(found) * i // n]) for i in range(1, n)})
+
+
+def with_order_bucket(df: DataFrame, key: str, cuts: list[float], name: str = "bucket") -> DataFrame:
+    """Add an int bucket that never falls as ``key`` grows: the number of ``order_cuts`` at or below it; null for null keys."""
     if not cuts:
         return df.withColumn(name, F.when(F.col(key).isNotNull(), 0))
     splits = [-math.inf, *cuts, math.inf]
-    out = Bucketizer(splits=splits, inputCol=f"_{name}", outputCol=f"_{name}_out", handleInvalid="keep").transform(df.withColumn(f"_{name}", column))
+    out = Bucketizer(splits=splits, inputCol=f"_{name}", outputCol=f"_{name}_out", handleInvalid="keep").transform(df.withColumn(f"_{name}", F.col(key).cast("double")))
     return out.withColumn(name, F.when(F.col(key).isNotNull(), F.col(f"_{name}_out").cast("int"))).drop(f"_{name}", f"_{name}_out")
 
 

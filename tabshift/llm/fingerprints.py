@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabshift.llm.common import shard_count, with_order_bucket
+from tabshift.llm.common import MAX_BUCKETS, order_cuts, shard_count, with_order_bucket
 from tabshift.llm.shards import mix64
 from tabshift.llm.shingles import shingle_hashes
 
@@ -88,8 +88,9 @@ def with_following(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     Documents are dealt by order buckets; the first of each bucket also goes, marked ahead, to the bucket before it in that
     order (the first of all: to the last). Null ids come last, equal ids go by text. The driver gets one row a bucket.
     """
-    n = 4 * shard_count(docs, 32 << 20)
-    rows = with_order_bucket(docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "id", n)
+    n = 4 * shard_count(docs, 32 << 20, MAX_BUCKETS // 4)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = with_order_bucket(rows, "id", order_cuts(rows, "id", n))
     rows = rows.withColumn("bucket", F.when(F.col("id").isNull(), -1).otherwise(F.col("bucket")))
     tops = rows.groupBy("bucket").agg(F.max("id").alias("top")).orderBy(F.col("bucket").desc()).collect()
     before = {t.bucket: tops[i - 1].bucket for i, t in enumerate(tops)}

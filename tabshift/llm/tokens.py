@@ -1,7 +1,7 @@
 """Token-ID output as sorted-string-table shards.
 
-Documents are dealt into order buckets of their identifier; each bucket becomes one shard file with its documents in ascending
-order. A shard is written front to back:
+Texts are encoded where they are read; their ids, not the texts, are dealt into order buckets of the identifier, and each bucket
+becomes one shard file with its documents in ascending order. A shard is written front to back:
 
     data blocks | block index | Bloom filter | footer
 
@@ -17,36 +17,42 @@ comes last. A value is the ids as little-endian 16-bit integers (32-bit if the v
 
 Files are named in a manifest only when whole: a lost or repeated task leaves a file that nothing names.
 
-Defined results: a null or empty text has the end id alone; rows with equal ids stay, in order of their texts, and a lookup
-returns all of them; an empty table gives an empty result. Columns other than id and text are ignored.
+Defined results: a null or empty text has the end id alone; rows with equal ids stay, in order of their token ids' bytes, and a
+lookup returns all of them; an empty table gives an empty result. Columns other than id and text are ignored. Strings of the
+tokenizer's special tokens in a text become those tokens, as the library does by itself; ``special_as_text`` makes them text.
 """
 
 from __future__ import annotations
 
 import itertools
+import json
 import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabshift.llm.common import fresh_path, shard_count, staged, with_order_bucket
+from tabshift.llm.common import MAX_BUCKETS, fresh_path, order_cuts, shard_count, staged, with_order_bucket
 
 MAGIC = b"TSSST01\n"
 FOOTER = struct.Struct("<QQQQQQII8s")
 RESTART = 16
 BLOCK_BYTES = 1 << 16
 BLOOM_BITS_A_KEY, BLOOM_HASHES = 10, 7
-CACHE_ENTRIES = 600_000
+ENCODE_BYTES = 16 << 20  # text encoded at a time
+#: Fixed value: how a byte-level vocabulary writes a space.
+SPACE = "\u0120"
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -211,60 +217,187 @@ class ShardReader:
         return found
 
 
+def _gather(flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The ranges of ``flat`` one after the other."""
+    ends = np.cumsum(sizes)
+    return flat[np.repeat(begins - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+class Pieces(NamedTuple):
+    """The ids of numbered pieces in one array; an unknown piece has size 0."""
+
+    flat: np.ndarray
+    sizes: np.ndarray
+    unknown: np.ndarray
+
+    def begins(self) -> np.ndarray:
+        return np.cumsum(self.sizes) - self.sizes
+
+
 class Encoder:
-    """The tokenizer with a bounded memory of the pieces between spaces.
+    """The tokenizer, called once for each distinct word of a batch.
 
-    The pre-tokenizer's pattern lets a token begin with a space but never go on after one, so a text may be cut before any
-    single space between two characters that aren't white space, and around any single newline between such characters; its
-    ids are those of the pieces in order. Full stops and commas after a letter or digit are a token run of their own, so a
-    piece that ends in them is put together from its core and them. A text with other white space goes to the tokenizer whole.
+    The byte-level pre-tokenizer's pattern lets a token begin with a space but never go on after one, so a text may be cut before
+    any single space between two characters that aren't white space, and around any single newline between such characters; its
+    ids are those of the pieces in order. Full stops and commas after a letter or digit are a token run of their own, so a piece
+    that ends in them is put together from its word and them. A text with other white space, or with the string of an added token,
+    goes to the tokenizer whole. So do all texts if the file names another pre-tokenizer, a normalizer or the like.
+
+    Arrow cuts the texts and numbers the distinct pieces; words are encoded many at a time as one text, whose tokens that begin with
+    a space part the ids again; the ids of all pieces are then gathered by number. Only pieces with line breaks are seen one by one.
     """
 
-    def __init__(self, path: str, special_as_text: bool):
+    WORDS = 2000
+
+    def __init__(self, path: str, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
-        self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {"": b""}
+        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.apart = [t.content for t in added if not (special_as_text and t.special)]
+        self.spaced = np.zeros(max(1 << 16, self.tokenizer.get_vocab_size()), bool)
+        self.spaced[[i for token, i in self.tokenizer.get_vocab().items() if token[0] == SPACE]] = True
+        self.cuts = self._cuttable(json.loads(self.tokenizer.to_str()))
         self.newline = self._ids(["\n"])[0]
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, known: dict[str, bytes], pieces: set[str], lead: str) -> None:
-        if len(known) > CACHE_ENTRIES:
-            known.clear()
-        cores: dict[str, str] = {}
-        for p in pieces:
-            # a piece with white space at its edge is never known, so that its text goes whole
-            if p not in known and p and not p[0].isspace() and not p[-1].isspace():
-                core = p.rstrip(".,")
-                cores[p] = core if core and core[-1].isalnum() else p
-        new = list({c for c in cores.values() if c not in known})
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            known.update(zip(part, self._ids([lead + p for p in part]), strict=True))
-        for p, core in cores.items():
-            if core is not p:
-                tail = p[len(core) :]
-                if tail not in self.tails:
-                    self.tails[tail] = self._ids([tail])[0]
-                known[p] = known[core] + self.tails[tail]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [[line.split(" ") for line in t.split("\n")] for t in texts]
-        lines = list(itertools.chain.from_iterable(split))
-        self._learn(self.first, {line[0] for line in lines}, "")
-        self._learn(self.later, set(itertools.chain.from_iterable(line[1:] for line in lines)), " ")
-        first, later, out = self.first, self.later.__getitem__, []
-        for text, cut in zip(texts, split, strict=True):
-            try:
-                out.append(self.newline.join([first[line[0]] + b"".join(map(later, line[1:])) for line in cut]))
-            except KeyError:
-                out.append(self._ids([text])[0] if text else b"")
+    @staticmethod
+    def _cuttable(said: dict) -> bool:
+        """Whether the file's settings are those that the cuts rely on."""
+        before, model = said.get("pre_tokenizer") or {}, said.get("model") or {}
+        plain = not any(said.get(k) for k in ("normalizer", "truncation", "padding"))
+        pattern = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+        return plain and pattern and model.get("type") == "BPE" and not model.get("dropout") and not model.get("ignore_merges")
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _numbered(self, found: list[np.ndarray | None]) -> Pieces:
+        sizes = np.array([0 if v is None else len(v) for v in found], np.int64)
+        return Pieces(np.concatenate([v for v in found if v is not None] or [np.empty(0, self.dtype)]), sizes, np.array([v is None for v in found], bool))
+
+    def _words(self, words: pa.Array) -> Pieces:
+        """The ids of each word with a space before it; a word has no white space."""
+        n = len(words)
+        offsets = pa.array(np.r_[np.arange(0, n, self.WORDS), n].astype(np.int32))
+        texts = [" " + t for t in pc.binary_join(pa.ListArray.from_arrays(offsets, words), " ").to_pylist()] if n else []
+        flat = np.concatenate([*self._ids(texts), np.empty(0, self.dtype)])
+        starts = np.flatnonzero(self.spaced[flat])
+        if len(starts) != n:  # a vocabulary that parts words in another way
+            return self._numbered(self._ids([" " + w for w in words.to_pylist()]))
+        return Pieces(flat, np.diff(np.r_[starts, len(flat)]), np.zeros(n, bool))
+
+    def _tails(self, pieces: pa.Array, cores: pa.Array) -> tuple[np.ndarray, Pieces]:
+        """A number for what each piece has after its core, and the ids by number."""
+        ends = np.frombuffer(pieces.buffers()[1], np.int32, len(pieces) + 1, 4 * pieces.offset)[1:]
+        long = pc.binary_length(pieces).to_numpy() - pc.binary_length(cores).to_numpy()
+        data = np.frombuffer(pieces.buffers()[2] or b"", np.uint8)
+        known: dict[str, int] = {"": 0, ".": 1, ",": 2}
+        number = np.zeros(len(pieces), np.int64)
+        one = long == 1
+        number[one] = np.where(data[ends[one] - 1] == ord("."), 1, 2)
+        for i in np.flatnonzero(long > 1).tolist():
+            number[i] = known.setdefault(bytes(data[ends[i] - long[i] : ends[i]]).decode(), len(known))
+        return number, self._numbered([np.empty(0, self.dtype), *self._ids(list(known)[1:])])
+
+    def _is_plain(self, pieces: pa.Array) -> pa.Array:
+        """Whether a piece without spaces has no other white space either, and nothing of an added token."""
+        plain = pc.and_(pc.utf8_is_printable(pieces), pc.greater(pc.binary_length(pieces), 0))
+        for t in self.apart:
+            plain = pc.and_not(plain, pc.match_substring(pieces, t))
+        return plain
+
+    def _later(self, pieces: pa.Array) -> Pieces:
+        """The ids of distinct pieces that follow a space."""
+        plain = self._is_plain(pieces)
+        own, others = pieces.filter(plain), pieces.filter(pc.invert(plain)).to_pylist()
+        broken = [p.split("\n") if "\n" in p else None for p in others]
+        heads = pa.array([x[0] for x in broken if x], pa.string())
+        begun = self._begin([x for lines in broken if lines for x in lines[1:]])
+
+        cores = pc.utf8_rtrim(own, ".,")
+        ended = pc.and_(pc.less(pc.binary_length(cores), pc.binary_length(own)), pc.utf8_is_alnum(pc.utf8_slice_codeunits(cores, -1)))
+        cores = pc.if_else(pc.and_(ended, pc.greater(pc.binary_length(cores), 0)), cores, own)
+        tail, tails = self._tails(own, cores)
+        known = self._is_plain(heads)
+        words = pa.concat_arrays([cores, heads.filter(known)]).dictionary_encode()
+        of, ids = words.indices.to_numpy(), self._words(words.dictionary)
+        n, begins = len(own), ids.begins()
+
+        # each plain piece is a word and a tail
+        at = np.stack([begins[of[:n]], len(ids.flat) + tails.begins()[tail]], axis=1)
+        each = np.stack([ids.sizes[of[:n]], tails.sizes[tail]], axis=1)
+        flat = _gather(np.concatenate([ids.flat, tails.flat]), at.ravel(), each.ravel())
+
+        head = iter(of[n:].tolist())
+        told, rest = iter(known.to_pylist()), iter(begun)
+        found: list[np.ndarray | None] = []
+        for lines in broken:
+            value = None
+            if lines:
+                parts = [ids.flat[begins[k] : begins[k] + ids.sizes[k]] if next(told) and (k := next(head)) >= 0 else None]
+                parts += itertools.islice(rest, len(lines) - 1)
+                value = self._joined(parts)
+            found.append(value)
+        other = self._numbered(found)
+
+        sizes, unknown = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), bool)
+        mask = plain.to_numpy(zero_copy_only=False)
+        sizes[mask], sizes[~mask] = each.sum(axis=1), other.sizes
+        unknown[~mask] = other.unknown
+        both = np.concatenate([flat, other.flat])
+        begins = np.zeros(len(pieces), np.int64)
+        begins[mask], begins[~mask] = np.cumsum(each.sum(axis=1)) - each.sum(axis=1), len(flat) + other.begins()
+        return Pieces(_gather(both, begins, sizes), sizes, unknown)
+
+    def _joined(self, parts: list[np.ndarray | None]) -> np.ndarray | None:
+        """Lines with newlines between them."""
+        if any(p is None for p in parts):
+            return None
+        return np.concatenate([x for p in parts for x in (self.newline, p)][1:])
+
+    def _begin(self, pieces: list[str]) -> list[np.ndarray | None]:
+        """The ids of pieces without line breaks at the beginning of a text or line; None where one isn't plain."""
+        distinct = list(dict.fromkeys(pieces))
+        plain = self._is_plain(pa.array(distinct, pa.string())).to_pylist()
+        kept = [p for p, ok in zip(distinct, plain, strict=True) if ok]
+        known = dict(zip(kept, self._ids(kept), strict=True))
+        return [known.get(p) for p in pieces]
+
+    def _first(self, pieces: list[str]) -> Pieces:
+        """The ids of the texts' first pieces."""
+        lines = [p.split("\n") for p in pieces]
+        begun = iter(self._begin([x for own in lines for x in own]))
+        return self._numbered([self._joined(list(itertools.islice(begun, len(own)))) for own in lines])
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text, packed."""
+        if not self.cuts:
+            return [v.tobytes() for v in self._ids([t or "" for t in texts.to_pylist()])]
+        n = len(texts)
+        if not n:
+            return []
+        cut = pc.split_pattern(pc.fill_null(texts, ""), " ")
+        starts = cut.offsets.to_numpy()
+        starts = starts - starts[0]
+        coded = cut.flatten().dictionary_encode()
+        codes = coded.indices.to_numpy().astype(np.int64)
+        first = self._first(coded.dictionary.take(pa.array(codes[starts[:-1]])).to_pylist())
+        later = self._later(coded.dictionary)
+        codes += n
+        codes[starts[:-1]] = np.arange(n)
+        all_sizes = np.concatenate([first.sizes, later.sizes])
+        sizes = all_sizes[codes]
+        ids = _gather(np.concatenate([first.flat, later.flat]), (np.cumsum(all_sizes) - all_sizes)[codes], sizes).tobytes()
+        bounds = (np.r_[0, np.cumsum(sizes)][starts] * self.dtype.itemsize).tolist()
+        odd = np.add.reduceat(np.concatenate([first.unknown, later.unknown])[codes].astype(np.int64), starts[:-1]) > 0
+        for t in self.apart:  # its string may hold a space or a newline, so that no piece shows it
+            odd |= pc.fill_null(pc.match_substring(texts, t), False).to_numpy(zero_copy_only=False)
+        out = [ids[a:b] for a, b in itertools.pairwise(bounds)]
+        whole = np.flatnonzero(odd).tolist()
+        for i, v in zip(whole, self._ids([texts[i].as_py() or "" for i in whole]), strict=True):
+            out[i] = v.tobytes()
         return out
 
 
@@ -281,21 +414,38 @@ def _open(path: str):
     return store, inner
 
 
-def write_shards(docs: DataFrame, *, tokenizer: str, end_id: int = 2, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", special_as_text: bool = True) -> DataFrame:
+def encoded(docs: DataFrame, *, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", special_as_text: bool = False) -> DataFrame:
+    """(id, wide, ids) of every row: its ids and the end id as packed little-endian integers, ``wide`` bytes each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(tokenizer, special_as_text)
+        wide, end = enc.dtype.itemsize, np.array([end_id], enc.dtype).tobytes()
+        for batch in batches:
+            upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(), dtype=np.int64)
+            at = 0
+            while at < batch.num_rows:
+                part = batch.slice(at, max(1, int(np.searchsorted(upto, ENCODE_BYTES + (upto[at - 1] if at else 0))) - at))
+                at += part.num_rows
+                values = [v + end for v in enc.encode(part.column(1))]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([wide] * len(values), pa.int32()), pa.array(values, pa.binary())], names=["id", "wide", "ids"])
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, wide int, ids binary")
+
+
+def write_shards(docs: DataFrame, *, tokenizer: str, end_id: int = 2, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", special_as_text: bool = False) -> DataFrame:
     """Write the shards below ``path`` (a folder that all executors see) and return the manifest.
 
     (bucket, path, n_docs, n_ids, first_id, last_id, start): start counts the ids of all shards before.
     """
     spark = docs.sparkSession
     path = path or fresh_path(spark, "shards")
-    n = shard_count(docs, 64 << 20)
-    rows = with_order_bucket(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "id", n)
+    n = shard_count(docs, 64 << 20, MAX_BUCKETS)
+    cuts = order_cuts(docs, id_col, n)
+    rows = with_order_bucket(encoded(docs, tokenizer=tokenizer, end_id=end_id, id_col=id_col, text_col=text_col, special_as_text=special_as_text), "id", cuts)
     rows = rows.withColumn("bucket", F.coalesce("bucket", F.lit(n + 1)))  # null ids come last
-    ordered = rows.repartitionById(n + 2, "bucket").sortWithinPartitions("bucket", F.col("id").asc_nulls_last(), "text")
+    ordered = rows.repartitionById(n + 2, "bucket").sortWithinPartitions("bucket", F.col("id").asc_nulls_last(), "ids")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer, special_as_text)
-        end = np.array([end_id], enc.dtype).tobytes()
         store, folder = _open(path)
         store.create_dir(folder, recursive=True)
         writer = name = bucket = stream = None
@@ -307,19 +457,15 @@ def write_shards(docs: DataFrame, *, tokenizer: str, end_id: int = 2, path: str
             done.append({"bucket": bucket, "path": f"{path}/{name}", "n_docs": writer.n_docs, "n_ids": writer.n_ids, "first_id": ids[0], "last_id": ids[1]})
 
         for batch in batches:
-            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("bucket", "id")]
-            text = batch.column(batch.schema.get_field_index("text"))
-            for at in range(0, batch.num_rows, 1024):
-                texts = [t or "" for t in text.slice(at, 1024).to_pylist()]
-                for b, i, value in zip(columns[0][at : at + 1024], columns[1][at : at + 1024], enc.encode(texts), strict=True):
-                    if writer is None or b != bucket:
-                        if writer is not None:
-                            finish()
-                        name, bucket, ids = f"{b:06d}-{uuid.uuid4().hex}.sst", b, [i, i]
-                        stream = store.open_output_stream(f"{folder}/{name}")
-                        writer = ShardWriter(stream, len(end))
-                    writer.add(key_of(i), value + end)
-                    ids[1] = i
+            for b, i, wide, value in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("bucket", "id", "wide", "ids")), strict=True):
+                if writer is None or b != bucket:
+                    if writer is not None:
+                        finish()
+                    name, bucket, ids = f"{b:06d}-{uuid.uuid4().hex}.sst", b, [i, i]
+                    stream = store.open_output_stream(f"{folder}/{name}")
+                    writer = ShardWriter(stream, wide)
+                writer.add(key_of(i), value)
+                ids[1] = i
         if writer is not None:
             finish()
         yield pa.RecordBatch.from_pylist(done, schema=MANIFEST)
@@ -345,35 +491,48 @@ def read_shards(manifest: DataFrame, id_col: str = "doc_id", with_ids: bool = Fa
                 store, inner = _open(row["path"])
                 with store.open_input_file(inner) as source:
                     shard = ShardReader(source)
-                    dtype, start, out = f"<u{shard.id_bytes}", row["start"], []
-                    for key, value in shard:
-                        ids = np.frombuffer(value, dtype)
-                        out.append({id_col: id_of(key), "start": start, "n_tokens": len(ids), "ids_crc32": zlib.crc32(ids.astype("<u4").tobytes()), **({"ids": ids.tolist()} if with_ids else {})})
-                        start += len(ids)
-                        if len(out) == 2048:
-                            yield pa.RecordBatch.from_pylist(out, schema=schema)
-                            out = []
-                    yield pa.RecordBatch.from_pylist(out, schema=schema)
+                    dtype, start = f"<u{shard.id_bytes}", row["start"]
+                    entries = iter(shard)
+                    while part := list(itertools.islice(entries, 2048)):
+                        found = [np.frombuffer(value, dtype) for _, value in part]
+                        sizes = np.array([len(ids) for ids in found], np.int64)
+                        ends = start + np.cumsum(sizes)
+                        columns = [[id_of(key) for key, _ in part], ends - sizes, sizes, [zlib.crc32(ids.astype("<u4")) for ids in found]]
+                        columns += [[ids.astype(np.int64) for ids in found]] if with_ids else []
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+                        start = int(ends[-1])
 
     return dealt.mapInArrow(read, f"`{id_col}` long, start long, n_tokens long, ids_crc32 long" + (", ids array<long>" if with_ids else ""))
 
 
 def lookup(spark: SparkSession, manifest: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, ids) for the asked identifiers: each is dealt to the shards whose range holds it and searched there by halves."""
-    asked = ids.select(F.col(id_col).cast("long").alias("asked")).distinct()
-    shards = manifest.select("path", "first_id", "last_id")
-    # range join of asked identifiers with the shards' few ranges
-    met = asked.join(F.broadcast(shards), (F.col("asked") >= F.col("first_id")) & (F.col("asked") <= F.col("last_id"))).select("path", "asked")
+    """(id, ids) for the asked identifiers: each is dealt to the one shard whose range holds it and searched there by halves.
+
+    The driver gets the manifest's rows with ids: two numbers and a path for each shard, MAX_BUCKETS at most.
+    """
+    shards = manifest.filter("first_id is not null").select("path", "first_id", "last_id").orderBy("first_id").collect()
+    firsts, lasts, paths = np.array([s.first_id for s in shards], np.int64), np.array([s.last_id for s in shards], np.int64), [s.path for s in shards]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            asked = batch.column(0).to_numpy(zero_copy_only=False)
+            at = np.searchsorted(firsts, asked, side="right") - 1
+            held = (at >= 0) & (asked <= lasts[np.maximum(at, 0)]) if len(firsts) else np.zeros(len(asked), bool)
+            yield pa.RecordBatch.from_arrays([pa.array(at[held].astype(np.int32)), pa.array(asked[held])], names=["shard", "asked"])
+
+    asked = ids.select(F.col(id_col).cast("long").alias("asked")).filter("asked is not null").distinct()
+    met = asked.mapInArrow(deal, "shard int, asked long")
+    found_schema = pa.schema([(id_col, pa.int64()), ("ids", pa.list_(pa.int64()))])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        opened: tuple[str, ShardReader] | None = None
+        opened: tuple[int, ShardReader] | None = None
         for batch in batches:
             out = []
-            for path, doc_id in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if opened is None or opened[0] != path:
-                    store, inner = _open(path)
-                    opened = (path, ShardReader(store.open_input_file(inner)))
+            for shard, doc_id in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if opened is None or opened[0] != shard:
+                    store, inner = _open(paths[shard])
+                    opened = (shard, ShardReader(store.open_input_file(inner)))
                 out += [{id_col: doc_id, "ids": np.frombuffer(v, f"<u{opened[1].id_bytes}").tolist()} for v in opened[1].get(doc_id)]
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([(id_col, pa.int64()), ("ids", pa.list_(pa.int64()))]))
+            yield pa.RecordBatch.from_pylist(out, schema=found_schema)
 
-    return met.repartition("path").sortWithinPartitions("path", "asked").mapInArrow(find, f"`{id_col}` long, ids array<long>")
+    return met.repartition("shard").sortWithinPartitions("shard", "asked").mapInArrow(find, f"`{id_col}` long, ids array<long>")
