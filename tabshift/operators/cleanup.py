@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from tabshift.functions import grammar as G
 
-FENCED = r"(?s)\A```[A-Za-z0-9_+\-]*\s*\n(.*?)\n```"
+#: The opening line takes all blank lines after it and gives none back: a fence with nothing in it is not closed.
+FENCED = r"(?s)\A(?>```[A-Za-z0-9_+\-]*\s*\n)(.*?)\n```"
 
 
 def without_fence(text: Column) -> Column:

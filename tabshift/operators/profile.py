@@ -16,11 +16,6 @@ from tabshift.functions import grammar as G
 MAX_INVALID_DATES = 0.05
 
 
-def as_text(df: DataFrame) -> DataFrame:
-    """All columns as strings."""
-    return df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns])
-
-
 def unpivoted(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """(keep..., col_pos, col_name, value): one row a cell."""
     cells = [F.struct(F.lit(i).alias("col_pos"), F.lit(c).alias("col_name"), F.col(f"`{c}`").cast("string").alias("value")) for i, c in enumerate(x for x in df.columns if x not in keep)]
@@ -37,39 +32,64 @@ def dtype_ladder() -> Column:
     )
 
 
-def profile_cells(cells: DataFrame) -> DataFrame:
-    """(col_pos, col_name, dtype, row_count, null_count, unique_count, min_value, max_value, max_length) of (col_pos, col_name, value) rows."""
-    distinct = cells.groupBy("col_pos", "col_name", "value").agg(F.count("*").alias("n"))
+def distinct_cells(cells: DataFrame, order: str | None = None) -> DataFrame:
+    """(col_pos, col_name, value, n): each distinct value of a column with its count, and with its first place if there is an order."""
+    first = [F.min(order).alias("first_at")] if order else []
+    return cells.groupBy("col_pos", "col_name", "value").agg(F.count("*").alias("n"), *first)
+
+
+def profile_cells(cells: DataFrame, approximate: bool = False) -> DataFrame:
+    """The profile of (col_pos, col_name, value) rows, see ``profile_distinct``.
+
+    ``approximate`` estimates unique_count (HyperLogLog, 2 % relative deviation) in one aggregation over the cells, so that nothing
+    but a few numbers a column and task is shuffled; all else is as exact as before.
+    """
+    if approximate:
+        return profile_distinct(cells.withColumn("n", F.lit(1)), F.approx_count_distinct(F.when(~F.col("null"), F.col("value")), 0.02))
+    return profile_distinct(distinct_cells(cells))
+
+
+def profile_distinct(distinct: DataFrame, uniques: Column | None = None) -> DataFrame:
+    """(col_pos, col_name, dtype, row_count, null_count, unique_count, min_value, max_value, max_length, min_integer, max_integer, max_digits) of (col_pos, col_name, value, n) rows.
+
+    min_value and max_value are doubles; those of integer columns are also given exactly, as decimals of up to 38 digits.
+    """
     value = F.col("value")
     seen = distinct.select(
-        "col_pos", "col_name", "n", G.is_null(value).alias("null"), G.is_integer(value).alias("i"), G.is_float(value).alias("f"), G.is_boolean(value).alias("b"),
-        G.to_timestamp(value).alias("ts"), G.zero_padded(value).alias("z"), G.to_number(value).alias("number"), F.char_length(value).alias("length"),
+        "col_pos", "col_name", "n", "value", G.is_null(value).alias("null"), G.is_integer(value).alias("i"), G.is_float(value).alias("f"), G.is_boolean(value).alias("b"),
+        G.to_timestamp(value).alias("ts"), G.zero_padded(value).alias("z"), G.to_number(value).alias("number"), G.to_integer(value).alias("whole"),
+        G.integer_digits(value).alias("digits"), F.char_length(value).alias("length"),
     )
     when = lambda c: F.coalesce(F.sum(F.when(~F.col("null") & c, F.col("n"))), F.lit(0)).cast("long")
     t = F.col("ts")
     stats = seen.groupBy("col_pos", "col_name").agg(
         F.sum("n").cast("long").alias("row_count"), F.coalesce(F.sum(F.when(F.col("null"), F.col("n"))), F.lit(0)).cast("long").alias("null_count"),
-        F.count(F.when(~F.col("null"), 1)).cast("long").alias("unique_count"), when(F.lit(True)).alias("n_values"), when(F.col("i")).alias("ints"),
+        (F.count(F.when(~F.col("null"), 1)) if uniques is None else uniques).cast("long").alias("unique_count"), when(F.lit(True)).alias("n_values"), when(F.col("i")).alias("ints"),
         when(F.col("f")).alias("floats"), when(F.col("b")).alias("bools"), when(t.isNull()).alias("invalid_dates"), when(F.col("z")).alias("zero_padded"),
         when(F.col("i") | F.col("f") | F.col("b")).alias("typed"), F.coalesce(F.bool_or((F.hour(t) != 0) | (F.minute(t) != 0) | (F.second(t) != 0)), F.lit(False)).alias("has_time"),
         F.min(F.when(~F.col("null"), F.col("number"))).alias("min_value"), F.max(F.when(~F.col("null"), F.col("number"))).alias("max_value"), F.max(F.when(~F.col("null"), F.col("length"))).alias("length"),
+        F.min("whole").alias("min_integer"), F.max("whole").alias("max_integer"), F.max("digits").alias("max_digits"),
     )
     typed = stats.withColumn("dtype", dtype_ladder())
     numeric = F.col("dtype").isin("integer", "float")
     return typed.select(
         "col_pos", "col_name", "dtype", "row_count", "null_count", "unique_count", F.when(numeric, F.col("min_value")).alias("min_value"), F.when(numeric, F.col("max_value")).alias("max_value"),
         F.when(F.col("dtype") == "string", F.coalesce("length", F.lit(0))).cast("long").alias("max_length"),
+        *[F.when(F.col("dtype") == "integer", F.col(c)).alias(c) for c in ("min_integer", "max_integer", "max_digits")],
     )
 
 
-def profile(df: DataFrame) -> DataFrame:
-    return profile_cells(unpivoted(df))
+def profile(df: DataFrame, approximate: bool = False) -> DataFrame:
+    return profile_cells(unpivoted(df), approximate)
 
 
 def first_distinct(df: DataFrame, order: str, k: int = 3) -> DataFrame:
     """(col_name, rank, value): the first k distinct non-null values of each column in order of ``order``."""
-    cells = unpivoted(df, keep=(order,)).filter(~G.is_null(F.col("value")))
-    firsts = cells.groupBy("col_name", "value").agg(F.min(order).alias("first_at"))
+    return first_of_distinct(distinct_cells(unpivoted(df, keep=(order,)), order), k)
+
+
+def first_of_distinct(distinct: DataFrame, k: int = 3) -> DataFrame:
+    firsts = distinct.filter(~G.is_null(F.col("value")))
     ranked = firsts.withColumn("rank", F.row_number().over(Window.partitionBy("col_name").orderBy("first_at", "value")))
     return ranked.filter(F.col("rank") <= k).select("col_name", F.col("rank").cast("long").alias("rank"), "value")
 
@@ -90,6 +110,11 @@ def sample_rows(df: DataFrame, position: Column, total: Column, head: int = 3, m
 
 def warnings_of(profiled: DataFrame) -> DataFrame:
     """(col_pos, col_name, code, severity, message, context) of the column rules."""
+    return profiled.select("col_pos", "col_name", F.explode(column_warnings()).alias("w")).select("col_pos", "col_name", "w.*")
+
+
+def column_warnings() -> Column:
+    """array<struct<code, severity, message, context>> of a profiled column."""
     string = lambda c: F.col(c).cast("string")
     rate = F.col("null_count") / F.col("row_count")
 
@@ -98,15 +123,14 @@ def warnings_of(profiled: DataFrame) -> DataFrame:
         return F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), message.alias("message"), F.create_map(*pairs).alias("context"))
 
     repeating = (F.col("dtype") == "string") & (F.col("row_count") > 0) & (F.col("unique_count") > 0) & (F.col("unique_count") / F.col("row_count") < 0.5)
-    per_entity = F.round(F.col("row_count") / F.col("unique_count"), 2)
-    found = F.array_compact(F.array(
+    per_entity = F.bround(F.col("row_count") / F.col("unique_count"), 2)
+    return F.array_compact(F.array(
         F.when(repeating, warning("REPEATING_ENTITY", "warn", F.concat(F.col("col_name"), F.lit(" repeats; rows may be grouped by it")), unique_count=string("unique_count"), row_count=string("row_count"), rows_per_entity_avg=per_entity.cast("string"))),
         F.when(F.col("dtype").isin("integer", "float"), warning("NUMERIC_COLUMN_QUOTE_RISK", "warn", F.concat(F.col("col_name"), F.lit(" is numeric; write it unquoted")), dtype=F.col("dtype"))),
         F.when(F.col("dtype") == "mixed", warning("MIXED_DTYPE_COLUMN", "error", F.concat(F.col("col_name"), F.lit(" mixes types")))),
-        F.when((F.col("row_count") > 0) & (rate > 0.1), warning("HIGH_NULL_RATE", "warn", F.format_string("%s is null in %.1f%% of rows", F.col("col_name"), rate * 100), null_count=string("null_count"), row_count=string("row_count"), null_rate=F.round(rate, 3).cast("string"))),
+        F.when((F.col("row_count") > 0) & (rate > 0.1), warning("HIGH_NULL_RATE", "warn", F.format_string("%s is null in %.1f%% of rows", F.col("col_name"), rate * 100), null_count=string("null_count"), row_count=string("row_count"), null_rate=F.bround(rate, 3).cast("string"))),
         F.when(F.col("dtype").isin("date", "datetime"), warning("LIKELY_DATE_COLUMN", "info", F.concat(F.col("col_name"), F.lit(" looks like dates")), dtype=F.col("dtype"))),
     ))
-    return profiled.select("col_pos", "col_name", F.explode(found).alias("w")).select("col_pos", "col_name", "w.*")
 
 
 def duplicate_names(header: DataFrame, key: str, names: str) -> DataFrame:

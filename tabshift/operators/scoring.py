@@ -39,23 +39,38 @@ def csv_rows(text: str) -> list[list[str]] | None:
 
 def skeleton(value: Any) -> str:
     """Canonical shape of a JSON value: keys in order of name, the first element of a list, type names of scalars."""
-    if isinstance(value, dict):
-        return "{" + ",".join(f"{json.dumps(k)}:{skeleton(value[k])}" for k in sorted(value)) + "}"
-    if isinstance(value, list):
-        return f"[{skeleton(value[0])}]" if value else "[]"
-    return type(value).__name__
+    out, todo = [], [value]
+    while todo:
+        now = todo.pop()
+        if isinstance(now, _Text):
+            out.append(now)
+        elif isinstance(now, dict):
+            inner: list[Any] = [_Text("{")]
+            for n, k in enumerate(sorted(now)):
+                inner += [_Text(f"{',' if n else ''}{json.dumps(k)}:"), now[k]]
+            todo += [_Text("}"), *reversed(inner)]
+        elif isinstance(now, list):
+            todo += [_Text("]"), *now[:1], _Text("[")]
+        else:
+            out.append(type(now).__name__)
+    return "".join(out)
+
+
+class _Text(str):
+    """A finished part of a skeleton, told apart from the strings of a JSON value."""
 
 
 def leaves(value: Any, path: str = "") -> Iterator[tuple[str, Any]]:
-    """(path, scalar): a.b for keys, [i] for elements; the root scalar has an empty path."""
-    if isinstance(value, dict):
-        for k, v in value.items():
-            yield from leaves(v, f"{path}.{k}" if path else str(k))
-    elif isinstance(value, list):
-        for i, v in enumerate(value):
-            yield from leaves(v, f"{path}[{i}]")
-    else:
-        yield path, value
+    """(path, scalar): a.b for keys, [i] for elements; the root scalar has an empty path. Depth costs no recursion."""
+    todo = [(path, value)]
+    while todo:
+        path, now = todo.pop()
+        if isinstance(now, dict):
+            todo += reversed([(f"{path}.{k}" if path else str(k), v) for k, v in now.items()])
+        elif isinstance(now, list):
+            todo += reversed([(f"{path}[{i}]", v) for i, v in enumerate(now)])
+        else:
+            yield path, now
 
 
 def number(value: Any) -> float | None:
@@ -69,8 +84,8 @@ def equal(a: Any, b: Any) -> bool:
     if a == b:
         return True
     x, y = number(a), number(b)
-    if x is not None and y is not None:
-        return x == y
+    if x is not None and x == y:
+        return True
     if a in (None, "") and b in (None, ""):
         return True
     return isinstance(a, str) and isinstance(b, str) and a.strip() == b.strip()
@@ -82,6 +97,8 @@ def loads_as_table(value: Any) -> bool:
             value = next((v for v in value.values() if isinstance(v, list)), [value])
         if not isinstance(value, list):
             return False
+        if all(type(x) is dict and not any(isinstance(v, (dict, list)) for v in x.values()) for x in value):
+            return True  # flat records always load
         pd.json_normalize(value)
     except Exception:  # noqa: BLE001  the question is whether it loads
         return False

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabshift.functions import grammar as G
+
 # ---- flat to nested ----
 
 
@@ -131,6 +133,24 @@ def money(c: Column) -> Column:
     return c.cast("decimal(18,2)")
 
 
+def totals(rows: DataFrame, sums: Mapping[str, str], by: Sequence[str] = ()) -> DataFrame:
+    """(by..., label...): sums of columns by their labels, exact in decimals of ten places; text cells count as far as they are numbers."""
+    text = {f.name for f in rows.schema.fields if isinstance(f.dataType, T.StringType)}
+
+    def exact(c: str) -> Column:
+        cell = F.col(f"`{c}`")
+        return F.when(G.is_number(cell), F.regexp_replace(F.trim(cell), "_", "").try_cast("decimal(28,10)")) if c in text else cell.cast("decimal(28,10)")
+
+    return rows.groupBy(*by).agg(*[F.sum(exact(c)).alias(label) for label, c in sums.items()])
+
+
+def means(rows: DataFrame, columns: Mapping[str, str], by: Sequence[str] = ()) -> DataFrame:
+    """(by..., label...): means of columns by their labels, written with two places."""
+    text = {f.name for f in rows.schema.fields if isinstance(f.dataType, T.StringType)}
+    number = lambda c: G.to_number(F.col(f"`{c}`")) if c in text else F.col(f"`{c}`").cast("double")
+    return rows.groupBy(*by).agg(*[F.format_string("%.2f", F.round(F.avg(number(c)), 2)).alias(label) for label, c in columns.items()])
+
+
 def category_totals(rows: DataFrame, category: str, quantity: str, price: str) -> DataFrame:
     """(category, total): money sums by category and over all (category null), exact in decimals."""
     amount = F.col(quantity).cast("decimal(18,0)") * money(F.col(price))

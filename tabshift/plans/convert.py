@@ -6,6 +6,7 @@ For large inputs use the same transforms with the distributed sinks of ``sources
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from decimal import Decimal
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,13 +35,18 @@ class Spec(NamedTuple):
 
 
 def typed(df: DataFrame) -> DataFrame:
-    """Text columns cast by their profile: integers and floats become numbers, booleans booleans; empty cells null."""
-    kinds = {r.col_name: r.dtype for r in P.profile(df.drop("row_idx")).collect()}
+    """Text columns cast by their profile: integers and floats become numbers, booleans booleans; empty cells null.
+
+    Integers stay exact: longs up to 18 digits, decimals up to 38, beyond that their text.
+    """
+    found = {r.col_name: r for r in P.profile(df.drop("row_idx")).collect()}
+    kinds = {c: r.dtype for c, r in found.items()}
 
     def cast(c: str) -> Column:
         cell = F.col(f"`{c}`")
         if kinds.get(c) == "integer":
-            return G.to_number(cell).cast("long").alias(c)
+            digits = found[c].max_digits
+            return (G.to_integer(cell).cast("long" if digits <= 18 else "decimal(38,0)") if digits <= 38 else F.when(~G.is_null(cell), cell)).alias(c)
         if kinds.get(c) == "float":
             return G.to_number(cell).alias(c)
         if kinds.get(c) == "boolean":
@@ -91,8 +97,8 @@ def convert(spark: SparkSession, path: str, spec: Spec) -> str:
             return json_text(T.rename_and_reorder(rows, spec.names, ["row_idx", *spec.order]), "row_idx")
         moved = T.migrate_records(rows, spec.root, spec.new_root, spec.target)
         return moved.select(F.to_json(F.struct(spec.new_root), {"pretty": "true", "ignoreNullFields": "false"}).alias("j")).first().j + "\n"
-    text = spark.read.text(path, wholetext=True).first()
-    raw = S.read_raw(spark, path, S.sniff(text.value if text else "")._replace(has_header=True))
+    sample = S.first_text(spark, path, "utf-8")
+    raw = S.read_raw(spark, path, S.sniff(sample)._replace(has_header=True), sample=sample)
     if spec.kind == "rename_csv":
         return csv_text(T.rename_and_reorder(raw, spec.names, ["row_idx", *spec.order]), "row_idx")
     if spec.kind == "nest":
@@ -103,6 +109,12 @@ def convert(spark: SparkSession, path: str, spec: Spec) -> str:
     raise ValueError(f"unknown kind {spec.kind}")
 
 
+def plain_number(value: Decimal | None) -> str:
+    """All digits of a decimal, without zeros after the last place that counts."""
+    text = f"{value or 0:f}"
+    return text.rstrip("0").rstrip(".") if "." in text else text
+
+
 def _report(raw: DataFrame, spec: Spec) -> str:
     names: Sequence[str] = [c for c in raw.columns if c != "row_idx"]
     kinds = {r.col_name: r.dtype for r in P.profile(raw.drop("row_idx")).collect()}
@@ -111,10 +123,10 @@ def _report(raw: DataFrame, spec: Spec) -> str:
     table = T.aligned(head.unionByName(raw), names, "row_idx", numeric=numeric)
     lines = [r.line for r in table.orderBy("row_idx").collect()]
     facts = []
-    for label, c in spec.sums.items():
-        facts.append(f"{label}: {raw.agg(F.sum(G.to_number(F.col(c)))).first()[0]:.10g}")
-    for label, c in spec.means.items():
-        facts.append(f"{label}: {raw.agg(F.format_string('%.2f', F.round(F.avg(G.to_number(F.col(c))), 2)).alias('m')).first().m}")
+    if spec.sums:
+        facts += [f"{label}: {plain_number(total)}" for label, total in T.totals(raw, spec.sums).first().asDict().items()]
+    if spec.means:
+        facts += [f"{label}: {mean}" for label, mean in T.means(raw, spec.means).first().asDict().items()]
     category, quantity, price = spec.product
     if category:
         totals = T.category_totals(raw, category, quantity, price)

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import argparse
 import json
+from collections.abc import Sequence
 from typing import Any
 
-from pyspark.sql import Row, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tabshift.operators import profile as P
 from tabshift.sources import files as S
 
 SCHEMA_VERSION = "0.1"
+#: Fields of a warning's context that are numbers.
+COUNTS, RATES = ("unique_count", "row_count", "null_count"), ("rows_per_entity_avg", "null_rate")
 
 
 def _warning(code: str, severity: str, message: str, **context: Any) -> dict:
@@ -28,9 +32,12 @@ def _typed(value: str, dtype: str) -> Any:
     return value
 
 
-def envelope(spark: SparkSession, path: str, *, head_n: int = 3, middle_n: int = 1, tail_n: int = 1, sample_values: int = 3, max_rows: int | None = None) -> dict:
-    """The envelope as a dict. All rows are profiled unless ``max_rows`` is given; rates are over the rows profiled."""
-    found = S.encodings(spark, path).first() or Row(size=0, encoding="utf-8-sig", attempted=[])  # empty files have no row
+def envelope(spark: SparkSession, path: str, *, head_n: int = 3, middle_n: int = 1, tail_n: int = 1, sample_values: int = 3, max_rows: int | None = None, check_quoting: bool = False) -> dict:
+    """The envelope as a dict. All rows are profiled unless ``max_rows`` is given; rates are over the rows profiled.
+
+    ``check_quoting`` makes INCONSISTENT_QUOTING a real check of the file's beginning; else nothing raises that warning.
+    """
+    found = S.scan(spark, path).first() or Row(size=0, encoding="utf-8-sig", attempted=[], n_lines=0)  # empty files have no row
     out: dict[str, Any] = {"format": "csv", "file_path": path, "file_size_bytes": found.size, "encoding": found.encoding, "schema_version": SCHEMA_VERSION}
     warnings = [_warning("LATIN1_FALLBACK", "warn", "not valid UTF-8; read as latin-1", attempted_encodings=list(found.attempted), final_encoding="latin-1")] if found.encoding == "latin-1" else []
     samples: dict[str, list] = {"head": [], "middle": [], "tail": []}
@@ -40,56 +47,77 @@ def envelope(spark: SparkSession, path: str, *, head_n: int = 3, middle_n: int =
         return out | {"schema": schema, "samples": samples, "warnings": warnings}
 
     empty = _warning("EMPTY_FILE", "error", "no data rows", row_count=0)
-    if not found.size:
+    if not found.n_lines:
         warnings.append(empty)
         return done(S.Dialect(), 0, [])
-    dialect = S.sniff(S.first_text(spark, path, found.encoding))
-    row_count = S.count_data_rows(spark.read.text(path), dialect.has_header).first().row_count
+    sample = S.first_text(spark, path, found.encoding)
+    dialect = S.sniff(sample, check_quoting)
+    row_count = max(found.n_lines - dialect.has_header, 0)
     if not row_count:
         warnings.append(empty)
         return done(dialect, 0, [])
     if not dialect.has_header:
         warnings.append(_warning("MISSING_HEADER", "warn", "no header row; columns are numbered"))
-    table = S.read_raw(spark, path, dialect, found.encoding)
+    multi_line = found.open_quotes if dialect.quote == '"' else found.open_apostrophes
+    table = S.read_raw(spark, path, dialect, found.encoding, sample=sample, multi_line=multi_line)
     names = [c for c in table.columns if c != "row_idx"]
     if dialect.has_header:
-        raw = next(iter(_header(spark, path, dialect)), [])
+        raw = S.first_record(sample, dialect) or []
         repeated = list(dict.fromkeys(x for i, x in enumerate(raw) if x in raw[:i]))
         if repeated:
             warnings.append(_warning("DUPLICATE_COLUMN_NAME", "warn", "a name is used twice", duplicates=repeated))
+    if dialect.inconsistent_quoting:
+        warnings.append(_warning("INCONSISTENT_QUOTING", "warn", "cells of a column are quoted in some rows only"))
     rows = table.filter(F.col("row_idx") < max_rows) if max_rows else table
-    profiled = P.profile_cells(P.unpivoted(rows, keep=("row_idx",))).persist()
+    distinct = P.distinct_cells(P.unpivoted(rows, keep=("row_idx",)), "row_idx").persist()
+    profiled = P.profile_distinct(distinct).withColumn("warned", P.column_warnings()).collect()
     firsts: dict[str, list[str]] = {}
-    for r in P.first_distinct(rows, "row_idx", sample_values).orderBy("col_name", "rank").collect():
+    for r in sorted(P.first_of_distinct(distinct, sample_values).collect(), key=lambda r: r["rank"]):
         firsts.setdefault(r.col_name, []).append(r.value)
+    distinct.unpersist()
     columns = []
-    for r in profiled.orderBy("col_pos").collect():
+    for r in sorted(profiled, key=lambda r: r.col_pos):
         block = {"name": r.col_name, "dtype": r.dtype, "null_count": r.null_count, "unique_count": r.unique_count, "sample_values": [_typed(v, r.dtype) for v in firsts.get(r.col_name, [])]}
-        if r.dtype in ("integer", "float"):
-            cast = int if r.dtype == "integer" else float
-            block |= {"min": cast(r.min_value), "max": cast(r.max_value)}
+        if r.dtype == "integer" and r.max_digits <= 38:
+            block |= {"min": int(r.min_integer), "max": int(r.max_integer)}
+        elif r.dtype in ("integer", "float"):
+            block |= {"min": r.min_value, "max": r.max_value}
         if r.dtype == "string":
             block["max_length"] = r.max_length
         columns.append(block)
-    for w in P.warnings_of(profiled).orderBy("col_pos").collect():
-        warnings.append(_warning(w.code, w.severity, w.message, **w.context))
-    profiled.unpersist()
-    total = F.lit(row_count)
-    for r in P.sample_rows(table, F.col("row_idx"), total, head_n, middle_n, tail_n).orderBy("row_idx").collect():
+        for w in r.warned:
+            context = {k: int(v) if k in COUNTS else float(v) if k in RATES else v for k, v in w.context.items()}
+            warnings.append(_warning(w.code, w.severity, w.message, **context))
+    sampled = P.sample_rows(table, F.col("row_idx"), F.lit(row_count), head_n, middle_n, tail_n).collect()
+    for r in sorted(sampled, key=lambda r: r.row_idx):
         samples[r.bucket].append({n: r[n] if r[n] is not None else "" for n in names})
     return done(dialect, row_count, columns)
 
 
-def _header(spark: SparkSession, path: str, dialect: S.Dialect):
-    import csv
-
-    line = spark.read.text(path).first()
-    return csv.reader([line.value.lstrip("﻿")], delimiter=dialect.delimiter) if line else []
-
-
 def rendered(record: dict) -> tuple[str, int]:
     """Pretty JSON and an estimate of its tokens, a quarter of its characters."""
     text = json.dumps(record, indent=2, ensure_ascii=False)
     return text, len(text) // 4
 
 
+def envelopes(spark: SparkSession, paths: Sequence[str], **options: Any) -> DataFrame:
+    """(path, envelope, est_tokens) of some files, the envelope as pretty JSON."""
+    return spark.createDataFrame([(p, *rendered(envelope(spark, p, **options))) for p in paths], "path string, envelope string, est_tokens long")
+
+
+def main(arguments: Sequence[str] | None = None) -> int:
+    """``python -m tabshift.plans.envelope FILE``: the envelope and its estimated tokens on standard output."""
+    parser = argparse.ArgumentParser(prog="envelope", description="Metadata envelope of a CSV file.")
+    parser.add_argument("file")
+    for name, n in (("head", 3), ("middle", 1), ("tail", 1)):
+        parser.add_argument(f"--{name}-n", type=int, default=n, help=f"rows of the {name}, {n} if not given")
+    given = parser.parse_args(arguments)
+    spark = SparkSession.builder.appName("envelope").getOrCreate()
+    text, tokens = rendered(envelope(spark, given.file, head_n=given.head_n, middle_n=given.middle_n, tail_n=given.tail_n))
+    print(text)
+    print(f"# about {tokens} tokens (a quarter of the characters)")
+    return 0
+
+
+if __name__ == "__main__":
+    raise SystemExit(main())

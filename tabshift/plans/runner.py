@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Mapping
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabshift.operators.cleanup import cleaned
 from tabshift.operators.scoring import scores
+from tabshift.plans.convert import Spec
+from tabshift.plans.convert import convert as by_spec
+from tabshift.sources.files import write_named_files
 
 #: Ranks of case complexity, and of anything else.
 COMPLEXITY = {"simple": 0, "medium": 1, "complex": 2}
@@ -46,9 +51,33 @@ def select_cases(cases: DataFrame, only: str | None = None, limit: int | None =
 Converter = Callable[[DataFrame], DataFrame]
 
 
+def succeeded(raw_output: Column, return_code: Column | None = None) -> Column:
+    """Whether a conversion worked: it returned 0 and gave some output."""
+    some = F.coalesce(F.length(raw_output) > 0, F.lit(False))
+    return some if return_code is None else some & (F.coalesce(return_code, F.lit(-1)) == 0)
+
+
 def replay(outputs: DataFrame) -> Converter:
-    """A converter that reads recorded outputs (case_id, raw_output)."""
-    return lambda cases: cases.join(outputs.select("case_id", "raw_output"), "case_id", "left").withColumn("ok", F.coalesce(F.length("raw_output") > 0, F.lit(False)))
+    """A converter that reads recorded outputs (case_id, raw_output, and return_code if they have one)."""
+    code = F.col("return_code") if "return_code" in outputs.columns else None
+    kept = outputs.select("case_id", "raw_output", *(["return_code"] if code is not None else []))
+    return lambda cases: cases.join(kept, "case_id", "left").withColumn("ok", succeeded(F.col("raw_output"), code)).drop("return_code")
+
+
+def native(spark: SparkSession, paths: Mapping[str, str], specs: Mapping[str, Spec]) -> Converter:
+    """A converter that runs the engine's own plans: by case_id the input's path and its spec."""
+    made = [(k, by_spec(spark, paths[k], spec)) for k, spec in specs.items()]
+    return replay(spark.createDataFrame(made, "case_id string, raw_output string"))
+
+
+CONVERTERS: dict[str, Callable[..., Converter]] = {"replay": replay, "native": native}
+
+
+def converter(name: str, *given: Any, **options: Any) -> Converter:
+    """The converter of that name, made with the rest of the arguments."""
+    if name not in CONVERTERS:
+        raise ValueError(f"unknown converter {name!r} (known: {', '.join(sorted(CONVERTERS))})")
+    return CONVERTERS[name](*given, **options)
 
 
 def evaluate(cases: DataFrame, convert: Converter, clean: bool = True) -> DataFrame:
@@ -64,7 +93,7 @@ def evaluate(cases: DataFrame, convert: Converter, clean: bool = True) -> DataFr
 def summarize(results: DataFrame) -> DataFrame:
     """(level, name, n, n_errors, four means): overall, by use case and by complexity in one GROUPING SETS aggregation."""
     flat = results.select("use_case", "complexity", "ok", *[F.col(f"scores.{m}").alias(m) for m in METRICS])
-    means = [F.round(F.avg(m), 3).alias(m) for m in METRICS]
+    means = [F.bround(F.avg(m), 3).alias(m) for m in METRICS]
     # (a) by use case, (b) by complexity, (c) overall
     grouped = flat.groupingSets([[F.col("use_case")], [F.col("complexity")], []], "use_case", "complexity").agg(
         F.grouping("use_case").alias("g_use_case"), F.grouping("complexity").alias("g_complexity"), F.count("*").alias("n"), F.count_if(~F.col("ok")).alias("n_errors"), *means)
@@ -77,14 +106,44 @@ def latest_run(runs: DataFrame, run_id: str = "run_id") -> DataFrame:
     return runs.agg(F.max(run_id).alias(run_id))
 
 
-def write_artefacts(results: DataFrame, path: str) -> None:
-    """One folder a use case and case: the output and a record of sizes and errors."""
-    sizes = results.select("use_case_dir", "case", "case_id", "ok", F.octet_length("input_text").alias("input_bytes"), F.octet_length("output").alias("output_bytes"), F.substring(F.coalesce("error", F.lit("")), 1, 1000).alias("stderr") if "error" in results.columns else F.lit("").alias("stderr"))
-    sizes.write.partitionBy("use_case_dir", "case").json(f"{path}/meta")
-    results.select("use_case_dir", "case", "output").write.partitionBy("use_case_dir", "case").text(f"{path}/actual")
+#: Suffixes of output files by format.
+SUFFIX = {"json": ".json", "csv": ".csv", "txt": ".txt"}
+
+
+def artefacts(results: DataFrame) -> DataFrame:
+    """(name, text): the files of each case, use_case/case/actual.*, raw_actual.* and teacher_meta.json, the last with sizes in bytes and the first 1000 characters of errors."""
+    folder, fmt = F.concat_ws("/", "use_case_dir", "case"), F.lower("output_format")
+    suffix = F.create_map(*[F.lit(x) for pair in SUFFIX.items() for x in pair])[fmt]
+    error = F.substring(F.coalesce("error", F.lit("")), 1, 1000) if "error" in results.columns else F.lit("")
+    output, raw = F.coalesce("output", F.lit("")), F.coalesce("raw_output", F.lit(""))
+    facts = F.struct(F.col("ok"), F.octet_length(F.coalesce("input_text", F.lit(""))).alias("input_bytes"), F.octet_length(raw).alias("raw_size_bytes"), F.octet_length(output).alias("cleaned_size_bytes"), F.col("cleaned.applied").alias("cleanup_applied"), error.alias("stderr"))
+    files = F.array(
+        F.struct(F.concat(folder, F.lit("/actual"), suffix).alias("name"), output.alias("text")), F.struct(F.concat(folder, F.lit("/raw_actual"), suffix).alias("name"), raw.alias("text")),
+        F.struct(F.concat(folder, F.lit("/teacher_meta.json")).alias("name"), F.to_json(facts, {"pretty": "true"}).alias("text")))
+    return results.select(F.inline(files))
+
+
+def write_artefacts(results: DataFrame, path: str) -> int:
+    """The artefacts as files below ``path``; how many were written."""
+    return write_named_files(artefacts(results), path).count()
+
+
+def summary(results: DataFrame, **facts: Any) -> dict:
+    """The summary record of a run: ``facts`` (run_id, model, ...), the aggregate and its cases in order. A run's cases are few."""
+    rows = summarize(results).collect()
+    whole = next((r for r in rows if r.level == "overall"), None)
+    by = lambda level: {r.name: {"n": r.n, **{m: r[m] for m in METRICS}} for r in sorted((r for r in rows if r.level == level), key=lambda r: r.name or "")}
+    aggregate = {}
+    if whole is not None and whole.n:
+        aggregate = {"overall": {m: whole[m] for m in METRICS}, "by_use_case": by("use_case"), "by_complexity": by("complexity"), "n_cases": whole.n, "n_inference_errors": whole.n_errors}
+    own = [c for c in ("case_id", "use_case", "complexity", "input_format", "output_format", "ok", "error", "elapsed_sec", "scores", "output_preview") if c in results.columns]
+    return {**facts, "aggregate": aggregate, "cases": [r.asDict(recursive=True) for r in select_cases(results).select(*own).collect()]}
 
 
-def write_summary(results: DataFrame, path: str) -> None:
-    """Both tables as Parquet, and the summary as JSON lines."""
-    summarize(results).write.json(f"{path}/summary")
+def write_summary(results: DataFrame, path: str, **facts: Any) -> None:
+    """summary.json below ``path``, and both tables as Parquet beside it."""
+    spark = results.sparkSession
+    record = spark.createDataFrame([("summary.json", json.dumps(summary(results, **facts), indent=2, ensure_ascii=False))], "name string, text string")
+    write_named_files(record, path).count()
+    summarize(results).write.parquet(f"{path}/summary")
     results.write.parquet(f"{path}/cases")

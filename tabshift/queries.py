@@ -58,7 +58,7 @@ def _profile_sql(name: str) -> str:
 
 
 def _profile_query(name: str) -> Query:
-    return lambda spark, sf_dir: P.profile(table(spark, sf_dir, name)).fillna(0, ["max_length"])
+    return lambda spark, sf_dir: P.profile(table(spark, sf_dir, name)).fillna(0, ["max_length"]).drop("min_integer", "max_integer", "max_digits")
 
 
 for _name in COLUMNS:
@@ -125,12 +125,6 @@ def dup_header(spark, sf_dir):
     return P.duplicate_names(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), names.alias("names")), "id", "names")
 
 
-@query("q_empty_file", "SELECT 'EMPTY_FILE' AS code, greatest(count(*) - 1, 0) AS row_count FROM region WHERE r_regionkey < 0")
-def empty_file(spark, sf_dir):
-    lines = table(spark, sf_dir, "region").filter("r_regionkey < 0").select(F.col("r_name").alias("value"))
-    return S.count_data_rows(lines, True).filter("row_count <= 0").select(F.lit("EMPTY_FILE").alias("code"), "row_count")
-
-
 @query("q_count_rows", r"SELECT count(*) FILTER (WHERE regexp_matches(line, '\S')) - 1 AS row_count FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) x")
 def count_rows(spark, sf_dir):
     return S.count_data_rows(table(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n", -1)).alias("value")), True)
@@ -142,8 +136,7 @@ def sample_head_mid_tail(spark, sf_dir):
     """Positions by key are counts of smaller keys: range partitions are sorted and offset, no window over all rows."""
     ordered = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus").orderBy("o_orderkey")
     placed = S.with_position(ordered)
-    total = placed.agg(F.count("*").alias("n"))
-    return P.sample_rows(placed.crossJoin(F.broadcast(total)), F.col("row_idx"), F.col("n")).select("o_orderkey", "o_orderstatus", "bucket")
+    return P.sample_rows(placed, F.col("row_idx"), F.lit(placed.count())).select("o_orderkey", "o_orderstatus", "bucket")
 
 
 @query("q_first_k_distinct", """WITH c AS (SELECT 'o_orderpriority' AS col_name, o_orderpriority AS value, min(o_orderkey) AS f FROM orders GROUP BY 2 UNION ALL SELECT 'o_orderstatus', o_orderstatus, min(o_orderkey) FROM orders GROUP BY 2),
@@ -241,12 +234,13 @@ def log_unmatched(spark, sf_dir):
 
 @query("q_report_totals", "SELECT l_returnflag, CAST(sum(l_quantity) AS BIGINT) AS units, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS sales FROM lineitem GROUP BY 1")
 def report_totals(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.sum("l_quantity").cast("long").alias("units"), F.sum(T.money(F.col("l_extendedprice"))).cast("double").alias("sales"))
+    found = T.totals(table(spark, sf_dir, "lineitem"), {"units": "l_quantity", "sales": "l_extendedprice"}, by=("l_returnflag",))
+    return found.select("l_returnflag", F.col("units").cast("long").alias("units"), F.col("sales").cast("double").alias("sales"))
 
 
-@query("q_report_avgs", "SELECT p_brand, printf('%.2f', round(avg(CAST(p_size AS DOUBLE)), 2)) AS mean_size, count(*) AS n FROM part GROUP BY 1")
+@query("q_report_avgs", "SELECT p_brand, printf('%.2f', round(avg(CAST(p_size AS DOUBLE)), 2)) AS mean_size FROM part GROUP BY 1")
 def report_avgs(spark, sf_dir):
-    return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.format_string("%.2f", F.round(F.avg(F.col("p_size").cast("double")), 2)).alias("mean_size"), F.count("*").alias("n"))
+    return T.means(table(spark, sf_dir, "part"), {"mean_size": "p_size"}, by=("p_brand",))
 
 
 @query("q_report_category", "SELECT p_type AS category, CAST(sum(p_size * CAST(p_retailprice AS DECIMAL(18,2))) AS DOUBLE) AS total, CAST(grouping(p_type) AS INTEGER) AS is_total FROM part GROUP BY ROLLUP (p_type)")
@@ -333,7 +327,7 @@ def fmt_valid_csv(spark, sf_dir):
 @query("q_fmt_valid_txt", r"SELECT doc_id, CASE WHEN regexp_matches(text, '\S') AND doc_id % 5 <> 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS format_validity FROM documents")
 def fmt_valid_txt(spark, sf_dir):
     text = F.when(F.col("doc_id") % 5 == 0, F.lit(" \n\t")).otherwise(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.when(~G.blank(text), 1.0).otherwise(0.0).alias("format_validity"))
+    return _scored(spark, sf_dir, text, F.lit(""), "txt", source="documents", key="doc_id").select("doc_id", "s.format_validity")
 
 
 @query("q_schema_compliance", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS schema_compliance FROM events")
@@ -432,14 +426,6 @@ def substring_hits(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(F.filter(needles, lambda s: F.contains(F.lower("text"), F.lower(s)))).cast("long").alias("hits"))
 
 
-@query("q_encoding", "SELECT doc_id, CASE WHEN strlen(text) = length(text) THEN 'utf-8-sig' ELSE 'latin-1' END AS encoding FROM documents WHERE lang <> 'xx' AND NOT regexp_matches(text, '[^\\x00-\\xFF]')")
-def encoding(spark, sf_dir):
-    """Texts that Latin-1 can hold, written in it: only plain ASCII is valid UTF-8 then."""
-    docs = table(spark, sf_dir, "documents").filter("lang <> 'xx'").filter(~F.col("text").rlike(r"[^\x00-\xFF]"))
-    content = F.encode("text", "ISO-8859-1")
-    return docs.select("doc_id", F.when(F.is_valid_utf8(content.cast("string")), "utf-8-sig").otherwise("latin-1").alias("encoding"))
-
-
 # ---- runs ----
 
 
@@ -449,7 +435,7 @@ def run_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("event_type").alias("use_case"), complexity.alias("complexity"), (F.col("event_id") % 10 != 0).alias("ok"), F.struct(*[score(k) for k in range(1, 5)]).alias("scores"))
 
 
-_MEANS = ", ".join(f"round(avg(((event_id * {k}) % 5) / 4.0), 3)::DOUBLE AS {R.METRICS[k - 1]}" for k in range(1, 5))
+_MEANS = ", ".join(f"round_even(avg(((event_id * {k}) % 5) / 4.0), 3)::DOUBLE AS {R.METRICS[k - 1]}" for k in range(1, 5))
 
 
 @query("q_summary_grouping_sets", f"""WITH r AS (SELECT *, CASE event_id % 3 WHEN 0 THEN 'simple' WHEN 1 THEN 'medium' ELSE 'complex' END AS complexity FROM events)

@@ -3,8 +3,15 @@
 from __future__ import annotations
 
 import csv
+import io
+import re
+import uuid
+from collections.abc import Iterator
 from typing import NamedTuple
 
+import pandas as pd
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,16 +24,28 @@ def supported(path: Column, suffix: str = ".csv") -> Column:
     return F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1)) == suffix
 
 
-def encodings(spark: SparkSession, path: str) -> DataFrame:
-    """(path, size, encoding, attempted): utf-8-sig if the whole file is valid UTF-8, else latin-1 after two failed tries."""
-    files = spark.read.format("binaryFile").load(path)
-    valid = F.is_valid_utf8(F.col("content").cast("string"))
-    return files.select(
-        "path", F.col("length").alias("size"), F.when(valid, "utf-8-sig").otherwise("latin-1").alias("encoding"),
-        F.when(valid, F.array().cast("array<string>")).otherwise(F.array(F.lit("utf-8-sig"), F.lit("utf-8"))).alias("attempted"),
+def scan(spark: SparkSession, path: str) -> DataFrame:
+    """(path, size, encoding, attempted, n_lines, open_quotes, open_apostrophes) of text files, in one splittable pass over their lines.
+
+    encoding: utf-8-sig if the whole file is valid UTF-8, else latin-1 after two failed tries (no line break is part of a longer
+    UTF-8 character, so a file is valid if its lines are). n_lines: lines that aren't blank. The open flags tell whether some
+    line has an odd number of that mark, without which no quoted cell can go on over a line's end. Files without lines have no row.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"))
+    odd = lambda mark: F.bool_or((F.octet_length("value") - F.octet_length(F.replace("value", F.lit(mark), F.lit("")))) % 2 == 1)
+    whole = lines.groupBy("path", "size").agg(
+        F.bool_and(F.is_valid_utf8("value")).alias("valid"), F.count(F.when(F.col("value").rlike(r"\S"), 1)).alias("n_lines"), odd('"').alias("open_quotes"), odd("'").alias("open_apostrophes"))
+    return whole.select(
+        "path", "size", F.when(F.col("valid"), "utf-8-sig").otherwise("latin-1").alias("encoding"),
+        F.when(F.col("valid"), F.array().cast("array<string>")).otherwise(F.array(F.lit("utf-8-sig"), F.lit("utf-8"))).alias("attempted"), "n_lines", "open_quotes", "open_apostrophes",
     )
 
 
+def encodings(spark: SparkSession, path: str) -> DataFrame:
+    """(path, size, encoding, attempted) of text files that have a line."""
+    return scan(spark, path).select("path", "size", "encoding", "attempted")
+
+
 def with_position(df: DataFrame, name: str = "row_idx") -> DataFrame:
     """Contiguous positions from 0 in the order of partitions and rows within them.
 
@@ -48,10 +67,11 @@ class Dialect(NamedTuple):
     inconsistent_quoting: bool = False
 
 
-def sniff(sample: str) -> Dialect:
+def sniff(sample: str, check_quoting: bool = False) -> Dialect:
     """Delimiter and quote of a sample (its first SNIFF_CHARS characters), and whether it has a header.
 
-    It has one if the sniffer says so or can't tell, or if no column of the body is all numbers.
+    It has one if the sniffer says so or can't tell, or if no column of the body is all numbers. ``check_quoting`` also looks
+    for columns whose cells are quoted in some rows without need and bare in others.
     """
     from tabshift.operators.scoring import number
 
@@ -73,7 +93,32 @@ def sniff(sample: str) -> Dialect:
         body = list(csv.reader(sample.splitlines(), delimiter=delimiter))[1:]
         columns = [[x for x in c if x] for c in zip(*body, strict=False)] if body else []
         header = not any(c and all(number(x) is not None for x in c) for c in columns)
-    return Dialect(delimiter, quote, header)
+    return Dialect(delimiter, quote, header, check_quoting and mixed_quoting(sample, delimiter, quote))
+
+
+def mixed_quoting(sample: str, delimiter: str, quote: str) -> bool:
+    """Whether some column has cells quoted without need and cells without quotes."""
+    q, d = re.escape(quote), re.escape(delimiter)
+    cells = re.compile(rf"(?:{q}((?:[^{q}]|{q}{q})*){q}|([^{d}\n]*?))({d}|\r?\n|\Z)")
+    quoted: set[int] = set()
+    bare: set[int] = set()
+    column = 0
+    for m in cells.finditer(sample):
+        if m[1] is not None and not any(c in m[1] for c in (quote, delimiter, "\n", "\r")):
+            quoted.add(column)
+        elif m[2]:
+            bare.add(column)
+        column = column + 1 if m[3] == delimiter else 0
+    return bool(quoted & bare)
+
+
+def dialects(texts: Column, check_quoting: bool = False) -> Column:
+    """struct<delimiter, quote, has_header, inconsistent_quoting> of each text's beginning: ``sniff`` for many files at once."""
+    @F.pandas_udf("delimiter string, quote string, has_header boolean, inconsistent_quoting boolean")
+    def found(text: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([sniff(t or "", check_quoting) for t in text], columns=["delimiter", "quote", "has_header", "inconsistent_quoting"])
+
+    return found(F.substring(texts, 1, SNIFF_CHARS))
 
 
 def count_data_rows(lines: DataFrame, has_header: bool, value: str = "value") -> DataFrame:
@@ -83,23 +128,41 @@ def count_data_rows(lines: DataFrame, has_header: bool, value: str = "value") ->
 
 def first_text(spark: SparkSession, path: str, encoding: str) -> str:
     """The beginning of a file, decoded: as many whole lines as hold SNIFF_CHARS characters."""
-    charset = "UTF-8" if encoding.startswith("utf-8") else "ISO-8859-1"
-    lines = spark.read.format("csv").option("sep", "\x01").option("quote", "").option("encoding", charset).option("header", False).schema("value string").load(path).limit(400)
-    return "\n".join(r.value or "" for r in lines.collect()).lstrip("﻿")[:SNIFF_CHARS]
+    lines = spark.read.text(path).limit(400).select(F.substring("value", 1, SNIFF_CHARS).cast("binary").alias("b")).collect()
+    charset = "utf-8" if encoding.startswith("utf-8") else "latin-1"
+    return "\n".join(bytes(r.b).decode(charset, "replace") for r in lines).lstrip("\ufeff")[:SNIFF_CHARS]
+
 
+def first_record(sample: str, dialect: Dialect) -> list[str] | None:
+    """The cells of a sample's first record; None if the sample may end within it."""
+    reader = csv.reader(io.StringIO(sample, newline=""), delimiter=dialect.delimiter, quotechar=dialect.quote)
+    cells = next(reader, None)
+    return cells if cells and (next(reader, None) is not None or len(sample) < SNIFF_CHARS) else None
 
-def read_raw(spark: SparkSession, path: str, dialect: Dialect, encoding: str = "utf-8-sig") -> DataFrame:
-    """All columns as strings with row_idx; header names repeat as name, name.1, ...; without a header c0, c1, ..."""
+
+def read_raw(spark: SparkSession, path: str, dialect: Dialect, encoding: str = "utf-8-sig", *, sample: str | None = None, multi_line: bool = True, max_rows: int | None = None) -> DataFrame:
+    """All columns as strings with row_idx; header names repeat as name, name.1, ...; without a header c0, c1, ...
+
+    With the file's beginning as ``sample`` its columns are known without a job. ``multi_line`` False (no quoted cell goes on over a
+    line's end, see ``scan``) lets a large file be read in many tasks. ``max_rows`` keeps the first rows.
+    """
     charset = "UTF-8" if encoding.startswith("utf-8") else "ISO-8859-1"
-    lines = spark.read.options(sep=dialect.delimiter, quote=dialect.quote, escape=dialect.quote, encoding=charset, header=False, multiLine=True, inferSchema=False).csv(path)
-    first = lines.first()
-    if first is None:
-        return with_position(lines)
+    reader = spark.read.options(sep=dialect.delimiter, quote=dialect.quote, escape=dialect.quote, encoding=charset, header=False, multiLine=multi_line, inferSchema=False)
+    first = first_record(sample, dialect) if sample else None
+    if first is not None:
+        lines = reader.schema(", ".join(f"_c{i} string" for i in range(len(first)))).csv(path)
+    else:
+        lines = reader.csv(path)
+        first = lines.first()
     placed = with_position(lines)
-    if not dialect.has_header:
-        return placed.select("row_idx", *[F.col(c).alias(f"c{i}") for i, c in enumerate(lines.columns)])
-    names = deduplicated_names([(x or f"_c{i}").lstrip("﻿") for i, x in enumerate(first)])
-    return placed.filter("row_idx > 0").select((F.col("row_idx") - 1).alias("row_idx"), *[F.col(c).alias(n) for c, n in zip(lines.columns, names, strict=True)])
+    if first is None:
+        return placed
+    if dialect.has_header:
+        names = deduplicated_names([(x or f"_c{i}").lstrip("\ufeff") for i, x in enumerate(first)])
+        placed = placed.filter("row_idx > 0").select((F.col("row_idx") - 1).alias("row_idx"), *[F.col(c).alias(n) for c, n in zip(lines.columns, names, strict=True)])
+    else:
+        placed = placed.select("row_idx", *[F.col(c).alias(f"c{i}") for i, c in enumerate(lines.columns)])
+    return placed.filter(F.col("row_idx") < max_rows) if max_rows else placed
 
 
 # ---- sinks ----
@@ -126,3 +189,40 @@ def as_json_text(df: DataFrame, pretty: bool = True, order: str | None = None) -
 
 def write_text(df: DataFrame, path: str, column: str = "report") -> None:
     df.select(column).write.text(path)
+
+
+NAMED_FILES = pa.schema([("name", pa.string()), ("bytes", pa.int64())])
+
+
+def write_named_files(files: DataFrame, root: str, name: str = "name", text: str = "text") -> DataFrame:
+    """Write each row's text as the file root/name, for outputs whose file names matter; (name, bytes) of the files.
+
+    One row is one file; a repeated task writes the same file again. ``root`` is a folder that all executors see. The result is lazy.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, folder = pyarrow.fs.FileSystem.from_uri(root) if re.match(r"\w+:", root) else (pyarrow.fs.LocalFileSystem(), root)
+        for batch in batches:
+            names, sizes = batch.column(0).to_pylist(), []
+            for own, value in zip(names, batch.column(1).to_pylist(), strict=True):
+                data = (value or "").encode()
+                store.create_dir(f"{folder}/{own}".rpartition("/")[0], recursive=True)
+                with store.open_output_stream(f"{folder}/{own}") as out:
+                    out.write(data)
+                sizes.append(len(data))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], schema=NAMED_FILES)
+
+    return files.select(F.col(name).alias("name"), F.col(text).alias("text")).mapInArrow(run, "name string, bytes long")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that all executors see (``spark.checkpoint.dir``); a local one where that is unset and all runs in one process."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
+        import tempfile
+
+        root = "file://" + tempfile.mkdtemp(prefix="tabshift-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/tabshift/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"

@@ -1,6 +1,7 @@
 import pytest
 
-from tabshift.plans.envelope import envelope, rendered
+from tabshift.plans import formats
+from tabshift.plans.envelope import envelope, envelopes, main, rendered
 from tabshift.sources import files as S
 
 
@@ -70,3 +71,72 @@ def test_supported(spark, name, ok):
     from pyspark.sql import functions as F
 
     assert spark.range(1).select(S.supported(F.lit(name)).alias("x")).first().x is ok
+
+
+def test_numbers_in_blocks_are_exact(spark, tmp_path):
+    low, high = 9007199254740993, 1234567890123456789012345678
+    record = envelope(spark, write(tmp_path, "n.csv", f"k,who\n{low},a\n{high},b\n-3,c\n"))
+    assert (record["schema"]["columns"][0]["min"], record["schema"]["columns"][0]["max"]) == (-3, high)
+    assert [w["context"] for w in record["warnings"]] == [{"column": "k", "dtype": "integer"}]
+
+
+def test_contexts_hold_numbers(spark, tmp_path):
+    record = envelope(spark, write(tmp_path, "c.csv", "a,b\n" + "x,\n" * 4 + "y,q\n"))
+    found = {w["code"]: w["context"] for w in record["warnings"] if w["context"].get("column") in ("a", "b")}
+    assert found["REPEATING_ENTITY"] == {"column": "b", "unique_count": 1, "row_count": 5, "rows_per_entity_avg": 5.0}
+    assert found["HIGH_NULL_RATE"]["null_rate"] == 0.8
+
+
+def test_quoted_line_breaks_and_latin1_headers(spark, tmp_path):
+    record = envelope(spark, write(tmp_path, "q.csv", 'a,b\n"x\ny",1\nz,2\nw,3\n'))
+    assert record["samples"]["head"][0] == {"a": "x\ny", "b": "1"}
+    record = envelope(spark, write(tmp_path, "d.csv", "caf\xe9,caf\xe9,age\nAda,Lee,36\nBob,May,40\n".encode("latin-1")))
+    duplicates = [w["context"]["duplicates"] for w in record["warnings"] if w["code"] == "DUPLICATE_COLUMN_NAME"]
+    assert duplicates == [["caf\xe9"]] and [c["name"] for c in record["schema"]["columns"]] == ["caf\xe9", "caf\xe9.1", "age"]
+
+
+def test_whole_lines_can_be_read_in_many_tasks(spark, tmp_path):
+    path = write(tmp_path, "s.csv", "a,b\n" + "".join(f"r{i},{i}\n" for i in range(5000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        scan = S.scan(spark, path).first()
+        assert (scan.n_lines, scan.open_quotes, scan.open_apostrophes, scan.encoding) == (5001, False, False, "utf-8-sig")
+        rows = S.read_raw(spark, path, S.Dialect(has_header=True), sample=S.first_text(spark, path, "utf-8"), multi_line=False)
+        assert rows.rdd.getNumPartitions() > 3
+        assert [(r.row_idx, r.a) for r in rows.orderBy("row_idx").collect()] == [(i, f"r{i}") for i in range(5000)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_quoting_check_is_an_option(spark, tmp_path):
+    path = write(tmp_path, "i.csv", 'name,city\n"Ada",Holt\nBo,"Rye, East"\nCy,Ely\n')
+    assert "INCONSISTENT_QUOTING" not in codes(envelope(spark, path))
+    assert "INCONSISTENT_QUOTING" in codes(envelope(spark, path, check_quoting=True))
+    assert not S.mixed_quoting('a,b\n"x","y, z"\n"u","v"\n'.split("\n", 1)[1], ",", '"')
+
+
+def test_registry_of_formats(spark, tmp_path):
+    assert formats.format_of("x/Y.CSV").name == "csv" and formats.FORMATS["csv"].schema_version == "0.1"
+    with pytest.raises(ValueError, match="no format"):
+        formats.extract(spark, "x.parquet")
+    formats.register(formats.Format("lines", ".lines", lambda spark, path, **o: {"format": "lines", "rows": spark.read.text(path).count()}))
+    try:
+        assert formats.extract(spark, write(tmp_path, "a.lines", "1\n2\n")) == {"format": "lines", "rows": 2}
+    finally:
+        del formats.FORMATS["lines"]
+
+
+def test_command_line_and_rows(spark, tmp_path, capsys):
+    path = write(tmp_path, "c.csv", "who,city\nAda,Holt\nBo,Rye\nCy,Ely\nDi,Ayr\n")
+    assert main([path, "--head-n", "1", "--tail-n", "0"]) == 0
+    text, _, tail = capsys.readouterr().out.rpartition("#")
+    record = __import__("json").loads(text)
+    assert len(record["samples"]["head"]) == 1 and record["samples"]["tail"] == [] and "tokens" in tail
+    row = envelopes(spark, [path]).first()
+    assert row.path == path and row.est_tokens == len(row.envelope) // 4
+
+
+def test_named_files(spark, tmp_path):
+    rows = spark.createDataFrame([("a/b/x.txt", "é"), ("y.json", None)], "name string, text string")
+    assert sorted((r.name, r.bytes) for r in S.write_named_files(rows, str(tmp_path / "out")).collect()) == [("a/b/x.txt", 2), ("y.json", 0)]
+    assert (tmp_path / "out/a/b/x.txt").read_text() == "é"

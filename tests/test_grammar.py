@@ -49,10 +49,17 @@ def test_numbers_agree_with_python(spark):
 
 
 def test_values_equal_agrees_with_the_row_form(spark):
-    values = ["1", "1.0", "1_0", "10", " a", "a", "A", "", None, "nan", "x", "inf"]
+    values = ["1", "1.0", "1_0", "10", " a", "a", "A", "", None, "nan", " nan", "NaN ", "x", "inf"]
     pairs = [(a, b) for a in values for b in values]
     rows = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
     got = [r.x for r in rows.select("i", G.values_equal(F.col("a"), F.col("b")).alias("x")).orderBy("i").collect()]
     # equal texts are equal even as nan; the numbers nan never are
     assert got == [equal(a, b) for a, b in pairs]
     assert math.isnan(float("nan"))
+
+
+def test_dates_of_many_forms(spark):
+    values = ["2024-01-05", "2024/01/05", "01/05/2024", "25/12/2024", "Jan 5, 2024", "January 5, 2024", "5 Jan 2024", "05-Jan-2024", "2024-01-05T10:20:30Z", "2024-01-05T10:20:30+02:00", "2024-01-05 10:20:30.123456", "10:30", "007", "20240105", "Apple 5", "", None]
+    got = evaluate(spark, values, lambda v: F.date_format(G.to_timestamp(v), "MM-dd HH:mm:ss"))
+    assert got[:3] == ["01-05 00:00:00"] * 3 and got[3] == "12-25 00:00:00" and got[4:8] == ["01-05 00:00:00"] * 4
+    assert got[8:11] == ["01-05 10:20:30", "01-05 08:20:30", "01-05 10:20:30"] and got[11].endswith("10:30:00") and got[12:] == [None] * 5

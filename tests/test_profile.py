@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from tabshift.operators import profile as P
@@ -78,3 +79,11 @@ def test_first_distinct_and_names(spark):
     assert P.deduplicated_names(["a", "b", "a", "a", "a.1"]) == ["a", "b", "a.1", "a.2", "a.1.1"]
     header = spark.createDataFrame([(1, ["x", "y", "x", "y", "x"])], "id int, names array<string>")
     assert [(r.name, r.second_at) for r in P.duplicate_names(header, "id", "names").orderBy("second_at").collect()] == [("x", 2), ("y", 3)]
+
+
+def test_estimated_counts_are_near(spark):
+    df = spark.range(20_000).selectExpr("cast(id % 7000 as string) as a", "cast(id as string) as b", "if(id % 4 = 0, null, 'x') as c")
+    exact, near = ({r.col_name: r for r in P.profile(df, approximate=x).collect()} for x in (False, True))
+    for c in "abc":
+        assert near[c].unique_count == pytest.approx(exact[c].unique_count, rel=0.06)
+        assert near[c].asDict() | {"unique_count": 0} == exact[c].asDict() | {"unique_count": 0}

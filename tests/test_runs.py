@@ -88,3 +88,51 @@ def test_typed_numbers_keep_their_kind(spark):
     df = typed(spark.createDataFrame([("1", "25.00", "007", "yes")], "a string, b string, c string, d string"))
     assert [f.dataType.simpleString() for f in df.schema] == ["bigint", "double", "string", "boolean"]
     assert df.select(F.to_json(F.struct("a", "b", "c"))).first()[0] == '{"a":1,"b":25.0,"c":"007"}'
+
+
+@pytest.mark.parametrize("text", ["1234567890123456789", "9007199254740993", "-99999999999999999999999999999999999999", "1" * 40])
+def test_integers_stay_exact(spark, text):
+    from tabshift.plans.convert import typed
+
+    row = typed(spark.createDataFrame([(0, text), (1, "7")], "row_idx int, n string")).filter("row_idx = 0").select(F.to_json(F.struct("n"))).first()[0]
+    assert row == ('{"n":' + text + "}" if len(text) < 40 else '{"n":"' + text + '"}')
+
+
+def test_converters_by_name(spark, root):
+    with pytest.raises(ValueError, match="unknown converter"):
+        R.converter("oracle")
+    keys = [k for k, s in C.SAMPLES.items() if s.use_case == "log"]
+    native = R.converter("native", spark, {k: f"{root}/{k}/input.txt" for k in keys}, {k: C.SAMPLES[k].spec for k in keys})
+    results = R.evaluate(R.select_cases(R.discover(spark, root), "log"), native)
+    assert [tuple(r.scores) for r in results.collect()] == [(1.0,) * 4] * 3
+
+
+def test_success_needs_a_return_code_of_zero(spark):
+    cases = spark.createDataFrame([(k,) for k in "abcd"], "case_id string")
+    outputs = spark.createDataFrame([("a", "x", 0), ("b", "x", 1), ("c", "", 0)], "case_id string, raw_output string, return_code int")
+    assert {r.case_id: r.ok for r in R.replay(outputs)(cases).collect()} == {"a": True, "b": False, "c": False, "d": False}
+
+
+def test_summary_and_artefacts(spark, root, tmp_path):
+    import json
+
+    outputs = spark.createDataFrame([(k, s.expected or " ".join(s.required)) for k, s in C.SAMPLES.items() if k != "log/simple_01"], "case_id string, raw_output string")
+    results = R.evaluate(R.discover(spark, root), R.replay(outputs)).cache()
+    R.write_summary(results, str(tmp_path / "run"), run_id="r1", model="none")
+    record = json.loads((tmp_path / "run/summary.json").read_text())
+    assert record["run_id"] == "r1" and record["aggregate"]["n_cases"] == 15 and record["aggregate"]["n_inference_errors"] == 1
+    assert record["aggregate"]["by_use_case"]["nest"] == {"n": 3, "format_validity": 1.0, "schema_compliance": 1.0, "loadability": 1.0, "content_accuracy": 1.0}
+    assert [c["case_id"] for c in record["cases"][:2]] == ["flatten/simple_01", "flatten/simple_02"]
+    assert R.write_artefacts(results, str(tmp_path / "out")) == 45
+    assert (tmp_path / "out/nest/simple_01/actual.json").read_text() == C.SAMPLES["nest/simple_01"].expected
+    meta = json.loads((tmp_path / "out/log/simple_01/teacher_meta.json").read_text())
+    assert (meta["ok"], meta["cleaned_size_bytes"]) == (False, 0)
+    assert R.summary(results.limit(0))["aggregate"] == {}
+
+
+def test_report_sums_keep_all_digits(spark, tmp_path):
+    path = tmp_path / "r.csv"
+    path.write_text("who,paid\na,123456789012.25\nb,0.5\n")
+    from tabshift.plans.convert import Spec
+
+    assert "Paid: 123456789012.75\n" in convert(spark, str(path), Spec("report", title="T", sums={"Paid": "paid"}))

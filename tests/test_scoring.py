@@ -94,3 +94,20 @@ def test_cleanup(spark):
     rows = spark.createDataFrame([(i, f, raw) for i, (f, raw, _, _) in enumerate(cases)], "i int, f string, raw string")
     got = [(r.c.text, r.c.applied) for r in rows.select("i", cleaned(F.col("raw"), F.col("f")).alias("c")).orderBy("i").collect()]
     assert got == [(text, applied) for _, _, text, applied in cases]
+
+
+def test_deep_values_need_no_recursion():
+    deep = "[" * 5000 + "1" + "]" * 5000
+    parsed = V.parsed_json(deep)
+    if parsed is not V.MISSING:
+        assert [v for _, v in V.leaves(parsed)] == [1] and V.skeleton(parsed).count("[") == 5000
+    assert len(V.score(deep, deep, "json", None)) == 4
+    assert V.skeleton({"b": [], "a": [{"x": None}, 1], "c": "s"}) == '{"a":[{"x":NoneType}],"b":[],"c":str}'
+
+
+def test_empty_fence_is_not_closed(spark):
+    from tabshift.operators.cleanup import without_fence
+
+    texts = ["```\n\n```", "```json\n\n\n{}\n```", "```\nx"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    assert [r.x for r in rows.orderBy("i").select(without_fence(F.col("t")).alias("x")).collect()] == [texts[0], "{}", texts[2]]
