@@ -87,10 +87,12 @@ def field_order(spark: SparkSession, path: str) -> list[str]:
 
 def convert(spark: SparkSession, path: str, spec: Spec) -> str:
     if spec.kind == "log":
-        lines = S.with_position(spark.read.text(path))
+        lines = spark.read.text(path)
+        lines = S.with_position(lines, single=S.one_partition(lines))
         return csv_text(T.parse_log(lines, keep=("row_idx",)), "row_idx")
     if spec.kind in ("flatten", "rename_json", "restructure"):
-        rows = S.with_position(spark.read.option("multiLine", True).json(path))
+        rows = spark.read.option("multiLine", True).json(path)
+        rows = S.with_position(rows, single=S.one_partition(rows))
         if spec.kind == "flatten":
             return csv_text(T.flatten(rows, ["row_idx", *field_order(spark, path)]), "row_idx")
         if spec.kind == "rename_json":

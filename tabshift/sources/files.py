@@ -46,12 +46,20 @@ def encodings(spark: SparkSession, path: str) -> DataFrame:
     return scan(spark, path).select("path", "size", "encoding", "attempted")
 
 
-def with_position(df: DataFrame, name: str = "row_idx") -> DataFrame:
+def one_partition(scan: DataFrame) -> bool:
+    """Whether a scan (a plan without exchanges) has a single partition; looks at the plan, runs nothing."""
+    return scan._jdf.queryExecution().toRdd().getNumPartitions() <= 1
+
+
+def with_position(df: DataFrame, name: str = "row_idx", single: bool = False) -> DataFrame:
     """Contiguous positions from 0 in the order of partitions and rows within them.
 
     Two passes: rows per partition, then each row's place in its partition plus the rows before. What the window sees is one
-    row a partition. The order is that of a file scan; the input must be deterministic.
+    row a partition. The order is that of a file scan; the input must be deterministic. ``single``: there is one partition only,
+    which needs neither pass.
     """
+    if single:
+        return df.withColumn(name, F.monotonically_increasing_id())
     marked = df.withColumn("_at", F.monotonically_increasing_id())
     part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
     sizes = marked.groupBy(part.alias("_p")).agg(F.count("*").alias("_n"))
@@ -154,7 +162,7 @@ def read_raw(spark: SparkSession, path: str, dialect: Dialect, encoding: str = "
     else:
         lines = reader.csv(path)
         first = lines.first()
-    placed = with_position(lines)
+    placed = with_position(lines, single=one_partition(lines))
     if first is None:
         return placed
     if dialect.has_header:
