@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from tabshift.llm.html_text import extract, main_text
@@ -16,6 +18,11 @@ CASES = {
     "hidden": (f"<article><p>{P}</p><p hidden>no</p><div style='display: none'>no</div><div aria-hidden=true>no</div></article>", P),
     "references": ("<p>&lt;b&gt; &copy; &#x41;&#66; &amp;amp; &bogus; 1 < 2</p>", "<b> © AB &amp; &bogus; 1 < 2"),
     "upper case and single quotes": (f"<ARTICLE CLASS='x'><P TITLE='a > b'>{P}</P></ARTICLE>", P),
+    "linked titles": (f"<article><p>{P}</p><ul><li><a href=1>A long study of foxes in the garden</a></li><li><a href=2>Why lazy dogs were never seen again</a></li></ul></article>", f"{P}\nA long study of foxes in the garden\nWhy lazy dogs were never seen again"),
+    "article about comments": (f"<nav><a href=1>x</a></nav><article class='comments-policy'><p>{P}</p><p>{P}</p></article>", f"{P}\n{P}"),
+    "comments longer than the article": (f"<div class='story'><p>{P}</p></div><section class='comments'>" + f"<p>{P} {P}</p>" * 9 + "</section>", P),
+    "uneven sections": (f"<body><div class=top-bar><a href=1>a</a></div><section><p>{P}</p>" + f"<p>{P}</p>" * 20 + f"</section><p>Short one.</p><section><p>{P}</p></section></body>", "\n".join([P] * 21 + ["Short one.", P])),
+    "score decides without names": (f"<body><div><a href=1>One</a> <a href=2>Two</a></div><table><tr><td><a href=3>Three</a></td></tr></table><div><div><p>{P}</p><p>{P}</p></div></div><div><a href=4>Four</a></div></body>", f"{P}\n{P}"),
     "reader comments in the article": (f"<article><p>{P}</p><div class='comment-list'><p>{P}</p></div></article>", P),
 }
 
@@ -33,6 +40,24 @@ def test_depth_and_length():
     assert main_text(None) == main_text("") == ""
 
 
+@pytest.mark.parametrize("unit", ["<div><p>{}</p>", "<b><i>{}", "<li><div>{}", "</i><b>{}", "<title>{}", " <span> </span>{}"])
+def test_time_grows_with_length_not_depth(unit):
+    def seconds(n):
+        html = "<div><i>" + unit.format("a, b") * n + f"<p>{P}</p>"
+        began = time.perf_counter()
+        main_text(html)
+        return time.perf_counter() - began
+
+    seconds(2000)
+    assert seconds(16_000) < 24 * max(seconds(2000), 0.02)
+
+
+def test_ten_thousand_levels_and_paragraphs():
+    assert main_text("<div>" * 10_000 + f"<p>{P}</p>" * 10_000 + "</div>" * 10_000).count("\n") == 9999
+    nested = main_text("".join(f"<div><p>{P} {i}</p>" for i in range(10_000)))
+    assert nested.count("fox") >= 9_000
+
+
 def test_query_form(spark):
     pages = spark.createDataFrame([(1, "u", f"<p>{P} é</p>", "x"), (2, None, None, "y"), (2, None, None, "y")], "page_id long, url string, html string, text string")
     got = sorted((r.page_id, r.url, r.text, r.n_chars) for r in extract(pages).filter("page_id = 1").collect())
