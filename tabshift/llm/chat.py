@@ -1,9 +1,11 @@
 """Chat formatting by schema fingerprints, in DataFrame functions alone.
 
-A record's fingerprint is the hash of its nested field paths, as far as the registry knows them (other fields never matter). It
-selects a declarative mapping, a row of ``LAYOUTS``, that turns messages, prompt or instruction layouts into canonical turns
-(conversation, turn, role, text). JSON records are fingerprinted row by row, tables once from their schema; both ways give
-one hash. The template then writes turns as
+``LAYOUTS`` is a registry of declarative mappings. Each names the nested field paths that it needs; its fingerprint is the hash of
+these. A record or a table is of a layout if the hash of those of the layout's paths that it has is that fingerprint; of several
+the one with the most paths maps it, so further fields never matter. The paths of JSON records are read row by row (a path below a
+list is there if any element has it), those of tables once from the schema; both ways give one hash. The chosen mapping turns
+turn rows, messages, prompt or instruction layouts into canonical turns (conversation, turn, role, text). The template then writes
+turns as
 
     <|im_start|>role NEWLINE text <|im_end|> NEWLINE
 
@@ -11,9 +13,11 @@ Inside a text, any ``<``, backslashes, ``|`` gets one more backslash, and loses
 string; roles are percent-encoded where they aren't plain words. The loss mask is the list of code-point spans of assistant
 texts. Offsets come from a running sum over turns, so a long conversation costs no more a turn than a short one.
 
-Defined results: null roles and texts are empty; turns with equal numbers go by role, then text; null turns come first; a null
-conversation id is a conversation of its own; a record of unknown layout gives no turns but keeps its row in ``canonical``
-with layout null; an empty table gives an empty result; other columns are ignored.
+Defined results: null roles and texts are empty; turns with equal numbers go by role, then text; null turns come first; rows
+without a conversation id can't be told to belong together, so that each is a conversation of its own; a record of unknown layout,
+without a turn, or that is no JSON is one turn of role ``unknown`` that holds the record as it is, with layout null, so that none
+is lost; a message without text that calls tools has its calls as text, and the texts of a list of parts are joined by newlines;
+an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,40 +31,52 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 START, END, NEWLINE = "<|im_start|>", "<|im_end|>", "\n"
+UNKNOWN = "unknown"
 
 
 class Layout(NamedTuple):
-    """paths: the known field paths that it has; turns: (role, path) of single texts, or one (role path, text path) below ``each``."""
+    """paths: the field paths that it needs. Then one of
+
+    * turns: (role, path) of single texts; those that are empty are left out;
+    * each, fields: a list of messages and (role path, text path) below it;
+    * rows: the columns (conversation, turn, role, text) of a table of turns.
+
+    before: (role, path) of texts that may go before the turns.
+    """
 
     name: str
     paths: tuple[str, ...]
     turns: tuple[tuple[str, str], ...] = ()
     each: str = ""
     fields: tuple[str, str] = ("", "")
+    rows: tuple[str, str, str, str] | None = None
+    before: tuple[tuple[str, str], ...] = (("system", "system"),)
 
 
 LAYOUTS = (
-    Layout("turn_rows", ("conv_id", "turn", "role", "text")),
+    Layout("turn_rows", ("conv_id", "turn", "role", "text"), rows=("conv_id", "turn", "role", "text")),
+    Layout("utterance_rows", ("dialog_id", "position", "speaker", "utterance"), rows=("dialog_id", "position", "speaker", "utterance")),
+    Layout("message_rows", ("conversation_id", "index", "role", "content"), rows=("conversation_id", "index", "role", "content")),
     Layout("messages", ("messages[].role", "messages[].content"), each="messages", fields=("role", "content")),
     Layout("conversations", ("conversations[].from", "conversations[].value"), each="conversations", fields=("from", "value")),
     Layout("instruction_input", ("instruction", "input", "output"), turns=(("user", "instruction"), ("user", "input"), ("assistant", "output"))),
     Layout("instruction", ("instruction", "output"), turns=(("user", "instruction"), ("assistant", "output"))),
-    Layout("system_prompt", ("system", "prompt", "response"), turns=(("system", "system"), ("user", "prompt"), ("assistant", "response"))),
     Layout("prompt_response", ("prompt", "response"), turns=(("user", "prompt"), ("assistant", "response"))),
     Layout("prompt_completion", ("prompt", "completion"), turns=(("user", "prompt"), ("assistant", "completion"))),
     Layout("question_answer", ("question", "answer"), turns=(("user", "question"), ("assistant", "answer"))),
     Layout("nested_prompt", ("data.prompt", "data.response"), turns=(("user", "data.prompt"), ("assistant", "data.response"))),
 )
-KNOWN = tuple(sorted({p for layout in LAYOUTS for p in layout.paths}))
+#: Most specific first; of equals the one listed first.
+BY_PATHS = tuple(sorted(LAYOUTS, key=lambda layout: -len(layout.paths)))
+KNOWN = tuple(sorted({p for layout in LAYOUTS if not layout.rows for p in layout.paths}))
 #: Names of speakers in common layouts.
 SPEAKERS = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "chatgpt": "assistant"}
-ROW_PATHS = ("conv_id", "turn", "role", "text")
+TURNS = "array<struct<role:string,text:string>>"
 
 
-def fingerprint_of(paths: Iterable[str]) -> int:
-    """The hash of known paths, as the signed long that ``record_fingerprint`` gives."""
-    known = ",".join(sorted(set(paths) & set(KNOWN)))
-    value = xxhash.xxh64_intdigest(known.encode(), 42)
+def fingerprint_of(paths: Iterable[str], layout: Layout) -> int:
+    """The hash of those of a layout's paths that are among ``paths``, as the signed long that ``record_fingerprint`` gives."""
+    value = xxhash.xxh64_intdigest(",".join(sorted(set(paths) & set(layout.paths))).encode(), 42)
     return value - (1 << 64) if value >> 63 else value
 
 
@@ -73,58 +89,93 @@ def schema_paths(kind: T.DataType, before: str = "") -> list[str]:
     return [before]
 
 
-def record_fingerprint(variant: Column) -> Column:
-    present = [F.when(F.variant_get(variant, "$." + p.replace("[]", "[0]"), "variant").isNotNull(), F.lit(p)) for p in KNOWN]
-    return F.xxhash64(F.array_join(F.array_compact(F.array(*present)), ","))
+def record_paths(variant: Column) -> Column:
+    """The KNOWN paths that a record has, in order."""
+
+    def has(path: str) -> Column:
+        above, listed, below = path.partition("[].")
+        if not listed:
+            return F.try_variant_get(variant, f"$.{path}", "variant").isNotNull()
+        elements = F.try_variant_get(variant, f"$.{above}", "array<variant>")
+        return F.exists(elements, lambda m: F.try_variant_get(m, f"$.{below}", "variant").isNotNull())
+
+    return F.array_compact(F.array(*[F.when(has(p), F.lit(p)) for p in KNOWN]))
 
 
-def layout_of(fingerprint: Column) -> Column:
+def record_fingerprint(paths: Column, layout: Layout) -> Column:
+    """The hash of those of a layout's paths that a record has."""
+    own = F.array(*[F.lit(p) for p in sorted(layout.paths)])
+    return F.xxhash64(F.array_join(F.array_intersect(own, paths), ","))
+
+
+def layout_of(paths: Column) -> Column:
     chosen = F.lit(None).cast("string")
-    for layout in LAYOUTS:
-        chosen = F.when(fingerprint == F.lit(fingerprint_of(layout.paths)), F.lit(layout.name)).otherwise(chosen)
+    for layout in reversed([x for x in BY_PATHS if not x.rows]):
+        chosen = F.when(record_fingerprint(paths, layout) == F.lit(fingerprint_of(layout.paths, layout)), F.lit(layout.name)).otherwise(chosen)
     return chosen
 
 
+def table_layout(schema: T.StructType) -> Layout | None:
+    """The layout whose fingerprint a table's schema has."""
+    paths = schema_paths(schema)
+    return next((x for x in BY_PATHS if fingerprint_of(paths, x) == fingerprint_of(x.paths, x)), None)
+
+
 def _message(role: str, text: str):
-    """A message's canonical turn."""
+    """A message's canonical turn, from a variant."""
     named = F.create_map(*[F.lit(x) for pair in SPEAKERS.items() for x in pair])
-    return lambda m: F.struct(F.coalesce(F.try_element_at(named, F.coalesce(m[role], F.lit(""))), m[role]).alias("role"), m[text].alias("text"))
+
+    def turn(m: Column) -> Column:
+        get = lambda path: F.try_variant_get(m, f"$.{path}", "string")
+        parts = F.try_variant_get(m, f"$.{text}", "array<variant>")
+        joined = F.array_join(F.transform(parts, lambda p: F.coalesce(F.try_variant_get(p, "$.text", "string"), F.try_variant_get(p, "$", "string"))), NEWLINE)
+        said = F.coalesce(F.when(parts.isNotNull(), joined).otherwise(get(text)), get("tool_calls"), get("function_call"))
+        return F.struct(F.coalesce(F.try_element_at(named, F.coalesce(get(role), F.lit(""))), get(role)).alias("role"), said.alias("text"))
+
+    return turn
 
 
 def canonical(records: DataFrame, id_col: str, json_col: str) -> DataFrame:
-    """(conv_id, layout, turns) of JSON records; turns: array<struct<role, text>>, null for an unknown layout or bad JSON."""
-    v = F.try_parse_json(F.col(json_col))
-    rows = records.select(F.col(id_col).cast("long").alias("conv_id"), v.alias("v"))
-    rows = rows.withColumn("layout", layout_of(record_fingerprint(F.col("v"))))
-    pick = lambda p: F.try_variant_get(F.col("v"), f"$.{p}", "string")
-    turns = F.lit(None).cast("array<struct<role:string,text:string>>")
+    """(conv_id, layout, turns) of JSON records; turns: array<struct<role, text>>."""
+    rows = records.select(F.col(id_col).cast("long").alias("conv_id"), F.col(json_col).cast("string").alias("json"), F.try_parse_json(F.col(json_col).cast("string")).alias("v"))
+    rows = rows.withColumn("layout", layout_of(record_paths(F.col("v"))))
+
+    def single(pairs: tuple[tuple[str, str], ...]) -> Column:
+        both = F.array(*[F.struct(F.lit(r).alias("role"), F.try_variant_get(F.col("v"), f"$.{p}", "string").alias("text")) for r, p in pairs]).cast(TURNS)
+        return F.filter(both, lambda t: F.coalesce(t["text"], F.lit("")) != "")
+
+    turns = F.lit(None).cast(TURNS)
     for layout in LAYOUTS:
         if layout.each:
-            role, text = layout.fields
-            list_of = F.try_variant_get(F.col("v"), f"$.{layout.each}", f"array<struct<`{role}`:string,`{text}`:string>>")
-            own = F.transform(list_of, _message(role, text))
+            own = F.transform(F.try_variant_get(F.col("v"), f"$.{layout.each}", "array<variant>"), _message(*layout.fields)).cast(TURNS)
         elif layout.turns:
-            both = F.array(*[F.struct(F.lit(r).alias("role"), pick(p).alias("text")) for r, p in layout.turns])
-            # a text that is empty or missing is no turn here
-            own = F.filter(both, lambda t: F.coalesce(t["text"], F.lit("")) != "")
+            own = single(layout.turns)
         else:
             continue
-        turns = F.when(F.col("layout") == layout.name, own).otherwise(turns)
-    return rows.select("conv_id", "layout", turns.alias("turns"))
+        turns = F.when(F.col("layout") == layout.name, F.concat(single(layout.before), own)).otherwise(turns)
+    whole = F.array(F.struct(F.lit(UNKNOWN).alias("role"), F.col("json").alias("text"))).cast(TURNS)
+    found = rows.select("conv_id", "json", "layout", turns.alias("turns"))
+    some = F.coalesce(F.size("turns") > 0, F.lit(False))
+    return found.select("conv_id", F.when(some, F.col("layout")).alias("layout"), F.when(some, F.col("turns")).otherwise(whole).alias("turns"))
 
 
 def turn_rows(records: DataFrame, id_col: str, json_col: str) -> DataFrame:
-    """Canonical (conv_id, turn, role, text) rows of JSON records."""
-    found = canonical(records, id_col, json_col)
+    """Canonical (conv_id, turn, role, text) rows of JSON records; those without an id are told apart by negative ids below -1."""
+    found = canonical(records, id_col, json_col).withColumn("conv_id", F.coalesce("conv_id", -2 - F.monotonically_increasing_id()))
     return found.select("conv_id", F.posexplode("turns").alias("turn", "t")).select("conv_id", F.col("turn").cast("long").alias("turn"), "t.role", "t.text")
 
 
-def table_rows(table: DataFrame) -> DataFrame:
-    """Canonical rows of a table whose schema has the fingerprint of turn rows."""
-    names = {f.name.lower() for f in table.schema.fields}
-    if fingerprint_of(p for p in schema_paths(table.schema) if p in ROW_PATHS and p in names) != fingerprint_of(ROW_PATHS):
-        raise ValueError("not a table of turns")
-    return table.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+def table_rows(table: DataFrame, id_col: str | None = None) -> DataFrame:
+    """Canonical (conv_id, turn, role, text) rows of a table, by the mapping that its schema's fingerprint selects.
+
+    Tables of records (one conversation a row) need ``id_col``.
+    """
+    layout = table_layout(table.schema)
+    if layout is not None and layout.rows:
+        return table.select(*[F.col(c).cast(kind).alias(name) for c, kind, name in zip(layout.rows, ("long", "long", "string", "string"), ("conv_id", "turn", "role", "text"), strict=True)])
+    if layout is None or id_col is None:
+        raise ValueError("not a table of turns" if layout is None else f"a table of {layout.name} needs the column of its ids")
+    return turn_rows(table.select(F.col(id_col).alias("id"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in table.columns])).alias("record")), "id", "record")
 
 
 def escaped(text: Column) -> Column:
@@ -139,14 +190,15 @@ def formatted(rows: DataFrame) -> DataFrame:
     """(conv_id, formatted, mask): one text a conversation; mask: array<struct<start, end>> of the assistant's texts in it."""
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     head = F.concat(F.lit(START), F.url_encode(role), F.lit(NEWLINE))
-    shown = rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), head.alias("head"), escaped(text).alias("body"))
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
+    shown = rows.select("conv_id", alone.alias("alone"), "turn", role.alias("role"), text.alias("text"), head.alias("head"), escaped(text).alias("body"))
     shown = shown.withColumn("piece", F.concat("head", "body", F.lit(END + NEWLINE)))
-    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = Window.partitionBy("conv_id", "alone").orderBy(F.col("turn").asc_nulls_first(), "role", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = shown.withColumn("place", F.row_number().over(order)).withColumn("past", F.sum(F.char_length("piece").cast("long")).over(order))
     start = F.col("past") - F.char_length("piece") + F.char_length("head")
     span = F.when(F.col("role") == "assistant", F.struct(start.alias("start"), (start + F.char_length("body")).alias("end")))
     parts = F.array_sort(F.collect_list(F.struct("place", "piece", span.alias("span"))))
-    whole = placed.groupBy("conv_id").agg(parts.alias("parts"))
+    whole = placed.groupBy("conv_id", "alone").agg(parts.alias("parts"))
     return whole.select("conv_id", F.array_join(F.transform("parts", lambda p: p["piece"]), "").alias("formatted"), F.array_compact(F.transform("parts", lambda p: p["span"])).alias("mask"))
 
 

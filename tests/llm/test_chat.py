@@ -31,6 +31,7 @@ def test_read_back(spark):
 
 
 def test_layouts(spark):
+    call = [{"name": "f", "arguments": "{}"}]
     records = [
         (1, {"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}], "meta": {"x": [1]}}, "messages", [("user", "q"), ("assistant", "a")]),
         (2, {"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]}, "conversations", [("user", "q"), ("assistant", "a")]),
@@ -38,25 +39,56 @@ def test_layouts(spark):
         (4, {"instruction": "do", "output": "done"}, "instruction", [("user", "do"), ("assistant", "done")]),
         (5, {"prompt": "p", "completion": "c"}, "prompt_completion", [("user", "p"), ("assistant", "c")]),
         (6, {"data": {"prompt": "p", "response": "r"}}, "nested_prompt", [("user", "p"), ("assistant", "r")]),
-        (7, {"question": "q", "answer": "a", "turn": None}, None, None),
-        (8, {"nothing": 1}, None, None),
+        (7, {"question": "q", "answer": "a", "turn": None, "prompt": "x"}, "question_answer", [("user", "q"), ("assistant", "a")]),
+        (11, {"system": "s", "messages": [{"role": "user", "content": "q"}]}, "messages", [("system", "s"), ("user", "q")]),
+        (12, {"messages": [{"role": "assistant", "tool_calls": call}, {"role": "tool", "content": None}, {"role": "user", "content": "q"}]}, "messages", [("assistant", json.dumps(call, separators=(",", ":"), sort_keys=True)), ("tool", None), ("user", "q")]),
+        (13, {"messages": [{"role": "user", "content": [{"type": "text", "text": "see"}, {"type": "text", "text": "this"}, {"type": "image", "url": "u"}]}]}, "messages", [("user", 'see\nthis\n{"type":"image","url":"u"}')]),
+        (14, {"system": "be brief", "instruction": "do", "output": "done"}, "instruction", [("system", "be brief"), ("user", "do"), ("assistant", "done")]),
     ]
-    df = spark.createDataFrame([(i, json.dumps(r)) for i, r, _, _ in records] + [(9, "{bad"), (10, None)], "k long, j string")
+    lost = [(8, '{"nothing": 1}'), (9, "{bad"), (10, None), (15, '{"messages": []}'), (16, '{"prompt": "", "response": null}')]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, r, _, _ in records] + lost, "k long, j string")
     got = {r.conv_id: r for r in chat.canonical(df, "k", "j").collect()}
     for i, _, layout, turns in records:
-        assert got[i].layout == layout
-        assert (None if got[i].turns is None else [tuple(t) for t in got[i].turns]) == turns
-    assert got[9].layout is None and got[10].layout is None and len(got) == 10
+        assert (got[i].layout, [tuple(t) for t in got[i].turns]) == (layout, turns), i
+    for i, text in lost:
+        assert (got[i].layout, [tuple(t) for t in got[i].turns]) == (None, [("unknown", text)])
+    rows = chat.turn_rows(df, "k", "j")
+    assert {r.conv_id for r in rows.collect()} == {i for i, *_ in [*records, *lost]}
+
+
+def test_records_without_an_id_stay_apart(spark):
+    df = spark.createDataFrame([(None, '{"prompt": "p", "response": "r"}')] * 2, "k long, j string")
+    assert sorted(r["count"] for r in chat.turn_rows(df, "k", "j").groupBy("conv_id").count().collect()) == [2, 2]
 
 
 def test_table_and_record_fingerprints_agree(spark):
-    df = spark.createDataFrame([(json.dumps({"messages": [{"role": "u", "content": "c", "n": 1}], "extra": 2}),)], "j string")
-    shown = df.select(chat.record_fingerprint(F.parse_json("j")).alias("f")).first().f
-    assert shown == chat.fingerprint_of(["messages[].role", "messages[].content", "extra"])
+    layouts = {x.name: x for x in chat.LAYOUTS}
+    df = spark.createDataFrame([(json.dumps({"messages": [{"role": "u", "n": 1}, {"content": "c"}], "extra": 2}),)], "j string")
+    paths = chat.record_paths(F.parse_json("j"))
     schema = spark.createDataFrame([], "messages array<struct<role string, content string>>, extra int").schema
-    assert shown == chat.fingerprint_of(chat.schema_paths(schema))
-    with pytest.raises(ValueError):
+    for name in ("messages", "conversations", "instruction"):
+        shown = df.select(chat.record_fingerprint(paths, layouts[name]).alias("f")).first().f
+        assert shown == chat.fingerprint_of(["messages[].role", "messages[].content", "extra"], layouts[name]) == chat.fingerprint_of(chat.schema_paths(schema), layouts[name])
+    assert chat.table_layout(schema).name == "messages"
+
+
+def test_schema_selects_the_mapping_of_a_table(spark):
+    rows = lambda df, *a: sorted(tuple(r) for r in chat.table_rows(df, *a).collect())
+    want = [(1, 0, "user", "q"), (1, 1, "assistant", "a")]
+    assert rows(spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "a")], "dialog_id int, position int, speaker string, utterance string")) == want
+    assert rows(spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "a")], "conversation_id int, index int, role string, content string")) == want
+    assert rows(spark.createDataFrame([(1, [("user", "q"), ("assistant", "a")])], "k int, messages array<struct<role string, content string>>"), "k") == want
+    assert rows(spark.createDataFrame([(1, "q", "a")], "k int, prompt string, response string"), "k") == want
+    with pytest.raises(ValueError, match="not a table"):
         chat.table_rows(spark.createDataFrame([], "conv_id long, text string"))
+    with pytest.raises(ValueError, match="ids"):
+        chat.table_rows(spark.createDataFrame([], "prompt string, response string"))
+
+
+def test_rows_without_a_conversation_are_alone(spark):
+    df = spark.createDataFrame([(None, 0, "user", "a"), (None, 1, "assistant", "b"), (3, 0, "user", "c")], ROWS)
+    got = chat.digests(chat.formatted(chat.table_rows(df))).collect()
+    assert sorted((r.conv_id is None, r.n_turns, r.loss_chars) for r in got) == [(False, 1, 0), (True, 1, 0), (True, 1, 1)]
 
 
 def test_empty_and_clashing_columns(spark):
