@@ -312,13 +312,14 @@ def _scored(spark: SparkSession, sf_dir: str, actual: Column, expected: Column,
     return rows.select(key, V.scores(F.col("a"), F.col("e"), F.lit(fmt), F.col("r") if required is not None else None).alias("s"))
 
 
-@query("q_fmt_valid_json", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS format_validity FROM events")
+@query("q_fmt_valid_json", r"SELECT event_id, CAST(json_valid(CASE WHEN event_id % 4 = 0 THEN regexp_replace(props, '\}$', '') ELSE props END) AS DOUBLE) AS format_validity FROM events")
 def fmt_valid_json(spark, sf_dir):
     broken = F.when(F.col("event_id") % 4 == 0, F.regexp_replace("props", r"\}$", "")).otherwise(F.col("props"))
     return _scored(spark, sf_dir, broken, F.col("props"), "json").select("event_id", "s.format_validity")
 
 
-@query("q_fmt_valid_csv", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS format_validity FROM events")
+@query("q_fmt_valid_csv", """SELECT event_id, CAST(len(string_split(line, ',')) = len(string_split('id,kind', ',')) AS DOUBLE) AS format_validity
+  FROM (SELECT event_id, user_id || ',' || event_type || CASE WHEN event_id % 4 = 0 THEN ',more' ELSE '' END AS line FROM events) x""")
 def fmt_valid_csv(spark, sf_dir):
     text = F.concat(F.lit("id,kind\n"), F.col("user_id").cast("string"), F.lit(","), F.col("event_type"), F.when(F.col("event_id") % 4 == 0, ",more").otherwise(""))
     return _scored(spark, sf_dir, text, text, "csv").select("event_id", "s.format_validity")
@@ -330,47 +331,60 @@ def fmt_valid_txt(spark, sf_dir):
     return _scored(spark, sf_dir, text, F.lit(""), "txt", source="documents", key="doc_id").select("doc_id", "s.format_validity")
 
 
-@query("q_schema_compliance", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS schema_compliance FROM events")
+@query("q_schema_compliance", """SELECT event_id, CAST(json_structure(CASE event_id % 4 WHEN 0 THEN '{"k": ' || k || '}' WHEN 1 THEN '{"k": ' || k || '.0}' WHEN 2 THEN '{"k": "' || k || '"}' ELSE '{"k": ' || k || ', "x": 1}' END)
+  = json_structure(props) AS DOUBLE) AS schema_compliance FROM (SELECT *, json_extract_string(props, '$.k') AS k FROM events) x""")
 def schema_compliance(spark, sf_dir):
     k = F.get_json_object("props", "$.k")
     mutated = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit('{"k": '), k, F.lit("}"))).when(F.col("event_id") % 4 == 1, F.concat(F.lit('{"k": '), k, F.lit(".0}"))).when(F.col("event_id") % 4 == 2, F.concat(F.lit('{"k": "'), k, F.lit('"}'))).otherwise(F.concat(F.lit('{"k": '), k, F.lit(', "x": 1}')))
     return _scored(spark, sf_dir, mutated, F.col("props"), "json").select("event_id", "s.schema_compliance")
 
 
-@query("q_loadability", "SELECT event_id, CASE event_id % 3 WHEN 2 THEN 0.0 ELSE 1.0 END::DOUBLE AS loadability FROM events")
+@query("q_loadability", """SELECT event_id, CAST(json_type(CASE event_id % 3 WHEN 0 THEN props WHEN 1 THEN '{"rows": [' || props || ']}' ELSE '17' END) IN ('OBJECT', 'ARRAY') AS DOUBLE) AS loadability FROM events""")
 def loadability(spark, sf_dir):
     text = F.when(F.col("event_id") % 3 == 0, F.col("props")).when(F.col("event_id") % 3 == 1, F.concat(F.lit('{"rows": ['), F.col("props"), F.lit("]}"))).otherwise(F.lit("17"))
     return _scored(spark, sf_dir, text, F.col("props"), "json").select("event_id", "s.loadability")
 
 
+#: Both texts of ``_json_pair`` in SQL, and the share of equal leaves.
+_JSON_SQL = """WITH r AS (SELECT event_id, '{"id": ' || event_id || ', "user": {"id": ' || user_id || '.0}, "tags": ["' || CASE WHEN event_id % 4 = 0 THEN 'other' ELSE event_type END || '", null]}' AS a,
+  '{"id": ' || event_id || ', "user": {"id": "' || user_id || '"}, "tags": ["' || event_type || '", null]}' AS e FROM events)
+  SELECT event_id, (CAST(json_extract(a, '$.id') = json_extract(e, '$.id') AS INTEGER) + CAST(CAST(json_extract_string(a, '$.user.id') AS DOUBLE) = CAST(json_extract_string(e, '$.user.id') AS DOUBLE) AS INTEGER)
+  + CAST(json_extract(a, '$.tags[0]') = json_extract(e, '$.tags[0]') AS INTEGER) + CAST(json_type(a, '$.tags[1]') = json_type(e, '$.tags[1]') AS INTEGER)) / 4.0::DOUBLE AS content_accuracy FROM r"""
+
+
 def _json_pair() -> tuple[Column, Column]:
     record = lambda bad: F.concat(F.lit('{"id": '), F.col("event_id").cast("string"), F.lit(', "user": {"id": "'), F.col("user_id").cast("string"), F.lit('"}, "tags": ["'), F.when(F.lit(bad) & (F.col("event_id") % 4 == 0), "other").otherwise(F.col("event_type")), F.lit('", null]}'))
     return F.regexp_replace(record(True), r'"id": "(\d+)"', '"id": $1.0'), record(False)
 
 
-@query("q_content_json", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 0.75 ELSE 1.0 END::DOUBLE AS content_accuracy FROM events")
+@query("q_content_json", _JSON_SQL)
 def content_json(spark, sf_dir):
     """Four leaves: id, user.id (a number written as text), tags[0] (wrong in each fourth row), tags[1] (null)."""
     return _scored(spark, sf_dir, *_json_pair(), "json").select("event_id", "s.content_accuracy")
 
 
-@query("q_content_json_joined", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 0.75 ELSE 1.0 END::DOUBLE AS content_accuracy FROM events")
+@query("q_content_json_joined", _JSON_SQL)
 def content_json_joined(spark, sf_dir):
     a, e = _json_pair()
     return V.json_accuracy(table(spark, sf_dir, "events").select("event_id", a.alias("a"), e.alias("e")), "event_id", "a", "e")
 
 
+#: The cells of ``_csv_pair`` in SQL.
+_CSV_SQL = """WITH r AS (SELECT event_id, [CAST(user_id AS VARCHAR), event_type, '7', CASE WHEN event_id % 4 = 0 THEN 'other' ELSE 'x' END] AS a, [CAST(user_id AS VARCHAR), event_type, '7', 'x'] AS e FROM events)
+  SELECT event_id, count(*) FILTER (WHERE a[i] = e[i]) / 4.0::DOUBLE AS content_accuracy FROM r, range(1, 5) u(i) GROUP BY event_id"""
+
+
 def _csv_pair() -> tuple[Column, Column]:
     rows = lambda bad: F.concat(F.lit("ID,Kind\n"), F.col("user_id").cast("string"), F.lit(","), F.col("event_type"), F.lit("\n7,"), F.when(F.lit(bad) & (F.col("event_id") % 4 == 0), "other").otherwise("x"))
     return F.regexp_replace(rows(True), "^ID,Kind", "id, kind"), rows(False)
 
 
-@query("q_content_csv", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 0.75 ELSE 1.0 END::DOUBLE AS content_accuracy FROM events")
+@query("q_content_csv", _CSV_SQL)
 def content_csv(spark, sf_dir):
     return _scored(spark, sf_dir, *_csv_pair(), "csv").select("event_id", "s.content_accuracy")
 
 
-@query("q_content_csv_joined", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 0.75 ELSE 1.0 END::DOUBLE AS content_accuracy FROM events")
+@query("q_content_csv_joined", _CSV_SQL)
 def content_csv_joined(spark, sf_dir):
     a, e = _csv_pair()
     return V.csv_accuracy(table(spark, sf_dir, "events").select("event_id", a.alias("a"), e.alias("e")), "event_id", "a", "e")
@@ -385,9 +399,19 @@ def content_txt(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", V.substring_accuracy(F.col("text"), F.array(*[F.lit(s) for s in NEEDLES])).alias("content_accuracy"))
 
 
-@query("q_score_all", "SELECT event_id, 1.0::DOUBLE AS format_validity, 1.0::DOUBLE AS schema_compliance, 1.0::DOUBLE AS loadability, 1.0::DOUBLE AS content_accuracy FROM events")
+@query("q_score_all", """WITH r AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN '[' || props WHEN 1 THEN '"' || event_type || '"' WHEN 2 THEN '[{"k": "' || json_extract_string(props, '$.k') || '"}]' WHEN 3 THEN '[{"k": 1.5}]' ELSE '[' || props || ']' END AS a, '[ ' || props || ' ]' AS e FROM events),
+  v AS (SELECT *, json_valid(a) AS ok, CASE WHEN json_valid(a) THEN a ELSE 'null' END AS j FROM r)
+  SELECT event_id, CAST(ok AS DOUBLE) AS format_validity, CAST(ok AND json_structure(j) = json_structure(e) AS DOUBLE) AS schema_compliance, CAST(ok AND json_type(j) IN ('OBJECT', 'ARRAY') AS DOUBLE) AS loadability,
+  CAST(ok AND coalesce(CAST(json_extract_string(j, '$[0].k') AS DOUBLE) = CAST(json_extract_string(e, '$[0].k') AS DOUBLE), false) AS DOUBLE) AS content_accuracy FROM v""")
 def score_all(spark, sf_dir):
-    return _scored(spark, sf_dir, F.concat(F.lit("["), F.col("props"), F.lit("]")), F.concat(F.lit("[ "), F.col("props"), F.lit(" ]")), "json").select("event_id", "s.*")
+    """All four scores of texts that are cut off, no table, of another type, of another value, or right."""
+    k = F.get_json_object("props", "$.k")
+    rest = F.col("event_id") % 5
+    actual = (
+        F.when(rest == 0, F.concat(F.lit("["), F.col("props"))).when(rest == 1, F.concat(F.lit('"'), F.col("event_type"), F.lit('"'))).when(rest == 2, F.concat(F.lit('[{"k": "'), k, F.lit('"}]')))
+        .when(rest == 3, F.lit('[{"k": 1.5}]')).otherwise(F.concat(F.lit("["), F.col("props"), F.lit("]")))
+    )
+    return _scored(spark, sf_dir, actual, F.concat(F.lit("[ "), F.col("props"), F.lit(" ]")), "json").select("event_id", "s.*")
 
 
 PAIRS = [("1", "1", True), ("9.99", "9.990", True), ("1_000", "1000", True), ("a ", "a", True), ("a", "A", False), ("", None, True), ("nan", "NaN", False), ("5d", "5", False), ("1e3", "1000", True), (" ", "", True), ("007", "7", True), ("x", None, False), ("inf", "Infinity", True)]
