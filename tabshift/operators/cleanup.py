@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,6 +14,9 @@ from tabshift.functions import grammar as G
 FENCED = r"(?s)\A(?>```[A-Za-z0-9_+\-]*\s*\n)(.*?)\n```"
 
 
+DECODER = json.JSONDecoder()
+
+
 def without_fence(text: Column) -> Column:
     """The body of a fence that the text begins with; what follows the closing fence goes, an open fence stays."""
     return F.when(text.rlike(FENCED), F.regexp_extract(text, FENCED, 1)).otherwise(text)
@@ -31,6 +36,10 @@ def end_of_json(text: str) -> int | None:
     start = min((i for i in (text.find("{"), text.find("[")) if i >= 0), default=-1)
     if start < 0:
         return None
+    try:
+        return DECODER.raw_decode(text, start)[1]  # a whole value ends at the bracket that the walk below would find
+    except (ValueError, RecursionError):
+        pass
     opening = text[start]
     closing = "}" if opening == "{" else "]"
     depth, in_string, skip = 0, False, False

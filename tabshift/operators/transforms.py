@@ -106,19 +106,25 @@ def parse_log(lines: DataFrame, line: str = "value", pattern: str | None = None,
 
 
 def aligned(rows: DataFrame, columns: Sequence[str], order: str, numeric: Sequence[str] = (), group: Sequence[str] = ()) -> DataFrame:
-    """(group..., order, line): cells padded to the widest of their column, numbers to the right."""
-    from pyspark.sql import Window
+    """(group..., order, line): cells padded to the widest of their column (and group), numbers to the right.
 
-    over = Window.partitionBy(*[F.col(g) for g in group]) if group else Window.partitionBy(F.lit(0))
+    Widths are an aggregation; without groups its one row becomes part of the plan, with groups it is joined back.
+    """
     text = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
-    widths = rows
-    for i, c in enumerate(columns):
-        widths = widths.withColumn(f"_w{i}", F.greatest(F.max(F.char_length(text(c))).over(over), F.lit(len(c))))
+    widest = [F.greatest(F.max(F.char_length(text(c))), F.lit(len(c))).alias(f"_w{i}") for i, c in enumerate(columns)]
+    if group:
+        named = {g: f"_g{i}" for i, g in enumerate(group)}
+        widths = rows.groupBy(*group).agg(*widest).withColumnsRenamed(named)
+        same = [F.col(g).eqNullSafe(F.col(n)) for g, n in named.items()]
+        rows, width = rows.join(widths, same), [F.col(f"_w{i}") for i in range(len(columns))]
+    else:
+        found = rows.agg(*widest).first()
+        width = [F.lit(found[i] or 0) for i in range(len(columns))]
     cells = []
-    for i, c in enumerate(columns):
-        fill = F.repeat(F.lit(" "), F.col(f"_w{i}") - F.char_length(text(c)))
+    for c, w in zip(columns, width, strict=True):
+        fill = F.repeat(F.lit(" "), (w - F.char_length(text(c))).cast("int"))
         cells.append(F.concat(fill, text(c)) if c in numeric else F.concat(text(c), fill))
-    return widths.select(*group, order, F.rtrim(F.concat_ws("  ", *cells)).alias("line"))
+    return rows.select(*group, order, F.rtrim(F.concat_ws("  ", *cells)).alias("line"))
 
 
 def report(lines: DataFrame, title: Column, order: str, line: str = "line", group: Sequence[str] = (), footer: Column | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -100,9 +101,11 @@ def rendered(record: dict) -> tuple[str, int]:
     return text, len(text) // 4
 
 
-def envelopes(spark: SparkSession, paths: Sequence[str], **options: Any) -> DataFrame:
-    """(path, envelope, est_tokens) of some files, the envelope as pretty JSON."""
-    return spark.createDataFrame([(p, *rendered(envelope(spark, p, **options))) for p in paths], "path string, envelope string, est_tokens long")
+def envelopes(spark: SparkSession, paths: Sequence[str], at_once: int = 8, **options: Any) -> DataFrame:
+    """(path, envelope, est_tokens) of some files, the envelope as pretty JSON; the jobs of ``at_once`` files run side by side."""
+    with ThreadPoolExecutor(at_once) as pool:
+        rows = list(pool.map(lambda p: (p, *rendered(envelope(spark, p, **options))), paths))
+    return spark.createDataFrame(rows, "path string, envelope string, est_tokens long")
 
 
 def main(arguments: Sequence[str] | None = None) -> int:

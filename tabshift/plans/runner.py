@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,9 +65,10 @@ def replay(outputs: DataFrame) -> Converter:
     return lambda cases: cases.join(kept, "case_id", "left").withColumn("ok", succeeded(F.col("raw_output"), code)).drop("return_code")
 
 
-def native(spark: SparkSession, paths: Mapping[str, str], specs: Mapping[str, Spec]) -> Converter:
-    """A converter that runs the engine's own plans: by case_id the input's path and its spec."""
-    made = [(k, by_spec(spark, paths[k], spec)) for k, spec in specs.items()]
+def native(spark: SparkSession, paths: Mapping[str, str], specs: Mapping[str, Spec], at_once: int = 8) -> Converter:
+    """A converter that runs the engine's own plans: by case_id the input's path and its spec; ``at_once`` files side by side."""
+    with ThreadPoolExecutor(at_once) as pool:
+        made = list(pool.map(lambda k: (k, by_spec(spark, paths[k], specs[k])), specs))
     return replay(spark.createDataFrame(made, "case_id string, raw_output string"))
 
 

@@ -111,3 +111,17 @@ def test_empty_fence_is_not_closed(spark):
     texts = ["```\n\n```", "```json\n\n\n{}\n```", "```\nx"]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     assert [r.x for r in rows.orderBy("i").select(without_fence(F.col("t")).alias("x")).collect()] == [texts[0], "{}", texts[2]]
+
+
+def test_end_of_json_with_and_without_a_whole_value(monkeypatch):
+    from tabshift.operators import cleanup as C
+
+    texts = ['{"a": [1, "}"]} rest', 'x [1, {"b": 2}] y', '{"a": }} z', '["\\"]"] more', "{", "no", "[" * 3000 + "]" * 3000 + " t", '{"a": 1}{"b": 2}']
+    fast = [C.end_of_json(t) for t in texts]
+
+    class Never:
+        def raw_decode(self, *_):
+            raise ValueError
+
+    monkeypatch.setattr(C, "DECODER", Never())
+    assert fast == [C.end_of_json(t) for t in texts]
