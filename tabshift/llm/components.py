@@ -13,13 +13,23 @@ from pyspark.sql import functions as F
 from tabshift.llm.common import discard, staged
 
 MAX_ROUNDS = 60
+HOT_DEGREE, HOT_SHARE = 100_000, 10_000
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Large: a node's larger neighbours go to its least neighbour. Small: its smaller ones and itself do."""
+def _star(edges: DataFrame, large: bool, n: int) -> DataFrame:
+    """Large: a node's larger neighbours go to its least neighbour. Small: its smaller ones and itself do.
+
+    The nodes of more than HOT_DEGREE and of more than one in HOT_SHARE of the ``n`` edges are few (2 * HOT_SHARE at most): their least neighbours are
+    broadcast, so that their edges stay spread over all tasks.
+    """
     both = edges.select(F.col("u"), F.col("v")).union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-    joined = both.join(least, "u")
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d")).withColumn("m", F.least("m", "u"))
+    limit = max(HOT_DEGREE, n // HOT_SHARE)
+    if n > limit:
+        hot = F.broadcast(least.filter(F.col("d") > limit).select("u", "m"))
+        joined = both.join(hot, "u").unionByName(both.join(hot, "u", "left_anti").join(least.filter(F.col("d") <= limit).select("u", "m"), "u"))
+    else:
+        joined = both.join(least.select("u", "m"), "u")
     if large:
         out = joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -37,7 +47,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         if not mark.n or mark == before:
             break
         before = mark
-        last, now = now, staged(_star(_star(now, True), False), "components")
+        last, now = now, staged(_star(_star(now, True, mark.n), False, mark.n), "components")
         discard(last)
     else:
         raise RuntimeError("components did not settle")

@@ -260,16 +260,18 @@ def _named(prints: DataFrame, classes: DataFrame, edges: DataFrame, *more: str)
 
 
 # ---- similarity beyond four bits ----
-# Texts whose shingle sets have a Jaccard similarity of 0.8 differ in about nine bits of 64, so four bits find few of them. With
-# ``similarity`` set, texts that share a min-wise key of the same shingle hashes form families, and within a family the shingle
-# sets themselves are compared, every one with every other but for those already reached from it. A family of many shingles
-# is cut into blocks, and each pair of blocks is one comparison, so that no task holds a large family.
+# Texts whose shingle sets have a Jaccard similarity of 0.8 differ in about nine bits of 64, so four bits find few of them, and
+# four bits alone may join texts that are less alike. With ``similarity`` set, near fingerprints are one way to become candidates,
+# a shared min-wise key of the same shingle hashes another. Candidates form families, and within a family the shingle sets
+# themselves are compared, every one with every other but for those already reached from it: only a similarity that is met is a
+# link. A family of many shingles is cut into blocks, and each pair of blocks is one comparison, so that no task holds a large
+# family. Rows with the same shingle set (a variant) are one member.
 
 BANDS, ROWS = 32, 8
 BLOCK = 1 << 20  # shingles a block, about
 SKETCHED = "id long, row long, fp long, variant long, n int, bands binary"
 PAIRED = np.dtype([("key", "<u8"), ("fp", "<u8")])
-HEAD = 5  # task, side, variant, fingerprint and number of shingles go before a set's hashes
+HEAD = 4  # task, side, variant and number of shingles go before a set's hashes
 
 
 def _sketched(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -361,18 +363,18 @@ def set_links(sets: list[np.ndarray], side: np.ndarray, least: float) -> list[tu
 
 
 def family_links(records: np.ndarray, least: float) -> np.ndarray:
-    """(n, 2) fingerprints: the links of all comparisons of a shard; records: HEAD and hashes of each set, one after the other."""
-    tasks: dict[int, dict[tuple[int, int], tuple[int, np.ndarray]]] = {}
+    """(n, 2) variants: the links of all comparisons of a shard; records: HEAD and hashes of each set, one after the other."""
+    tasks: dict[int, dict[tuple[int, int], np.ndarray]] = {}
     at = 0
     while at < len(records):
-        task, side, variant, fp, n = records[at : at + HEAD].tolist()
-        tasks.setdefault(task, {})[side, variant] = fp, records[at + HEAD : at + HEAD + n]
+        task, side, variant, n = records[at : at + HEAD].tolist()
+        tasks.setdefault(task, {})[side, variant] = records[at + HEAD : at + HEAD + n]
         at += HEAD + n
     found = []
     for members in tasks.values():
         if len(members) > 1:
-            sides, fps, sets = np.array([s for s, _ in members]), [f for f, _ in members.values()], [x for _, x in members.values()]
-            found += [(fps[a], fps[b]) for a, b in set_links(sets, sides, least) if fps[a] != fps[b]]
+            sides, names = np.array([s for s, _ in members]), [v for _, v in members]
+            found += [(names[a], names[b]) for a, b in set_links(list(members.values()), sides, least) if names[a] != names[b]]
     return np.array(found, "<u8").reshape(-1, 2)
 
 
@@ -380,8 +382,8 @@ def _pairs(found: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(found[:, i].astype("<u8").view("<i8").copy()) for i in range(2)], names=["a", "b"])
 
 
-def similar_links(docs: DataFrame, variants: DataFrame, similarity: float, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(a, b) of fingerprints whose texts share a band key, directly or by others, and have a Jaccard similarity of ``similarity`` or more."""
+def similar_links(docs: DataFrame, variants: DataFrame, near: DataFrame, similarity: float, width: int, id_col: str, text_col: str) -> DataFrame:
+    """(a, b) of variants that share a band key or are ``near`` (a, b), directly or by others, and have a Jaccard similarity of ``similarity`` or more."""
     n = shard_count(variants, 4 << 20)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -399,33 +401,33 @@ def similar_links(docs: DataFrame, variants: DataFrame, similarity: float, width
             yield _pairs(found)
 
     packed = variants.select("variant", "bands").mapInArrow(keyed, "shard int, payload binary")
-    stars = staged(reduce_shards(packed, n, PAIRED, met, "a long, b long").distinct(), "simhash-stars")
+    stars = staged(reduce_shards(packed, n, PAIRED, met, "a long, b long").union(near).distinct(), "simhash-stars")
     families = components(stars, "a", "b")
     members = staged(variants.drop("bands").join(families, variants["variant"] == families["node"]).drop("node"), "simhash-members")
     discard(stars)
     # families of more than one block are few: a BLOCK of shingles each at least
     large = members.groupBy("root").agg(F.ceil(F.sum(F.col("n") + HEAD) / BLOCK).cast("int").alias("blocks")).filter("blocks > 1")
     large = large.select(F.col("root").alias("l_root"), "blocks")
-    members = members.join(F.broadcast(large), members["root"] == F.col("l_root"), "left").select("id", "row", "fp", "variant", "n", "root", F.coalesce("blocks", F.lit(1)).alias("blocks"))
+    members = members.join(F.broadcast(large), members["root"] == F.col("l_root"), "left").select("id", "row", "variant", "n", "root", F.coalesce("blocks", F.lit(1)).alias("blocks"))
     members = staged(members, "simhash-blocks")
     total = members.agg(F.sum((F.col("n") + HEAD).cast("long") * F.col("blocks"))).first()[0] or 0
     m = min(MAX_SHARDS, max(n, -(-total // BLOCK)))
     texts = docs.select(F.col(id_col).cast("long").alias("t_id"), _row(id_col, text_col).alias("t_row"), F.col(text_col).alias("text"))
-    sets = texts.join(members, F.col("t_id").eqNullSafe(members["id"]) & (F.col("t_row") == members["row"])).select("text", "fp", "variant", "root", "blocks")
+    sets = texts.join(members, F.col("t_id").eqNullSafe(members["id"]) & (F.col("t_row") == members["row"])).select("text", "variant", "root", "blocks")
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             shards: list[int] = []
             blobs: list[bytes] = []
-            fps, variant, roots = (batch.column(i).to_numpy(zero_copy_only=False).view("<u8") for i in (1, 2, 3))
-            for i, k in enumerate(batch.column(4).to_pylist()):
+            variant, roots = (batch.column(i).to_numpy(zero_copy_only=False).view("<u8") for i in (1, 2))
+            for i, k in enumerate(batch.column(3).to_pylist()):
                 hashes = np.unique(shingle_hashes(batch.column(0)[i].as_py(), width, SEED))
                 own = int(mix64(variant[i : i + 1] ^ np.uint64(SEED))[0] % np.uint64(k))
                 for j in range(k):
                     low, high = min(own, j), max(own, j)
                     task = xxhash.xxh64_intdigest(np.array([roots[i], low, high], "<u8").tobytes(), SEED)
                     shards.append(task % m)
-                    blobs.append(np.r_[np.array([task, own != low, variant[i], fps[i], len(hashes)], "<u8"), hashes].tobytes())
+                    blobs.append(np.r_[np.array([task, own != low, variant[i], len(hashes)], "<u8"), hashes].tobytes())
                     if len(blobs) >= 4096:
                         yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(blobs, pa.binary())], names=["shard", "payload"])
                         shards, blobs = [], []
@@ -443,20 +445,25 @@ def similar_links(docs: DataFrame, variants: DataFrame, similarity: float, width
 
 
 def groups(docs: DataFrame, *, similarity: float, distance: int = 4, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, component_id) where SimHash links join with those of similar shingle sets."""
+    """(id, component_id) of the groups that links of similar shingle sets make."""
     return _grouped(docs, similarity, distance, width, id_col, text_col).select(F.col("id").alias(id_col), "component_id")
 
 
 def _grouped(docs: DataFrame, similarity: float, distance: int, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, row, component_id, root): each row's group, which ``root`` names even where all ids are null."""
+    """(id, row, component_id, root): each row's group, which ``root`` names even where all ids are null. Texts without words are one group."""
     sketches = staged(_sketched(docs, id_col, text_col, width), "simhash-sketches")
-    classes = staged(sketches.groupBy("fp").agg(F.min("id").alias("first_id")), "simhash-classes")
-    best = sketches.filter("n > 0").groupBy("fp", "variant").agg(F.min(F.struct("id", "row", "n", "bands")).alias("m"))
-    variants = staged(best.select("fp", "variant", "m.id", "m.row", "m.n", "m.bands"), "simhash-variants")
-    edges = staged(links(classes.select("fp"), distance).union(similar_links(docs, variants, similarity, width, id_col, text_col)).distinct(), "simhash-links")
-    found = _named(sketches.select("id", "row", "fp"), classes, edges, "root")
-    out = staged(found.select("id", "row", "component_id", "root"), "simhash-found")
-    discard(sketches, classes, variants, edges)
+    best = sketches.groupBy("variant").agg(F.min("id").alias("first_id"), F.min(F.struct("id", "row", "n", "bands", "fp")).alias("m"))
+    variants = staged(best.select("variant", "first_id", "m.id", "m.row", "m.n", "m.bands", "m.fp"), "simhash-variants")
+    some = variants.filter("n > 0")
+    prints = staged(some.groupBy("fp").agg(F.min("variant").alias("first")), "simhash-classes")
+    found = links(prints.select("fp"), distance)
+    ends = [prints.select(F.col("fp").alias(f"{k}_fp"), F.col("first").alias(k)) for k in ("a", "b")]
+    near = found.select(F.col("a").alias("a_fp"), F.col("b").alias("b_fp")).join(ends[0], "a_fp").join(ends[1], "b_fp").select("a", "b")
+    equal = some.join(prints.withColumnRenamed("fp", "p_fp"), F.col("fp") == F.col("p_fp")).filter("variant <> first").select(F.col("first").alias("a"), F.col("variant").alias("b"))
+    edges = similar_links(docs, some.drop("first_id", "fp"), staged(near.union(equal), "simhash-near"), similarity, width, id_col, text_col)
+    rows = _named(sketches.select("id", "row", F.col("variant").alias("fp")), variants.select(F.col("variant").alias("fp"), "first_id"), edges, "root")
+    out = staged(rows.select("id", "row", "component_id", "root"), "simhash-found")
+    discard(sketches, variants, prints, edges)
     return out
 
 
