@@ -28,6 +28,10 @@ DATE_FORMS = {
 }
 
 
+#: What all of these looks have in common: one test sets numbers and most words aside.
+DATE_LIKE = r"^\s*(?:\d{1,4}[-/ ]|\d{1,2}:|\d{1,2}\.\d{1,2}\.|[A-Za-z]{3,9} \d)"
+
+
 def is_null(value: Column) -> Column:
     """Missing or the empty string; white space alone is a value."""
     return value.isNull() | (value == "")
@@ -69,7 +73,7 @@ def to_timestamp(value: Column) -> Column:
     cell, out = strip(value), F.lit(None).cast("timestamp")
     for look, forms in reversed(DATE_FORMS.items()):
         out = F.when(cell.rlike(look), F.coalesce(*[F.try_to_timestamp(cell, F.lit(f)) for f in forms])).otherwise(out)
-    return out
+    return F.when(value.rlike(DATE_LIKE), out)
 
 
 def zero_padded(value: Column) -> Column:
