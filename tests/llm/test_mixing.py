@@ -71,3 +71,53 @@ def test_rows_are_repeated(spark, make_docs):
     assert out.columns == docs.columns
     counts = {r.doc_id: r["count"] for r in out.groupBy("doc_id").count().collect()}
     assert counts.pop(99) == 1 and set(counts) == set(range(10)) and sum(counts.values()) == 15
+
+
+def test_threshold_and_filler_against_brute_force(spark, make_docs):
+    """The taken documents themselves: those below a hash threshold, of those that fit, and the one nearest to what is left."""
+    from pyspark.sql import functions as F
+
+    docs = make_docs([d for d in corpus() if d[0] is not None][:600])
+    rows = docs.select("doc_id", "text", "source", F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - mixing.BITS * mixing.LEVELS).alias("h")).collect()
+    size = {r.doc_id: len(WORD.findall(r.text or "")) for r in rows}
+    sizes = defaultdict(int)
+    for r in rows:
+        sizes[r.source] += size[r.doc_id]
+    want = targets(sizes)
+    got = {r.doc_id: r.taken for r in mixing.mix(docs).collect()}
+    for source, target in want.items():
+        own = [r for r in rows if r.source == source]
+        whole = min(int(target // sizes[source]), 2) if sizes[source] else 0
+        rest = 0 if whole == 2 else target - whole * sizes[source]
+        fit, chosen, left = sorted((r.h, r.doc_id) for r in own if 0 < size[r.doc_id] <= rest), set(), rest
+        for _, i in fit:
+            if left < size[i]:
+                break
+            chosen.add(i)
+            left -= size[i]
+        others = sorted((abs(size[r.doc_id] - left), r.doc_id) for r in own if size[r.doc_id] and r.doc_id not in chosen)
+        filled = {i for miss, i in others if left > 0 and miss == others[0][0] <= left}
+        extra = {r.doc_id for r in own if size[r.doc_id] and got[r.doc_id] == (whole + 1) * size[r.doc_id]}
+        assert all(got[r.doc_id] in (whole * size[r.doc_id], (whole + 1) * size[r.doc_id]) for r in own)
+        assert chosen <= extra and len(extra - chosen) == bool(filled) and extra - chosen <= filled, source
+
+
+def test_all_columns_stay_whatever_their_names(spark, make_docs):
+    from pyspark.sql import functions as F
+
+    docs = make_docs([(i, "a b c", "only") for i in range(10)])
+    for name in ("m_n", "m_times", "_mix_size", "_MIX_h", "size", "times", "target"):
+        docs = docs.withColumn(name, F.lit(name))
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns and out.count() == 15 and out.first()["_mix_size"] == "_mix_size"
+    assert mixing.mixed(make_docs([])).collect() == []
+
+
+def test_many_sources_and_one_hot_one(spark, make_docs):
+    rng = random.Random(3)
+    docs = [(i, "w " * rng.randrange(1, 30), "hot" if i % 3 == 0 else f"s{rng.randrange(400)}") for i in range(3000)]
+    taken, target = defaultdict(int), {}
+    for r in mixing.mix(make_docs(docs), with_source=True).collect():
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert abs(taken["hot"] - target["hot"]) <= 30 and all(abs(taken[s] - t) <= 30 for s, t in target.items())
