@@ -10,7 +10,7 @@ text compresses. Labels are learned from at most ``max_labels`` rows (MAX_LABELS
 ``max_pairs`` pairs (MAX_PAIRS); what reaches the driver is bounded by these. Scoring is one pass over all texts.
 
 Defined results: null and empty texts score like a text without words; unlabelled or unusable labels (null id or quality) are
-left out; without both classes there is nothing to rank and every document scores CUT; repeated rows score alike; a null id is
+left out; of documents with one id the text with the least hash is learned from; without both classes there is nothing to rank and every document scores CUT; repeated rows score alike; a null id is
 never held out; an empty table gives an empty result. Other columns (lang, source, n_chars, ...) are never read.
 """
 
@@ -101,10 +101,10 @@ class Ranker(NamedTuple):
 def rank(good: np.ndarray, bad: np.ndarray, max_pairs: int = MAX_PAIRS, ridge: float = RIDGE) -> Ranker:
     """Fit the pairwise model; pairs cycle through both classes, so each row is used as evenly as can be."""
     both = np.concatenate([good, bad])
-    means, scales = both.mean(axis=0), both.std(axis=0) + 1e-6
     width = both.shape[1]
     if not len(good) or not len(bad):
         return Ranker(np.zeros(width), np.zeros(width), np.ones(width), 0.0, 1.0)
+    means, scales = both.mean(axis=0), both.std(axis=0) + 1e-6
     g, b = (good - means) / scales, (bad - means) / scales
     n = int(min(max_pairs, len(g) * len(b)))
     k = np.arange(n, dtype=np.int64)
@@ -133,14 +133,16 @@ def held_out(id_col: str = "doc_id") -> Column:
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labels: int = MAX_LABELS, max_pairs: int = MAX_PAIRS) -> Ranker:
     """Learn from the labelled rows that aren't held out: at most max_labels of them, chosen by the hash of their id."""
     usable = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("l_id"), F.col(label_col).cast("int").alias("label"))
-    chosen = F.broadcast(usable.orderBy(F.xxhash64("l_id"), "label").limit(max_labels))  # max_labels rows of two numbers
+    chosen = F.broadcast(usable.distinct().orderBy(F.xxhash64("l_id"), "label").limit(max_labels))  # max_labels rows of two numbers
 
     @F.pandas_udf("array<double>")
     def measured(text: pd.Series) -> pd.Series:
         return text.map(features)
 
     met = docs.select(F.col(id_col).alias("d_id"), F.col(text_col).alias("d_text")).join(chosen, F.col("d_id") == F.col("l_id"))
-    rows = met.select("d_id", "label", measured("d_text").alias("f")).toPandas().sort_values(["d_id", "label"], kind="stable")
+    # of documents with one id the text with the least hash counts, so that no more rows than labels reach the driver
+    one = met.groupBy("d_id", "label").agg(F.min(F.struct(F.xxhash64("d_text").alias("h"), F.col("d_text"))).alias("m"))
+    rows = one.select("d_id", "label", measured("m.d_text").alias("f")).toPandas().sort_values(["d_id", "label"], kind="stable")
     matrix = np.array(rows["f"].tolist(), float).reshape(len(rows), len(NAMES))
     label = rows["label"].to_numpy(int)
     return rank(matrix[label == 1], matrix[label == 0], max_pairs)

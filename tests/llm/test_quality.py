@@ -59,3 +59,29 @@ def test_ranking_and_quantile():
     assert np.mean(both >= Q.CUT) == pytest.approx(0.9, abs=0.01)
     assert len(Q.features("x " * 10)) == len(Q.NAMES) == len(Q.features(None))
     assert np.isfinite(np.array([Q.features(t) for t in ("", "\n", "!", "a" * 100_000, "漢" * 9)])).all()
+
+
+def test_weights_against_gradient_descent():
+    """The same loss over all pairs, minimised by small steps."""
+    rng = np.random.default_rng(4)
+    g, b = rng.normal(0.7, 1, (12, 4)), rng.normal(0, 1.5, (9, 4))
+    r = Q.rank(g, b, max_pairs=10**6)
+    both = np.concatenate([g, b])
+    means, scales = both.mean(axis=0), both.std(axis=0) + 1e-6
+    pairs = np.array([(x - y) / scales for x in g for y in b])
+    w = np.zeros(4)
+    for _ in range(200_000):
+        step = pairs.T @ (1 / (1 + np.exp(-(pairs @ w))) - 1) / len(pairs) + Q.RIDGE * w
+        w -= 0.3 * step
+        if np.abs(step).max() < 1e-10:
+            break
+    assert np.allclose(r.weights, w, atol=1e-6) and np.allclose(r.means, means)
+    raw = (both - means) / scales @ w
+    assert r.threshold == pytest.approx(np.quantile(raw, 9 / 21)) and r.score(both)[np.argmax(raw)] == r.score(both).max()
+
+
+def test_repeated_ids_add_no_rows(spark, make_docs):
+    docs = corpus(90)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i, _ in docs] * 3, "doc_id long, quality int")
+    once, often = Q.fit(make_docs(docs), labels), Q.fit(make_docs(docs * 5), labels)
+    assert np.allclose(once.weights, often.weights) and once.threshold == pytest.approx(often.threshold)
