@@ -1,4 +1,8 @@
-"""What the operators of this subpackage share: the shared folder, staged tables, shard counts and order buckets."""
+"""What the operators of this subpackage share: the shared folder, staged tables, shard counts and order buckets.
+
+An empty table has no cut points and one bucket; rows with equal keys share a bucket; null keys have none. The columns that are
+added have the names that are asked for, and the caller's tables have been reduced to columns of its own before.
+"""
 
 from __future__ import annotations
 

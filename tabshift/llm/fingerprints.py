@@ -6,7 +6,9 @@ sequence for every document. A fingerprint packs the BITS low-order bits of each
 unlike sets agree by chance at a rate of 2^-BITS, so the share m of agreeing bins is corrected to (m - 2^-BITS) / (1 - 2^-BITS).
 
 Defined results: a text of fewer than five words is one shingle; a text without words (null, empty, white space) has the empty
-fingerprint, which is like another empty one with 1 and like any other with 0; equal texts have equal fingerprints.
+fingerprint, which is like another empty one with 1 and like any other with 0; equal texts have equal fingerprints; rows with
+equal ids are separate documents, next to each other in order of their texts; null ids come after all others; the one row of a
+table is its own next document; an empty table gives an empty result; columns other than id and text are ignored.
 """
 
 from __future__ import annotations

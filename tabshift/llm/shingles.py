@@ -1,4 +1,7 @@
-"""Hashes of word shingles, shared by the fingerprint operators."""
+"""Hashes of word shingles, shared by the fingerprint operators.
+
+A function of one text: a null, empty or blank text has none; repeated shingles stay; a text of any length is read whole.
+"""
 
 from __future__ import annotations
 

@@ -1,12 +1,42 @@
 import hashlib
+import itertools
 import random
+import re
 
 import numpy as np
 import pytest
+import xxhash
 
 from tabshift.llm import fingerprints as fp
 
 
+def own_minhash(text):
+    """The definition, one hash and one bin at a time."""
+    words = re.findall("[^ \t\n\x0b\x0c\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if not words:
+        return b""
+    hashes = [xxhash.xxh64_intdigest(" ".join(words[i : i + 5]).encode(), 42) for i in range(max(1, len(words) - 4))]
+    least = {}
+    for h in hashes:
+        least[h >> 56] = min(h, least.get(h >> 56, h))
+
+    def probe(b, t):
+        x = (b * 2**32 + t + 0x9E3779B97F4A7C15) % 2**64
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+        x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+        return (x ^ x >> 31) >> 56
+
+    filled = [least[b] if b in least else least[next(p for p in (probe(b, t) for t in itertools.count(1)) if p in least)] for b in range(256)]
+    return bytes((filled[2 * i] & 15) << 4 | filled[2 * i + 1] & 15 for i in range(128))
+
+
+def own_likeness(a, b):
+    if not a or not b:
+        return float(a == b)
+    same = sum((x >> 4 == y >> 4) + (x & 15 == y & 15) for x, y in zip(a, b, strict=True)) / 256
+    return min(1.0, max(0.0, (same - 1 / 16) / (15 / 16)))
+
+
 def test_edits_against_brute_force(spark, make_docs):
     rng = random.Random(1)
     docs = [(i * 5, " ".join(rng.choice(["ab", "é", "漢字", "x"]) + str(rng.randrange(40)) for _ in range(rng.randrange(0, 200)))) for i in range(120)]
@@ -18,9 +48,9 @@ def test_edits_against_brute_force(spark, make_docs):
         text, after = text or "", order[(i + 1) % len(order)][1] or ""
         third = len(text) // 3
         edited = text[: len(text) - third] + after[:third]
-        want.append((doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), fp.minhash(text).hex(), fp.minhash(edited).hex(), fp.likeness(fp.minhash(text), fp.minhash(after))))
+        want.append((doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), own_minhash(text).hex(), own_minhash(edited).hex(), own_likeness(own_minhash(text), own_minhash(edited)), own_likeness(own_minhash(text), own_minhash(after))))
     key = lambda r: (str(r[0]), r[2])
-    assert sorted(want, key=key) == sorted([(r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, r.near_next) for r in got], key=key)
+    assert sorted(want, key=key) == sorted([(r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next) for r in got], key=key)
     assert all(0 <= r.near_edited <= 1 for r in got)
 
 
@@ -48,3 +78,17 @@ def test_empty_and_short_texts():
     assert fp.likeness(b"", b"") == 1.0 and fp.likeness(b"", fp.minhash("a")) == 0.0
     assert fp.minhash("One two") == fp.minhash("one  TWO") and len(fp.minhash("x")) == 128
     assert fp.likeness(fp.minhash("x"), fp.minhash("x")) == pytest.approx(1.0)
+
+
+def test_extra_columns_and_many_buckets(spark, make_docs):
+    from pyspark.sql import functions as F
+
+    docs = [(i * i - 500, f"text number {i} of some") for i in range(200)]
+    table = make_docs(docs)
+    for name in ("id", "bucket", "ahead", "top", "fingerprint", "goes"):
+        table = table.withColumn(name, F.lit(name))
+    rows = {r.doc_id: r.edited_sha256 for r in fp.edits(table).collect()}
+    order = sorted(docs, reverse=True)
+    for (doc_id, text), (_, after) in zip(order, order[1:] + order[:1], strict=True):
+        third = len(text) // 3
+        assert rows[doc_id] == hashlib.sha256((text[: len(text) - third] + after[:third]).encode()).hexdigest()
