@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabshift.llm.common import staged
+from tabshift.llm.common import discard, staged
 
 WINDOW, RAREST = 10, 2
 BROADCAST_KEYS = 500_000
@@ -83,13 +83,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, id_c
     """(id, h, spans) of the documents with a verified match; a span is (item_id, at, length)."""
     items = items_of(benchmark, item_id_col, "text")
     vocabulary = staged(items.select(F.explode("iw").alias("term")).distinct(), "vocabulary")
-    counts = staged(term_counts(docs, vocabulary, text_col), "term-counts").withColumnRenamed("n", "n_corpus")
-    needs = staged(anchors(items, counts, window), "anchors")
+    counts = staged(term_counts(docs, vocabulary, text_col), "term-counts")
+    counted = counts.withColumnRenamed("n", "n_corpus")
+    needs = staged(anchors(items, counted, window), "anchors")
     # a window with a word that the corpus lacks can't occur
-    terms = staged(needs.select(F.explode(F.flatten("needs")).alias("a")).select("a.term").distinct().join(counts, "term").select("term"), "anchor-terms")
+    terms = staged(needs.select(F.explode(F.flatten("needs")).alias("a")).select("a.term").distinct().join(counted, "term").select("term"), "anchor-terms")
     index = staged(postings(docs, terms, id_col, text_col), "postings")
-    found = candidates(index, needs).join(items, "item").groupBy("id", "h").agg(F.collect_list(F.struct("item_id", "start", "iw")).alias("found"))
-    found = staged(found, "candidates")
+    # an item's words go once to a document, however many places they may stand at
+    places = candidates(index, needs).groupBy("item", "id", "h").agg(F.collect_set("start").alias("starts"))
+    found = staged(places.join(items, "item").groupBy("id", "h").agg(F.collect_list(F.struct("item_id", "iw", "starts")).alias("found")), "candidates")
 
     keyed = _keyed(docs, id_col, text_col)
     keys = found.select(F.col("id").alias("k_id"), F.col("h").alias("k_h"))
@@ -100,11 +102,16 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, id_c
     both = keyed.dropDuplicates(["id", "h"]).join(named, keyed["id"].eqNullSafe(named["f_id"]) & (keyed["h"] == named["f_h"]))
     # written, as the functions below would else part the text into words again for every place
     both = staged(both.select("id", "h", words(F.col("text")).alias("dw"), "found"), "candidate-words")
+    discard(items, vocabulary, counts, needs, terms, index, found)
 
     def spans(c: Column) -> Column:
         width = F.least(F.lit(window), F.size(c["iw"]))
-        here = F.filter(F.sequence(F.lit(0), F.size(c["iw"]) - width), lambda j: (c["start"] + j >= 0) & (F.slice(F.col("dw"), F.greatest(c["start"] + j, F.lit(0)) + 1, width) == F.slice(c["iw"], j + 1, width)))
-        return F.transform(here, lambda j: F.struct(c["item_id"].alias("item_id"), (c["start"] + j).alias("at"), width.alias("length")))
+
+        def at(start: Column) -> Column:
+            here = F.filter(F.sequence(F.lit(0), F.size(c["iw"]) - width), lambda j: (start + j >= 0) & (F.slice(F.col("dw"), F.greatest(start + j, F.lit(0)) + 1, width) == F.slice(c["iw"], j + 1, width)))
+            return F.transform(here, lambda j: F.struct(c["item_id"].alias("item_id"), (start + j).alias("at"), width.alias("length")))
+
+        return F.flatten(F.transform(c["starts"], at))
 
     return both.select("id", "h", F.flatten(F.transform("found", spans)).alias("spans")).filter(F.size("spans") > 0)
 
