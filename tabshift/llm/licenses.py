@@ -4,8 +4,8 @@ The terms are those of the templates. A notice is a line or a paragraph of a fil
 a file that is a licence file by its name. Its weights are tf * idf over the templates' terms, with idf from the document counts of
 the whole corpus; every other word weighs as much as a term that no document has, so a licence's words in passing, amid prose,
 score low. Notices without a telling word (``SIGNAL``) are passed over. A file's own licence is the best template above the
-threshold, if any. A licence file, by name or because a notice is its first or last line or paragraph, speaks for its directory; files without a
-notice of their own inherit from the nearest ancestor directory that has one: ancestors are exploded, joined to the
+threshold, if any. A licence file (by its name; in corpora without file names any file that begins or ends with a notice, if
+asked for) speaks for its directory; files without a notice of their own inherit from the nearest ancestor directory that has one: ancestors are exploded, joined to the
 directories' licences by path, and the longest wins.
 
 Defined results: null or empty texts have no notice; null paths have no directory and inherit nothing; of several licence files
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabshift.llm.common import staged
+from tabshift.llm.common import discard, staged
 
 MIT_GRANT = (
     'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, '
@@ -50,11 +50,15 @@ TEMPLATES = {
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     "CC0-1.0": ("Dedicated to the public domain under CC0 1.0.", "Creative Commons CC0 1.0 Universal public domain dedication"),
+    "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "ISC License"),
+    "EPL-2.0": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", "Eclipse Public License - v 2.0"),
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
     "Proprietary": ("All rights reserved.", "Copyright. All rights reserved."),
 }
+#: The tag that a file's header may carry instead of a notice.
+TAG = "SPDX-License-Identifier: {0}"
 #: Words that tell a notice, in any case.
-SIGNAL = r"(?i)licen[sc]|copyright|rights reserved|public domain|permission is hereby|redistribut|\bCC0\b|SPDX"
+SIGNAL = r"(?i)licen[sc]|copyright|rights reserved|public domain|permission is hereby|is hereby granted|redistribut|\bCC0\b|SPDX"
 LICENSE_FILE = r"(?i)(^|/)(licen[sc]e|copying|unlicense|notice)(\.[a-z]+)?$"
 THRESHOLD = 0.6
 WHOLE = -(1 << 31) + 1  # the line number of a whole text
@@ -67,8 +71,13 @@ def terms_of(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), BREAK), "")
 
 
+def templates() -> dict[str, tuple[str, ...]]:
+    """Each licence's notices, and the tag with its name."""
+    return {name: texts if name == "Proprietary" else (*texts, TAG.format(name)) for name, texts in TEMPLATES.items()}
+
+
 def _templates(spark: SparkSession) -> DataFrame:
-    rows = [(name, i, text) for name, texts in sorted(TEMPLATES.items()) for i, text in enumerate(texts)]
+    rows = [(name, i, text) for name, texts in sorted(templates().items()) for i, text in enumerate(texts)]
     return spark.createDataFrame(rows, "license string, variant int, words string")
 
 
@@ -119,7 +128,9 @@ def own_licenses(files: DataFrame, *, id_col: str, path_col: str, text_col: str,
     scored = scored.filter((F.col("license") != "Proprietary") | (F.col("line") == WHOLE) | ~F.coalesce(F.col("path").rlike(LICENSE_FILE), F.lit(False)))
     best = scored.filter(F.col("similarity") >= threshold).groupBy("id", "path", "h").agg(
         F.min(F.struct((-F.col("similarity")).alias("s"), F.col("license"), F.col("line"))).alias("b"), F.max("edge").alias("leads"))
-    return staged(best.select("id", "path", "h", F.col("b.license").alias("own"), (-F.col("b.s")).alias("similarity"), "leads"), "license-own")
+    out = staged(best.select("id", "path", "h", F.col("b.license").alias("own"), (-F.col("b.s")).alias("similarity"), "leads"), "license-own")
+    discard(df, idf, notices)
+    return out
 
 
 def ancestors(path: Column) -> Column:
@@ -128,14 +139,15 @@ def ancestors(path: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
 
 
-def scan(files: DataFrame, *, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def scan(files: DataFrame, *, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", threshold: float = THRESHOLD, leading: bool = False) -> DataFrame:
     """(id, path, own_license, similarity, license, inherited_from, distance) of every file.
 
     license is the file's own or the inherited one, null if neither; inherited_from is the id of the licence file, distance the
-    number of directories between.
+    number of directories between. ``leading`` makes every file that begins or ends with a notice a licence file, for corpora
+    without file names.
     """
     own = own_licenses(files, id_col=id_col, path_col=path_col, text_col=text_col, threshold=threshold)
-    speaks = own.filter("path is not null and (leads or path rlike '" + LICENSE_FILE.replace("\\", "\\\\") + "')")
+    speaks = own.filter(F.col("path").isNotNull() & (F.col("path").rlike(LICENSE_FILE) | (F.col("leads") if leading else F.lit(False))))
     folders = speaks.groupBy(F.regexp_replace("path", r"(^|/)[^/]*$", "").alias("folder")).agg(F.min(F.struct((-F.col("similarity")).alias("s"), F.col("id").alias("id"), F.col("own").alias("license"))).alias("f"))
     folders = staged(folders.select("folder", F.col("f.id").alias("from_id"), F.col("f.license").alias("folder_license")), "license-folders")
 

@@ -16,10 +16,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files source/lang/<thousand>/<hundred>/<id>: the table has no paths of its own."""
+    """Documents as files source/lang/<thousand>/<hundred>/<id>: the table has no paths, so those that lead with a notice stand for licence files."""
     folder = lambda k: F.coalesce(F.floor(F.col("doc_id") / k), F.lit(0)).cast("string")
     path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), folder(1000), folder(100), F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.lit(".txt")))
-    return licenses.scan(_table(spark, sf_dir, "documents").withColumn("path", path))
+    return licenses.scan(_table(spark, sf_dir, "documents").withColumn("path", path), leading=True)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

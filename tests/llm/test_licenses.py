@@ -1,3 +1,9 @@
+import collections
+import math
+import os
+import re
+
+import pytest
 from pyspark.sql import functions as F
 
 from tabshift.llm import licenses as L
@@ -6,7 +12,7 @@ FILES = "doc_id long, path string, text string"
 
 
 def scan(spark, rows):
-    return {(r.doc_id, r.path): r for r in L.scan(spark.createDataFrame(rows, FILES)).collect()}
+    return {(r.doc_id, r.path): r for r in L.scan(spark.createDataFrame(rows, FILES), leading=True).collect()}
 
 
 def test_scan_and_inheritance(spark):
@@ -113,3 +119,83 @@ import os
 def test_a_copyright_line_in_a_licence_file_is_no_licence(spark):
     bsd = "Copyright (c) The Regents of the University of California.\nAll rights reserved.\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:\n1. Redistributions of source code must retain the above copyright\n   notice, this list of conditions and the following disclaimer.\n"
     assert scan(spark, [(1, "b/COPYING", bsd), (2, "b/x", "y")])[1, "b/COPYING"].own_license == "BSD-3-Clause"
+
+
+def brute(files, leading, threshold=L.THRESHOLD):
+    """own licence, similarity, licence, source and distance of (id, path, text) rows, worked out one by one."""
+    terms = lambda t: [x for x in re.split("[^0-9A-Za-z]+", t.lower()) if x]
+    said = [(name, collections.Counter(terms(t))) for name, texts in L.templates().items() for t in texts]
+    vocabulary = {t for _, c in said for t in c}
+    n = len(files)
+    df = collections.Counter(t for _, _, text in files for t in set(terms(text or "")) & vocabulary)
+    idf = {t: math.log((n + 1) / (df[t] + 1)) + 1 for t in vocabulary}
+    most = math.log(n + 1) + 1
+
+    def similarity(counts, template):
+        length = math.sqrt(sum((k * idf.get(t, most)) ** 2 for t, k in counts.items()))
+        own = math.sqrt(sum((k * idf[t]) ** 2 for t, k in template.items()))
+        return sum(counts[t] * idf[t] * k * idf[t] for t, k in template.items()) / length / own
+
+    own, speaks = {}, {}
+    for at, (i, path, text) in enumerate(files):
+        text = text or ""
+        if not re.search(L.SIGNAL, text):
+            continue
+        whole = path is not None and bool(re.search(L.LICENSE_FILE, path))
+        lines = [x for x in text.split("\n") if x.strip(" ")]
+        paragraphs = [x for x in re.split(r"\n(?:[^\w\n]*\n)+", text) if re.search(r"\w", x)]
+        pieces = [(k, k in (0, len(lines) - 1), x) for k, x in enumerate(lines)]
+        pieces += [(-1 - k, k in (0, len(paragraphs) - 1), x) for k, x in enumerate(paragraphs) if "\n" in x.strip(" ")]
+        pieces += [(L.WHOLE, True, text)] if whole else []
+        scored = []
+        for line, edge, piece in pieces:
+            counts = collections.Counter(terms(piece))
+            if re.search(L.SIGNAL, piece) and counts:
+                scored += [(round(similarity(counts, t), 6), name, line, edge) for name, t in said if name != "Proprietary" or line == L.WHOLE or not whole]
+        scored = [s for s in scored if s[0] >= threshold]
+        if scored:
+            best = min(scored, key=lambda s: (-s[0], s[1], s[2]))
+            own[at] = best[1], best[0]
+            if path is not None and (whole or leading and any(s[3] for s in scored)):
+                folder = path.rpartition("/")[0]
+                speaks[folder] = min(speaks.get(folder, (9, 9, "")), (-best[0], i, best[1]))
+    out = []
+    for at, (i, path, _) in enumerate(files):
+        name, likeness = own.get(at, (None, None))
+        row = (i, path, name, likeness, name, None, None)
+        if name is None and path is not None:
+            folder = path.rpartition("/")[0]
+            up = folder
+            while up not in speaks and up:
+                up = up.rpartition("/")[0]
+            if up in speaks:
+                depth = lambda f: len(f.split("/")) if f else 0
+                row = (i, path, None, None, speaks[up][2], speaks[up][1], depth(folder) - depth(up))
+        out.append(row)
+    return out
+
+
+@pytest.mark.parametrize("leading", [False, True])
+def test_against_brute_force(spark, leading):
+    sf = "/root/testdata/sf0.001"
+    docs = [(r.doc_id, f"{r.source}/{r.lang}/{r.doc_id // 40}/{r.doc_id}.txt", r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()] if os.path.isdir(sf) else []
+    docs += [
+        (9001, "a/LICENSE", "MIT License\n\nCopyright (c) 2020 Jo\n\n" + L.MIT_GRANT), (9002, "a/b/c.py", "x = 1"), (9003, "a/b/d.py", "# SPDX-License-Identifier: Apache-2.0\ny = 2"),
+        (9004, "a/b/COPYING", "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007"), (9005, "a/b/e/f.c", None), (9006, None, "All rights reserved."), (9007, "top.txt", ""),
+        (9008, "z/p.js", "/* Licensed under the\n * MIT\n * License. */\n\ncode()"), (9009, "a/b/c.py", "x = 1"),
+    ]
+    got = L.scan(spark.createDataFrame(docs, "doc_id long, path string, text string"), leading=leading).collect()
+    shown = sorted((tuple(r[c] for c in ("doc_id", "path", "own_license", "similarity", "license", "inherited_from", "distance")) for r in got), key=lambda r: r[0])
+    want = sorted(brute(docs, leading), key=lambda r: r[0])
+    assert len(shown) == len(want)
+    for a, b in zip(shown, want, strict=True):
+        assert a[:3] == b[:3] and a[4:] == b[4:] and (a[3] == b[3] or abs(a[3] - b[3]) < 2e-6)
+    by_id = {r[0]: r for r in shown}
+    assert by_id[9001][2] == "MIT" and by_id[9003][2] == "Apache-2.0" and by_id[9002][4:] == (("Apache-2.0", 9003, 0) if leading else ("GPL-3.0", 9004, 0)) and by_id[9005][4:] == (("Apache-2.0", 9003, 1) if leading else ("GPL-3.0", 9004, 1)) and by_id[9008][2] == "MIT"
+
+
+@pytest.mark.parametrize("tag", ["MIT", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "BSD-3-Clause", "ISC", "CC0-1.0"])
+def test_tags(spark, tag):
+    docs = [(1, "a.c", f"// SPDX-License-Identifier: {tag}\nint x;"), (2, "b.py", f"# SPDX-License-Identifier: {tag}-or-later\nx = 1"), *[(10 + i, f"d/{i}", "plain words of a text that has no notice") for i in range(20)]]
+    got = {r.doc_id: r.own_license for r in L.scan(spark.createDataFrame(docs, "doc_id long, path string, text string")).collect()}
+    assert got[1] == got[2] == tag and set(got.values()) == {tag, None}
