@@ -29,7 +29,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabshift.llm.common import MAX_SHARDS, discard, shard_count, staged
@@ -265,12 +265,15 @@ def _named(prints: DataFrame, classes: DataFrame, edges: DataFrame, *more: str)
 # a shared min-wise key of the same shingle hashes another. Candidates form families, and within a family the shingle sets
 # themselves are compared, every one with every other but for those already reached from it: only a similarity that is met is a
 # link. A family of many shingles is cut into blocks, and each pair of blocks is one comparison, so that no task holds a large
-# family. Rows with the same shingle set (a variant) are one member.
+# family. Rows with the same shingle set (a variant) are one member. In a large family the members that share most keys are compared
+# with all others first; what hangs together then is not compared with itself again, so that copies of one original cost work in
+# proportion to their number, and only families without such a centre cost more.
 
 BANDS, ROWS = 32, 8
 BLOCK = 1 << 20  # shingles a block, about
 SKETCHED = "id long, row long, fp long, variant long, n int, bands binary"
 PAIRED = np.dtype([("key", "<u8"), ("fp", "<u8")])
+HUBS, HUBS_EACH = 0, 32  # a kind of comparison; hubs a large family
 HEAD = 4  # task, side, variant and number of shingles go before a set's hashes
 
 
@@ -382,65 +385,157 @@ def _pairs(found: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(found[:, i].astype("<u8").view("<i8").copy()) for i in range(2)], names=["a", "b"])
 
 
-def similar_links(docs: DataFrame, variants: DataFrame, near: DataFrame, similarity: float, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(a, b) of variants that share a band key or are ``near`` (a, b), directly or by others, and have a Jaccard similarity of ``similarity`` or more."""
+def _band_records(batch: pa.RecordBatch) -> np.ndarray:
+    """PAIRED records of a batch of (variant, bands), in order of key and variant."""
+    own = batch.column(0).to_numpy(zero_copy_only=False).view("<u8")
+    bands = [np.frombuffer(b.as_buffer(), "<u8") for b in batch.column(1)]
+    records = np.empty(sum(map(len, bands)), PAIRED)
+    if len(records):
+        records["key"], records["fp"] = np.concatenate(bands), np.repeat(own, [len(b) for b in bands])
+    return records[np.lexsort((records["fp"], records["key"]))]
+
+
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and sizes of the runs of equal keys."""
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
+    return starts, np.diff(np.r_[starts, len(keys)])
+
+
+def _met_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, d): the stars of the band keys within a batch (d 0), and for each variant that shares many keys, how often it does (d above 0)."""
+    for batch in batches:
+        records = _band_records(batch)
+        _, sizes = _runs(records["key"])
+        values, at = np.unique(records["fp"], return_inverse=True)
+        degree = np.bincount(at, np.repeat(sizes - 1, sizes), len(values)).astype(np.int64) if len(values) else np.empty(0, np.int64)
+        stars, many = band_stars(records) if len(records) else np.empty((0, 2), "<u8"), degree >= BANDS
+        columns = [np.r_[stars[:, 0], values[many]].astype("<u8").view("<i8"), np.r_[stars[:, 1], values[many]].astype("<u8").view("<i8"), np.r_[np.zeros(len(stars), np.int64), degree[many]]]
+        yield pa.RecordBatch.from_arrays([pa.array(c.copy()) for c in columns], names=["a", "b", "d"])
+
+
+def band_links(variants: DataFrame) -> DataFrame:
+    """(a, b, d) as of ``_met_here``, with the stars between batches.
+
+    Variants with one band key meet within their batch first, and only the least of them travels on, so that the shard of a key that a third
+    of all texts share gets one record for each batch.
+    """
     n = shard_count(variants, 4 << 20)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = batch.column(0).to_numpy(zero_copy_only=False).view("<u8")
-            bands = [np.frombuffer(b.as_buffer(), "<u8") for b in batch.column(1)]
-            records = np.empty(sum(map(len, bands)), PAIRED)
-            if len(records):
-                records["key"], records["fp"] = np.concatenate(bands), np.repeat(own, [len(b) for b in bands])
-                yield packed_batch((mix64(records["key"]) % np.uint64(n)).astype(np.int32), records)
+            records = _band_records(batch)
+            least = records[_runs(records["key"])[0]]
+            if len(least):
+                yield packed_batch((mix64(least["key"]) % np.uint64(n)).astype(np.int32), least)
 
     def met(records: np.ndarray) -> Iterator[pa.RecordBatch]:
         found = band_stars(records)
         if len(found):
             yield _pairs(found)
 
-    packed = variants.select("variant", "bands").mapInArrow(keyed, "shard int, payload binary")
-    stars = staged(reduce_shards(packed, n, PAIRED, met, "a long, b long").union(near).distinct(), "simhash-stars")
-    families = components(stars, "a", "b")
-    members = staged(variants.drop("bands").join(families, variants["variant"] == families["node"]).drop("node"), "simhash-members")
-    discard(stars)
-    # families of more than one block are few: a BLOCK of shingles each at least
-    large = members.groupBy("root").agg(F.ceil(F.sum(F.col("n") + HEAD) / BLOCK).cast("int").alias("blocks")).filter("blocks > 1")
-    large = large.select(F.col("root").alias("l_root"), "blocks")
-    members = members.join(F.broadcast(large), members["root"] == F.col("l_root"), "left").select("id", "row", "variant", "n", "root", F.coalesce("blocks", F.lit(1)).alias("blocks"))
-    members = staged(members, "simhash-blocks")
-    total = members.agg(F.sum((F.col("n") + HEAD).cast("long") * F.col("blocks"))).first()[0] or 0
-    m = min(MAX_SHARDS, max(n, -(-total // BLOCK)))
+    own = variants.select("variant", "bands")
+    between = reduce_shards(own.mapInArrow(keyed, "shard int, payload binary"), n, PAIRED, met, "a long, b long")
+    return staged(own.mapInArrow(_met_here, "a long, b long, d long").unionByName(between.withColumn("d", F.lit(0).cast("long"))), "simhash-stars")
+
+
+PLAN = "spread boolean, total int, first int, blocks int"
+
+
+def _compared(docs: DataFrame, plan: DataFrame, kind: int, similarity: float, width: int, id_col: str, text_col: str) -> DataFrame:
+    """(a, b): the links that the comparisons of a plan find.
+
+    plan: (id, row, variant, n, root) of the members of families, and PLAN. A family has ``total`` blocks of about BLOCK shingles, and a task
+    compares two of them, or one with itself. A member belongs to one of the ``blocks`` blocks from ``first`` on and goes to its
+    tasks with all others, but for those of its own class if ``spread`` is false (all of that class hang together already).
+    """
+    wanted = F.col("total") if kind else F.when(F.col("spread"), F.col("total")).otherwise(F.lit(1))
+    shingles = plan.agg(F.sum((F.col("n") + HEAD).cast("long") * wanted)).first()[0] or 0
+    m = min(MAX_SHARDS, max(shard_count(plan, 4 << 20), -(-shingles // BLOCK)))
     texts = docs.select(F.col(id_col).cast("long").alias("t_id"), _row(id_col, text_col).alias("t_row"), F.col(text_col).alias("text"))
-    sets = texts.join(members, F.col("t_id").eqNullSafe(members["id"]) & (F.col("t_row") == members["row"])).select("text", "variant", "root", "blocks")
+    met = texts.join(plan, F.col("t_id").eqNullSafe(plan["id"]) & (F.col("t_row") == plan["row"]))
+    sets = met.select("text", "variant", "root", "spread", "total", "first", "blocks")
+
+    def tasks(number: int, spread: bool, total: int, first: int, blocks: int) -> Iterator[tuple[int, int, int]]:
+        """(block, other block, side)."""
+        own = first + number % blocks
+        if kind == HUBS:  # hubs meet every block, members are in one
+            yield from ((j, j, 0) for j in range(total)) if spread else ((own, own, 1),)
+            return
+        for j in range(total):
+            if spread or not first <= j < first + blocks:
+                yield min(own, j), max(own, j), int(own > j)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["shard", "payload"]
         for batch in batches:
             shards: list[int] = []
             blobs: list[bytes] = []
             variant, roots = (batch.column(i).to_numpy(zero_copy_only=False).view("<u8") for i in (1, 2))
-            for i, k in enumerate(batch.column(3).to_pylist()):
+            plans = zip(*(batch.column(i).to_pylist() for i in range(3, 7)), strict=True)
+            numbers = mix64(variant ^ np.uint64(SEED)).tolist()
+            for i, given in enumerate(plans):
                 hashes = np.unique(shingle_hashes(batch.column(0)[i].as_py(), width, SEED))
-                own = int(mix64(variant[i : i + 1] ^ np.uint64(SEED))[0] % np.uint64(k))
-                for j in range(k):
-                    low, high = min(own, j), max(own, j)
+                for low, high, side in tasks(numbers[i], *given):
                     task = xxhash.xxh64_intdigest(np.array([roots[i], low, high], "<u8").tobytes(), SEED)
                     shards.append(task % m)
-                    blobs.append(np.r_[np.array([task, own != low, variant[i], len(hashes)], "<u8"), hashes].tobytes())
+                    blobs.append(np.r_[np.array([task, side, variant[i], len(hashes)], "<u8"), hashes].tobytes())
                     if len(blobs) >= 4096:
-                        yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(blobs, pa.binary())], names=["shard", "payload"])
+                        yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(blobs, pa.binary())], names=names)
                         shards, blobs = [], []
             if blobs:
-                yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(blobs, pa.binary())], names=["shard", "payload"])
+                yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(blobs, pa.binary())], names=names)
 
     def compared(records: np.ndarray) -> Iterator[pa.RecordBatch]:
         found = family_links(records, similarity)
         if len(found):
             yield _pairs(found)
 
-    out = staged(reduce_shards(sets.mapInArrow(dealt, "shard int, payload binary"), m, np.dtype("<u8"), compared, "a long, b long"), "simhash-similar")
-    discard(members)
+    return staged(reduce_shards(sets.mapInArrow(dealt, "shard int, payload binary"), m, np.dtype("<u8"), compared, "a long, b long"), "simhash-similar")
+
+
+def similar_links(docs: DataFrame, variants: DataFrame, near: DataFrame, similarity: float, width: int, id_col: str, text_col: str) -> DataFrame:
+    """(a, b) of variants that share a band key or are ``near`` (a, b), directly or by others, and have a Jaccard similarity of ``similarity`` or more."""
+    how = {"similarity": similarity, "width": width, "id_col": id_col, "text_col": text_col}
+    met = band_links(variants)
+    families = components(met.filter("d = 0").select("a", "b").union(near).distinct(), "a", "b")
+    members = staged(variants.select("id", "row", "variant", "n").join(families, F.col("variant") == F.col("node")).drop("node"), "simhash-members")
+    size = F.sum((F.col("n") + HEAD).cast("long"))
+    blocks = lambda c: F.ceil(c / F.lit(BLOCK)).cast("int")
+    # families of more than one block are few: a BLOCK of shingles each at least
+    large = staged(members.groupBy("root").agg(size.alias("shingles")).filter(F.col("shingles") > BLOCK).select(F.col("root").alias("l_root"), blocks(F.col("shingles")).alias("total")), "simhash-large")
+    one = [F.lit(True).alias("spread"), F.lit(1).alias("total"), F.lit(0).alias("first"), F.lit(1).alias("blocks")]
+    if large.isEmpty():
+        out = _compared(docs, members.select("*", *one), 1, **how)
+        discard(met, members, large)
+        return out
+    small = members.join(F.broadcast(large), F.col("root") == F.col("l_root"), "left_anti").select("*", *one)
+    big = members.join(F.broadcast(large), F.col("root") == F.col("l_root")).drop("l_root")
+    # 1. hubs, the members that share most keys with others, are compared with their whole family: work that grows with its size
+    degrees = met.filter("d > 0").groupBy(F.col("a").alias("h_variant")).agg(F.max("d").alias("d"))
+    by_degree = Window.partitionBy("root").orderBy(F.col("d").desc(), "variant")
+    hubs = big.join(degrees, F.col("variant") == F.col("h_variant")).withColumn("place", F.row_number().over(by_degree)).filter(F.col("place") <= HUBS_EACH)
+    columns = ["id", "row", "variant", "n", "root"]
+    plan = [hubs.select(*columns, F.lit(True).alias("spread"), "total", F.lit(0).alias("first"), F.col("total").alias("blocks")), big.select(*columns, F.lit(False).alias("spread"), "total", F.lit(0).alias("first"), F.col("total").alias("blocks"))]
+    plan = staged(plan[0].union(plan[1]), "simhash-hubs")
+    first = _compared(docs, plan, HUBS, **how)
+    # 2. what hangs together now is not compared with itself again; classes of less than a block are the rest, compared with all
+    hung = components(first, "a", "b").select(F.col("node").alias("c_node"), F.col("root").alias("class"))
+    classed = staged(big.join(hung, F.col("variant") == F.col("c_node"), "left").select(*columns, "class"), "simhash-classed")
+    sizes = classed.groupBy("root", "class").agg(size.alias("shingles"))
+    whole = sizes.filter(F.col("class").isNotNull() & (F.col("shingles") > BLOCK)).select("root", "class", blocks(F.col("shingles")).alias("blocks"))
+    rest = sizes.join(whole.select(F.col("root").alias("w_root"), F.col("class").alias("w_class")), (F.col("root") == F.col("w_root")) & (F.col("class") == F.col("w_class")), "left_anti")
+    rest = rest.groupBy("root").agg(F.sum("shingles").alias("shingles")).select("root", F.lit(None).cast("long").alias("class"), blocks(F.col("shingles")).alias("blocks"))
+    order = Window.partitionBy("root").orderBy(F.col("class").asc_nulls_first())
+    before = F.coalesce(F.sum("blocks").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
+    laid = whole.unionByName(rest).withColumn("first", before).withColumn("total", F.sum("blocks").over(Window.partitionBy("root")).cast("int"))
+    laid = staged(laid.select(F.col("root").alias("y_root"), F.col("class").alias("y_class"), "first", "blocks", "total"), "simhash-laid")
+    known = laid.filter("y_class is not null")
+    own = classed.join(F.broadcast(known.select(F.col("y_root").alias("k_root"), F.col("y_class").alias("k_class"))), (F.col("root") == F.col("k_root")) & (F.col("class") == F.col("k_class")), "left")
+    placed = own.join(F.broadcast(laid), (F.col("root") == F.col("y_root")) & F.col("k_class").eqNullSafe(F.col("y_class")))
+    again = placed.select(*columns, F.col("k_class").isNull().alias("spread"), "total", "first", "blocks").filter("spread or blocks < total")
+    second = _compared(docs, staged(small.unionByName(again), "simhash-plan"), 1, **how)
+    out = first.union(second)
+    discard(met, members, large, plan, classed, laid)
     return out
 
 
@@ -463,7 +558,7 @@ def _grouped(docs: DataFrame, similarity: float, distance: int, width: int, id_c
     edges = similar_links(docs, some.drop("first_id", "fp"), staged(near.union(equal), "simhash-near"), similarity, width, id_col, text_col)
     rows = _named(sketches.select("id", "row", F.col("variant").alias("fp")), variants.select(F.col("variant").alias("fp"), "first_id"), edges, "root")
     out = staged(rows.select("id", "row", "component_id", "root"), "simhash-found")
-    discard(sketches, variants, prints, edges)
+    discard(sketches, variants, prints)
     return out
 
 

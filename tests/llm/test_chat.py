@@ -100,3 +100,10 @@ def test_empty_and_clashing_columns(spark):
 def test_long_conversation(spark):
     got = digests(spark, [(1, i, ("user", "assistant")[i % 2], f"t{i} <|") for i in range(1500)])
     assert got[1].n_turns == 1500 and got[1].loss_sha256 == sha("".join(f"t{i} <|" for i in range(1, 1500, 2)))
+
+
+def test_no_python_in_the_plan(spark):
+    rows = chat.table_rows(spark.createDataFrame([(1, 0, "user", "x")], ROWS))
+    records = chat.turn_rows(spark.createDataFrame([(1, '{"prompt": "p", "response": "r"}')], "k long, j string"), "k", "j")
+    plan = chat.digests(chat.formatted(rows.unionByName(records)))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan

@@ -72,3 +72,11 @@ def test_filter_and_proximity(spark, make_docs):
 def test_no_python_in_the_plan(spark, make_docs):
     plan = D.contamination(make_docs([(1, "a b")]), spark.createDataFrame([(1, "a b")], "item_id long, text string"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_no_python_in_the_plan(spark, make_docs):
+    items = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven")], "item_id long, text string")
+    docs = make_docs([(1, "zero one two three four five six seven eight nine ten end")])
+    found = D.contamination(docs, items)
+    plan = found._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and found.first().n_hit == 10

@@ -1,6 +1,8 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+import pytest
 import xxhash
 
 from tabshift.llm import simhash
@@ -176,6 +178,58 @@ def test_blocks_link_as_one_family():
     assert len({find(i) for i in range(len(sets))}) == 1
 
 
+def all_pairs(docs, width=5, least=0.8):
+    sets = [{tuple(t.split()[i : i + width]) for i in range(max(1, len(t.split()) - width + 1))} for _, t in docs]
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= least * (len(sets[i]) + len(sets[j]) - both):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    first = {}
+    for i in range(len(sets)):
+        first[find(i)] = min(first.get(find(i), docs[i][0]), docs[i][0])
+    return {docs[i][0]: first[find(i)] for i in range(len(sets))}
+
+
+@pytest.mark.parametrize("block", [3000, 12_000, 1 << 20])
+def test_large_families_by_hubs_and_blocks(spark, make_docs, monkeypatch, block):
+    """Copies of two originals, a chain, a template without a centre and loose texts: the groups of all pairs, whatever the blocks."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = random.Random(21)
+    docs = [(i, t) for i, (_, t) in enumerate(copies_of_one(60, 0.83, words=300, seed=1))]
+    docs += [(100 + i, t) for i, (_, t) in enumerate(copies_of_one(50, 0.83, words=300, seed=2))]
+    docs += [(200 + i, t) for i, (_, t) in enumerate(copies_of_one(40, 0.87, words=300, seed=3)[1:])]
+    chain = [f"c{rng.randrange(10**6)}" for _ in range(300)]
+    for i in range(40):
+        docs.append((300 + i, " ".join(chain)))
+        chain = chain[4:] + [f"n{i}_{k}" for k in range(4)]
+    docs += [(400 + i, " ".join(f"x{rng.randrange(10**6)}" for _ in range(100))) for i in range(20)]
+    got = {r.doc_id: r.component_id for r in simhash.groups(make_docs(docs), similarity=0.8).collect()}
+    want = all_pairs(docs)
+    assert got == want and sum(want[i] == 0 for i in range(61)) == 61
+
+
+def test_hot_band_keys_leave_a_batch_once():
+    rng = np.random.default_rng(6)
+    hot = rng.integers(0, 1 << 62, 8, dtype=np.uint64)
+    variants = np.arange(1, 501, dtype=np.uint64)
+    bands = [np.r_[hot, rng.integers(0, 1 << 62, 4, dtype=np.uint64)].astype("<u8").tobytes() for _ in variants]
+    batch = pa.RecordBatch.from_arrays([pa.array(variants.view("<i8")), pa.array(bands, pa.binary())], names=["variant", "bands"])
+    found = next(iter(simhash._met_here(iter([batch])))).to_pydict()
+    stars = {b for a, b, d in zip(found["a"], found["b"], found["d"], strict=True) if not d and a == 1}
+    assert stars == set(range(2, 501)) and max(found["d"]) == 8 * 499
+    records = simhash._band_records(batch)
+    assert len(records[simhash._runs(records["key"])[0]]) == 8 + 4 * 500
+
+
 def test_documents_of_one_template_stay_apart(spark, make_docs):
     docs = copies_of_one(300, 0.856)[1:]
     sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in docs]
