@@ -6,10 +6,12 @@ dtype ladder is so evaluated once for each distinct value, and the second aggreg
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import functools
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabshift.functions import grammar as G
 
@@ -32,33 +34,68 @@ def dtype_ladder() -> Column:
     )
 
 
+def kinds_of(df: DataFrame) -> dict[int, str]:
+    """By place, what the schema says of columns that aren't text: integer, float, boolean, date or timestamp."""
+    found = {}
+    for i, f in enumerate(df.schema.fields):
+        t = f.dataType
+        if isinstance(t, T.IntegralType) or (isinstance(t, T.DecimalType) and t.scale == 0):
+            found[i] = "integer"
+        elif isinstance(t, (T.FractionalType, T.DecimalType)):
+            found[i] = "float"
+        elif isinstance(t, T.BooleanType):
+            found[i] = "boolean"
+        elif isinstance(t, T.DateType):
+            found[i] = "date"
+        elif isinstance(t, (T.TimestampType, T.TimestampNTZType)):
+            found[i] = "timestamp"
+    return found
+
+
+def by_kind(kinds: Mapping[int, str]) -> Callable[..., Column]:
+    """by_kind(kinds)(text, integer=..., ...): one expression for the columns of each kind, and ``text`` for all others."""
+
+    def choose(text: Column, **known: Column) -> Column:
+        out = text
+        for kind, value in known.items():
+            places = [i for i, k in kinds.items() if k == kind]
+            if places:
+                out = F.when(F.col("col_pos").isin(*places), value).otherwise(out)
+        return out
+
+    return choose
+
+
 def distinct_cells(cells: DataFrame, order: str | None = None) -> DataFrame:
     """(col_pos, col_name, value, n): each distinct value of a column with its count, and with its first place if there is an order."""
     first = [F.min(order).alias("first_at")] if order else []
     return cells.groupBy("col_pos", "col_name", "value").agg(F.count("*").alias("n"), *first)
 
 
-def profile_cells(cells: DataFrame, approximate: bool = False) -> DataFrame:
-    """The profile of (col_pos, col_name, value) rows, see ``profile_distinct``.
+def profile_cells(cells: DataFrame, approximate: bool = False, kinds: Mapping[int, str] = {}) -> DataFrame:
+    """The profile of (col_pos, col_name, value) rows, see ``profile_distinct``. ``kinds`` (see ``kinds_of``) spares typed columns the tests of their text.
 
     ``approximate`` estimates unique_count (HyperLogLog, 2 % relative deviation) in one aggregation over the cells, so that nothing
     but a few numbers a column and task is shuffled; all else is as exact as before.
     """
     if approximate:
-        return profile_distinct(cells.withColumn("n", F.lit(1)), F.approx_count_distinct(F.when(~F.col("null"), F.col("value")), 0.02))
-    return profile_distinct(distinct_cells(cells))
+        return profile_distinct(cells.withColumn("n", F.lit(1)), F.approx_count_distinct(F.when(~F.col("null"), F.col("value")), 0.02), kinds)
+    return profile_distinct(distinct_cells(cells), kinds=kinds)
 
 
-def profile_distinct(distinct: DataFrame, uniques: Column | None = None) -> DataFrame:
+def profile_distinct(distinct: DataFrame, uniques: Column | None = None, kinds: Mapping[int, str] = {}) -> DataFrame:
     """(col_pos, col_name, dtype, row_count, null_count, unique_count, min_value, max_value, max_length, min_integer, max_integer, max_digits) of (col_pos, col_name, value, n) rows.
 
     min_value and max_value are doubles; those of integer columns are also given exactly, as decimals of up to 38 digits.
     """
-    value = F.col("value")
+    value, never, typed = F.col("value"), F.lit(None).cast("timestamp"), by_kind(kinds)
     seen = distinct.select(
-        "col_pos", "col_name", "n", "value", G.is_null(value).alias("null"), G.is_integer(value).alias("i"), G.is_float(value).alias("f"), G.is_boolean(value).alias("b"),
-        G.to_timestamp(value).alias("ts"), G.zero_padded(value).alias("z"), G.to_number(value).alias("number"), G.to_integer(value).alias("whole"),
-        G.integer_digits(value).alias("digits"), F.char_length(value).alias("length"),
+        "col_pos", "col_name", "n", "value", G.is_null(value).alias("null"), typed(G.is_integer(value), integer=F.lit(True), float=F.lit(False), boolean=F.lit(False), date=F.lit(False), timestamp=F.lit(False)).alias("i"),
+        typed(G.is_float(value), integer=F.lit(True), float=F.lit(True), boolean=F.lit(False), date=F.lit(False), timestamp=F.lit(False)).alias("f"), G.is_boolean(value).alias("b"),
+        typed(G.to_timestamp(value), integer=never, float=never, boolean=never, date=value.try_cast("date").cast("timestamp"), timestamp=value.try_cast("timestamp")).alias("ts"),
+        typed(G.zero_padded(value), integer=F.lit(False), float=F.lit(False), date=F.lit(False), timestamp=F.lit(False)).alias("z"),
+        typed(G.to_number(value), integer=value.try_cast("double"), float=value.try_cast("double")).alias("number"), typed(G.to_integer(value), integer=value.try_cast("decimal(38,0)")).alias("whole"),
+        typed(G.integer_digits(value), integer=F.char_length(F.replace(value, F.lit("-"), F.lit("")))).alias("digits"), F.char_length(value).alias("length"),
     )
     when = lambda c: F.coalesce(F.sum(F.when(~F.col("null") & c, F.col("n"))), F.lit(0)).cast("long")
     t = F.col("ts")
@@ -80,7 +117,34 @@ def profile_distinct(distinct: DataFrame, uniques: Column | None = None) -> Data
 
 
 def profile(df: DataFrame, approximate: bool = False) -> DataFrame:
-    return profile_cells(unpivoted(df), approximate)
+    """The profile of all columns. With ``approximate``, typed columns are aggregated as they are and only text is taken apart."""
+    kinds = kinds_of(df)
+    if not approximate:
+        return profile_cells(unpivoted(df), False, kinds)
+    text = [c for i, c in enumerate(df.columns) if i not in kinds]
+    places = F.create_map(*[x for i, c in enumerate(df.columns) for x in (F.lit(c), F.lit(i))])
+    parts = [profile_cells(unpivoted(df.select(*[F.col(f"`{c}`") for c in text])), True).withColumn("col_pos", places[F.col("col_name")])] if text else []
+    return functools.reduce(DataFrame.unionByName, parts + ([typed_profile(df, kinds)] if kinds else []))
+
+
+def typed_profile(df: DataFrame, kinds: Mapping[int, str]) -> DataFrame:
+    """The profile of the columns at the places of ``kinds`` in one aggregation without a cell table; distinct counts are estimates."""
+    aggregates, rows = [F.count("*").alias("_n")], []
+    for i, kind in kinds.items():
+        c = F.col(f"`{df.columns[i]}`")
+        timed = F.bool_or((F.hour(c) != 0) | (F.minute(c) != 0) | (F.second(c) != 0)) if kind == "timestamp" else F.lit(False)
+        aggregates += [F.count(c).alias(f"_c{i}"), F.approx_count_distinct(c, 0.02).alias(f"_u{i}"), F.min(c).alias(f"_l{i}"), F.max(c).alias(f"_h{i}"), timed.alias(f"_t{i}")]
+        some, number = F.col(f"_c{i}") > 0, kind in ("integer", "float")
+        dtype = F.when(F.col(f"_t{i}"), "datetime").otherwise("date") if kind == "timestamp" else F.lit(kind)
+        ends = [F.col(f"_{k}{i}").cast("double") if number else F.lit(None).cast("double") for k in "lh"]
+        whole = [F.col(f"_{k}{i}").cast("decimal(38,0)") if kind == "integer" else F.lit(None).cast("decimal(38,0)") for k in "lh"]
+        digits = F.greatest(*[F.char_length(F.abs(x).cast("string")) for x in whole])
+        rows.append(F.struct(
+            F.lit(i).alias("col_pos"), F.lit(df.columns[i]).alias("col_name"), F.when(some, dtype).otherwise("string").alias("dtype"), F.col("_n").alias("row_count"), (F.col("_n") - F.col(f"_c{i}")).alias("null_count"),
+            F.col(f"_u{i}").alias("unique_count"), ends[0].alias("min_value"), ends[1].alias("max_value"), F.when(~some, F.lit(0)).cast("long").alias("max_length"),
+            whole[0].alias("min_integer"), whole[1].alias("max_integer"), digits.alias("max_digits"),
+        ))
+    return df.agg(*aggregates).filter("_n > 0").select(F.inline(F.array(*rows)))
 
 
 def first_distinct(df: DataFrame, order: str, k: int = 3) -> DataFrame:

@@ -136,7 +136,7 @@ def sample_head_mid_tail(spark, sf_dir):
     """Positions by key are counts of smaller keys: range partitions are sorted and offset, no window over all rows."""
     ordered = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus").orderBy("o_orderkey")
     placed = S.with_position(ordered)
-    return P.sample_rows(placed, F.col("row_idx"), F.lit(placed.count())).select("o_orderkey", "o_orderstatus", "bucket")
+    return P.sample_rows(placed, F.col("row_idx"), F.lit(table(spark, sf_dir, "orders").count())).select("o_orderkey", "o_orderstatus", "bucket")
 
 
 @query("q_first_k_distinct", """WITH c AS (SELECT 'o_orderpriority' AS col_name, o_orderpriority AS value, min(o_orderkey) AS f FROM orders GROUP BY 2 UNION ALL SELECT 'o_orderstatus', o_orderstatus, min(o_orderkey) FROM orders GROUP BY 2),

@@ -87,3 +87,17 @@ def test_estimated_counts_are_near(spark):
     for c in "abc":
         assert near[c].unique_count == pytest.approx(exact[c].unique_count, rel=0.06)
         assert near[c].asDict() | {"unique_count": 0} == exact[c].asDict() | {"unique_count": 0}
+
+
+def test_typed_columns_profile_like_their_text(spark):
+    rows = spark.range(500).selectExpr(
+        "cast(if(id % 9 = 0, null, id - 250) as int) i", "cast(id as decimal(20,0)) * 1000000000000 big", "id / 7 f", "cast(id as decimal(10,2)) d", "id % 2 = 0 b", "date_add(date'2024-01-01', cast(id as int)) day",
+        "timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, cast(id as int)) at", "timestamp'2024-01-01 00:00:00' midnight", "cast(id as string) t", "cast(null as int) none")
+    text = rows.select(*[F.col(c).cast("string").alias(c) for c in rows.columns])
+    for approximate in (False, True):
+        typed, plain = ({r.col_name: r for r in P.profile(x, approximate).collect()} for x in (rows, text))
+        for c in rows.columns:
+            assert typed[c].unique_count == (pytest.approx(plain[c].unique_count, rel=0.1) if approximate else plain[c].unique_count)
+            assert typed[c].asDict() | {"unique_count": 0} == plain[c].asDict() | {"unique_count": 0}
+    assert P.profile(rows.limit(0), True).count() == P.profile(rows.limit(0)).count() == 0
+    assert {c: r.dtype for c, r in typed.items()} == {"i": "integer", "big": "integer", "f": "float", "d": "float", "b": "boolean", "day": "date", "at": "datetime", "midnight": "date", "t": "integer", "none": "string"}
