@@ -420,8 +420,13 @@ def batch_suffixes(docs: list[Document]) -> tuple[np.ndarray, Suffixes]:
     while first < len(docs):
         base = int(ends[first - 1]) if first else 0
         last = max(first + 1, int(np.searchsorted(ends, base + CHUNK, side="right")))
-        found = suffixes(buffer[base : ends[last - 1]], ends[first:last] - base)
-        parts.append(Suffixes(found.start + base, found.size, found.at + base, found.key))
+        pieces = [(base, int(ends[last - 1]), ends[first:last])]
+        if ends[last - 1] - base > 4 * CHUNK:  # one long document: its windows by pieces, as a window's anchor depends on its bytes alone
+            stops = [min(p + CHUNK + MATCH - 1, int(ends[first])) for p in range(base, int(ends[first]), CHUNK)]
+            pieces = [(p, stop, np.array([stop])) for p, stop in zip(range(base, int(ends[first]), CHUNK), stops, strict=True)]
+        for begin, stop, bounds in pieces:
+            found = suffixes(buffer[begin:stop], bounds - begin)
+            parts.append(Suffixes(found.start + begin, found.size, found.at + begin, found.key))
         first = last
     return buffer, Suffixes(*(np.concatenate(c) for c in zip(*parts, strict=True)))
 

@@ -46,10 +46,13 @@ def test_periodic_texts(spark, make_docs):
     check(spark, make_docs, [(i, ("It " * 7 + "is ") * (10 + i) + "z" * i) for i in range(12)] + [(90, "ab" * 4000), (91, "ba" * 30)])
 
 
-def test_very_long_text(spark, make_docs):
+def test_very_long_text(spark, make_docs, monkeypatch):
     rng = random.Random(2)
     long = "".join(rng.choice("abcdefgh") for _ in range(60_000))
-    check(spark, make_docs, [(1, long[10_000:10_400]), (2, long), (3, long[59_000:] + long[:700])])
+    docs = [(1, long[10_000:10_400]), (2, long), (3, long[59_000:] + long[:700])]
+    check(spark, make_docs, docs)
+    monkeypatch.setattr(suffixes, "CHUNK", 1000)  # windows of one document by pieces
+    check(spark, make_docs, [*docs, (4, long[30:])])
 
 
 def test_empty_table(spark, make_docs):
