@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabshift.llm import chat, decontaminate, fingerprints, html_text, licenses, mixing, quality, simhash, sql, suffixes, tokens
+from tabshift.llm import chat, decontaminate, divergence, fingerprints, html_text, licenses, mixing, quality, simhash, sql, suffixes, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,10 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_shards(manifest)
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"), least=10, most=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
     "op2_quality": op2_quality,
@@ -77,9 +81,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffixes": op8_suffixes,
     "op9_simhash": op9_simhash,
     "op10_tokens": op10_tokens,
+    "op13_divergence": op13_divergence,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_decontamination": sql.DECONTAMINATION,
     "op6_chat": sql.CHAT,
+    "op13_divergence": sql.DIVERGENCE,
 }

@@ -29,3 +29,25 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(places.n, 0) A
   sha256(coalesce(ids.joined, '')) AS items_sha256, coalesce(places.n, 0) > 0 AS contaminated
 FROM d LEFT JOIN places ON d.doc_id IS NOT DISTINCT FROM places.doc_id LEFT JOIN ids ON d.doc_id IS NOT DISTINCT FROM ids.doc_id
 """
+
+DIVERGENCE = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), '{UP}', '{LOW}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t GROUP BY ALL),
+k AS (SELECT lang, term, count(*) AS n_lang FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 10),
+l AS (SELECT lang, count(*)::HUGEINT AS v, sum(n_lang)::HUGEINT AS n_all FROM k GROUP BY lang),
+gn AS (SELECT g.lang, g.source, coalesce(l.v, 0) AS v, coalesce(l.n_all, 0) AS n_all, coalesce(x.n, 0)::HUGEINT AS n_group
+  FROM g LEFT JOIN l USING (lang) LEFT JOIN (SELECT lang, source, sum(n) AS n FROM c JOIN k USING (lang, term) GROUP BY ALL) x USING (lang, source)),
+p AS (SELECT gn.lang, gn.source, k.term, coalesce(c.n, 0) AS n,
+    CAST(1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (n_group + 2 * v) AS BIGINT) AS p, CAST(1 + (1000000000::HUGEINT * (n_lang + 2)) // (n_all + 2 * v) AS BIGINT) AS q
+  FROM gn JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(x.value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+term AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // (p + q) AS value FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM (SELECT * FROM pair UNION ALL SELECT * FROM term) QUALIFY part = 'pair' OR rank <= 10
+"""
