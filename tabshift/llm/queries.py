@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabshift.llm import chat, decontaminate, divergence, fingerprints, html_text, licenses, mixing, quality, simhash, sql, suffixes, tokens
+from tabshift.llm import alignment, chat, decontaminate, divergence, fingerprints, html_text, licenses, mixing, quality, simhash, sql, suffixes, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,12 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_shards(manifest)
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.aligned(_table(spark, sf_dir, "documents"), byte_tokenizer=public_tokenizers.path("byte_bpe_50k.json"), piece_tokenizer=public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_table(spark, sf_dir, "documents"), least=10, most=10)
 
@@ -81,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffixes": op8_suffixes,
     "op9_simhash": op9_simhash,
     "op10_tokens": op10_tokens,
+    "op12_alignment": op12_alignment,
     "op13_divergence": op13_divergence,
 }
 
