@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabshift.llm import alignment, chat, decontaminate, divergence, fingerprints, html_text, licenses, mixing, quality, simhash, sql, suffixes, tokens
+from tabshift.llm import alignment, chat, decontaminate, divergence, factors, fingerprints, html_text, licenses, mixing, quality, simhash, sql, suffixes, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,10 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_shards(manifest)
 
 
+def op11_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return factors.duplicated_words(_table(spark, sf_dir, "documents"))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -87,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffixes": op8_suffixes,
     "op9_simhash": op9_simhash,
     "op10_tokens": op10_tokens,
+    "op11_substrings": op11_substrings,
     "op12_alignment": op12_alignment,
     "op13_divergence": op13_divergence,
 }
