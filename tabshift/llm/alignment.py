@@ -39,7 +39,8 @@ from pyspark.sql import types as T
 from tabshift.llm import tokens
 from tabshift.llm.common import discard, shard_count, staged
 
-BATCH = 8 << 20  # bytes of text aligned at once
+BATCH = 1 << 20  # bytes of text aligned at once
+PAIRS = 1 << 20  # documents' pairs that share a list
 SHARD = 16 << 20
 #: Links of a group beyond which equal ids are put together before its products expand.
 LARGE = 1 << 12
@@ -135,6 +136,7 @@ class Aligner:
         self.a, self.second = Vocabulary.of(entries), PieceEncoder(piece_path)
         self.b = self.second.vocabulary
         self.width = len(self.b.entries)  # a pair's number is a * width + b
+        self.pairs = len(entries) * self.width
         self.ids = max(len(self.a.entries), self.width)
         self.said = [b"%d%c" % (i, sep) for sep in b",|;" for i in range(self.ids)]
 
@@ -202,6 +204,16 @@ def links_of(g: Groups, a: np.ndarray, b: np.ndarray, width: int) -> tuple[np.nd
     return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
 
 
+def document_pairs(doc: np.ndarray, group: np.ndarray, pair: np.ndarray, times: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, pair number, how often) of each document's distinct pairs, by document; pair numbers are below ``most``."""
+    code = doc[group] * most + pair
+    order = np.argsort(code)
+    code = code[order]
+    starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else np.empty(0, np.int64)
+    often = np.add.reduceat(times[order], starts) if len(code) else times
+    return code[starts] // most, code[starts] % most, often
+
+
 def digests(g: Groups, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, said: list[bytes], ids: int) -> list[str]:
     """SHA-256 of each document's groups as text, ``a1,a2|b1;a3|b2``; '' for documents without tokens."""
     group_a, group_b = (np.repeat(np.arange(len(n)), n) for n in (g.n_a, g.n_b))
@@ -265,6 +277,34 @@ def aligned(docs: DataFrame, *, byte_tokenizer: str, piece_tokenizer: str, id_co
         from pyspark import TaskContext
 
         both, batch = aligner(byte_tokenizer, piece_tokenizer), TaskContext.get().partitionId() << 32
+        waiting: list[tuple] = []
+        held = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            """The documents that wait, with their pairs as numbers into one list, and that list by shard."""
+            ids, figures, shas, pair, often, ends = zip(*waiting, strict=True)
+            pairs, number = np.unique(np.concatenate(pair), return_inverse=True)
+            number, often = number.astype("<u4"), np.concatenate(often).astype("<i8")
+            bounds = np.r_[0, np.cumsum(np.concatenate(ends))]
+            payloads = [_packed(number[s:e], often[s:e]) for s, e in zip(bounds, bounds[1:], strict=False)]
+            n = len(payloads)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(n, DOCUMENT, np.int32)), pa.array(np.full(n, batch)), pa.nulls(n, pa.int32()), pa.concat_arrays(ids), *(pa.array(np.concatenate(x)) for x in zip(*figures, strict=True)), pa.array([x for c in shas for x in c], pa.string()), pa.array(payloads, pa.binary())],
+                names=rows_schema.names,
+            )
+            holders = np.bincount(number, minlength=len(pairs))
+            shard = (pairs // both.width * 0x9E3779B1 >> 7) % shards  # all pairs of an A id in one shard
+            order = np.argsort(shard, kind="stable")
+            cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+            there = np.flatnonzero(np.diff(cuts))
+            asked = [order[cuts[s] : cuts[s + 1]] for s in there.tolist()]
+            payloads = [_packed(x.astype("<u4"), pairs[x].astype("<i8"), holders[x].astype("<i8")) for x in asked]
+            n = len(there)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(n, COUNTS, np.int32)), pa.array(np.full(n, batch)), pa.array(there.astype(np.int32)), pa.nulls(n, ids[0].type), *[pa.nulls(n, pa.int64())] * 4, pa.nulls(n, pa.string()), pa.array(payloads, pa.binary())],
+                names=rows_schema.names,
+            )
+
         for rows in batches:
             ids, texts = rows.column(0), rows.column(1)
             bounds = _cut(pc.fill_null(pc.binary_length(texts), 0).to_numpy(), BATCH)
@@ -275,33 +315,16 @@ def aligned(docs: DataFrame, *, byte_tokenizer: str, piece_tokenizer: str, id_co
                 g = groups_of(both.a.sizes[a], both.b.sizes[b])
                 doc = np.searchsorted(np.cumsum(n_a), g.first_a, side="right")
                 n_docs = end - begin
-                group, pair, times = links_of(g, a, b, both.width)
-                pairs, number = np.unique(pair, return_inverse=True)
-                # a document's links of one pair become one entry
-                code, where = np.unique(doc[group] * max(1, len(pairs)) + number, return_inverse=True)
-                often = np.bincount(where, weights=times, minlength=len(code)).astype(np.int64)
-                of, number = code // max(1, len(pairs)), code % max(1, len(pairs))
-                holders = np.bincount(number, minlength=len(pairs))
-                starts = np.searchsorted(of, np.arange(n_docs + 1))
+                of, pair, often = document_pairs(doc, *links_of(g, a, b, both.width), both.pairs)
                 figures = [n_a, n_b, np.bincount(doc, minlength=n_docs), np.bincount(of, weights=often, minlength=n_docs).astype(np.int64)]
-                payloads = [_packed(number[s:e].astype("<u4"), often[s:e].astype("<i8")) for s, e in zip(starts, starts[1:], strict=False)]
                 sha = digests(g, a, b, n_a, n_b, both.said, both.ids)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n_docs, DOCUMENT, np.int32)), pa.array(np.full(n_docs, batch)), pa.nulls(n_docs, pa.int32()), ids.slice(begin, n_docs), *(pa.array(x) for x in figures), pa.array(sha, pa.string()), pa.array(payloads, pa.binary())],
-                    names=rows_schema.names,
-                )
-                shard = (pairs // both.width * 0x9E3779B1 >> 7) % shards  # all pairs of an A id in one shard
-                order = np.argsort(shard, kind="stable")
-                cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-                there = np.flatnonzero(np.diff(cuts))
-                asked = [order[cuts[s] : cuts[s + 1]] for s in there.tolist()]
-                payloads = [_packed(x.astype("<u4"), pairs[x].astype("<i8"), holders[x].astype("<i8")) for x in asked]
-                n = len(there)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, COUNTS, np.int32)), pa.array(np.full(n, batch)), pa.array(there.astype(np.int32)), pa.nulls(n, ids.type), *[pa.nulls(n, pa.int64())] * 4, pa.nulls(n, pa.string()), pa.array(payloads, pa.binary())],
-                    names=rows_schema.names,
-                )
-                batch += 1
+                waiting.append((ids.slice(begin, n_docs), figures, sha, pair, often, np.bincount(of, minlength=n_docs)))
+                held += len(pair)
+                if held >= PAIRS:
+                    yield from flush()
+                    waiting, held, batch = [], 0, batch + 1
+        if waiting:
+            yield from flush()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = aligner(byte_tokenizer, piece_tokenizer).width

@@ -89,6 +89,7 @@ def test_against_brute_force(spark, make_docs, both, monkeypatch):
     texts += [texts[3]] * 20 + texts[:10]
     held(spark, make_docs, both, texts)
     monkeypatch.setattr(alignment, "BATCH", 700)  # many batches: counts meet in the shards
+    monkeypatch.setattr(alignment, "PAIRS", 90)
     monkeypatch.setattr(alignment, "LARGE", 3)
     held(spark, make_docs, both, texts, ids=[i // 2 for i in range(len(texts))])
 
