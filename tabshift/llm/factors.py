@@ -43,7 +43,7 @@ from tabshift.llm.shards import mix64
 from tabshift.llm.suffixes import CHUNK, LAST_ID, Hashes, _intervals, bucket_of, tag_of
 
 WINDOW = 13
-BATCH = 16 << 20
+BATCH, SHARD = 6 << 20, 8 << 20
 #: Bits of a fingerprint beside its shard's number.
 KEY_BITS = 48
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -146,15 +146,28 @@ def word_prints(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return out
 
 
+class Member(NamedTuple):
+    """A document of a block: its words with one space after each."""
+
+    key: int
+    tag: int
+    n_words: int
+    data: bytes
+
+    @classmethod
+    def of(cls, doc: Document) -> Member:
+        return cls(doc.key, doc.tag, len(doc.words), b" ".join([*doc.words, b""]))
+
+
 class Block:
-    """An indexed batch of documents: their words in one buffer, one space after each, and a fingerprint of each window."""
+    """An indexed batch of documents: their words in one buffer, and a fingerprint of each window."""
 
-    def __init__(self, docs: list[Document]) -> None:
-        self.bytes = b"".join(b" ".join(d.words) + b" " for d in docs if d.words)
+    def __init__(self, docs: list[Member]) -> None:
+        self.bytes = b"".join(d.data for d in docs)
         data = np.frombuffer(self.bytes, np.uint8)
         self.ends = np.flatnonzero(data == 32)
         self.starts = np.r_[0, self.ends[:-1] + 1] if len(self.ends) else self.ends
-        counts = np.array([len(d.words) for d in docs], np.int64)
+        counts = np.array([d.n_words for d in docs], np.int64)
         doc = np.repeat(np.arange(len(docs)), counts)
         n = max(0, len(doc) - WINDOW + 1)
         words = word_prints(data, self.starts, self.ends)
@@ -296,12 +309,12 @@ def denied(passages: Iterable[bytes], claims: np.ndarray) -> np.ndarray:
 def duplicated_words(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, n_removed, kept_sha256) of every row."""
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    shards = shard_count(docs, 16 << 20)
+    shards = shard_count(docs, SHARD)
     buckets = shards | 1
     key_mask = np.uint64((1 << KEY_BITS) - 1)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[Document] = []
+        waiting: list[Member] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
@@ -321,8 +334,8 @@ def duplicated_words(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
                 doc = Document.of(doc_id.as_py(), text.as_py())
                 if len(doc.words) >= WINDOW:
-                    waiting.append(doc)
-                    size += sum(map(len, doc.words)) + len(doc.words)
+                    waiting.append(Member.of(doc))
+                    size += len(waiting[-1].data)
                     if size >= BATCH:
                         yield flush()
                         waiting, size = [], 0

@@ -30,6 +30,10 @@ def brute(docs):
     return out
 
 
+def block_of(docs):
+    return factors.Block([factors.Member.of(factors.Document.of(*d)) for d in docs])
+
+
 def held(spark, make_docs, docs, parts=3):
     got = factors.duplicated_words(make_docs(docs).repartition(parts)).collect()
     order = lambda rows: sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1:]))
@@ -75,10 +79,10 @@ def test_colliding_fingerprints_are_found_by_words(spark, make_docs, monkeypatch
         self.prints = (self.prints & narrow) | (self.prints & narrow) << np.uint64(50)
 
     monkeypatch.setattr(factors.Block, "__init__", init)
-    block = factors.Block([factors.Document.of(1, " ".join(map(str, range(60))))])
+    block = block_of([(1, " ".join(map(str, range(60))))])
     assert len(set(block.prints.tolist())) <= 8
     docs = random_docs(random.Random(5), 30)
-    settled = factors.Block([factors.Document.of(*d) for d in docs]).parse()
+    settled = block_of(docs).parse()
     assert settled.any() and not settled.all()
 
 
