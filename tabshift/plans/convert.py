@@ -91,8 +91,7 @@ def convert(spark: SparkSession, path: str, spec: Spec) -> str:
         lines = S.with_position(lines, single=S.one_partition(lines))
         return csv_text(T.parse_log(lines, keep=("row_idx",)), "row_idx")
     if spec.kind in ("flatten", "rename_json", "restructure"):
-        rows = spark.read.option("multiLine", True).json(path)
-        rows = S.with_position(rows, single=S.one_partition(rows))
+        rows = S.read_json(spark, path)
         if spec.kind == "flatten":
             return csv_text(T.flatten(rows, ["row_idx", *field_order(spark, path)]), "row_idx")
         if spec.kind == "rename_json":

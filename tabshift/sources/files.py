@@ -6,7 +6,7 @@ import csv
 import io
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import pandas as pd
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabshift.operators.profile import deduplicated_names
+from tabshift.sources import chunks
 
 SNIFF_CHARS = 16_384
 
@@ -129,16 +130,38 @@ def dialects(texts: Column, check_quoting: bool = False) -> Column:
     return found(F.substring(texts, 1, SNIFF_CHARS))
 
 
+def count_records(spark: SparkSession, path: str, dialect: Dialect, encoding: str = "utf-8-sig") -> DataFrame:
+    """(row_count): logical records without the header; a record may be several lines. Counted in as many tasks as the file has chunks."""
+    found = chunks.count_records(spark, path, dialect.delimiter, dialect.quote, encoding)
+    return found.select(F.greatest(F.col("records") - int(dialect.has_header), F.lit(0)).cast("long").alias("row_count"))
+
+
+def read_json(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of a JSON file with row_idx: one array of objects, an object, or an object a line (several in a file of more than one chunk)."""
+    if one_partition(spark.read.text(path, lineSep=",")):
+        rows = spark.read.option("multiLine", True).json(path)
+        return with_position(rows, single=one_partition(rows))
+    start = spark.read.text(path).filter(F.col("value").rlike(r"\S")).limit(1).select(F.substring(F.regexp_replace(F.substring("value", 1, SNIFF_CHARS), "^[\ufeff\\s]+", ""), 1, 1).alias("c")).first()
+    if start and start.c == "[":
+        return chunks.read_json_array(spark, path)
+    return with_position(spark.read.json(path))
+
+
 def count_data_rows(lines: DataFrame, has_header: bool, value: str = "value") -> DataFrame:
     """(row_count): physical lines that aren't blank, without the header."""
     return lines.agg(F.greatest(F.count(F.when(F.col(value).rlike(r"\S"), 1)) - int(has_header), F.lit(0)).cast("long").alias("row_count"))
 
 
 def first_text(spark: SparkSession, path: str, encoding: str) -> str:
-    """The beginning of a file, decoded: as many whole lines as hold SNIFF_CHARS characters."""
-    lines = spark.read.text(path).limit(400).select(F.substring("value", 1, SNIFF_CHARS).cast("binary").alias("b")).collect()
+    """The beginning of a file, decoded: its first SNIFF_CHARS characters, however many lines they are."""
     charset = "utf-8" if encoding.startswith("utf-8") else "latin-1"
-    return "\n".join(bytes(r.b).decode(charset, "replace") for r in lines).lstrip("\ufeff")[:SNIFF_CHARS]
+    some, text = 200, ""
+    while True:  # a line has one character at least, its end
+        lines = spark.read.text(path).limit(some).select(F.substring("value", 1, SNIFF_CHARS).cast("binary").alias("b")).collect()
+        text = "\n".join(bytes(r.b).decode(charset, "replace") for r in lines).lstrip("\ufeff")
+        if len(text) >= SNIFF_CHARS or len(lines) < some:
+            return text[:SNIFF_CHARS]
+        some = min(SNIFF_CHARS + 1, some * SNIFF_CHARS // max(len(text), 1) + some)
 
 
 def first_record(sample: str, dialect: Dialect) -> list[str] | None:
@@ -152,24 +175,38 @@ def read_raw(spark: SparkSession, path: str, dialect: Dialect, encoding: str = "
     """All columns as strings with row_idx; header names repeat as name, name.1, ...; without a header c0, c1, ...
 
     With the file's beginning as ``sample`` its columns are known without a job. ``multi_line`` False (no quoted cell goes on over a
-    line's end, see ``scan``) lets a large file be read in many tasks. ``max_rows`` keeps the first rows.
+    line's end, see ``scan``) lets the lines be parsed as they are; otherwise a file of more than one chunk is cut into records by
+    ``chunks`` and stays in as many tasks. Positions are the same on either way. ``max_rows`` keeps the first rows.
     """
     charset = "UTF-8" if encoding.startswith("utf-8") else "ISO-8859-1"
-    reader = spark.read.options(sep=dialect.delimiter, quote=dialect.quote, escape=dialect.quote, encoding=charset, header=False, multiLine=multi_line, inferSchema=False)
+    rules = {"sep": dialect.delimiter, "quote": dialect.quote, "escape": dialect.quote}
     first = first_record(sample, dialect) if sample else None
+    cells = lambda: ", ".join(f"_c{i} string" for i in range(len(first)))
+    if multi_line and not one_partition(spark.read.text(path)):
+        records = chunks.csv_records(spark, path, dialect.delimiter, dialect.quote, encoding)
+        if first is None:
+            head = records.filter("row_idx = 0").first()
+            first = next(csv.reader(io.StringIO(head.text, newline=""), delimiter=dialect.delimiter, quotechar=dialect.quote)) if head else []
+        parsed = records.select("row_idx", F.from_csv("text", F.lit(cells()), rules).alias("r"))
+        return _named(parsed.select("row_idx", "r.*"), first, dialect, max_rows) if first else parsed.select("row_idx")
+    reader = spark.read.options(**rules, encoding=charset, header=False, multiLine=multi_line, inferSchema=False)
     if first is not None:
-        lines = reader.schema(", ".join(f"_c{i} string" for i in range(len(first)))).csv(path)
+        lines = reader.schema(cells()).csv(path)
     else:
         lines = reader.csv(path)
         first = lines.first()
     placed = with_position(lines, single=one_partition(lines))
-    if first is None:
-        return placed
+    return _named(placed, first, dialect, max_rows) if first is not None else placed
+
+
+def _named(placed: DataFrame, first: Sequence[str | None], dialect: Dialect, max_rows: int | None) -> DataFrame:
+    """Columns named by the first record or numbered; rows after it."""
+    columns = [c for c in placed.columns if c != "row_idx"]
     if dialect.has_header:
         names = deduplicated_names([(x or f"_c{i}").lstrip("\ufeff") for i, x in enumerate(first)])
-        placed = placed.filter("row_idx > 0").select((F.col("row_idx") - 1).alias("row_idx"), *[F.col(c).alias(n) for c, n in zip(lines.columns, names, strict=True)])
+        placed = placed.filter("row_idx > 0").select((F.col("row_idx") - 1).alias("row_idx"), *[F.col(c).alias(n) for c, n in zip(columns, names, strict=True)])
     else:
-        placed = placed.select("row_idx", *[F.col(c).alias(f"c{i}") for i, c in enumerate(lines.columns)])
+        placed = placed.select("row_idx", *[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)])
     return placed.filter(F.col("row_idx") < max_rows) if max_rows else placed
 
 
