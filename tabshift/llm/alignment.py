@@ -27,6 +27,7 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -39,7 +40,7 @@ from pyspark.sql import types as T
 from tabshift.llm import tokens
 from tabshift.llm.common import discard, shard_count, staged
 
-BATCH = 1 << 20  # bytes of text aligned at once
+ENCODE, BATCH = 8 << 20, 1 << 20  # bytes of text encoded and aligned at once
 PAIRS = 1 << 20  # documents' pairs that share a list
 SHARD = 16 << 20
 #: Links of a group beyond which equal ids are put together before its products expand.
@@ -92,7 +93,7 @@ class PieceEncoder:
     def _numbered(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = self.model.encode(texts, num_threads=1) if texts else []
         sizes = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter((i for x in found for i in x), np.int64, int(sizes.sum())), sizes
+        return np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum())), sizes
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, ids in each)."""
@@ -141,26 +142,28 @@ class Aligner:
         self.said = [b"%d%c" % (i, sep) for sep in b",|;" for i in range(self.ids)]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(A ids, A ids in each text, B ids, B ids in each text); none for texts that either doesn't give back."""
-        texts = pc.fill_null(texts, "")
-        spaced = pc.binary_join_element_wise(" ", texts, "")
-        found = [np.frombuffer(x, self.first.dtype).astype(np.int64) for x in self.first.encode(spaced)]
-        a, n_a = np.concatenate([*found, np.empty(0, np.int64)]), np.array([len(x) for x in found], np.int64)
-        b, n_b = self.second.encode(texts)
-        want = [b" " + x.as_buffer().to_pybytes() for x in texts.cast(pa.binary())]
-        good = np.array([len(x) > 1 for x in want], bool)
-        sizes = np.array([len(x) for x in want], np.int64)
+        """(A ids, A ids in each text, B ids, B ids in each text)."""
+        found = self.first.encode_after_space(texts)
+        n_a = np.fromiter(map(len, found), np.int64, len(found)) // self.first.dtype.itemsize
+        return np.frombuffer(b"".join(found), self.first.dtype), n_a, *self.second.encode(texts)
+
+    def agreed(self, texts: pa.Array, a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The same without the ids of texts that either doesn't give back."""
+        sizes = pc.binary_length(texts).to_numpy().astype(np.int64) + 1
+        good = sizes > 1
         for ids, n, vocabulary in ((a, n_a, self.a), (b, n_b, self.b)):
             ends = np.cumsum(n)
             total = np.r_[0, np.cumsum(vocabulary.sizes[ids])]
             good &= total[ends] - total[ends - n] == sizes
+        want = [b" " + x.as_buffer().to_pybytes() if ok else b"" for x, ok in zip(texts.cast(pa.binary()), good.tolist(), strict=True)]
+        whole = b"".join(want)
         for ids, n, vocabulary in ((a, n_a, self.a), (b, n_b, self.b)):
-            written, at = vocabulary.joined(ids[np.repeat(good, n)]), 0
-            for i in np.flatnonzero(good).tolist():
-                good[i] = written[at : at + len(want[i])] == want[i]
-                at += len(want[i])
-        a, n_a, b, n_b = a[np.repeat(good, n_a)], np.where(good, n_a, 0), b[np.repeat(good, n_b)], np.where(good, n_b, 0)
-        return a, n_a, b, n_b
+            written = vocabulary.joined(ids[np.repeat(good, n)])
+            if written != whole:
+                at = np.cumsum([len(x) for x in want])
+                good &= [written[e - len(x) : e] == x for x, e in zip(want, at.tolist(), strict=True)]
+                return self.agreed(texts, a[np.repeat(good, n_a)], np.where(good, n_a, 0), b[np.repeat(good, n_b)], np.where(good, n_b, 0))
+        return a[np.repeat(good, n_a)].astype(np.int64), np.where(good, n_a, 0), b[np.repeat(good, n_b)].astype(np.int64), np.where(good, n_b, 0)
 
 
 class Groups(NamedTuple):
@@ -175,7 +178,9 @@ class Groups(NamedTuple):
 def groups_of(sizes_a: np.ndarray, sizes_b: np.ndarray) -> Groups:
     """The groups of two tokenizations of the same bytes, from the lengths of their tokens."""
     end_a, end_b = np.cumsum(sizes_a), np.cumsum(sizes_b)
-    ends = np.union1d(end_a, end_b)
+    ends = np.concatenate([end_a, end_b])
+    ends.sort(kind="stable")  # two rising runs are merged
+    ends = ends[np.diff(ends, prepend=0) > 0]  # the union of both: no token is empty
     own_a, own_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
     if not len(ends):
         none = np.empty(0, np.int64)
@@ -250,11 +255,26 @@ def _unpacked(payload: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
+def encoded(both: Aligner, rows: pa.RecordBatch) -> Iterator[tuple]:
+    """(ids, texts, A ids, A ids in each, B ids, B ids in each) of runs of about BATCH bytes; words are put together over ENCODE bytes."""
+    ids, texts = rows.column(0), pc.fill_null(rows.column(1), "")
+    sizes = pc.binary_length(texts).to_numpy()
+    bounds = _cut(sizes, ENCODE)
+    for begin, end in zip(bounds, bounds[1:], strict=False):
+        a, n_a, b, n_b = both.encode(texts.slice(begin, end - begin))
+        upto_a, upto_b = np.r_[0, np.cumsum(n_a)], np.r_[0, np.cumsum(n_b)]
+        parts = _cut(sizes[begin:end], BATCH)
+        for s, e in zip(parts, parts[1:], strict=False):
+            yield ids.slice(begin + s, e - s), texts.slice(begin + s, e - s), a[upto_a[s] : upto_a[e]], n_a[s:e], b[upto_b[s] : upto_b[e]], n_b[s:e]
+
+
 FIGURES = ["n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
 
 
 def _cut(sizes: np.ndarray, most: int) -> list[int]:
     """Bounds of runs of rows of about ``most`` bytes, a row at least."""
+    if not len(sizes):
+        return [0]
     out, total = [0], 0
     for i, n in enumerate(sizes.tolist()):
         if total and total + n > most:
@@ -306,19 +326,15 @@ def aligned(docs: DataFrame, *, byte_tokenizer: str, piece_tokenizer: str, id_co
             )
 
         for rows in batches:
-            ids, texts = rows.column(0), rows.column(1)
-            bounds = _cut(pc.fill_null(pc.binary_length(texts), 0).to_numpy(), BATCH)
-            for begin, end in zip(bounds, bounds[1:], strict=False):
-                if begin == end:
-                    continue
-                a, n_a, b, n_b = both.encode(texts.slice(begin, end - begin))
+            for ids, texts, *found in encoded(both, rows):
+                a, n_a, b, n_b = both.agreed(texts, *found)
                 g = groups_of(both.a.sizes[a], both.b.sizes[b])
                 doc = np.searchsorted(np.cumsum(n_a), g.first_a, side="right")
-                n_docs = end - begin
+                n_docs = len(ids)
                 of, pair, often = document_pairs(doc, *links_of(g, a, b, both.width), both.pairs)
                 figures = [n_a, n_b, np.bincount(doc, minlength=n_docs), np.bincount(of, weights=often, minlength=n_docs).astype(np.int64)]
                 sha = digests(g, a, b, n_a, n_b, both.said, both.ids)
-                waiting.append((ids.slice(begin, n_docs), figures, sha, pair, often, np.bincount(of, minlength=n_docs)))
+                waiting.append((ids, figures, sha, pair, often, np.bincount(of, minlength=n_docs)))
                 held += len(pair)
                 if held >= PAIRS:
                     yield from flush()

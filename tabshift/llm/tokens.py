@@ -401,6 +401,31 @@ class Encoder:
         return out
 
 
+    def encode_after_space(self, texts: pa.Array) -> list[bytes]:
+        """The ids of a space and each text, packed: then all its pieces follow a space."""
+        whole = lambda at: [" " + (texts[i].as_py() or "") for i in at]
+        if not self.cuts:
+            return [v.tobytes() for v in self._ids(whole(range(len(texts))))]
+        if not len(texts):
+            return []
+        cut = pc.split_pattern(pc.fill_null(texts, ""), " ")
+        starts = cut.offsets.to_numpy()
+        coded = cut.flatten().dictionary_encode()
+        codes = coded.indices.to_numpy()
+        later = self._later(coded.dictionary)
+        sizes = later.sizes[codes]
+        ids = _gather(later.flat, later.begins()[codes], sizes).tobytes()
+        bounds = (np.r_[0, np.cumsum(sizes)][starts - starts[0]] * self.dtype.itemsize).tolist()
+        odd = np.add.reduceat(later.unknown[codes].astype(np.int64), starts[:-1] - starts[0]) > 0
+        for t in self.apart:
+            odd |= pc.fill_null(pc.match_substring(texts, t), False).to_numpy(zero_copy_only=False)
+        out = [ids[a:b] for a, b in itertools.pairwise(bounds)]
+        at = np.flatnonzero(odd).tolist()
+        for i, v in zip(at, self._ids(whole(at)), strict=True):
+            out[i] = v.tobytes()
+        return out
+
+
 @cache
 def encoder(path: str, special_as_text: bool) -> Encoder:
     import os
@@ -508,10 +533,12 @@ def read_shards(manifest: DataFrame, id_col: str = "doc_id", with_ids: bool = Fa
 def lookup(spark: SparkSession, manifest: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, ids) for the asked identifiers: each is dealt to the one shard whose range holds it and searched there by halves.
 
-    The driver gets the manifest's rows with ids: two numbers and a path for each shard, MAX_BUCKETS at most.
+    A null id is looked up like any other, in the shards that hold null ids. The driver gets the manifest's rows with ids: two numbers
+    and a path for each shard, MAX_BUCKETS at most.
     """
+    nameless = [s.path for s in manifest.filter("first_id is null").select("path").orderBy("path").collect()]
     shards = manifest.filter("first_id is not null").select("path", "first_id", "last_id").orderBy("first_id").collect()
-    firsts, lasts, paths = np.array([s.first_id for s in shards], np.int64), np.array([s.last_id for s in shards], np.int64), [s.path for s in shards]
+    firsts, lasts, paths = np.array([s.first_id for s in shards], np.int64), np.array([s.last_id for s in shards], np.int64), [s.path for s in shards] + nameless
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -520,8 +547,11 @@ def lookup(spark: SparkSession, manifest: DataFrame, ids: DataFrame, id_col: str
             held = (at >= 0) & (asked <= lasts[np.maximum(at, 0)]) if len(firsts) else np.zeros(len(asked), bool)
             yield pa.RecordBatch.from_arrays([pa.array(at[held].astype(np.int32)), pa.array(asked[held])], names=["shard", "asked"])
 
-    asked = ids.select(F.col(id_col).cast("long").alias("asked")).filter("asked is not null").distinct()
-    met = asked.mapInArrow(deal, "shard int, asked long")
+    asked = ids.select(F.col(id_col).cast("long").alias("asked")).distinct()
+    met = asked.filter("asked is not null").mapInArrow(deal, "shard int, asked long")
+    if nameless:
+        null_shards = F.array(*[F.lit(len(shards) + i) for i in range(len(nameless))])
+        met = met.unionByName(asked.filter("asked is null").select(F.explode(null_shards).cast("int").alias("shard"), "asked"))
     found_schema = pa.schema([(id_col, pa.int64()), ("ids", pa.list_(pa.int64()))])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
