@@ -13,6 +13,9 @@ Inside a text, any ``<``, backslashes, ``|`` gets one more backslash, and loses
 string; roles are percent-encoded where they aren't plain words. The loss mask is the list of code-point spans of assistant
 texts. Offsets come from a running sum over turns, so a long conversation costs no more a turn than a short one.
 
+Ids of conversations are longs where the given ones are whole numbers, else texts. Names of speakers (``human``, ``gpt``, ...) become
+roles in records and in tables whose column is one of speakers; a table's column of roles stays as it is.
+
 Defined results: null roles and texts are empty; turns with equal numbers go by role, then text; null turns come first; rows
 without a conversation id can't be told to belong together, so that each is a conversation of its own; a record of unknown layout,
 without a turn, or that is no JSON is one turn of role ``unknown`` that holds the record as it is, with layout null, so that none
@@ -121,23 +124,33 @@ def table_layout(schema: T.StructType) -> Layout | None:
     return next((x for x in BY_PATHS if fingerprint_of(paths, x) == fingerprint_of(x.paths, x)), None)
 
 
+def conversation_id(table: DataFrame, name: str) -> Column:
+    """Whole numbers as longs, all other ids as texts."""
+    whole = isinstance(table.select(name).schema[0].dataType, T.IntegralType)
+    return F.col(name).cast("long" if whole else "string")
+
+
+def role_of(speaker: Column) -> Column:
+    named = F.create_map(*[F.lit(x) for pair in SPEAKERS.items() for x in pair])
+    return F.coalesce(F.try_element_at(named, F.coalesce(speaker, F.lit(""))), speaker)
+
+
 def _message(role: str, text: str):
     """A message's canonical turn, from a variant."""
-    named = F.create_map(*[F.lit(x) for pair in SPEAKERS.items() for x in pair])
 
     def turn(m: Column) -> Column:
         get = lambda path: F.try_variant_get(m, f"$.{path}", "string")
         parts = F.try_variant_get(m, f"$.{text}", "array<variant>")
         joined = F.array_join(F.transform(parts, lambda p: F.coalesce(F.try_variant_get(p, "$.text", "string"), F.try_variant_get(p, "$", "string"))), NEWLINE)
         said = F.coalesce(F.when(parts.isNotNull(), joined).otherwise(get(text)), get("tool_calls"), get("function_call"))
-        return F.struct(F.coalesce(F.try_element_at(named, F.coalesce(get(role), F.lit(""))), get(role)).alias("role"), said.alias("text"))
+        return F.struct(role_of(get(role)).alias("role"), said.alias("text"))
 
     return turn
 
 
 def canonical(records: DataFrame, id_col: str, json_col: str) -> DataFrame:
     """(conv_id, layout, turns) of JSON records; turns: array<struct<role, text>>."""
-    rows = records.select(F.col(id_col).cast("long").alias("conv_id"), F.col(json_col).cast("string").alias("json"), F.try_parse_json(F.col(json_col).cast("string")).alias("v"))
+    rows = records.select(conversation_id(records, id_col).alias("conv_id"), F.col(json_col).cast("string").alias("json"), F.try_parse_json(F.col(json_col).cast("string")).alias("v"))
     rows = rows.withColumn("layout", layout_of(record_paths(F.col("v"))))
 
     def single(pairs: tuple[tuple[str, str], ...]) -> Column:
@@ -160,8 +173,11 @@ def canonical(records: DataFrame, id_col: str, json_col: str) -> DataFrame:
 
 
 def turn_rows(records: DataFrame, id_col: str, json_col: str) -> DataFrame:
-    """Canonical (conv_id, turn, role, text) rows of JSON records; those without an id are told apart by negative ids below -1."""
-    found = canonical(records, id_col, json_col).withColumn("conv_id", F.coalesce("conv_id", -2 - F.monotonically_increasing_id()))
+    """Canonical (conv_id, turn, role, text) rows of JSON records; those without an id are told apart by negative ids below -1 or, among texts, by ``no id`` and a number."""
+    found = canonical(records, id_col, json_col)
+    number = F.monotonically_increasing_id()
+    alone = -2 - number if isinstance(found.schema["conv_id"].dataType, T.LongType) else F.concat(F.lit("no id "), number.cast("string"))
+    found = found.withColumn("conv_id", F.coalesce("conv_id", alone))
     return found.select("conv_id", F.posexplode("turns").alias("turn", "t")).select("conv_id", F.col("turn").cast("long").alias("turn"), "t.role", "t.text")
 
 
@@ -172,7 +188,9 @@ def table_rows(table: DataFrame, id_col: str | None = None) -> DataFrame:
     """
     layout = table_layout(table.schema)
     if layout is not None and layout.rows:
-        return table.select(*[F.col(c).cast(kind).alias(name) for c, kind, name in zip(layout.rows, ("long", "long", "string", "string"), ("conv_id", "turn", "role", "text"), strict=True)])
+        conversation, turn, role, text = layout.rows
+        said = F.col(role).cast("string")
+        return table.select(conversation_id(table, conversation).alias("conv_id"), F.col(turn).try_cast("long").alias("turn"), (said if role == "role" else role_of(said)).alias("role"), F.col(text).cast("string").alias("text"))
     if layout is None or id_col is None:
         raise ValueError("not a table of turns" if layout is None else f"a table of {layout.name} needs the column of its ids")
     return turn_rows(table.select(F.col(id_col).alias("id"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in table.columns])).alias("record")), "id", "record")

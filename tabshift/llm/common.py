@@ -100,5 +100,13 @@ def with_order_bucket(df: DataFrame, key: str, cuts: list[float], name: str = "b
     return out.withColumn(name, F.when(F.col(key).isNotNull(), F.col(f"_{name}_out").cast("int"))).drop(f"_{name}", f"_{name}_out")
 
 
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that ``df`` doesn't have, in upper or lower case."""
+    taken, before = {c.lower() for c in df.columns}, "_"
+    while any(c.startswith(before) for c in taken):
+        before += "_"
+    return [before + n for n in names]
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))

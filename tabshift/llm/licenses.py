@@ -3,8 +3,11 @@
 The terms are those of the templates. A notice is a line or a paragraph of a file (all are scanned, not the first few), or all of
 a file that is a licence file by its name. Its weights are tf * idf over the templates' terms, with idf from the document counts of
 the whole corpus; every other word weighs as much as a term that no document has, so a licence's words in passing, amid prose,
-score low. Notices without a telling word (``SIGNAL``) are passed over. A file's own licence is the best template above the
-threshold, if any. A licence file (by its name; in corpora without file names any file that begins or ends with a notice, if
+score low. Notices without a telling word (``SIGNAL``) are passed over. Likeness alone doesn't tell licences of one family apart, so a
+licence also needs its deciding words in the notice (``DECIDES``: its name, version or clauses) and a margin to the next licence's
+likeness. A file's own licence is the best template above the threshold, if any. An SPDX tag is no matter of likeness: its expression
+is taken as it stands, whole and with ids that have no template, and goes before all notices; a notice that only reserves all rights
+comes last. A licence file (by its name; in corpora without file names any file that begins or ends with a notice, if
 asked for) speaks for its directory; files without a notice of their own inherit from the nearest ancestor directory that has one: ancestors are exploded, joined to the
 directories' licences by path, and the longest wins.
 
@@ -15,6 +18,8 @@ repeated results; an empty table gives an empty result; other columns are ignore
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +30,7 @@ MIT_GRANT = (
     "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
     "subject to the following conditions:"
 )
+BSD_GRANT = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
 GPL_HEADER = "This {0} is free software; you can redistribute it and/or modify it under the terms of the GNU {1} as published by the Free Software Foundation; either version {2} of the License, or (at your option) any later version."
 #: Notices of common licences, in the words in which files carry them.
 TEMPLATES = {
@@ -42,9 +48,16 @@ TEMPLATES = {
     ),
     "GPL-2.0": ("Licensed under the GNU General Public License, version 2.", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991", GPL_HEADER.format("program", "General Public License", "2")),
     "LGPL-2.1": ("Licensed under the GNU Lesser General Public License, version 2.1.", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999", GPL_HEADER.format("library", "Lesser General Public License", "2.1")),
-    "LGPL-3.0": ("GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",),
+    "LGPL-3.0": ("Licensed under the GNU Lesser General Public License, version 3.", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007", GPL_HEADER.format("library", "Lesser General Public License", "3")),
     "AGPL-3.0": ("Licensed under the GNU Affero General Public License, version 3.", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007", GPL_HEADER.format("program", "Affero General Public License", "3")),
-    "BSD-3-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Licensed under the BSD 3-Clause License."),
+    "BSD-3-Clause": (BSD_GRANT, "Licensed under the BSD 3-Clause License."),
+    "BSD-2-Clause": (BSD_GRANT, "Licensed under the BSD 2-Clause License."),
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+        "zlib License",
+    ),
+    "BSL-1.0": ("Distributed under the Boost Software License, Version 1.0.", "Boost Software License - Version 1.0 - August 17th, 2003"),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Mozilla Public License Version 2.0"),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
@@ -55,8 +68,34 @@ TEMPLATES = {
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
     "Proprietary": ("All rights reserved.", "Copyright. All rights reserved."),
 }
-#: The tag that a file's header may carry instead of a notice.
-TAG = "SPDX-License-Identifier: {0}"
+#: What a notice must and must not say, in lower case with single spaces; `` #3`` ends it if its file has a clause against endorsement.
+DECIDES = {
+    "Apache-2.0": (r"apache", r"version 1"),
+    "MIT": (r"\bmit\b|permission is hereby granted free of charge", r"\bwith or without fee\b"),
+    "GPL-3.0": (r"(?=.*(?:general public|\bgpl))(?=.*(?:version 3|\bv ?3))", r"lesser|affero|library general"),
+    "GPL-2.0": (r"(?=.*(?:general public|\bgpl))(?=.*(?:version 2(?!\.1)|\bv ?2(?!\.1)))", r"lesser|affero|library general"),
+    "LGPL-2.1": (r"(?=.*(?:lesser|library) general)(?=.*2\.1)", r"affero"),
+    "LGPL-3.0": (r"(?=.*lesser general)(?=.*(?:version 3|\bv ?3))", r"affero|2\.1"),
+    "AGPL-3.0": (r"affero", r"$^"),
+    "BSD-3-Clause": (r"(?=.*(?:\bbsd\b|redistribution and use))(?=.*(?:3 clause| #3$))", r"2 clause"),
+    "BSD-2-Clause": (r"\bbsd 2 clause|redistribution and use", r"3 clause| #3$"),
+    "Zlib": (r"zlib|held liable|permission is granted to anyone to use", r"$^"),
+    "BSL-1.0": (r"boost software", r"$^"),
+    "MPL-2.0": (r"mozilla public", r"version 1"),
+    "CC-BY-4.0": (r"cc by|attribution", r"cc by (?:sa|nc|nd)|share ?alike|non ?commercial|no ?deriv|[123]\.0"),
+    "CC-BY-SA-4.0": (r"cc by sa|share ?alike", r"cc by nc|non ?commercial|[123]\.0"),
+    "CC-BY-NC-4.0": (r"cc by nc|non ?commercial", r"cc by nc (?:sa|nd)|share ?alike|no ?deriv|[123]\.0"),
+    "CC0-1.0": (r"cc0", r"$^"),
+    "ISC": (r"\bisc\b|with or without fee", r"$^"),
+    "EPL-2.0": (r"eclipse public", r"v ?1|version 1"),
+    "Unlicense": (r"unencumbered|unlicense", r"$^"),
+    "Proprietary": (r"rights reserved", r"redistribut|permission"),
+}
+#: What shows the clause that the two BSD licences differ by.
+THIRD_CLAUSE = r"(?i)neither\s+\W*the\s+\W*names?\b|\bendorse\s+\W*or\s+\W*promote\b"
+#: An SPDX expression after its tag.
+SPDX = r"SPDX-License-Identifier:[ \t]*(\(*[\w.+-]+\)*(?:[ \t]+(?:AND|OR|WITH|and|or|with)[ \t]+\(*[\w.+-]+\)*)*)"
+MARGIN = 0.01
 #: Words that tell a notice, in any case.
 SIGNAL = r"(?i)licen[sc]|copyright|rights reserved|public domain|permission is hereby|is hereby granted|redistribut|\bCC0\b|SPDX"
 LICENSE_FILE = r"(?i)(^|/)(licen[sc]e|copying|unlicense|notice)(\.[a-z]+)?$"
@@ -71,16 +110,23 @@ def terms_of(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), BREAK), "")
 
 
-def templates() -> dict[str, tuple[str, ...]]:
-    """Each licence's notices, and the tag with its name."""
-    return {name: texts if name == "Proprietary" else (*texts, TAG.format(name)) for name, texts in TEMPLATES.items()}
-
-
 def _templates(spark: SparkSession) -> DataFrame:
-    rows = [(name, i, text) for name, texts in sorted(templates().items()) for i, text in enumerate(texts)]
+    rows = [(name, i, text) for name, texts in sorted(TEMPLATES.items()) for i, text in enumerate(texts)]
     return spark.createDataFrame(rows, "license string, variant int, words string")
 
 
+def _allowed(notice: Column, third: Column) -> Column:
+    """The licences whose deciding words a notice has."""
+    plain = F.concat(F.trim(F.regexp_replace(F.lower(notice), r"[^0-9a-z.]+", " ")), F.when(third, F.lit(" #3")).otherwise(F.lit("")))
+    return F.array_compact(F.array(*[F.when(plain.rlike(needs) & ~plain.rlike(bars), F.lit(name)) for name, (needs, bars) in DECIDES.items()]))
+
+
+def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
+    """Whether the keys of ``left`` equal those of ``right``, there named n_<key>."""
+    on = [left[k].eqNullSafe(right[f"n_{k}"]) for k in keys]
+    return functools.reduce(lambda a, b: a & b, on)
+
+
 def own_licenses(files: DataFrame, *, id_col: str, path_col: str, text_col: str, threshold: float = THRESHOLD) -> DataFrame:
     """(id, path, h, own, similarity, leads): the best notice of each file that has one; leads: it is the file's first or last line or paragraph."""
     spark = files.sparkSession
@@ -106,15 +152,15 @@ def own_licenses(files: DataFrame, *, id_col: str, path_col: str, text_col: str,
     lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
     paragraphs = F.filter(F.split("text", BLANK), lambda x: x.rlike(r"[\p{L}\p{N}]"))
     piece = lambda line, edge, notice: F.struct(line.cast("int").alias("line"), edge.alias("edge"), notice.alias("notice"))
-    keyed = keyed.select("id", "path", "h", "text", whole.alias("whole"), lines.alias("lines"), paragraphs.alias("paragraphs"))
+    keyed = keyed.select("id", "path", "h", "text", whole.alias("whole"), F.col("text").rlike(THIRD_CLAUSE).alias("third"), lines.alias("lines"), paragraphs.alias("paragraphs"))
     pieces = F.concat(
         F.transform("lines", lambda x, i: piece(i, (i == 0) | (i == F.size("lines") - 1), x)),
         # notices wrapped over lines are read as one; a paragraph of one line is that line
         F.filter(F.transform("paragraphs", lambda x, i: piece(-1 - i, (i == 0) | (i == F.size("paragraphs") - 1), x)), lambda x: F.trim(x["notice"]).contains("\n")),
         F.when(F.col("whole"), F.array(piece(F.lit(WHOLE), F.lit(True), F.col("text")))).otherwise(F.array().cast("array<struct<line:int,edge:boolean,notice:string>>")),
     )
-    notices = keyed.select("id", "path", "h", F.inline(pieces)).filter(F.col("notice").rlike(SIGNAL))
-    notices = staged(notices.distinct(), "license-notices")
+    notices = keyed.select("id", "path", "h", "third", F.inline(pieces)).filter(F.col("notice").rlike(SIGNAL)).distinct()
+    notices = staged(notices.withColumns({"may_be": _allowed(F.col("notice"), F.col("third")), "spdx": F.regexp_replace(F.regexp_extract("notice", SPDX, 1), r"-+$", "")}), "license-notices")
 
     words = notices.select("id", "path", "h", "line", "edge", F.explode(terms_of(F.col("notice"))).alias("term"))
     counted = words.groupBy("id", "path", "h", "line", "edge", "term").agg(F.count("*").alias("tf")).join(idf, "term", "left")
@@ -122,12 +168,19 @@ def own_licenses(files: DataFrame, *, id_col: str, path_col: str, text_col: str,
     keys = ["id", "path", "h", "line", "edge"]
     length = counted.groupBy(*keys).agg(F.sqrt(F.sum(square)).alias("length"))
     dot = counted.filter("idf is not null").join(weighted, "term").groupBy(*keys, "license", "variant").agg(F.sum(F.col("tf") * F.col("idf") * F.col("w")).alias("dot"))
-    same = [dot[k].eqNullSafe(length[k]) for k in keys]
-    scored = dot.join(length, same[0] & same[1] & same[2] & same[3] & same[4]).select(*[dot[k] for k in keys], "license", F.round(F.col("dot") / F.col("length"), 6).alias("similarity"))
+    sized = length.select(*[F.col(k).alias(f"n_{k}") for k in keys], "length")
+    scored = dot.join(sized, _same(dot, sized, keys)).select(*[dot[k] for k in keys], "license", F.round(F.col("dot") / F.col("length"), 6).alias("similarity"))
+    told = notices.select(*[F.col(k).alias(f"n_{k}") for k in keys], "may_be")
+    scored = scored.join(told, _same(scored, told, keys)).filter(F.array_contains("may_be", F.col("license")) & (F.col("similarity") >= threshold))
     # a licence file's copyright line is no licence
     scored = scored.filter((F.col("license") != "Proprietary") | (F.col("line") == WHOLE) | ~F.coalesce(F.col("path").rlike(LICENSE_FILE), F.lit(False)))
-    best = scored.filter(F.col("similarity") >= threshold).groupBy("id", "path", "h").agg(
-        F.min(F.struct((-F.col("similarity")).alias("s"), F.col("license"), F.col("line"))).alias("b"), F.max("edge").alias("leads"))
+    ranked = scored.groupBy(*keys, "license").agg(F.max("similarity").alias("similarity"))
+    ranked = ranked.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("s"), "license"))).alias("r"))  # as many as licences at most
+    clear = (F.size("r") == 1) | (F.try_element_at("r", F.lit(2))["s"] - F.col("r")[0]["s"] >= MARGIN)
+    plain = ranked.filter(clear).select(*keys, F.when(F.col("r")[0]["license"] == "Proprietary", 2).otherwise(1).alias("place"), F.col("r")[0]["license"].alias("license"), (-F.col("r")[0]["s"]).alias("similarity"))
+    tagged = notices.filter("spdx <> ''").select(*keys, F.lit(0).alias("place"), F.col("spdx").alias("license"), F.lit(1.0).alias("similarity"))
+    best = plain.unionByName(tagged).groupBy("id", "path", "h").agg(
+        F.min(F.struct("place", (-F.col("similarity")).alias("s"), F.col("license"), F.col("line"))).alias("b"), F.max("edge").alias("leads"))
     out = staged(best.select("id", "path", "h", F.col("b.license").alias("own"), (-F.col("b.s")).alias("similarity"), "leads"), "license-own")
     discard(df, idf, notices)
     return out

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabshift.llm.common import MAX_SHARDS, discard, shard_count, staged
+from tabshift.llm.common import MAX_SHARDS, discard, fresh_names, shard_count, staged
 from tabshift.llm.components import components
 from tabshift.llm.fingerprints import least_hashes
 from tabshift.llm.shards import mix64, packed_batch, reduce_shards
@@ -575,10 +575,11 @@ def deduplicated(docs: DataFrame, *, similarity: float | None = None, distance:
     else:
         found = _grouped(docs, similarity, distance, width, id_col, text_col)
     first = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), F.col("id"), F.col("row"))).alias("m"))
-    keep = first.select(F.col("m.id").alias("k_id"), F.col("m.row").alias("k_row"))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("k_id")) & (_row(id_col, text_col) == F.col("k_row"))
-    kept = docs.join(keep, same, "left_semi")
-    repeats = not found.groupBy("id", "row").count().filter("count > 1").isEmpty()
-    if not repeats:
-        return kept
-    return kept.withColumn("_kept_row", _row(id_col, text_col)).dropDuplicates([id_col, "_kept_row"]).drop("_kept_row")
+    # the caller's columns may have any names
+    k_id, k_row, row = fresh_names(docs, "id", "row", "kept")
+    keep = first.select(F.col("m.id").alias(k_id), F.col("m.row").alias(k_row))
+    marked = docs.withColumn(row, _row(id_col, text_col))
+    kept = marked.join(keep, F.col(id_col).cast("long").eqNullSafe(F.col(k_id)) & (F.col(row) == F.col(k_row)), "left_semi")
+    if not found.groupBy("id", "row").count().filter("count > 1").isEmpty():
+        kept = kept.dropDuplicates([id_col, row])
+    return kept.drop(row)
