@@ -6,9 +6,12 @@ paragraph that passes points for its length and commas, times one minus its link
 the next REACH containers above. The best container, by points and its own link density, leads to the article: the article or
 main element around it if there is one, else itself with its siblings that have running text of few links, and all between them.
 
-Elements whose class or id names say boilerplate (adverts, notices, comments, ...) are left out before the points are given, unless
-that would leave a page without running text: then the names are wrong and only the points count. Boxes that are mostly links
-of few words are menus and go; lists of longer linked titles stay.
+Elements of which a class or id name says nothing but boilerplate (``comment-list``, ``cookie-notice``; not ``related-work``) are left
+out before the points are given, unless that would leave a page without running text: then the names are wrong and only the
+points count. Names that may be boilerplate (``top``, ``legal``) count outside an article element alone, and never for a paragraph.
+Outside an article element boxes that are mostly links of few words are menus and go; lists of longer linked titles stay. Within
+one, all goes that says what it is (navigation, forms, asides, comments, ...), and nothing else. Articles side by side with running
+text are all kept.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are trimmed and joined in page
 order by one newline. A line break is white space. Nothing is capped; time grows with the page's length, whatever its depth.
@@ -40,16 +43,17 @@ CONTAINERS = frozenset("td th article main body section div table".split())
 HOLDS_P = (BLOCKS - {"p"}) | {"td", "th", "button", "object"}
 #: (tags that close each other, tags that bound them)
 CLOSE_EACH_OTHER = ((("li",), ("ul", "ol", "menu")), (("dt", "dd"), ("dl",)), (("tr",), ("table",)), (("td", "th"), ("tr", "table")), (("option",), ("select",)))
-KEEP, NAMED, DROP = 0, 1, 2
+KEEP, MAYBE, NAMED, DROP = range(4)
 REACH = 5  # containers above a paragraph that get points of it
 MENU_WORDS = 3.5  # links of a menu have fewer words on average
 PARAGRAPHS = frozenset("p pre li dd dt blockquote td th figcaption tr caption".split())
 WEIGHT = {"article": 12.0, "main": 10.0, "section": 2.0, "div": 5.0, "pre": 3.0, "td": 3.0, "blockquote": 3.0, "ul": -3.0, "ol": -3.0, "dl": -3.0, "form": -3.0, "th": -5.0, "address": -3.0}
 
-# Words of class and id names: boilerplate for certain, boilerplate unless the name also says content, content.
+# Words of class and id names: boilerplate for certain, boilerplate unless the name also says content, content; and words that say nothing of either.
 SURE = re.compile(r"(ads?|advert\w*|adsense|adbox|sponsor\w*|promo\w*|cookies?|consent|gdpr|comments?|commentlist|disqus|respond|reply|replies|share|sharing|social|related|recommend\w*|newsletter|subscri\w*|signup|login|nav|navbar|navigation|menu|breadcrumbs?|footer|sidebar|pagination|pager|popup|modal|overlay|paywall|toolbar|skip|copyright|masthead|dfp|outbrain|taboola)$")
 LIKELY = re.compile(r"(header|banner|notices?|alert|widget|teaser|tags?|tools|rail|aside|extra|feedback|legal|disclaimer|site|top|bottom|hidden)$")
 CONTENT = re.compile(r"(article|articlebody|body|content|entry|main|post|story|text|page|blog|hentry)$")
+NEUTRAL = re.compile(r"(list|box|block|section|container|wrap\w*|inner|outer|area|bar|items?|groups?|units?|panel|col|column|rows?|grid|links?|posts|buttons?|btns?|icons?|module|slots?|zone|holder|left|right|small|large|mobile|desktop|fixed|sticky|thread|reading|the|js|\d+)$")
 NOT_WITH = frozenset("with has no without".split())
 
 TAG = re.compile(r"<(?:!--(?:.*?)(?:-->|$)|(/?)([a-zA-Z][^\s/>]*)((?:\s*(?:=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*)?|[^\s>=]+))*)\s*(?:>|$)|[!?/][^>]*(?:>|$))", re.S)
@@ -124,14 +128,17 @@ def marks(tag: str, raw: str) -> tuple[int, float]:
         words = [w.lower() for w in NAME_WORDS.findall(name)]
         if any(w in NOT_WITH for w in words[:-1]):
             continue
-        sure |= any(SURE.match(w) for w in words) or "".join(words) in ("adbox", "readnext", "readmore", "seealso")
-        likely |= any(LIKELY.match(w) for w in words)
         content |= any(CONTENT.match(w) for w in words)
+        if all(any(kind.match(w) for kind in (SURE, LIKELY, CONTENT, NEUTRAL)) for w in words):  # a word of its own makes it a matter of the article
+            sure |= any(SURE.match(w) for w in words)
+            likely |= any(LIKELY.match(w) for w in words)
+        sure |= "".join(words) in ("adbox", "readnext", "readmore", "seealso")
     if attributes.get("itemtype", "").lower().endswith("/comment"):
         sure = True
     if tag in ("article", "main"):
         return NAMED if sure and not content else KEEP, bonus
-    return NAMED if sure or (likely and not content) else KEEP, bonus + 8.0 * content
+    maybe = likely and not content and tag not in PARAGRAPHS and tag not in HEADINGS
+    return NAMED if sure else MAYBE if maybe else KEEP, bonus + 8.0 * content
 
 
 def parse(html: str) -> Page:
@@ -199,8 +206,8 @@ class Tree:
     def __init__(self, page: Page, least: int) -> None:
         tag, parent = page.tag, page.parent
         n = len(tag)
-        self.page, self.n = page, n
-        inside, in_link, self.block_of, self.hidden = [False] * n, [False] * n, [0] * n, [False] * n
+        self.page, self.n, self.inside = page, n, [False] * n
+        inside, in_link, self.block_of, self.hidden = self.inside, [False] * n, [0] * n, [False] * n
         in_header = [False] * n
         for i in range(1, n):
             p = parent[i]
@@ -209,7 +216,8 @@ class Tree:
             self.block_of[i] = i if tag[i] in BLOCKS or tag[i] in ("td", "th") else self.block_of[p]
             # a header inside an article gives its headings alone
             in_header[i] = tag[i] not in HEADINGS and (tag[i] == "header" or in_header[p]) if inside[i] else False
-            self.hidden[i] = self.hidden[p] or page.drop[i] >= least or (tag[i] == "header" and not inside[p])
+            mark = KEEP if inside[p] and page.drop[i] == MAYBE else page.drop[i]
+            self.hidden[i] = self.hidden[p] or mark >= least or (tag[i] == "header" and not inside[p])
         shown = [not (a or b) for a, b in zip(self.hidden, in_header, strict=True)]
 
         self.blocks: list[tuple[int, str]] = []  # a block's first node and its text
@@ -287,6 +295,9 @@ class Tree:
             up = parent[up]
         chosen = [False] * n
         chosen[around or best] = True
+        if around and tag[around] == "article":  # articles side by side
+            for i in range(1, n):
+                chosen[i] |= tag[i] == "article" and parent[i] == parent[around] and not self.hidden[i] and self.score[i] >= 3.0 and self.density(i) < 0.3
         if not around and tag[best] not in ("body", "html"):
             siblings = [i for i in range(1, n) if parent[i] == parent[best] and not self.hidden[i] and self.block_of[i] == i]
             for i in siblings:
@@ -306,7 +317,7 @@ class Tree:
         tag, parent = self.page.tag, self.page.parent
         chosen, menu = self.article(best), [False] * self.n
         for i in range(1, self.n):
-            box = tag[i] in ("ul", "ol", "dl", "div", "section", "table") and i != best and self.length[i] > 0 and self.density(i) > 0.5
+            box = not self.inside[i] and tag[i] in ("ul", "ol", "dl", "div", "section", "table") and i != best and self.length[i] > 0 and self.density(i) > 0.5
             menu[i] = menu[parent[i]] or (box and self.link_words[i] < MENU_WORDS * max(1, self.links[i]))
         return "\n".join(text for node, text in self.blocks if chosen[node] and not menu[node])
 
@@ -316,8 +327,8 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     page = parse(html)
-    found = Tree(page, NAMED)
-    if not any(len(text) >= 25 and page.tag[found.block_of[node]] not in HEADINGS for node, text in found.blocks) and NAMED in page.drop:
+    found = Tree(page, MAYBE)
+    if not any(len(text) >= 25 and page.tag[found.block_of[node]] not in HEADINGS for node, text in found.blocks) and (NAMED in page.drop or MAYBE in page.drop):
         return Tree(page, DROP).text() or found.text()
     return found.text()
 

@@ -9,7 +9,11 @@ CASES = {
     "article": (f"<html><head><title>T</title><style>p{{}}</style><script>var t='</p>';</script></head><body><nav><a href=/>x</a></nav><div class=ad>Buy {P}</div><article><h1>Title</h1><p><b>Bold {P}<br><p>{P}</article><footer>f</footer>", f"Title\nBold {P}\n{P}"),
     "div soup": (f"<body><div id=top><a href=1>Home</a></div><div class='sidebar'><p>{P}</p></div><div class='cookie-notice'><p>{P}</p></div><div class='content with-sidebar'><h1>A &amp; B</h1><p>{P}</p><p>Short.</p><form><p>{P}</p></form><p>Last&nbsp;&#8217;\n x</p></div><section id=comments><p>{P} {P}</p></section></body>", f"A & B\n{P}\nShort.\nLast ’ x"),
     "main with header": (f"<header><h1>Site</h1></header><main><header><h1>Story</h1><p>By Jo</p></header><p>{P}</p><aside>{P}</aside><blockquote>{P}</blockquote></main><div class=related><article><p>{P}</p></article></div>", f"Story\n{P}\n{P}"),
-    "menu list inside": (f"<article><p>{P}</p><ul><li><a href=1>One link</a></li><li><a href=2>Two link</a></li></ul><ul><li>a point</li></ul></article>", f"{P}\na point"),
+    "short linked titles of an article": (f"<article><p>{P}</p><ul><li><a href=1>One link</a></li><li><a href=2>Foxes</a></li></ul><nav><ul><li><a href=3>Menu</a></li></ul></nav><ul><li>a point</li></ul></article>", f"{P}\nOne link\nFoxes\na point"),
+    "menu list outside": (f"<div class=content><p>{P}</p><ul><li><a href=1>One link</a></li><li><a href=2>Two link</a></li></ul><ul><li>a point</li></ul></div>", f"{P}\na point"),
+    "names within an article": (f"<article><p class='top'>{P}</p><div class='legal'><p>{P}</p></div><section class='related-work'><p>{P}</p></section><p class='social-history'>{P}</p><div class='related-posts'><p>{P}</p></div><div class='share-buttons'>Share</div><div class='ad-slot'>{P}</div></article>", "\n".join([P] * 4)),
+    "names outside an article": (f"<div class='top-bar'><p>{P}</p></div><div class='legal'><p>{P}</p></div><div class='story'><p class='top'>{P}</p><p>{P}</p></div><div class='related-work'><p>{P}</p><p>{P}</p></div>", "\n".join([P] * 4)),
+    "two articles": (f"<body><article><h1>A</h1><p>{P}</p><p>{P}</p></article><article><h2>B</h2><p>{P}</p></article><article><a href=1>{P}</a></article></body>", f"A\n{P}\n{P}\nB\n{P}"),
     "siblings": (f"<body><div><p>{P}</p><p>{P}</p></div><div><p>{P}</p></div></body>", f"{P}\n{P}\n{P}"),
     "only boilerplate": ("<nav><a>x</a></nav><footer>f</footer>", ""),
     "bare text": ("just text", "just text"),
