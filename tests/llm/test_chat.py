@@ -107,3 +107,18 @@ def test_no_python_in_the_plan(spark):
     records = chat.turn_rows(spark.createDataFrame([(1, '{"prompt": "p", "response": "r"}')], "k long, j string"), "k", "j")
     plan = chat.digests(chat.formatted(rows.unionByName(records)))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_ids_that_are_no_numbers(spark):
+    table = spark.createDataFrame([("abc-1", "b", "gpt", "hi"), ("abc-1", "1", "human", "hello"), ("x", "2", "other", None), (None, None, "gpt", "alone")], "dialog_id string, position string, speaker string, utterance string")
+    shown = chat.formatted(chat.table_rows(table))
+    got = {r.conv_id: (r.n_turns, r.loss_chars) for r in chat.digests(shown).collect()}
+    assert got == {"abc-1": (2, 2), "x": (1, 0), None: (1, 5)}  # null turns come first
+    rows = chat.turn_rows(spark.createDataFrame([("k-1", '{"prompt":"a","response":"b"}'), (None, '{"prompt":"c","response":"d"}'), (None, "none")], "id string, json string"), "id", "json").collect()
+    assert len({r.conv_id for r in rows}) == 3 and sorted(r.text for r in rows) == ["a", "b", "c", "d", "none"]
+    assert {type(r.conv_id) for r in rows} == {str}
+
+
+def test_roles_of_tables_stay(spark):
+    table = spark.createDataFrame([(1, 0, "bot", "x")], "conv_id int, turn int, role string, text string")
+    assert [tuple(r) for r in chat.table_rows(table).collect()] == [(1, 0, "bot", "x")]
