@@ -48,9 +48,13 @@ def items_of(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "tex
 
 
 def term_counts(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
-    """(term, n): how often each of ``terms`` occurs in the whole corpus."""
-    said = docs.select(F.explode(words(F.col(text_col))).alias("term"))
-    return said.join(terms, "term").groupBy("term").agg(F.count("*").alias("n"))
+    """(term, n): how often each of ``terms`` occurs in the whole corpus.
+
+    Words are counted before they meet the terms, by tasks first, so that a common word sends a row a task and a term list of any
+    length meets one row a word.
+    """
+    said = docs.select(F.explode(words(F.col(text_col))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    return said.join(terms, "term", "left_semi")
 
 
 def postings(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
