@@ -550,8 +550,8 @@ def lookup(spark: SparkSession, manifest: DataFrame, ids: DataFrame, id_col: str
     asked = ids.select(F.col(id_col).cast("long").alias("asked")).distinct()
     met = asked.filter("asked is not null").mapInArrow(deal, "shard int, asked long")
     if nameless:
-        null_shards = F.array(*[F.lit(len(shards) + i) for i in range(len(nameless))])
-        met = met.unionByName(asked.filter("asked is null").select(F.explode(null_shards).cast("int").alias("shard"), "asked"))
+        null_shards = F.array(*[F.lit(len(shards) + i).cast("int") for i in range(len(nameless))])
+        met = met.unionByName(asked.filter("asked is null").select(F.explode(null_shards).alias("shard"), "asked"))
     found_schema = pa.schema([(id_col, pa.int64()), ("ids", pa.list_(pa.int64()))])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -271,3 +271,14 @@ def test_texts_of_one_simhash_have_links_of_their_own(spark, make_docs):
     assert fps[0] == fps[1] and (fps[0] ^ fps[2]).bit_count() > 4
     # equal fingerprints make candidates, likeness makes links
     assert {r.doc_id: r.component_id for r in simhash.groups(make_docs(docs), similarity=0.8).collect()} == {1: 1, 2: 2, 3: 2}
+
+
+@pytest.mark.parametrize("similarity", [None, 0.8])
+def test_deduplicated_keeps_columns_of_any_name(spark, similarity):
+    text = "one two three four five six seven eight nine ten"
+    names = ["k_id", "k_row", "_kept_row", "_id", "_ROW", "id", "row", "fp", "first_id", "root", "component_id"]
+    rows = [(1, text, *map(str, range(len(names)))), (1, text, *map(str, range(len(names)))), (2, text, *"x" * len(names)), (3, "something else", *"y" * len(names))]
+    docs = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", *[f"`{n}` string" for n in names]]))
+    kept = simhash.deduplicated(docs, similarity=similarity, width=5)
+    assert kept.columns == docs.columns
+    assert sorted(tuple(r) for r in kept.collect()) == [rows[0], rows[3]]

@@ -124,3 +124,9 @@ def test_blocks_index_and_bloom_filter(monkeypatch):
     assert sum(reader.may_have(tokens.key_of(k)) for k in range(10**6, 10**6 + 1000)) < 60
     with pytest.raises(ValueError):
         tokens.ShardReader(Source(out.getvalue()[:-9] + b"x" * 9))
+
+
+def test_null_ids_are_found(spark, make_docs):
+    manifest = tokens.write_shards(make_docs([(1, "one"), (None, "two words"), (None, "three"), (4, None)]), tokenizer=public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    asked = spark.createDataFrame([(None,), (4,), (9,)], "doc_id long")
+    assert sorted((r.doc_id or 0, len(r.ids)) for r in tokens.lookup(spark, manifest, asked).collect()) == [(0, 2), (0, 3), (4, 1)]
