@@ -190,10 +190,53 @@ def register(spark) -> None:
     spark.udtf.register("csv_cells", udtf(CsvCells, returnType="r: int, c: int, value: string"))
 
 
+#: A text may name a key with a dot or bracket, or be no JSON that Spark reads (repeated keys, NaN, or none at all).
+DOTTED_KEY = r'[.\[\]][^"]*"\s*:'
+STEP = """SELECT {keys}, CASE WHEN e.pos IS NULL THEN t.path WHEN e.key IS NULL THEN concat(t.path, '[', e.pos, ']') WHEN t.path = '' THEN e.key ELSE concat(t.path, '.', e.key) END AS path,
+  CASE WHEN e.pos IS NULL THEN t.v ELSE e.value END AS v FROM {{t}} AS t, LATERAL variant_explode_outer(t.v) AS e"""
+
+
+def json_depth(text: Column) -> Column:
+    """How deep the brackets of a JSON text nest."""
+    outside = F.regexp_replace(F.regexp_replace(text, r"(?s)\\.", ""), r'"[^"]*"', "")
+    marks = F.split(F.regexp_replace(outside, r"[^\[\]{}]", ""), "")
+    zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(at: Column, mark: Column) -> Column:
+        now = at["now"] + F.when(mark.isin("[", "{"), 1).when(mark.isin("]", "}"), -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(at["most"], now).alias("most"))
+
+    return F.aggregate(marks, zero, step, lambda at: at["most"])
+
+
 def json_leaves(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, path, kind, value)."""
-    register(texts.sparkSession)
-    return _lateral(texts, id_col, text_col, "walk_json_leaves", "path, kind, value")
+    """(id, path, kind, value) of each leaf: a.b for keys, [i] for elements; the root scalar has an empty path.
+
+    Texts are parsed once as variants and unfolded level by level, as many as the deepest text has; one pass finds that number.
+    Only texts that Spark's parser doesn't take, or whose keys could be taken for paths, are walked by the table function, which is
+    in the plan only if there are any.
+    """
+    return _leaves(texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id")
+
+
+def _leaves(texts: DataFrame, *keys: str) -> DataFrame:
+    spark = texts.sparkSession
+    named = texts.select(*keys, "text", F.try_parse_json("text").alias("v"))
+    odd = F.col("text").isNotNull() & (F.col("v").isNull() | F.col("text").rlike(DOTTED_KEY))
+    depth, some_odd = named.agg(F.max(F.when(~odd, json_depth(F.col("text")))), F.bool_or(odd)).first()
+    now = named.filter(~odd if some_odd else F.col("text").isNotNull()).select(*keys, F.lit("").alias("path"), "v")
+    for _ in range(depth or 0):
+        now = spark.sql(STEP.format(keys=", ".join(f"t.{k}" for k in keys)), t=now)
+    found = now.withColumn("type", F.schema_of_variant("v")).filter(~F.col("type").rlike("^(OBJECT|ARRAY)"))
+    text, number = F.variant_get("v", "$", "string"), F.variant_get("v", "$", "double").cast("string")
+    kind = F.when(F.col("type") == "VOID", "null").when(F.col("type") == "BOOLEAN", "bool").when(F.col("type") == "STRING", "str").otherwise("num")
+    value = F.when(F.col("type") == "BOOLEAN", F.when(text == "true", "1.0").otherwise("0.0")).when(F.col("type").rlike(r"^DECIMAL\(\d+,[1-9]|^(DOUBLE|FLOAT)"), number).when(F.col("type") != "VOID", text)
+    out = found.select(*keys, "path", kind.alias("kind"), value.alias("value"))
+    if some_odd:
+        register(spark)
+        rest = named.filter(odd).select(*keys, "text")
+        out = out.unionByName(spark.sql(f"SELECT {', '.join(f't.{k}' for k in keys)}, path, kind, value FROM {{t}} AS t, LATERAL walk_json_leaves(t.text)", t=rest))
+    return out
 
 
 def csv_cells(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -208,12 +251,13 @@ def _lateral(texts: DataFrame, id_col: str, text_col: str, function: str, column
 
 
 def json_accuracy(pairs: DataFrame, id_col: str, actual: str, expected: str) -> DataFrame:
-    """(id, content_accuracy): the share of expected leaves that the actual text has with an equal value."""
-    want = json_leaves(pairs, id_col, expected)
-    have = json_leaves(pairs, id_col, actual).select(F.col("id").alias("h_id"), F.col("path").alias("h_path"), F.col("kind").alias("h_kind"), F.col("value").alias("h_value"))
-    joined = want.join(have, (want["id"] == have["h_id"]) & (want["path"] == have["h_path"]), "left")
-    same = F.col("h_id").isNotNull() & G.values_equal(F.col("value"), F.col("h_value"))
-    ratios = joined.groupBy("id").agg(F.avg(F.when(same, 1.0).otherwise(0.0)).alias("ratio"))
+    """(id, content_accuracy): the share of expected leaves that the actual text has with an equal value. Ids tell pairs apart."""
+    side = lambda name, wanted: F.struct(F.lit(wanted).alias("wanted"), F.col(name).alias("text"))
+    both = pairs.select(F.col(id_col).alias("id"), F.inline(F.array(side(expected, True), side(actual, False))))
+    leaf = F.struct("value").alias("leaf")  # a leaf that is null is there all the same
+    met = _leaves(both, "id", "wanted").select("id", "path", "wanted", leaf).groupBy("id", "path").agg(F.max(F.when(F.col("wanted"), F.col("leaf"))).alias("want"), F.max(F.when(~F.col("wanted"), F.col("leaf"))).alias("have"))
+    same = F.col("have").isNotNull() & G.values_equal(F.col("want.value"), F.col("have.value"))
+    ratios = met.filter("want is not null").groupBy("id").agg(F.avg(F.when(same, 1.0).otherwise(0.0)).alias("ratio"))
     return pairs.select(F.col(id_col).alias("id")).join(ratios, "id", "left").select(F.col("id").alias(id_col), F.coalesce("ratio", F.lit(0.0)).alias("content_accuracy"))
 
 

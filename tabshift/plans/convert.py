@@ -16,6 +16,7 @@ from tabshift.functions import grammar as G
 from tabshift.operators import profile as P
 from tabshift.operators import transforms as T
 from tabshift.sources import files as S
+from tabshift.sources.committed import write_document
 
 
 class Spec(NamedTuple):
@@ -56,17 +57,35 @@ def typed(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c) if c == "row_idx" else cast(c) for c in df.columns])
 
 
-def csv_text(df: DataFrame, order: str) -> str:
-    """Comma, header, doubled quotes, blanks for nulls; rows in order."""
+def csv_lines(df: DataFrame, order: str) -> tuple[str, DataFrame]:
+    """The header, and (order, line) of each row: comma, doubled quotes, blanks for nulls."""
     names = [c for c in df.columns if c != order]
 
     def cell(c: Column) -> Column:
         text = F.coalesce(c.cast("string"), F.lit(""))
         return F.when(text.rlike('[",\n\r]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
 
-    lines = df.select(order, F.concat_ws(",", *[cell(F.col(f"`{c}`")) for c in names]).alias("line")).orderBy(order)
-    head = ",".join(f'"{n}"' if "," in n else n for n in names)
-    return "\n".join([head, *[r.line for r in lines.collect()]]) + "\n"
+    lines = df.select(order, F.concat_ws(",", *[cell(F.col(f"`{c}`")) for c in names]).alias("line"))
+    return ",".join(f'"{n}"' if "," in n else n for n in names), lines
+
+
+def csv_text(df: DataFrame, order: str) -> str:
+    """All rows in order as one text, for small tables."""
+    head, lines = csv_lines(df, order)
+    return "\n".join([head, *[r.line for r in lines.orderBy(order).collect()]]) + "\n"
+
+
+def write_csv_document(df: DataFrame, root: str, order: str) -> DataFrame:
+    """All rows in order as one CSV document, written by many tasks."""
+    head, lines = csv_lines(df, order)
+    return write_document(lines, root, order, head=head + "\n")
+
+
+def write_json_document(df: DataFrame, root: str, order: str) -> DataFrame:
+    """All rows in order as one JSON array, written by many tasks."""
+    item = F.struct(*[F.col(f"`{c}`") for c in df.columns if c != order])
+    lines = df.select(order, F.to_json(item, {"ignoreNullFields": "false"}).alias("line"))
+    return write_document(lines, root, order, head="[\n", between=",\n", tail="\n]\n")
 
 
 def json_text(df: DataFrame, order: str | None) -> str:

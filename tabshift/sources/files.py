@@ -6,17 +6,16 @@ import csv
 import io
 import re
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from typing import NamedTuple
 
 import pandas as pd
-import pyarrow as pa
-import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabshift.operators.profile import deduplicated_names
 from tabshift.sources import chunks
+from tabshift.sources.committed import write_named_files  # noqa: F401  a sink like those below
 
 SNIFF_CHARS = 16_384
 
@@ -236,30 +235,6 @@ def write_text(df: DataFrame, path: str, column: str = "report") -> None:
     df.select(column).write.text(path)
 
 
-NAMED_FILES = pa.schema([("name", pa.string()), ("bytes", pa.int64())])
-
-
-def write_named_files(files: DataFrame, root: str, name: str = "name", text: str = "text") -> DataFrame:
-    """Write each row's text as the file root/name, for outputs whose file names matter; (name, bytes) of the files.
-
-    One row is one file; a repeated task writes the same file again. ``root`` is a folder that all executors see. The result is lazy.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, folder = pyarrow.fs.FileSystem.from_uri(root) if re.match(r"\w+:", root) else (pyarrow.fs.LocalFileSystem(), root)
-        for batch in batches:
-            names, sizes = batch.column(0).to_pylist(), []
-            for own, value in zip(names, batch.column(1).to_pylist(), strict=True):
-                data = (value or "").encode()
-                store.create_dir(f"{folder}/{own}".rpartition("/")[0], recursive=True)
-                with store.open_output_stream(f"{folder}/{own}") as out:
-                    out.write(data)
-                sizes.append(len(data))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], schema=NAMED_FILES)
-
-    return files.select(F.col(name).alias("name"), F.col(text).alias("text")).mapInArrow(run, "name string, bytes long")
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that all executors see (``spark.checkpoint.dir``); a local one where that is unset and all runs in one process."""
     root = spark.conf.get("spark.checkpoint.dir", None)

@@ -125,3 +125,28 @@ def test_end_of_json_with_and_without_a_whole_value(monkeypatch):
 
     monkeypatch.setattr(C, "DECODER", Never())
     assert fast == [C.end_of_json(t) for t in texts]
+
+
+LEAF_TEXTS = [
+    '{"a": 1, "b": {"c": [1, 2.50, {"d": null}], "e": {}}, "f": []}', "[]", "{}", "5", '"x"', "null", "true", "", "no json", '{"a": 1, "a": 2}', '{"a.b": 1, "a": {"b": 2}}', '[NaN, -Infinity, 1e5, 1E-7, 12345678901234567890, 0.1]',
+    '{"k[0]": 1, "k": [2]}', '[[[[["deep"]]]], {"": {"": 3}}]', '{"s": "a\\"b{[,\\\\", "t": "\\u00e9\\n", "u": "[.]: \\"q\\": "}', '{"b": [true, false, null, ""]}', "[1,]", '{"x": ' * 30 + "1" + "}" * 30,
+]
+
+
+def test_leaves_without_python_equal_the_walk(spark):
+    rows = list(enumerate([*LEAF_TEXTS, None]))
+    got = {}
+    for r in V.json_leaves(spark.createDataFrame(rows, "id long, text string"), "id", "text").collect():
+        assert (r.id, r.path) not in got
+        got[r.id, r.path] = (r.kind, r.value)
+    want = {(i, p): (k, v) for i, t in rows for p, k, v in V.LeafWalk().eval(t)}
+    assert set(got) == set(want)
+    for at, (kind, value) in want.items():
+        assert got[at][0] == kind and (got[at][1] == value or kind == "num" and float(got[at][1]) == float(value) or value == "nan" == got[at][1]), at
+
+
+def test_plain_texts_need_no_python(spark):
+    pairs = spark.createDataFrame([(1, '{"a": [1, {"b": "x"}]}', '{"a": [1.0, {"b": " x"}], "c": null}'), (2, None, "[1]"), (3, "[1]", None)], "id long, a string, e string")
+    scored = V.json_accuracy(pairs, "id", "a", "e")
+    assert "Python" not in scored._jdf.queryExecution().toString() and "Arrow" not in scored._jdf.queryExecution().toString()
+    assert {r.id: round(r.content_accuracy, 4) for r in scored.collect()} == {1: 0.6667, 2: 0.0, 3: 0.0}
