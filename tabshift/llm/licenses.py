@@ -70,26 +70,26 @@ TEMPLATES = {
 }
 #: What a notice must and must not say, in lower case with single spaces; `` #3`` ends it if its file has a clause against endorsement.
 DECIDES = {
-    "Apache-2.0": (r"apache", r"version 1"),
-    "MIT": (r"\bmit\b|permission is hereby granted free of charge", r"\bwith or without fee\b"),
-    "GPL-3.0": (r"(?=.*(?:general public|\bgpl))(?=.*(?:version 3|\bv ?3))", r"lesser|affero|library general"),
-    "GPL-2.0": (r"(?=.*(?:general public|\bgpl))(?=.*(?:version 2(?!\.1)|\bv ?2(?!\.1)))", r"lesser|affero|library general"),
-    "LGPL-2.1": (r"(?=.*(?:lesser|library) general)(?=.*2\.1)", r"affero"),
-    "LGPL-3.0": (r"(?=.*lesser general)(?=.*(?:version 3|\bv ?3))", r"affero|2\.1"),
-    "AGPL-3.0": (r"affero", r"$^"),
-    "BSD-3-Clause": (r"(?=.*(?:\bbsd\b|redistribution and use))(?=.*(?:3 clause| #3$))", r"2 clause"),
-    "BSD-2-Clause": (r"\bbsd 2 clause|redistribution and use", r"3 clause| #3$"),
-    "Zlib": (r"zlib|held liable|permission is granted to anyone to use", r"$^"),
-    "BSL-1.0": (r"boost software", r"$^"),
-    "MPL-2.0": (r"mozilla public", r"version 1"),
-    "CC-BY-4.0": (r"cc by|attribution", r"cc by (?:sa|nc|nd)|share ?alike|non ?commercial|no ?deriv|[123]\.0"),
-    "CC-BY-SA-4.0": (r"cc by sa|share ?alike", r"cc by nc|non ?commercial|[123]\.0"),
-    "CC-BY-NC-4.0": (r"cc by nc|non ?commercial", r"cc by nc (?:sa|nd)|share ?alike|no ?deriv|[123]\.0"),
-    "CC0-1.0": (r"cc0", r"$^"),
-    "ISC": (r"\bisc\b|with or without fee", r"$^"),
-    "EPL-2.0": (r"eclipse public", r"v ?1|version 1"),
-    "Unlicense": (r"unencumbered|unlicense", r"$^"),
-    "Proprietary": (r"rights reserved", r"redistribut|permission"),
+    "Apache-2.0": ((r"apache",), r"version 1"),
+    "MIT": ((r"\bmit\b|permission is hereby granted free of charge",), r"\bwith or without fee\b"),
+    "GPL-3.0": ((r"general public|\bgpl", r"version 3|\bv ?3"), r"lesser|affero|library general"),
+    "GPL-2.0": ((r"general public|\bgpl", r"version 2(?!\.1)|\bv ?2(?!\.1)"), r"lesser|affero|library general"),
+    "LGPL-2.1": ((r"(?:lesser|library) general", r"2\.1"), r"affero"),
+    "LGPL-3.0": ((r"lesser general", r"version 3|\bv ?3"), r"affero|2\.1"),
+    "AGPL-3.0": ((r"affero",), r"$^"),
+    "BSD-3-Clause": ((r"\bbsd\b|redistribution and use", r"3 clause| #3$"), r"2 clause"),
+    "BSD-2-Clause": ((r"\bbsd 2 clause|redistribution and use",), r"3 clause| #3$"),
+    "Zlib": ((r"zlib|held liable|permission is granted to anyone to use",), r"$^"),
+    "BSL-1.0": ((r"boost software",), r"$^"),
+    "MPL-2.0": ((r"mozilla public",), r"version 1"),
+    "CC-BY-4.0": ((r"cc by|attribution",), r"cc by (?:sa|nc|nd)|share ?alike|non ?commercial|no ?deriv|[123]\.0"),
+    "CC-BY-SA-4.0": ((r"cc by sa|share ?alike",), r"cc by nc|non ?commercial|[123]\.0"),
+    "CC-BY-NC-4.0": ((r"cc by nc|non ?commercial",), r"cc by nc (?:sa|nd)|share ?alike|no ?deriv|[123]\.0"),
+    "CC0-1.0": ((r"cc0",), r"$^"),
+    "ISC": ((r"\bisc\b|with or without fee",), r"$^"),
+    "EPL-2.0": ((r"eclipse public",), r"v ?1|version 1"),
+    "Unlicense": ((r"unencumbered|unlicense",), r"$^"),
+    "Proprietary": ((r"rights reserved",), r"redistribut|permission"),
 }
 #: What shows the clause that the two BSD licences differ by.
 THIRD_CLAUSE = r"(?i)neither\s+\W*the\s+\W*names?\b|\bendorse\s+\W*or\s+\W*promote\b"
@@ -115,10 +115,17 @@ def _templates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "license string, variant int, words string")
 
 
-def _allowed(notice: Column, third: Column) -> Column:
-    """The licences whose deciding words a notice has."""
-    plain = F.concat(F.trim(F.regexp_replace(F.lower(notice), r"[^0-9a-z.]+", " ")), F.when(third, F.lit(" #3")).otherwise(F.lit("")))
-    return F.array_compact(F.array(*[F.when(plain.rlike(needs) & ~plain.rlike(bars), F.lit(name)) for name, (needs, bars) in DECIDES.items()]))
+def _plain(notice: Column, third: Column) -> Column:
+    return F.concat(F.trim(F.regexp_replace(F.lower(notice), r"[^0-9a-z.]+", " ")), F.when(third, F.lit(" #3")).otherwise(F.lit("")))
+
+
+def _decided(license: Column, plain: Column) -> Column:
+    """Whether a notice has the deciding words of a licence."""
+    out = F.lit(False)
+    for name, (needs, bars) in DECIDES.items():
+        has = functools.reduce(lambda a, b: a & b, [plain.rlike(n) for n in needs])
+        out = F.when(license == name, has & ~plain.rlike(bars)).otherwise(out)
+    return out
 
 
 def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
@@ -160,7 +167,7 @@ def own_licenses(files: DataFrame, *, id_col: str, path_col: str, text_col: str,
         F.when(F.col("whole"), F.array(piece(F.lit(WHOLE), F.lit(True), F.col("text")))).otherwise(F.array().cast("array<struct<line:int,edge:boolean,notice:string>>")),
     )
     notices = keyed.select("id", "path", "h", "third", F.inline(pieces)).filter(F.col("notice").rlike(SIGNAL)).distinct()
-    notices = staged(notices.withColumns({"may_be": _allowed(F.col("notice"), F.col("third")), "spdx": F.regexp_replace(F.regexp_extract("notice", SPDX, 1), r"-+$", "")}), "license-notices")
+    notices = staged(notices, "license-notices")
 
     words = notices.select("id", "path", "h", "line", "edge", F.explode(terms_of(F.col("notice"))).alias("term"))
     counted = words.groupBy("id", "path", "h", "line", "edge", "term").agg(F.count("*").alias("tf")).join(idf, "term", "left")
@@ -170,15 +177,18 @@ def own_licenses(files: DataFrame, *, id_col: str, path_col: str, text_col: str,
     dot = counted.filter("idf is not null").join(weighted, "term").groupBy(*keys, "license", "variant").agg(F.sum(F.col("tf") * F.col("idf") * F.col("w")).alias("dot"))
     sized = length.select(*[F.col(k).alias(f"n_{k}") for k in keys], "length")
     scored = dot.join(sized, _same(dot, sized, keys)).select(*[dot[k] for k in keys], "license", F.round(F.col("dot") / F.col("length"), 6).alias("similarity"))
-    told = notices.select(*[F.col(k).alias(f"n_{k}") for k in keys], "may_be")
-    scored = scored.join(told, _same(scored, told, keys)).filter(F.array_contains("may_be", F.col("license")) & (F.col("similarity") >= threshold))
+    # only what is alike is looked at for its deciding words
+    told = notices.select(*[F.col(k).alias(f"n_{k}") for k in keys], "notice", "third")
+    alike = scored.filter(F.col("similarity") >= threshold)
+    scored = alike.join(told, _same(alike, told, keys)).withColumn("plain", _plain(F.col("notice"), F.col("third"))).filter(_decided(F.col("license"), F.col("plain")))
     # a licence file's copyright line is no licence
     scored = scored.filter((F.col("license") != "Proprietary") | (F.col("line") == WHOLE) | ~F.coalesce(F.col("path").rlike(LICENSE_FILE), F.lit(False)))
     ranked = scored.groupBy(*keys, "license").agg(F.max("similarity").alias("similarity"))
     ranked = ranked.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("s"), "license"))).alias("r"))  # as many as licences at most
     clear = (F.size("r") == 1) | (F.try_element_at("r", F.lit(2))["s"] - F.col("r")[0]["s"] >= MARGIN)
     plain = ranked.filter(clear).select(*keys, F.when(F.col("r")[0]["license"] == "Proprietary", 2).otherwise(1).alias("place"), F.col("r")[0]["license"].alias("license"), (-F.col("r")[0]["s"]).alias("similarity"))
-    tagged = notices.filter("spdx <> ''").select(*keys, F.lit(0).alias("place"), F.col("spdx").alias("license"), F.lit(1.0).alias("similarity"))
+    tags = notices.filter(F.col("notice").contains("SPDX-License-Identifier")).withColumn("spdx", F.regexp_replace(F.regexp_extract("notice", SPDX, 1), r"-+$", ""))
+    tagged = tags.filter("spdx <> ''").select(*keys, F.lit(0).alias("place"), F.col("spdx").alias("license"), F.lit(1.0).alias("similarity"))
     best = plain.unionByName(tagged).groupBy("id", "path", "h").agg(
         F.min(F.struct("place", (-F.col("similarity")).alias("s"), F.col("license"), F.col("line"))).alias("b"), F.max("edge").alias("leads"))
     out = staged(best.select("id", "path", "h", F.col("b.license").alias("own"), (-F.col("b.s")).alias("similarity"), "leads"), "license-own")

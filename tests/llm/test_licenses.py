@@ -155,7 +155,7 @@ def brute(files, leading, threshold=L.THRESHOLD):
             if tag := re.search(L.SPDX, piece):
                 scored.append((1.0, tag[1].rstrip("-"), line, edge, 0))
             plain = re.sub("[^0-9a-z.]+", " ", piece.lower()).strip() + " #3" * bool(re.search(L.THIRD_CLAUSE, text))
-            fit = {name for name, (needs, bars) in L.DECIDES.items() if re.search(needs, plain) and not re.search(bars, plain)}
+            fit = {name for name, (needs, bars) in L.DECIDES.items() if all(re.search(x, plain) for x in needs) and not re.search(bars, plain)}
             likeness = collections.defaultdict(float)
             for name, t in said:
                 if name in fit and counts and (name != "Proprietary" or line == L.WHOLE or not whole):
