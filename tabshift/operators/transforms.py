@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -64,6 +64,63 @@ def flatten(df: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
     return df.select(*[F.col(".".join(f"`{x}`" for x in paths[n])).alias(n) for n in names])
 
 
+def _field(name: str) -> Callable[[Column], Column]:
+    return lambda x: x[name]
+
+
+def array_widths(df: DataFrame) -> dict[str, int]:
+    """The most elements that any array of each path has (``items``, ``items[].tags``), structs and arrays in arrays included: one aggregation."""
+    found: list[tuple[str, Column]] = []
+
+    def walk(kind: T.DataType, name: str, at: Column, many: bool) -> None:
+        """``at``: the value, or if ``many`` the array of all values that a row has there."""
+        if isinstance(kind, T.StructType):
+            for f in kind.fields:
+                walk(f.dataType, f"{name}.{f.name}" if name else f.name, F.transform(at, _field(f.name)) if many else at[f.name], many)
+        elif isinstance(kind, T.ArrayType):
+            sizes = F.array_max(F.transform(at, F.size)) if many else F.size(at)
+            found.append((name, F.greatest(F.coalesce(F.max(sizes), F.lit(0)), F.lit(0))))
+            walk(kind.elementType, f"{name}[]", F.flatten(F.filter(at, lambda x: x.isNotNull())) if many else at, True)
+
+    for f in df.schema.fields:
+        walk(f.dataType, f.name, F.col(f"`{f.name}`"), False)
+    if not found:
+        return {}
+    widths = df.agg(*[w.alias(str(i)) for i, (_, w) in enumerate(found)]).first()
+    return {name: widths[i] for i, (name, _) in enumerate(found)}
+
+
+def flatten_indexed(df: DataFrame, order: Sequence[str] = ()) -> DataFrame:
+    """Every leaf as a column, array elements too: ``items.0.name``, ``items.1.name``, as many as the longest array of that path has.
+
+    ``order`` names paths without indices (``items.name``) in the order of their columns; paths that it lacks come last, in schema
+    order. Elements beyond a row's array, and leaves of null structs, are null. Two leaves of one name raise an error.
+    """
+    widths = array_widths(df)
+    places = {p: i for i, p in reversed(list(enumerate(order)))}
+    columns: list[tuple[str, Column]] = []
+
+    def place(path: str) -> int:
+        return min((i for p, i in places.items() if p == path or p.startswith(path + ".")), default=len(order))
+
+    def walk(kind: T.DataType, name: str, path: str, shape: str, at: Column) -> None:
+        if isinstance(kind, T.StructType):
+            for f in sorted(kind.fields, key=lambda f: place(f"{path}.{f.name}")):
+                walk(f.dataType, f"{name}.{f.name}", f"{path}.{f.name}", f"{shape}.{f.name}", at[f.name])
+        elif isinstance(kind, T.ArrayType):
+            for i in range(widths[shape]):
+                walk(kind.elementType, f"{name}.{i}", path, f"{shape}[]", F.get(at, F.lit(i)))
+        else:
+            columns.append((name, at))
+
+    for f in sorted(df.schema.fields, key=lambda f: place(f.name)):
+        walk(f.dataType, f.name, f.name, f.name, F.col(f"`{f.name}`"))
+    names = [n for n, _ in columns]
+    if len(set(names)) < len(names):
+        raise ValueError(f"several leaves are named {sorted({n for n in names if names.count(n) > 1})}")
+    return df.select(*[c.alias(n) for n, c in columns])
+
+
 def expand_rows(df: DataFrame, array: str, index: str = "index") -> DataFrame:
     """One row an element, with its index; rows without elements stay."""
     return df.select(*[c for c in df.columns if c != array], F.posexplode_outer(array).alias(index, array))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tabshift.functions import grammar as G
 from tabshift.operators import profile as P
 from tabshift.operators import transforms as T
+from tabshift.sources import chunks
 from tabshift.sources import files as S
 from tabshift.sources.committed import write_document
 
@@ -93,15 +94,18 @@ def json_text(df: DataFrame, order: str | None) -> str:
 
 
 def field_order(spark: SparkSession, path: str) -> list[str]:
-    """Leaf paths of the first record in the order of the file, which schema inference sorts away."""
+    """Leaf paths of the first record in the order of the file, which schema inference sorts away; elements of a list share its path."""
     import json
 
-    value = json.loads(spark.read.text(path, wholetext=True).first().value)
+    start = spark.read.text(path, wholetext=True).select(F.col("value")) if S.one_partition(spark.read.text(path, lineSep=",")) else chunks.json_elements(spark, path).filter("row_idx = 0").select("text")
+    value = json.loads(start.first()[0])
 
     def walk(v: object, before: str) -> list[str]:
+        if isinstance(v, list):
+            return list(dict.fromkeys(p for x in v for p in walk(x, before))) or [before]
         return [p for k, x in v.items() for p in walk(x, f"{before}.{k}" if before else k)] if isinstance(v, dict) else [before]
 
-    return walk(value[0] if isinstance(value, list) else value, "")
+    return walk(value[0] if isinstance(value, list) and value else value, "")
 
 
 def convert(spark: SparkSession, path: str, spec: Spec) -> str:
@@ -112,7 +116,7 @@ def convert(spark: SparkSession, path: str, spec: Spec) -> str:
     if spec.kind in ("flatten", "rename_json", "restructure"):
         rows = S.read_json(spark, path)
         if spec.kind == "flatten":
-            return csv_text(T.flatten(rows, ["row_idx", *field_order(spark, path)]), "row_idx")
+            return csv_text(T.flatten_indexed(rows, ["row_idx", *field_order(spark, path)]), "row_idx")
         if spec.kind == "rename_json":
             return json_text(T.rename_and_reorder(rows, spec.names, ["row_idx", *spec.order]), "row_idx")
         moved = T.migrate_records(rows, spec.root, spec.new_root, spec.target)
