@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tabshift.functions.dates import to_timestamp  # noqa: F401  part of the grammar
+
 DIGITS = r"\d+(_\d+)*"
 INTEGER = rf"^\s*[+-]?{DIGITS}\s*$"
 LEADING_ZERO_INT = r"^\s*-*0.+"
@@ -12,25 +14,6 @@ FLOAT = rf"(?i)^\s*[+-]?(({DIGITS}\.?({DIGITS})?|\.{DIGITS})(e[+-]?{DIGITS})?|in
 LEADING_ZERO_FLOAT = r"^\s*-*0[^.\s]"
 # The cells that are booleans, exactly so written.
 BOOLEANS = ("true", "false", "True", "False", "0", "1", "yes", "no")
-#: Forms of dates and times by what a cell looks like; only the forms behind a matching look are tried.
-DATE_FORMS = {
-    r"^\d{4}-\d{1,2}-\d{1,2}$": ("yyyy-M-d",),
-    r"^\d{4}-\d\d-\d\d[T ]\d\d?:\d\d": (
-        "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd'T'HH:mm", "yyyy-MM-dd HH:mm:ss.[SSSSSS][SSS]", "yyyy-MM-dd'T'HH:mm:ss.[SSSSSS][SSS]",
-        "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]XXX", "yyyy-MM-dd HH:mm:ss[.SSSSSS][.SSS]XXX", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]XX", "yyyy-MM-dd HH:mm:ss[.SSSSSS][.SSS]XX", "yyyy-MM-dd'T'HH:mmXXX",
-    ),
-    r"^\d{4}/": ("yyyy/M/d", "yyyy/M/d H:mm:ss", "yyyy/M/d H:mm"),
-    r"^\d\d?/\d\d?/\d{4}": ("M/d/yyyy", "d/M/yyyy", "M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "d/M/yyyy H:mm:ss", "d/M/yyyy H:mm", "M/d/yyyy h:mm a", "M/d/yyyy h:mm:ss a"),
-    r"^\d\d?[.-]\d\d?[.-]\d{4}$": ("M-d-yyyy", "d-M-yyyy", "M.d.yyyy", "d.M.yyyy"),
-    r"^\d\d?[ -][A-Za-z]{3,9}[ -]\d{4}": ("d MMM yyyy", "d MMMM yyyy", "d-MMM-yyyy", "d MMM yyyy HH:mm:ss", "d MMMM yyyy HH:mm:ss", "d MMM yyyy HH:mm"),
-    r"^[A-Za-z]{3,9} \d\d?,? \d{4}": ("MMM d, yyyy", "MMMM d, yyyy", "MMM d yyyy", "MMMM d yyyy", "MMM d, yyyy HH:mm:ss", "MMMM d, yyyy HH:mm:ss"),
-    r"^\d\d?:\d\d(:\d\d)?$": ("H:mm", "H:mm:ss"),
-}
-
-
-#: What all of these looks have in common: one test sets numbers and most words aside.
-DATE_LIKE = r"^\s*(?:\d{1,4}[-/ ]|\d{1,2}:|\d{1,2}\.\d{1,2}\.|[A-Za-z]{3,9} \d)"
-
 
 def is_null(value: Column) -> Column:
     """Missing or the empty string; white space alone is a value."""
@@ -68,14 +51,6 @@ def integer_digits(value: Column) -> Column:
     return F.when(is_integer(value), F.char_length(F.regexp_replace(value, r"[^0-9]", "")))
 
 
-def to_timestamp(value: Column) -> Column:
-    """The time that a cell stands for, by the forms of DATE_FORMS (month before day where both readings hold); null for others."""
-    cell, out = strip(value), F.lit(None).cast("timestamp")
-    for look, forms in reversed(DATE_FORMS.items()):
-        out = F.when(cell.rlike(look), F.coalesce(*[F.try_to_timestamp(cell, F.lit(f)) for f in forms])).otherwise(out)
-    return F.when(value.rlike(DATE_LIKE), out)
-
-
 def zero_padded(value: Column) -> Column:
     """All digits with a leading zero: never part of a date column."""
     return value.rlike(r"^0\d+$")
