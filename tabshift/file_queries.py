@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from tabshift.functions import grammar as G
 from tabshift.operators import profile as P
+from tabshift.operators import states as St
 from tabshift.operators import transforms as T
 from tabshift.plans import formats
 from tabshift.plans import runner as R
-from tabshift.plans.convert import Spec, convert, typed
+from tabshift.plans.convert import Spec, convert, typed, write_csv_document
 from tabshift.plans.envelope import envelopes
 from tabshift.queries import LINES, query, table
+from tabshift.sources import chunks
 from tabshift.sources import files as S
 from tabshift.streaming import logs
 
@@ -35,11 +37,11 @@ def _text_file(spark: SparkSession, name: str, text: str) -> str:
 # ---- sources ----
 
 
-@query("q_encoding", r"SELECT lang, CASE WHEN bool_or(regexp_matches(text, '[\x80-\xFF]')) THEN 'latin-1' ELSE 'utf-8-sig' END AS encoding FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL GROUP BY lang")
+@query("q_encoding", r"SELECT coalesce(lang, 'none') AS lang, CASE WHEN bool_or(regexp_matches(coalesce(text, ''), '[\x80-\xFF]')) THEN 'latin-1' ELSE 'utf-8-sig' END AS encoding FROM documents GROUP BY coalesce(lang, 'none')")
 def encoding(spark, sf_dir):
     """One Latin-1 file a language: valid UTF-8 only if all of it is ASCII."""
     path = S.scratch(spark, "latin")
-    docs = table(spark, sf_dir, "documents").filter("text is not null and lang is not null").select("lang", "text")
+    docs = table(spark, sf_dir, "documents").select(F.coalesce("lang", F.lit("none")).alias("lang"), F.concat(F.lit("text "), F.coalesce("text", F.lit(""))).alias("text"))
     docs.repartition("lang").write.partitionBy("lang").option("encoding", "ISO-8859-1").csv(path)
     return S.encodings(spark, path).select(F.regexp_extract("path", r"lang=([^/]*)/", 1).alias("lang"), "encoding")
 
@@ -90,6 +92,80 @@ def json_roundtrip(spark, sf_dir):
     return rows.select("conv_id", "turn", "role", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
+def _quoted_csv(spark: SparkSession, sf_dir: str) -> str:
+    """Documents as CSV files without a header; texts with line breaks are quoted cells of several lines."""
+    path = S.scratch(spark, "quoted")
+    table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source").write.options(**S.CSV_RULES | {"header": False}).csv(path)
+    return path
+
+
+@query("q_csv_split", "SELECT doc_id, md5(coalesce(text, '')) AS text_md5, nullif(lang, '') AS lang, nullif(source, '') AS source FROM documents")
+def csv_split(spark, sf_dir):
+    """Cells with line breaks, cut into records by their chunks' states and parsed in as many tasks."""
+    records = chunks.csv_records(spark, _quoted_csv(spark, sf_dir))
+    rows = records.select(F.from_csv("text", F.lit("doc_id long, text string, lang string, source string"), {"escape": '"'}).alias("r")).select("r.*")
+    return rows.select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"), "lang", "source")
+
+
+@query("q_logical_rows", "SELECT count(*) AS row_count FROM documents")
+def logical_rows(spark, sf_dir):
+    """Records, not lines, counted without cutting them."""
+    return S.count_records(spark, _quoted_csv(spark, sf_dir), S.Dialect())
+
+
+@query("q_json_split", "SELECT conv_id, turn, role, md5(coalesce(text, '')) AS text_md5 FROM conversations")
+def json_split(spark, sf_dir):
+    """Arrays of nested records, cut at their commas of depth 1 by their chunks' states."""
+    path = S.scratch(spark, "arrays")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", F.struct("role", "text").alias("said")).alias("at"))
+    S.write_json_arrays(rows, path)
+    back = chunks.read_json_array(spark, path, "conv_id long, at struct<turn:long,said:struct<role:string,text:string>>")
+    return back.select("conv_id", "at.turn", "at.said.role", F.md5(F.coalesce("at.said.text", F.lit("")).cast("binary")).alias("text_md5"))
+
+
+@query("q_csv_document", "SELECT c_custkey, c_name, c_mktsegment FROM customer")
+def csv_document(spark, sf_dir):
+    """One document in order of its rows, written by many tasks; its parts are read back side by side."""
+    path = S.scratch(spark, "document")
+    write_csv_document(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", F.col("c_custkey").alias("at")), path, "at")
+    rows = spark.read.option("escape", '"').schema("c_custkey string, c_name string, c_mktsegment string").csv(path)
+    return rows.filter("c_custkey <> 'c_custkey'").select(F.col("c_custkey").cast("long").alias("c_custkey"), "c_name", "c_mktsegment")
+
+
+_ITEM = "CASE WHEN event_id % 4 > {0} THEN user_id + {0} END AS items_{0}_who, CASE WHEN event_id % 4 > {0} AND event_id % 2 = 1 THEN event_type END AS items_{0}_tags_0_k"
+
+
+@query("q_flatten_indexed", f"SELECT event_id, {', '.join(_ITEM.format(i) for i in range(3))} FROM events")
+def flatten_indexed(spark, sf_dir):
+    """Arrays of structs that hold arrays, as columns of the widest array's size."""
+    item = lambda i: F.struct((F.col("user_id") + i).alias("who"), F.when(F.col("event_id") % 2 == 1, F.array(F.struct(F.col("event_type").alias("k")))).alias("tags"))
+    flat = T.flatten_indexed(table(spark, sf_dir, "events").select("event_id", F.slice(F.array(*[item(i) for i in range(3)]), F.lit(1), (F.col("event_id") % 4).cast("int")).alias("items")))
+    return flat.toDF(*[c.replace(".", "_") for c in flat.columns])
+
+
+@query("q_approx_distinct", " UNION ALL ".join(f"SELECT '{c}' AS col_name, count(DISTINCT {c}) AS unique_count, true AS within FROM lineitem" for c in ("l_orderkey", "l_partkey", "l_quantity", "l_shipdate", "l_returnflag")))
+def approx_distinct(spark, sf_dir):
+    """Estimated distinct counts lie within 8 % of the exact ones: four standard deviations of the estimate."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_shipdate", "l_returnflag")
+    near = P.profile(rows, approximate=True).select("col_name", F.col("unique_count").alias("near"))
+    return P.profile(rows).join(near, "col_name").select("col_name", "unique_count", (F.abs(F.col("near") - F.col("unique_count")) <= 0.08 * F.col("unique_count")).alias("within"))
+
+
+_STATES = {"c_custkey": "integer", "c_nationkey": "integer", "c_acctbal": "float", "c_name": "string", "c_mktsegment": "string"}
+
+
+@query("q_profile_states", " UNION ALL ".join(f"SELECT '{c}' AS col_name, '{k}' AS dtype, count(*) AS row_count, count(*) FILTER (WHERE {c} IS NULL) AS null_count, {f'CAST(min({c}) AS DOUBLE)' if k != 'string' else 'CAST(NULL AS DOUBLE)'} AS min_value, {f'CAST(max({c}) AS DOUBLE)' if k != 'string' else 'CAST(NULL AS DOUBLE)'} AS max_value, true AS within FROM customer" for c, k in _STATES.items()))
+def profile_states(spark, sf_dir):
+    """The profile of two stored states, merged; its distinct counts lie within 8 % of the exact ones."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", *list(_STATES)[1:], F.col("c_custkey").alias("at"))
+    path, early = S.scratch(spark, "states"), F.col("c_nationkey") < 12
+    for part, some in enumerate((early, F.coalesce(~early, F.lit(True)))):
+        St.column_states(rows.filter(some), "at", part=part).write.mode("append").parquet(path)
+    exact = P.profile(rows.drop("at")).select("col_name", F.col("unique_count").alias("n"))
+    found = St.profile_of(St.merged(spark.read.parquet(path))).join(exact, "col_name")
+    return found.select("col_name", "dtype", "row_count", "null_count", "min_value", "max_value", (F.abs(F.col("unique_count") - F.col("n")) <= 0.08 * F.col("n")).alias("within"))
+
+
 # ---- envelope ----
 
 _BLOCKS = {"c_custkey": "integer", "c_name": "string", "c_acctbal": "float", "c_mktsegment": "string"}

@@ -88,8 +88,13 @@ def profile_distinct(distinct: DataFrame, uniques: Column | None = None, kinds:
 
     min_value and max_value are doubles; those of integer columns are also given exactly, as decimals of up to 38 digits.
     """
+    return of_totals(totals(facts(distinct, kinds), uniques))
+
+
+def facts(distinct: DataFrame, kinds: Mapping[int, str] = {}) -> DataFrame:
+    """What each (col_pos, col_name, value, n) row is: the predicates and readings that totals need."""
     value, never, typed = F.col("value"), F.lit(None).cast("timestamp"), by_kind(kinds)
-    seen = distinct.select(
+    return distinct.select(
         "col_pos", "col_name", "n", "value", G.is_null(value).alias("null"), typed(G.is_integer(value), integer=F.lit(True), float=F.lit(False), boolean=F.lit(False), date=F.lit(False), timestamp=F.lit(False)).alias("i"),
         typed(G.is_float(value), integer=F.lit(True), float=F.lit(True), boolean=F.lit(False), date=F.lit(False), timestamp=F.lit(False)).alias("f"), G.is_boolean(value).alias("b"),
         typed(G.to_timestamp(value), integer=never, float=never, boolean=never, date=value.try_cast("date").cast("timestamp"), timestamp=value.try_cast("timestamp")).alias("ts"),
@@ -97,16 +102,24 @@ def profile_distinct(distinct: DataFrame, uniques: Column | None = None, kinds:
         typed(G.to_number(value), integer=value.try_cast("double"), float=value.try_cast("double")).alias("number"), typed(G.to_integer(value), integer=value.try_cast("decimal(38,0)")).alias("whole"),
         typed(G.integer_digits(value), integer=F.char_length(F.replace(value, F.lit("-"), F.lit("")))).alias("digits"), F.char_length(value).alias("length"),
     )
+
+
+def totals(seen: DataFrame, uniques: Column | None = None, *more: Column) -> DataFrame:
+    """One row a column: counts and ends of ``facts``, of which the dtype and all else follows. They add up over parts of a table."""
     when = lambda c: F.coalesce(F.sum(F.when(~F.col("null") & c, F.col("n"))), F.lit(0)).cast("long")
     t = F.col("ts")
-    stats = seen.groupBy("col_pos", "col_name").agg(
+    return seen.groupBy("col_pos", "col_name").agg(
         F.sum("n").cast("long").alias("row_count"), F.coalesce(F.sum(F.when(F.col("null"), F.col("n"))), F.lit(0)).cast("long").alias("null_count"),
         (F.count(F.when(~F.col("null"), 1)) if uniques is None else uniques).cast("long").alias("unique_count"), when(F.lit(True)).alias("n_values"), when(F.col("i")).alias("ints"),
         when(F.col("f")).alias("floats"), when(F.col("b")).alias("bools"), when(t.isNull()).alias("invalid_dates"), when(F.col("z")).alias("zero_padded"),
         when(F.col("i") | F.col("f") | F.col("b")).alias("typed"), F.coalesce(F.bool_or((F.hour(t) != 0) | (F.minute(t) != 0) | (F.second(t) != 0)), F.lit(False)).alias("has_time"),
         F.min(F.when(~F.col("null"), F.col("number"))).alias("min_value"), F.max(F.when(~F.col("null"), F.col("number"))).alias("max_value"), F.max(F.when(~F.col("null"), F.col("length"))).alias("length"),
-        F.min("whole").alias("min_integer"), F.max("whole").alias("max_integer"), F.max("digits").alias("max_digits"),
+        F.min("whole").alias("min_integer"), F.max("whole").alias("max_integer"), F.max("digits").alias("max_digits"), *more,
     )
+
+
+def of_totals(stats: DataFrame) -> DataFrame:
+    """The profile that totals stand for."""
     typed = stats.withColumn("dtype", dtype_ladder())
     numeric = F.col("dtype").isin("integer", "float")
     return typed.select(
@@ -152,10 +165,10 @@ def first_distinct(df: DataFrame, order: str, k: int = 3) -> DataFrame:
     return first_of_distinct(distinct_cells(unpivoted(df, keep=(order,)), order), k)
 
 
-def first_of_distinct(distinct: DataFrame, k: int = 3) -> DataFrame:
+def first_of_distinct(distinct: DataFrame, k: int = 3, keep: Sequence[str] = ()) -> DataFrame:
     firsts = distinct.filter(~G.is_null(F.col("value")))
     ranked = firsts.withColumn("rank", F.row_number().over(Window.partitionBy("col_name").orderBy("first_at", "value")))
-    return ranked.filter(F.col("rank") <= k).select("col_name", F.col("rank").cast("long").alias("rank"), "value")
+    return ranked.filter(F.col("rank") <= k).select("col_name", F.col("rank").cast("long").alias("rank"), "value", *keep)
 
 
 def sample_rows(df: DataFrame, position: Column, total: Column, head: int = 3, middle: int = 1, tail: int = 1) -> DataFrame:

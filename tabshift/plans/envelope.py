@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import functools
 import json
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -70,12 +71,18 @@ def envelope(spark: SparkSession, path: str, *, head_n: int = 3, middle_n: int =
     if dialect.inconsistent_quoting:
         warnings.append(_warning("INCONSISTENT_QUOTING", "warn", "cells of a column are quoted in some rows only"))
     rows = table.filter(F.col("row_idx") < max_rows) if max_rows else table
-    distinct = P.distinct_cells(P.unpivoted(rows, keep=("row_idx",)), "row_idx").persist()
-    profiled = P.profile_distinct(distinct).withColumn("warned", P.column_warnings()).collect()
+    # profile, first values and samples are one job; the exchange of distinct cells is shared
+    distinct = P.distinct_cells(P.unpivoted(rows, keep=("row_idx",)), "row_idx")
+    parts = {
+        "profile": P.profile_distinct(distinct).withColumn("warned", P.column_warnings()), "first": P.first_of_distinct(distinct, sample_values),
+        "sample": P.sample_rows(table, F.col("row_idx"), F.lit(row_count), head_n, middle_n, tail_n),
+    }
+    whole = functools.reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), [d.select(F.struct(*[F.col(f"`{c}`") for c in d.columns]).alias(k)) for k, d in parts.items()])
+    got = whole.collect()
+    profiled, sampled = ([r[k] for r in got if r[k] is not None] for k in ("profile", "sample"))
     firsts: dict[str, list[str]] = {}
-    for r in sorted(P.first_of_distinct(distinct, sample_values).collect(), key=lambda r: r["rank"]):
+    for r in sorted((r.first for r in got if r.first is not None), key=lambda r: r["rank"]):
         firsts.setdefault(r.col_name, []).append(r.value)
-    distinct.unpersist()
     columns = []
     for r in sorted(profiled, key=lambda r: r.col_pos):
         block = {"name": r.col_name, "dtype": r.dtype, "null_count": r.null_count, "unique_count": r.unique_count, "sample_values": [_typed(v, r.dtype) for v in firsts.get(r.col_name, [])]}
@@ -89,7 +96,6 @@ def envelope(spark: SparkSession, path: str, *, head_n: int = 3, middle_n: int =
         for w in r.warned:
             context = {k: int(v) if k in COUNTS else float(v) if k in RATES else v for k, v in w.context.items()}
             warnings.append(_warning(w.code, w.severity, w.message, **context))
-    sampled = P.sample_rows(table, F.col("row_idx"), F.lit(row_count), head_n, middle_n, tail_n).collect()
     for r in sorted(sampled, key=lambda r: r.row_idx):
         samples[r.bucket].append({n: r[n] if r[n] is not None else "" for n in names})
     return done(dialect, row_count, columns)

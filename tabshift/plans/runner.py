@@ -82,6 +82,12 @@ def converter(name: str, *given: Any, **options: Any) -> Converter:
     return CONVERTERS[name](*given, **options)
 
 
+def output_sizes(text: Column) -> Column:
+    """struct<bytes, est_tokens, preview> of a text: UTF-8 bytes, a quarter of its characters, its first 200 characters; a null text is empty."""
+    said = F.coalesce(text, F.lit(""))
+    return F.struct(F.octet_length(said).cast("long").alias("bytes"), F.floor(F.char_length(said) / 4).cast("long").alias("est_tokens"), F.substring(said, 1, 200).alias("preview"))
+
+
 def evaluate(cases: DataFrame, convert: Converter, clean: bool = True) -> DataFrame:
     """Cases with output, cleanup steps, ok and scores; a failed conversion scores 0 throughout."""
     done = convert(cases)
@@ -89,7 +95,7 @@ def evaluate(cases: DataFrame, convert: Converter, clean: bool = True) -> DataFr
     c = cleaned(F.col("raw_output"), fmt) if clean else F.struct(F.col("raw_output").alias("text"), F.array().cast("array<string>").alias("applied"))
     done = done.withColumn("cleaned", c).withColumn("output", F.col("cleaned.text")).withColumn("scores", scores(F.col("cleaned.text"), F.col("expected_text"), fmt, F.col("required_substrings")))
     zero = F.struct(*[F.lit(0.0).alias(m) for m in METRICS])
-    return done.withColumn("scores", F.when(F.col("ok"), F.col("scores")).otherwise(zero)).withColumn("output_preview", F.substring("output", 1, 200))
+    return done.withColumn("scores", F.when(F.col("ok"), F.col("scores")).otherwise(zero)).withColumn("output_preview", F.when(F.col("output").isNotNull(), output_sizes(F.col("output"))["preview"]))
 
 
 def summarize(results: DataFrame) -> DataFrame:
@@ -118,7 +124,7 @@ def artefacts(results: DataFrame) -> DataFrame:
     suffix = F.create_map(*[F.lit(x) for pair in SUFFIX.items() for x in pair])[fmt]
     error = F.substring(F.coalesce("error", F.lit("")), 1, 1000) if "error" in results.columns else F.lit("")
     output, raw = F.coalesce("output", F.lit("")), F.coalesce("raw_output", F.lit(""))
-    facts = F.struct(F.col("ok"), F.octet_length(F.coalesce("input_text", F.lit(""))).alias("input_bytes"), F.octet_length(raw).alias("raw_size_bytes"), F.octet_length(output).alias("cleaned_size_bytes"), F.col("cleaned.applied").alias("cleanup_applied"), error.alias("stderr"))
+    facts = F.struct(F.col("ok"), output_sizes(F.col("input_text"))["bytes"].alias("input_bytes"), output_sizes(raw)["bytes"].alias("raw_size_bytes"), output_sizes(output)["bytes"].alias("cleaned_size_bytes"), F.col("cleaned.applied").alias("cleanup_applied"), error.alias("stderr"))
     files = F.array(
         F.struct(F.concat(folder, F.lit("/actual"), suffix).alias("name"), output.alias("text")), F.struct(F.concat(folder, F.lit("/raw_actual"), suffix).alias("name"), raw.alias("text")),
         F.struct(F.concat(folder, F.lit("/teacher_meta.json")).alias("name"), F.to_json(facts, {"pretty": "true"}).alias("text")))

@@ -414,13 +414,13 @@ def score_all(spark, sf_dir):
     return _scored(spark, sf_dir, actual, F.concat(F.lit("[ "), F.col("props"), F.lit(" ]")), "json").select("event_id", "s.*")
 
 
-PAIRS = [("1", "1", True), ("9.99", "9.990", True), ("1_000", "1000", True), ("a ", "a", True), ("a", "A", False), ("", None, True), ("nan", "NaN", False), ("5d", "5", False), ("1e3", "1000", True), (" ", "", True), ("007", "7", True), ("x", None, False), ("inf", "Infinity", True)]
-
-
-@query("q_values_equal", "SELECT n_nationkey, i, eq FROM nation, (VALUES " + ", ".join(f"({i}, {str(e).lower()})" for i, (_, _, e) in enumerate(PAIRS)) + ") v(i, eq)")
+@query("q_values_equal", """SELECT event_id, CASE event_id % 7 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN true WHEN 3 THEN false WHEN 4 THEN true WHEN 5 THEN upper(event_type) = event_type ELSE contains(event_type, '@') END AS eq FROM events""")
 def values_equal(spark, sf_dir):
-    rows = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(a).cast("string").alias("a"), F.lit(b).cast("string").alias("b")) for i, (a, b, _) in enumerate(PAIRS)])
-    return table(spark, sf_dir, "nation").select("n_nationkey", F.explode(rows).alias("p")).select("n_nationkey", "p.i", G.values_equal(F.col("p.a"), F.col("p.b")).alias("eq"))
+    """Cells of events against a rewriting of each: the same, as a decimal, padded, another number, empty, in capitals, in place of a missing value."""
+    user, kind, way = F.col("user_id").cast("string"), F.col("event_type"), F.col("event_id") % 7
+    a = F.when(way < 4, user).when(way == 4, "").otherwise(kind)
+    b = F.when(way == 0, user).when(way == 1, F.concat(user, F.lit(".0"))).when(way == 2, F.concat(F.lit(" "), user, F.lit("  "))).when(way == 3, (F.col("user_id") + 1).cast("string")).when(way == 5, F.upper(kind))
+    return table(spark, sf_dir, "events").select("event_id", G.values_equal(a, b).alias("eq"))
 
 
 @query("q_leaf_walk", "SELECT event_id, 'a.k' AS path, 'num' AS kind, CAST(json_extract(props, '$.k') AS VARCHAR) AS value FROM events UNION ALL SELECT event_id, 'b[0]', 'str', event_type FROM events UNION ALL SELECT event_id, 'b[1]', 'null', NULL FROM events")
@@ -447,7 +447,7 @@ def header_norm(spark, sf_dir):
 @query("q_substring_hits", f"SELECT doc_id, CAST({_HITS} AS BIGINT) AS hits FROM documents")
 def substring_hits(spark, sf_dir):
     needles = F.array(*[F.lit(s) for s in NEEDLES])
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(F.filter(needles, lambda s: F.contains(F.lower("text"), F.lower(s)))).cast("long").alias("hits"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(V.substring_accuracy(F.col("text"), needles) * len(NEEDLES)).cast("long").alias("hits"))
 
 
 # ---- runs ----
@@ -485,10 +485,13 @@ def latest_run(spark, sf_dir):
 
 @query("q_cleanup_sizes", "SELECT conv_id, turn, CAST(strlen(text) AS BIGINT) AS bytes, CAST(length(text) // 4 AS BIGINT) AS est_tokens, substring(text, 1, 200) AS preview FROM conversations")
 def cleanup_sizes(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.octet_length("text").cast("long").alias("bytes"), F.expr("cast(char_length(text) div 4 as bigint)").alias("est_tokens"), F.substring("text", 1, 200).alias("preview"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", R.output_sizes(F.col("text")).alias("s")).select("conv_id", "turn", "s.*")
 
 
-@query("q_grouped_labels", "SELECT source, count(*) AS n, round(avg(quality), 3) AS quality, round(avg(toxic), 3) AS toxic FROM documents JOIN labels USING (doc_id) GROUP BY source")
+@query("q_grouped_labels", "SELECT source, count(*) AS n, round_even(avg(quality), 3) AS quality, round_even(avg(toxic), 3) AS toxic FROM documents JOIN labels USING (doc_id) GROUP BY source")
 def grouped_labels(spark, sf_dir):
-    both = table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels"), "doc_id")
-    return both.groupBy("source").agg(F.count("*").alias("n"), F.round(F.avg("quality"), 3).alias("quality"), F.round(F.avg("toxic"), 3).alias("toxic"))
+    """The run summary over labels: sources as use cases, labels as scores."""
+    both = table(spark, sf_dir, "documents").select("doc_id", "source", "lang").join(table(spark, sf_dir, "labels"), "doc_id")
+    labels = [F.col(c).cast("double").alias(m) for c, m in zip(("quality", "toxic", "quality", "toxic"), R.METRICS, strict=True)]
+    found = R.summarize(both.select(F.col("source").alias("use_case"), F.col("lang").alias("complexity"), F.lit(True).alias("ok"), F.struct(*labels).alias("scores")))
+    return found.filter("level = 'use_case'").select(F.col("name").alias("source"), "n", F.col(R.METRICS[0]).alias("quality"), F.col(R.METRICS[1]).alias("toxic"))

@@ -6,10 +6,11 @@ import csv
 import io
 import re
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -224,6 +225,24 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.option("ignoreNullFields", False).json(path)
 
 
+def write_json_arrays(df: DataFrame, path: str) -> None:
+    """Files that hold one JSON array each, one a task, an element a line; nulls kept."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, before = None, "["
+        for batch in batches:
+            out = []
+            for line in batch.column(0).to_pylist():
+                if last is not None:
+                    out.append(f"{before}{last},")
+                    before = ""
+                last = line
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["[]" if last is None else before + last + "]"], pa.string())], names=["value"])
+
+    rows = df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}).alias("value"))
+    rows.mapInArrow(run, "value string").write.text(path)
+
+
 def as_json_text(df: DataFrame, pretty: bool = True, order: str | None = None) -> DataFrame:
     """(json): all rows as one array; for small results, as it is one value."""
     item = F.struct(*[F.col(f"`{c}`") for c in df.columns if c != order])
