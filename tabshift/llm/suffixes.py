@@ -10,7 +10,8 @@ from the first to the last window that it anchors.
    documents hold leaves a batch once. One suffix for each GRAM-byte string not yet met travels on.
 2. Shards keep a family of levels, sorted runs of (string, place). A new batch's run is scanned against every level and finds
    which strings stand in other documents; then it becomes a level, and levels of like size merge, so that n batches leave at
-   most log2(n) levels. An ``Index`` keeps the levels of all calls: a later call scans its batches against them.
+   most log2(n) levels. An ``Index`` keeps the levels of all calls as tables (``suffix_levels``): a later call is scanned against
+   them where they lie, becomes a level itself, and writes no other again but those that it merges with.
 3. Documents meet the places that were met and give their contexts, bytes and all, after settling again what is equal at hand.
    Contexts of one string meet in one shard; those of strings that are met more than HOT times (counted in step 2) go as single
    windows instead, dealt by all their bytes, so that no shard gets a large group.
@@ -27,6 +28,7 @@ all of this one, whatever their ids, and their results stay; an empty table give
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterable, Iterator
 from functools import cache
@@ -340,12 +342,14 @@ def unpack(blob, dtype: np.dtype, hashes: dict[str, int], rising: tuple[str, ...
 
 
 SUFFIX_FORM = ({"key": 5}, ("call", "id", "low"))
+#: Of suffixes that are stored: whole hashes, so that their runs can be split.
+STORED_FORM = ({"key": 8}, ("call", "id", "low"))
 MARK_FORM = ({}, ("call", "id", "low"))
 ANSWER_FORM = ({}, ("id", "low"))
 
 
-def pack_suffixes(x: np.ndarray) -> bytes:
-    return pack(x[np.lexsort((x["low"], x["id"]))], *SUFFIX_FORM)
+def pack_suffixes(x: np.ndarray, form: tuple = SUFFIX_FORM) -> bytes:
+    return pack(x[np.lexsort((x["low"], x["id"]))], *form)
 
 
 def pack_marks(x: np.ndarray) -> bytes:
@@ -526,11 +530,10 @@ def _streams(batches: Iterator[pa.RecordBatch]) -> tuple[Found, Found, Iterator[
 
 
 class Index(NamedTuple):
-    """What earlier calls left: stored levels by shard (dest, payload), and the documents (call, id, text) that they point to."""
+    """What earlier calls left: levels of at least halving size, and the documents (call, id, text) that they point to, a table a call."""
 
-    levels: DataFrame
-    texts: DataFrame
-    shards: int
+    levels: tuple
+    texts: tuple[DataFrame, ...]
     calls: int
 
 
@@ -549,7 +552,12 @@ def _run(docs: DataFrame, index: Index | None, keep: bool, id_col: str, text_col
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     if keep:
         source = staged(source, "suffix-texts")
-    shards = index.shards if index else shard_count(docs, 16 << 20)
+    from tabshift.llm import suffix_levels as L
+
+    shards = shard_count(docs, 16 << 20)
+    form = SUFFIX_FORM
+    if keep or index:
+        shards, form = L.power_of_two(shards), STORED_FORM
     buckets, call = shards | 1, index.calls if index else 0
     hot_count = HOT
 
@@ -579,7 +587,7 @@ def _run(docs: DataFrame, index: Index | None, keep: bool, id_col: str, text_col
                 new["left"] |= np.where(met[lone], TOLD, np.uint8(0))
                 new["key"] = x.key[lone]
                 shard = ((new["key"] >> np.uint64(40)) % np.uint64(shards)).astype(np.int32)
-                out += [(SUFFIXES, d, pack_suffixes(r)) for d, r in _dealt(shard, new)]
+                out += [(SUFFIXES, d, pack_suffixes(r, form)) for d, r in _dealt(shard, new)]
             return _rows(out)
 
         for batch in batches:
@@ -596,36 +604,29 @@ def _run(docs: DataFrame, index: Index | None, keep: bool, id_col: str, text_col
             yield flush()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        old: dict[int, list[np.ndarray]] = {}
         runs: dict[int, list[np.ndarray]] = {}
         for batch in batches:
             ready = []
             for kind, dest, payload in zip(*(batch.column(batch.schema.get_field_index(c)) for c in ("kind", "dest", "payload")), strict=True):
                 kind, dest = kind.as_py(), dest.as_py()
-                if kind in (SUFFIXES, LEVEL):
-                    (runs if kind == SUFFIXES else old).setdefault(dest, []).append(unpack(payload.as_buffer(), SUFFIX, *SUFFIX_FORM))
+                if kind == SUFFIXES:
+                    runs.setdefault(dest, []).append(unpack(payload.as_buffer(), SUFFIX, *SUFFIX_FORM))
                 else:
                     ready.append((kind, dest, payload.as_py()))
             if ready:
                 yield _rows(ready)
-        for dest in sorted({*old, *runs}):
+        for dest in sorted(runs):
             levels = Levels()
-            for level in sorted(old.get(dest, ()), key=len, reverse=True):
-                level = level[np.argsort(level["key"], kind="stable")]
-                levels.levels.append((level, np.zeros(len(level), bool)))
             for run in sorted(runs.get(dest, ()), key=lambda r: int(r["id"].min())):
                 levels.add(run)
             out = []
             for level, met in levels.levels:
-                # old places are needed as sources even where their own call knew them to be met
-                told = met & (((level["left"] & TOLD) == 0) | (level["call"] < call))
+                told = met & ((level["left"] & TOLD) == 0)
                 marks = np.empty(int(told.sum()), MARK)
                 for name in MARK.names:
                     marks[name] = level[name][told]
                 marks["left"] &= ~TOLD
                 out += [(MARKS, d, pack_marks(r)) for d, r in _dealt(bucket_of(marks["id"], marks["tag"], buckets), marks)]
-                if keep:
-                    out.append((LEVEL, dest, pack_suffixes(level)))
             hot = np.concatenate([level["key"][met] for level, met in levels.levels] or [np.empty(0, np.uint64)])
             keys, counts = np.unique(hot & LOW40, return_counts=True)
             if (many := counts >= hot_count).any():
@@ -636,9 +637,10 @@ def _run(docs: DataFrame, index: Index | None, keep: bool, id_col: str, text_col
 
     # what a batch settled or met by itself passes through the shards' step untouched
     sent = source.mapInArrow(first, ROWS_SQL)
-    if index:
-        sent = sent.unionByName(index.levels.select(F.lit(LEVEL).alias("kind"), "dest", "payload"))
-    marks = staged(sent.repartitionById(shards, F.pmod("dest", F.lit(shards))).mapInArrow(scan, ROWS_SQL), "suffix-marks")
+    if keep or index:
+        marks, level = L.scanned(sent, index.levels if index else (), shards, buckets, hot_count)
+    else:
+        marks = staged(sent.repartitionById(shards, F.pmod("dest", F.lit(shards))).mapInArrow(scan, ROWS_SQL), "suffix-marks")
     # strings met so often that they are dealt window by window: at most MOST_HOT of them, 16 bytes each
     hot_rows = marks.filter(F.col("kind") == HOT_KEYS).select("payload").mapInArrow(_hot_numbers, "code long, n long").orderBy(F.col("n").desc(), "code").limit(MOST_HOT).toArrow()
     hot = np.sort(hot_rows["code"].to_numpy().view(np.uint64))
@@ -708,7 +710,8 @@ def _run(docs: DataFrame, index: Index | None, keep: bool, id_col: str, text_col
     rows = source.select(F.lit(DOCUMENT + call).alias("kind"), bucket().alias("dest"), "id", "text", nothing.alias("payload"))
     if index:
         met_ids = marks.filter(F.col("kind") == MARKS).select("payload").mapInArrow(_marked_ids(call), "call int, key long").distinct()
-        old = index.texts.join(met_ids.withColumnRenamed("call", "m_call"), (F.col("call") == F.col("m_call")) & (F.coalesce("id", F.lit(LAST_ID)) == F.col("key")), "left_semi")
+        texts = functools.reduce(DataFrame.unionByName, index.texts)
+        old = texts.join(met_ids.withColumnRenamed("call", "m_call"), (F.col("call") == F.col("m_call")) & (F.coalesce("id", F.lit(LAST_ID)) == F.col("key")), "left_semi")
         rows = rows.unionByName(old.select((F.lit(DOCUMENT) + F.col("call")).cast("int").alias("kind"), bucket().alias("dest"), "id", "text", nothing.alias("payload")))
     told = marks.filter(F.col("kind").isin(MARKS, ANSWERS)).select("kind", "dest", F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("text"), "payload")
     met = staged(told.unionByName(rows).repartitionById(buckets, "dest").sortWithinPartitions("kind").mapInArrow(meet, MET_SQL), "suffix-met")
@@ -740,12 +743,13 @@ def _run(docs: DataFrame, index: Index | None, keep: bool, id_col: str, text_col
     left = met.filter(F.col("kind") == PENDING).select("kind", "dest", "id", "text", "payload")
     last = answers.unionByName(left).repartitionById(buckets, "dest").sortWithinPartitions("kind").mapInArrow(finish, RESULT_SQL)
     out = met.filter(F.col("kind") == RESULTS).select(*[n for n, _ in RESULT]).unionByName(last).withColumnRenamed("id", id_col)
+    discard(marks)
     if not keep:
-        discard(marks)
+        if index:
+            discard(level.table)
         return out, None
-    levels, texts = staged(marks.filter(F.col("kind") == LEVEL).select("dest", "payload"), "suffix-levels"), source.select(F.lit(call).alias("call"), "id", "text")
-    discard(marks)
-    return out, Index(levels, index.texts.unionByName(texts) if index else texts, shards, call + 1)
+    texts = source.select(F.lit(call).alias("call"), "id", "text")
+    return out, Index(L.grown(index.levels if index else (), level), (*(index.texts if index else ()), texts), call + 1)
 
 
 def ranks_of(places: np.ndarray) -> np.ndarray:

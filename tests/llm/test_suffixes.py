@@ -164,3 +164,33 @@ def test_long_buffers_find_the_same_anchors(monkeypatch):
     got = suffixes.suffixes(data, np.array([5000])).key
     # fewer place bits leave more hash bits; anchors stay, but for hashes that differ only in their last bits
     assert np.mean(np.isin(got, want)) > 0.99
+
+
+def test_levels_are_written_by_their_own_merges_alone(spark, make_docs, monkeypatch):
+    from tabshift.llm import suffix_levels
+
+    rng = random.Random(11)
+    passages = ["".join(rng.choice("abcdé ") for _ in range(n)) for n in (80, 400)]
+    plans = [(range(0, 400), False), (range(400, 420), False), (range(420, 440), False), (range(440, 900), True)]
+    monkeypatch.setattr(suffix_levels, "RUN_BYTES", 4000)
+    index, calls, written = None, [], []
+    for ids, small in plans:
+        if small:
+            monkeypatch.setattr(suffix_levels, "BROADCAST_BYTES", 0)  # runs meet by a shuffle
+        calls.append(random_docs(rng, ids, passages))
+        before = {level.table._staged_path: level.bytes for level in index.levels} if index else {}
+        out, index = suffixes.indexed_bytes(make_docs(calls[-1]), index=index)
+        written.append(sum(level.bytes for level in index.levels if level.table._staged_path not in before))
+        got = sorted((r.doc_id, r.n_removed, r.kept_sha256) for r in out.collect())
+        assert got == sorted((r[0], r[2], r[4]) for r in brute_calls(calls)[-1])
+        assert all(a.bytes >= 2 * b.bytes for a, b in zip(index.levels, index.levels[1:], strict=False))
+    assert written[1] < written[0] / 5 and written[2] < written[0] / 3  # a small call leaves the large level alone
+    assert len(index.levels) == 1 and index.levels[0].shards > 4  # and a large one merges all, in more runs
+
+
+def test_runs_of_unlike_number_meet():
+    from tabshift.llm import suffix_levels
+
+    assert [suffix_levels.power_of_two(n) for n in (0, 1, 2, 3, 8, 9)] == [1, 1, 2, 4, 8, 16]
+    keys = np.arange(1000, dtype=np.uint64) << np.uint64(40)
+    assert (suffix_levels._run_of(keys, 16) % 4 == suffix_levels._run_of(keys, 4)).all()
