@@ -34,10 +34,11 @@ def _typed(value: str, dtype: str) -> Any:
     return value
 
 
-def envelope(spark: SparkSession, path: str, *, head_n: int = 3, middle_n: int = 1, tail_n: int = 1, sample_values: int = 3, max_rows: int | None = None, check_quoting: bool = False) -> dict:
+def envelope(spark: SparkSession, path: str, *, head_n: int = 3, middle_n: int = 1, tail_n: int = 1, sample_values: int = 3, max_rows: int | None = None, check_quoting: bool = False, whole_file: bool = False) -> dict:
     """The envelope as a dict. All rows are profiled unless ``max_rows`` is given; rates are over the rows profiled.
 
-    ``check_quoting`` makes INCONSISTENT_QUOTING a real check of the file's beginning; else nothing raises that warning.
+    ``check_quoting`` makes INCONSISTENT_QUOTING a real check of the file's beginning; else nothing raises that warning. ``whole_file``
+    lets all lines decide the delimiter, the quote mark and that check instead of the beginning.
     """
     found = S.scan(spark, path).first() or Row(size=0, encoding="utf-8-sig", attempted=[], n_lines=0)  # empty files have no row
     out: dict[str, Any] = {"format": "csv", "file_path": path, "file_size_bytes": found.size, "encoding": found.encoding, "schema_version": SCHEMA_VERSION}
@@ -53,7 +54,7 @@ def envelope(spark: SparkSession, path: str, *, head_n: int = 3, middle_n: int =
         warnings.append(empty)
         return done(S.Dialect(), 0, [])
     sample = S.first_text(spark, path, found.encoding)
-    dialect = S.sniff(sample, check_quoting)
+    dialect = S.sniff_file(spark, path, found.encoding, check_quoting) if whole_file else S.sniff(sample, check_quoting)
     row_count = max(found.n_lines - dialect.has_header, 0)
     if not row_count:
         warnings.append(empty)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tabshift.operators.profile import deduplicated_names
 from tabshift.sources import chunks
+from tabshift.sources import dialects as whole
 from tabshift.sources.committed import write_named_files  # noqa: F401  a sink like those below
 
 SNIFF_CHARS = 16_384
@@ -76,8 +77,8 @@ class Dialect(NamedTuple):
     inconsistent_quoting: bool = False
 
 
-def sniff(sample: str, check_quoting: bool = False) -> Dialect:
-    """Delimiter and quote of a sample (its first SNIFF_CHARS characters), and whether it has a header.
+def sniff(sample: str, check_quoting: bool = False, known: tuple[str, str] | None = None) -> Dialect:
+    """Delimiter and quote of a sample (its first SNIFF_CHARS characters) unless they are ``known``, and whether it has a header.
 
     It has one if the sniffer says so or can't tell, or if no column of the body is all numbers. ``check_quoting`` also looks
     for columns whose cells are quoted in some rows without need and bare in others.
@@ -88,10 +89,10 @@ def sniff(sample: str, check_quoting: bool = False) -> Dialect:
     if not sample:
         return Dialect()
     sniffer = csv.Sniffer()
-    delimiter, quote = ",", '"'
+    delimiter, quote = known or (",", '"')
     try:
-        found = sniffer.sniff(sample)
-        delimiter, quote = found.delimiter, found.quotechar or '"'
+        found = sniffer.sniff(sample, delimiter if known else None)
+        delimiter, quote = known or (found.delimiter, found.quotechar or '"')
     except csv.Error:
         pass
     try:
@@ -105,6 +106,14 @@ def sniff(sample: str, check_quoting: bool = False) -> Dialect:
     return Dialect(delimiter, quote, header, check_quoting and mixed_quoting(sample, delimiter, quote))
 
 
+def sniff_file(spark: SparkSession, path: str, encoding: str = "utf-8-sig", check_quoting: bool = False) -> Dialect:
+    """The dialect by all lines of a file (see ``dialects``); the header is judged by its beginning."""
+    known = whole.delimiter_and_quote(spark, path, encoding)
+    found = sniff(first_text(spark, path, encoding), known=known)
+    mixed = check_quoting and not whole.quoting_habits(spark, path, *known, encoding).filter("quoted and bare").isEmpty()
+    return found._replace(inconsistent_quoting=mixed)
+
+
 def mixed_quoting(sample: str, delimiter: str, quote: str) -> bool:
     """Whether some column has cells quoted without need and cells without quotes."""
     q, d = re.escape(quote), re.escape(delimiter)
