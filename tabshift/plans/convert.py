@@ -93,6 +93,27 @@ def json_text(df: DataFrame, order: str | None) -> str:
     return S.as_json_text(df, True, order).first().json + "\n"
 
 
+def write_nested_document(df: DataFrame, entities: Sequence[T.Entity], root: str, order: str) -> DataFrame:
+    """``nest`` with key entities and one array entity, as one JSON array from many tasks, in which no group is ever one row.
+
+    Rows are sorted by their group's first place and their own, so that a task's range may begin and end within a group; a row
+    whose place is its group's first or last also carries the text that opens or closes the group.
+    """
+    keys, arrays = [e for e in entities if e.key], [e for e in entities if not e.key]
+    if len(arrays) != 1 or arrays[0].kind != "array" or not keys:
+        raise ValueError("a nested document needs key entities and one array entity")
+    columns = [c for c in df.columns if c != order]
+    rules = {"ignoreNullFields": "false"}
+    head = F.to_json(F.struct(*[T.entity_struct(columns, e).alias(e.name) for e in keys]), rules)
+    rows = df.select(F.col(order).alias("at"), head.alias("group"), F.to_json(T.entity_struct(columns, arrays[0]), rules).alias("item"))
+    ends = rows.groupBy("group").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    name = F.to_json(F.array(F.lit(arrays[0].name)))
+    opening = F.concat(F.expr("substring(group, 1, length(group) - 1)"), F.lit(","), F.substring(name, F.lit(2), F.char_length(name) - 2), F.lit(":["))
+    line = F.concat(F.when(F.col("at") == F.col("first"), opening).otherwise(""), F.col("item"), F.when(F.col("at") == F.col("last"), "]}").otherwise(""))
+    lines = rows.join(ends, "group").select(F.struct("first", "at").alias("place"), line.alias("line"))
+    return write_document(lines, root, "place", head="[\n", between=",\n", tail="\n]\n")
+
+
 def field_order(spark: SparkSession, path: str) -> list[str]:
     """Leaf paths of the first record in the order of the file, which schema inference sorts away; elements of a list share its path."""
     import json

@@ -53,3 +53,21 @@ def test_documents_of_many_tasks(spark, tmp_path):
 def test_a_document_without_lines(spark, tmp_path):
     convert.write_json_document(spark.range(0).withColumn("x", F.lit(1)), str(tmp_path / "e"), "id")
     assert json.loads(committed.read_document(spark, str(tmp_path / "e"))) == []
+
+
+def test_a_hot_group_is_written_by_several_tasks(spark, tmp_path):
+    from tabshift.operators import transforms as T
+
+    entities = (T.Entity("user", "user_", key=True), T.Entity("orders", "order_", "array"))
+    who = F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("u"), F.col("id") % 50))
+    rows = spark.range(6000, numPartitions=5).select(F.col("id").alias("row_idx"), who.alias("user_name"), F.when(F.col("id") % 7 > 0, F.col("id") % 4).alias("user_age"), F.concat(F.lit('"x,'), "id").alias("order_code"), (F.col("id") / 2).alias("order_price"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small tables in several tasks
+    files = convert.write_nested_document(rows.orderBy(F.rand(2)), entities, str(tmp_path / "n"), "row_idx")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r.bytes for r in files.orderBy("name").collect()]
+    got = json.loads(committed.read_document(spark, str(tmp_path / "n")))
+    assert got == json.loads(convert.json_text(T.nest(rows, entities, "row_idx"), "first_at"))
+    hot = max(len(json.dumps(g)) for g in got)
+    assert sum(s > 10 for s in sizes) >= 3 and max(sizes) < sum(sizes) / 2 and hot > sum(sizes) / 8
+    with pytest.raises(ValueError, match="one array entity"):
+        convert.write_nested_document(rows, entities[:1], str(tmp_path / "m"), "row_idx")
