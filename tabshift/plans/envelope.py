@@ -34,6 +34,43 @@ def _typed(value: str, dtype: str) -> Any:
     return value
 
 
+Samples = dict[str, list]
+
+
+def assembled(path: str, size: int, encoding: str, attempted: Sequence[str], dialect: S.Dialect, row_count: int, repeated: Sequence[str], profiled: Sequence[Any], firsts: dict[str, list[str]], samples: Samples) -> dict:
+    """The record of a file from what has been found of it; ``profiled`` are rows of the profile with ``warned``, ``firsts`` values by column."""
+    out: dict[str, Any] = {"format": "csv", "file_path": path, "file_size_bytes": size, "encoding": encoding, "schema_version": SCHEMA_VERSION}
+    warnings = [_warning("LATIN1_FALLBACK", "warn", "not valid UTF-8; read as latin-1", attempted_encodings=list(attempted), final_encoding="latin-1")] if encoding == "latin-1" else []
+    columns: list[dict] = []
+    if not row_count:
+        warnings.append(_warning("EMPTY_FILE", "error", "no data rows", row_count=0))
+    else:
+        if not dialect.has_header:
+            warnings.append(_warning("MISSING_HEADER", "warn", "no header row; columns are numbered"))
+        if repeated:
+            warnings.append(_warning("DUPLICATE_COLUMN_NAME", "warn", "a name is used twice", duplicates=list(repeated)))
+        if dialect.inconsistent_quoting:
+            warnings.append(_warning("INCONSISTENT_QUOTING", "warn", "cells of a column are quoted in some rows only"))
+    for r in sorted(profiled, key=lambda r: r["col_pos"]):
+        block = {"name": r["col_name"], "dtype": r["dtype"], "null_count": r["null_count"], "unique_count": r["unique_count"], "sample_values": [_typed(v, r["dtype"]) for v in firsts.get(r["col_name"], [])]}
+        if r["dtype"] == "integer" and r["max_digits"] <= 38:
+            block |= {"min": int(r["min_integer"]), "max": int(r["max_integer"])}
+        elif r["dtype"] in ("integer", "float"):
+            block |= {"min": r["min_value"], "max": r["max_value"]}
+        if r["dtype"] == "string":
+            block["max_length"] = r["max_length"]
+        columns.append(block)
+        for w in r["warned"]:
+            context = {k: int(v) if k in COUNTS else float(v) if k in RATES else v for k, v in dict(w["context"]).items()}
+            warnings.append(_warning(w["code"], w["severity"], w["message"], **context))
+    schema = {"delimiter": dialect.delimiter, "quote_char": dialect.quote, "has_header": dialect.has_header, "row_count": row_count, "columns": columns}
+    return out | {"schema": schema, "samples": samples, "warnings": warnings}
+
+
+def repeated_names(cells: Sequence[str]) -> list[str]:
+    return list(dict.fromkeys(x for i, x in enumerate(cells) if x in cells[:i]))
+
+
 def envelope(spark: SparkSession, path: str, *, head_n: int = 3, middle_n: int = 1, tail_n: int = 1, sample_values: int = 3, max_rows: int | None = None, check_quoting: bool = False, whole_file: bool = False) -> dict:
     """The envelope as a dict. All rows are profiled unless ``max_rows`` is given; rates are over the rows profiled.
 
@@ -41,36 +78,19 @@ def envelope(spark: SparkSession, path: str, *, head_n: int = 3, middle_n: int =
     lets all lines decide the delimiter, the quote mark and that check instead of the beginning.
     """
     found = S.scan(spark, path).first() or Row(size=0, encoding="utf-8-sig", attempted=[], n_lines=0)  # empty files have no row
-    out: dict[str, Any] = {"format": "csv", "file_path": path, "file_size_bytes": found.size, "encoding": found.encoding, "schema_version": SCHEMA_VERSION}
-    warnings = [_warning("LATIN1_FALLBACK", "warn", "not valid UTF-8; read as latin-1", attempted_encodings=list(found.attempted), final_encoding="latin-1")] if found.encoding == "latin-1" else []
-    samples: dict[str, list] = {"head": [], "middle": [], "tail": []}
-
-    def done(dialect: S.Dialect, row_count: int, columns: list) -> dict:
-        schema = {"delimiter": dialect.delimiter, "quote_char": dialect.quote, "has_header": dialect.has_header, "row_count": row_count, "columns": columns}
-        return out | {"schema": schema, "samples": samples, "warnings": warnings}
-
-    empty = _warning("EMPTY_FILE", "error", "no data rows", row_count=0)
+    facts = path, found.size, found.encoding, found.attempted
+    samples: Samples = {"head": [], "middle": [], "tail": []}
     if not found.n_lines:
-        warnings.append(empty)
-        return done(S.Dialect(), 0, [])
+        return assembled(*facts, S.Dialect(), 0, [], [], {}, samples)
     sample = S.first_text(spark, path, found.encoding)
     dialect = S.sniff_file(spark, path, found.encoding, check_quoting) if whole_file else S.sniff(sample, check_quoting)
     row_count = max(found.n_lines - dialect.has_header, 0)
     if not row_count:
-        warnings.append(empty)
-        return done(dialect, 0, [])
-    if not dialect.has_header:
-        warnings.append(_warning("MISSING_HEADER", "warn", "no header row; columns are numbered"))
+        return assembled(*facts, dialect, 0, [], [], {}, samples)
     multi_line = found.open_quotes if dialect.quote == '"' else found.open_apostrophes
     table = S.read_raw(spark, path, dialect, found.encoding, sample=sample, multi_line=multi_line)
     names = [c for c in table.columns if c != "row_idx"]
-    if dialect.has_header:
-        raw = S.first_record(sample, dialect) or []
-        repeated = list(dict.fromkeys(x for i, x in enumerate(raw) if x in raw[:i]))
-        if repeated:
-            warnings.append(_warning("DUPLICATE_COLUMN_NAME", "warn", "a name is used twice", duplicates=repeated))
-    if dialect.inconsistent_quoting:
-        warnings.append(_warning("INCONSISTENT_QUOTING", "warn", "cells of a column are quoted in some rows only"))
+    repeated = repeated_names(S.first_record(sample, dialect) or []) if dialect.has_header else []
     rows = table.filter(F.col("row_idx") < max_rows) if max_rows else table
     # profile, first values and samples are one job; the exchange of distinct cells is shared
     distinct = P.distinct_cells(P.unpivoted(rows, keep=("row_idx",)), "row_idx")
@@ -82,24 +102,11 @@ def envelope(spark: SparkSession, path: str, *, head_n: int = 3, middle_n: int =
     got = whole.collect()
     profiled, sampled = ([r[k] for r in got if r[k] is not None] for k in ("profile", "sample"))
     firsts: dict[str, list[str]] = {}
-    for r in sorted((r.first for r in got if r.first is not None), key=lambda r: r["rank"]):
+    for r in sorted((r["first"] for r in got if r["first"] is not None), key=lambda r: r["rank"]):
         firsts.setdefault(r.col_name, []).append(r.value)
-    columns = []
-    for r in sorted(profiled, key=lambda r: r.col_pos):
-        block = {"name": r.col_name, "dtype": r.dtype, "null_count": r.null_count, "unique_count": r.unique_count, "sample_values": [_typed(v, r.dtype) for v in firsts.get(r.col_name, [])]}
-        if r.dtype == "integer" and r.max_digits <= 38:
-            block |= {"min": int(r.min_integer), "max": int(r.max_integer)}
-        elif r.dtype in ("integer", "float"):
-            block |= {"min": r.min_value, "max": r.max_value}
-        if r.dtype == "string":
-            block["max_length"] = r.max_length
-        columns.append(block)
-        for w in r.warned:
-            context = {k: int(v) if k in COUNTS else float(v) if k in RATES else v for k, v in w.context.items()}
-            warnings.append(_warning(w.code, w.severity, w.message, **context))
     for r in sorted(sampled, key=lambda r: r.row_idx):
         samples[r.bucket].append({n: r[n] if r[n] is not None else "" for n in names})
-    return done(dialect, row_count, columns)
+    return assembled(*facts, dialect, row_count, repeated, profiled, firsts, samples)
 
 
 def rendered(record: dict) -> tuple[str, int]:

@@ -45,10 +45,10 @@ def _segments(batch: pa.RecordBatch) -> Iterator[tuple[tuple[str, int], int, int
 
 
 def _stitched(records: DataFrame, between: str) -> DataFrame:
-    """(row_idx, text): whole records as they are, the others put together from their parts."""
-    parts = records.filter(~F.col("whole")).groupBy("row_idx").agg(F.array_sort(F.collect_list(F.struct("path", "block", "text"))).alias("parts"))
-    joined = parts.select("row_idx", F.array_join(F.transform("parts", lambda p: p["text"]), between).alias("text"))
-    return records.filter("whole").select("row_idx", "text").unionByName(joined)
+    """(path, row_idx, text): whole records as they are, the others put together from their parts."""
+    parts = records.filter(~F.col("whole")).groupBy("path", "row_idx").agg(F.array_sort(F.collect_list(F.struct("block", "text"))).alias("parts"))
+    joined = parts.select("path", "row_idx", F.array_join(F.transform("parts", lambda p: p["text"]), between).alias("text"))
+    return records.filter("whole").select("path", "row_idx", "text").unionByName(joined)
 
 
 # ---- CSV: lines that may begin within a quoted cell ----
@@ -56,17 +56,18 @@ def _stitched(records: DataFrame, between: str) -> DataFrame:
 START, BARE, QUOTED, CLOSED = range(4)
 
 
-def open_after(line: Column, delimiter: str, quote: str, within: bool) -> Column:
+def open_after(line: Column, delimiter: str | Column, quote: str, within: bool) -> Column:
     """Whether a quoted cell is still open at the end of a line that begins a record or, ``within``, goes on in a quoted cell.
 
     What stands before each quote mark decides what the mark does: it opens a cell, is a plain character of a bare one, closes a
     quoted one or, right after that, is a doubled mark.
     """
+    mark = F.lit(delimiter) if isinstance(delimiter, str) else delimiter
     before = F.slice(F.split(line, f"\\Q{quote}\\E", -1), 1, F.greatest(F.size(F.split(line, f"\\Q{quote}\\E", -1)) - 1, F.lit(0)))
 
     def step(state: Column, text: Column) -> Column:
         here = (
-            F.when(state == QUOTED, QUOTED).when((state == CLOSED) & (text == ""), CLOSED).when(F.endswith(text, F.lit(delimiter)), START)
+            F.when(state == QUOTED, QUOTED).when((state == CLOSED) & (text == ""), CLOSED).when(F.endswith(text, mark), START)
             .when(text == "", state).otherwise(BARE)
         )
         return F.when(here == START, QUOTED).when(here == BARE, BARE).when(here == QUOTED, CLOSED).otherwise(QUOTED)
@@ -77,7 +78,11 @@ def open_after(line: Column, delimiter: str, quote: str, within: bool) -> Column
 
 def csv_lines(spark: SparkSession, path: str, delimiter: str, quote: str, encoding: str) -> DataFrame:
     """(path, block, value, opens, stays, blank): pieces with their transition from either state."""
-    lines = pieces(spark, path, "\n", encoding)
+    return transitions(pieces(spark, path, "\n", encoding), delimiter, quote)
+
+
+def transitions(lines: DataFrame, delimiter: str | Column, quote: str) -> DataFrame:
+    """(path, block, value, opens, stays, blank) of lines; the delimiter may be a column of theirs."""
     v = F.col("value")
     return lines.select("path", "block", "value", open_after(v, delimiter, quote, False).alias("opens"), open_after(v, delimiter, quote, True).alias("stays"), (~v.rlike(r"\S")).alias("blank"))
 
@@ -193,9 +198,13 @@ def _placed(rows: DataFrame, chunks: DataFrame, columns: list[str], cut: Callabl
 
 def csv_records(spark: SparkSession, path: str, delimiter: str = ",", quote: str = '"', encoding: str = "utf-8") -> DataFrame:
     """(row_idx, text): the records of CSV files, header included, in the order of paths and lines; lines of white space alone between records are none."""
-    lines = csv_lines(spark, path, delimiter, quote, encoding)
+    return records_of(csv_lines(spark, path, delimiter, quote, encoding)).drop("path")
+
+
+def records_of(lines: DataFrame) -> DataFrame:
+    """(path, row_idx, text): the records of lines with their transitions."""
     records = _placed(lines, csv_chunks(lines), ["within", "base"], _csv_cut)
-    return _stitched(records, "\n").select("row_idx", F.regexp_replace("text", r"\r\z", "").alias("text"))
+    return _stitched(records, "\n").select("path", "row_idx", F.regexp_replace("text", r"\r\z", "").alias("text"))
 
 
 def count_records(spark: SparkSession, path: str, delimiter: str = ",", quote: str = '"', encoding: str = "utf-8") -> DataFrame:
