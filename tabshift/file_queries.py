@@ -15,6 +15,7 @@ from tabshift.plans import formats
 from tabshift.plans import runner as R
 from tabshift.plans.convert import Spec, convert, typed, write_csv_document
 from tabshift.plans.envelope import envelopes
+from tabshift.plans.many import envelopes_of
 from tabshift.queries import LINES, query, table
 from tabshift.sources import chunks
 from tabshift.sources import files as S
@@ -188,6 +189,17 @@ def envelope_columns(spark, sf_dir):
     return spark.createDataFrame(rows, "name string, dtype string, null_count long, unique_count long, min double, max double, max_length long, firsts string")
 
 
+@query("q_envelopes_many", "SELECT c_nationkey AS nation, count(*) AS row_count, min(c_custkey) AS low, max(c_custkey) AS high, count(DISTINCT c_mktsegment) AS segments FROM customer GROUP BY c_nationkey")
+def envelopes_many(spark, sf_dir):
+    """A file for each nation's customers; all envelopes come from one plan."""
+    path = S.scratch(spark, "nations")
+    rows = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), "c_custkey", "c_name", "c_mktsegment")
+    rows.repartition("nation").write.options(**S.CSV_RULES).partitionBy("nation").csv(path)
+    columns = "struct<schema:struct<row_count:bigint,columns:array<struct<min:bigint,max:bigint,unique_count:bigint>>>>"
+    found = envelopes_of(spark, path).select(F.regexp_extract("path", r"nation=(\d+)", 1).cast("long").alias("nation"), F.from_json("envelope", columns)["schema"].alias("s"))
+    return found.select("nation", "s.row_count", F.col("s.columns")[0]["min"].alias("low"), F.col("s.columns")[0]["max"].alias("high"), F.col("s.columns")[2]["unique_count"].alias("segments"))
+
+
 _CODES = "CASE WHEN bool_or(strlen({n} || 'é') > length({n} || 'é')) THEN 'LATIN1_FALLBACK ' ELSE '' END || 'MISSING_HEADER NUMERIC_COLUMN_QUOTE_RISK'"
 
 
