@@ -196,17 +196,24 @@ STEP = """SELECT {keys}, CASE WHEN e.pos IS NULL THEN t.path WHEN e.key IS NULL
   CASE WHEN e.pos IS NULL THEN t.v ELSE e.value END AS v FROM {{t}} AS t, LATERAL variant_explode_outer(t.v) AS e"""
 
 
+PEELED = 6
+
+
 def json_depth(text: Column) -> Column:
-    """How deep the brackets of a JSON text nest."""
+    """How deep the brackets of a JSON text nest: how often its innermost pairs can be peeled off, for deep texts by a walk over them."""
     outside = F.regexp_replace(F.regexp_replace(text, r"(?s)\\.", ""), r'"[^"]*"', "")
-    marks = F.split(F.regexp_replace(outside, r"[^\[\]{}]", ""), "")
+    left = F.translate(F.regexp_replace(outside, r"[^\[\]{}]+", ""), "[]", "{}")
+    depth = F.lit(0)
+    for _ in range(PEELED):
+        depth = depth + (left != "").cast("int")
+        left = F.replace(left, F.lit("{}"), F.lit(""))
     zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
 
     def step(at: Column, mark: Column) -> Column:
-        now = at["now"] + F.when(mark.isin("[", "{"), 1).when(mark.isin("]", "}"), -1).otherwise(0)
+        now = at["now"] + F.when(mark == "{", 1).when(mark == "}", -1).otherwise(0)
         return F.struct(now.alias("now"), F.greatest(at["most"], now).alias("most"))
 
-    return F.aggregate(marks, zero, step, lambda at: at["most"])
+    return depth + F.when(left == "", 0).otherwise(F.aggregate(F.split(left, ""), zero, step, lambda at: at["most"]))
 
 
 def json_leaves(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
