@@ -8,7 +8,8 @@ main element around it if there is one, else itself with its siblings that have
 
 Elements of which a class or id name says nothing but boilerplate (``comment-list``, ``cookie-notice``; not ``related-work``) are left
 out before the points are given, unless that would leave a page without running text: then the names are wrong and only the
-points count. Names that may be boilerplate (``top``, ``legal``) count outside an article element alone, and never for a paragraph.
+points count. Names that may be boilerplate (``top``, ``legal``) count outside an article element alone, and never for a paragraph;
+names of elements within running text never count.
 Outside an article element boxes that are mostly links of few words are menus and go; lists of longer linked titles stay. Within
 one, all goes that says what it is (navigation, forms, asides, comments, ...), and nothing else. Articles side by side with running
 text are all kept.
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
+RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul head".split())
 CLOSES_P = BLOCKS - {"caption", "tbody", "tfoot", "thead", "tr", "body", "html", "head", "legend"}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -43,6 +44,8 @@ CONTAINERS = frozenset("td th article main body section div table".split())
 HOLDS_P = (BLOCKS - {"p"}) | {"td", "th", "button", "object"}
 #: (tags that close each other, tags that bound them)
 CLOSE_EACH_OTHER = ((("li",), ("ul", "ol", "menu")), (("dt", "dd"), ("dl",)), (("tr",), ("table",)), (("td", "th"), ("tr", "table")), (("option",), ("select",)))
+#: Elements within running text; what they are named is a matter of style.
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q ruby s samp small span strike strong sub sup time tt u var wbr br img html body".split())
 KEEP, MAYBE, NAMED, DROP = range(4)
 REACH = 5  # containers above a paragraph that get points of it
 MENU_WORDS = 3.5  # links of a menu have fewer words on average
@@ -114,6 +117,7 @@ def marks(tag: str, raw: str) -> tuple[int, float]:
         return DROP, 0.0
     if not raw.strip(" /\n\t\r") or tag in ("html", "body", "a", "br", "img"):
         return KEEP, 0.0
+    inline = tag in INLINE
     attributes = {}
     for name, *values in ATTRIBUTE.findall(raw):
         attributes.setdefault(name.lower(), next((v for v in values if v), ""))
@@ -124,7 +128,7 @@ def marks(tag: str, raw: str) -> tuple[int, float]:
         return DROP, 0.0
     bonus = 10.0 * (role in ("main", "article")) + 12.0 * ("articlebody" in attributes.get("itemprop", "").lower())
     sure = likely = content = False
-    for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
+    for name in () if inline else f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
         words = [w.lower() for w in NAME_WORDS.findall(name)]
         if any(w in NOT_WITH for w in words[:-1]):
             continue

@@ -1,3 +1,5 @@
+import html
+import random
 import time
 
 import pytest
@@ -33,8 +35,8 @@ CASES = {
 
 @pytest.mark.parametrize("name", CASES)
 def test_pages(name):
-    html, want = CASES[name]
-    assert main_text(html) == want
+    page, want = CASES[name]
+    assert main_text(page) == want
 
 
 def test_depth_and_length():
@@ -67,3 +69,67 @@ def test_query_form(spark):
     got = sorted((r.page_id, r.url, r.text, r.n_chars) for r in extract(pages).filter("page_id = 1").collect())
     assert got == [(1, "u", f"{P} é", len(P) + 2)]
     assert extract(pages).count() == 3 and extract(pages.limit(0)).collect() == []
+
+
+class Maker:
+    """Random pages of which the main text is known, as it is what the article was made of."""
+
+    BOILERPLATE = (
+        "<nav><ul><li><a href='/{n}'>{w}</a></li><li><a href='/x'>{w} {w}</a></li></ul></nav>", "<div class='ad'>{t}</div>", "<div id='ad-slot-{n}'><p>{t}</p></div>", "<aside><h3>{w}</h3><p>{t}</p></aside>",
+        "<form action='/s'><p>{t}</p><input name=q><button>{w}</button></form>", "<footer><p>{t}</p><a href='/{n}'>{w}</a></footer>", "<script>var a = '<p>{t}</p>';</script>", "<style>p {{ color: red }}</style>", "<!-- <p>{t}</p> -->",
+        "<section class='comments'><h3>{w}</h3><p>{t}</p><p>{t}</p></section>", "<div class='cookie-notice'><p>{t}</p></div>", "<div hidden><p>{t}</p></div>", "<div style='display:none'>{t}</div>", "<div role='navigation'><a href=1>{w}</a></div>",
+        "<div class=\"newsletter-signup\"><p>{t}</p></div>", "<noscript><p>{t}</p></noscript>", "<ul class='share-buttons'><li>{w}</li></ul>",
+    )
+
+    def __init__(self, seed):
+        self.rng = random.Random(seed)
+
+    def word(self):
+        return "".join(self.rng.choice("aeioubdklmnrst") for _ in range(self.rng.randrange(2, 9))) + self.rng.choice(["", "", "", "", ",", "é", "&", "<x", "'s"])
+
+    def text(self, low, high):
+        return " ".join(self.word() for _ in range(self.rng.randrange(low, high))) + "."
+
+    def written(self, text):
+        """The text as markup, with other white space, references and inline elements."""
+        out = []
+        for word in text.split(" "):
+            shown = "".join(f"&#{ord(c)};" if self.rng.random() < 0.03 else html.escape(c) for c in word)
+            kind = self.rng.randrange(14)
+            out.append(f"<b>{shown}</b>" if kind == 0 else f"<a href='#{shown[:1] if shown[:1].isalnum() else 'x'}'>{shown}</a>" if kind == 1 and self.rng.random() < 0.3 else f"<span class='top'>{shown}</span>" if kind == 2 else shown)
+        return self.rng.choice(["", "\n  "]) + "".join(w + self.rng.choice([" ", " ", "\n", "<br>", "&nbsp;", "  "]) for w in out[:-1]) + out[-1] + self.rng.choice(["", " \n"])
+
+    def boilerplate(self):
+        return self.rng.choice(self.BOILERPLATE).format(n=self.rng.randrange(99), w=html.escape(self.word()), t=html.escape(self.text(5, 40)))
+
+    def blocks(self, inside):
+        """(markup, texts) of an article's body; ``inside`` puts boilerplate between its blocks."""
+        markup, texts = [], []
+        for _ in range(self.rng.randrange(3, 12)):
+            kind = self.rng.choice(["p"] * 5 + ["h2", "blockquote", "pre", "ul", "open"])
+            own = [self.text(12, 60) for _ in range(self.rng.randrange(2, 5) if kind == "ul" else 1)]
+            if kind == "h2":
+                own = [self.text(2, 6)]
+            texts += own
+            shown = [self.written(t) for t in own]
+            markup.append("<ul>" + "".join(f"<li>{t}</li>" for t in shown) + "</ul>" if kind == "ul" else f"<p class=lead>{shown[0]}" if kind == "open" else f"<{kind}>{shown[0]}</{kind}>")
+            if inside and self.rng.random() < 0.2:
+                markup.append(self.boilerplate())
+        return "".join(markup), texts
+
+    def page(self):
+        title = self.text(2, 6)
+        frame = self.rng.choice(["<article>{}</article>", "<main>{}</main>", "<div><main><article class='post'>{}</article></main></div>", "<div class='content'>{}</div>"])
+        body, texts = self.blocks(inside="article" in frame)
+        around = [self.boilerplate() for _ in range(self.rng.randrange(1, 6))]
+        at = self.rng.randrange(len(around) + 1)
+        inner = frame.format(f"<h1>{self.written(title)}</h1>{body}")
+        return f"<!DOCTYPE html><html><head><title>{html.escape(title)}</title></head><body><header><a href='/'>Site</a></header>{''.join(around[:at])}{inner}{''.join(around[at:])}</body></html>", "\n".join(" ".join(t.split()) for t in [title, *texts])
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_random_pages_give_back_what_they_were_made_of(seed):
+    maker = Maker(seed)
+    for i in range(60):
+        page, want = maker.page()
+        assert main_text(page) == want, (seed, i, page)
