@@ -191,7 +191,7 @@ def register(spark) -> None:
 
 
 #: A text may name a key with a dot or bracket, or be no JSON that Spark reads (repeated keys, NaN, or none at all).
-DOTTED_KEY = r'[.\[\]][^"]*"\s*:'
+DOTTED_KEY = r'"(?=[^"]*"\s*:)[^"]*[.\[\]]'
 STEP = """SELECT {keys}, CASE WHEN e.pos IS NULL THEN t.path WHEN e.key IS NULL THEN concat(t.path, '[', e.pos, ']') WHEN t.path = '' THEN e.key ELSE concat(t.path, '.', e.key) END AS path,
   CASE WHEN e.pos IS NULL THEN t.v ELSE e.value END AS v FROM {{t}} AS t, LATERAL variant_explode_outer(t.v) AS e"""
 
@@ -201,8 +201,8 @@ PEELED = 6
 
 def json_depth(text: Column) -> Column:
     """How deep the brackets of a JSON text nest: how often its innermost pairs can be peeled off, for deep texts by a walk over them."""
-    outside = F.regexp_replace(F.regexp_replace(text, r"(?s)\\.", ""), r'"[^"]*"', "")
-    left = F.translate(F.regexp_replace(outside, r"[^\[\]{}]+", ""), "[]", "{}")
+    plain = F.regexp_replace(text, r"(?s)\\.", "")
+    left = F.translate(F.regexp_replace(plain, r'"[^"]*"|[^\[\]{}"]+', ""), "[]", "{}")
     depth = F.lit(0)
     for _ in range(PEELED):
         depth = depth + (left != "").cast("int")
@@ -213,7 +213,7 @@ def json_depth(text: Column) -> Column:
         now = at["now"] + F.when(mark == "{", 1).when(mark == "}", -1).otherwise(0)
         return F.struct(now.alias("now"), F.greatest(at["most"], now).alias("most"))
 
-    return depth + F.when(left == "", 0).otherwise(F.aggregate(F.split(left, ""), zero, step, lambda at: at["most"]))
+    return depth + F.when(F.char_length(left) == 0, 0).otherwise(F.aggregate(F.split(left, ""), zero, step, lambda at: at["most"]))
 
 
 def json_leaves(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -230,7 +230,9 @@ def _leaves(texts: DataFrame, *keys: str) -> DataFrame:
     spark = texts.sparkSession
     named = texts.select(*keys, "text", F.try_parse_json("text").alias("v"))
     odd = F.col("text").isNotNull() & (F.col("v").isNull() | F.col("text").rlike(DOTTED_KEY))
-    depth, some_odd = named.agg(F.max(F.when(~odd, json_depth(F.col("text")))), F.bool_or(odd)).first()
+    # a product, not a case: what is worked out in any case is worked out once
+    told = named.select(odd.alias("odd"), json_depth(F.col("text")).alias("depth"))
+    depth, some_odd = told.agg(F.max(F.col("depth") * (~F.col("odd")).cast("int")), F.bool_or("odd")).first()
     now = named.filter(~odd if some_odd else F.col("text").isNotNull()).select(*keys, F.lit("").alias("path"), "v")
     for _ in range(depth or 0):
         now = spark.sql(STEP.format(keys=", ".join(f"t.{k}" for k in keys)), t=now)
