@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from tabshift.plans import formats
 from tabshift.plans.envelope import envelope, envelopes, main, rendered
@@ -59,6 +60,19 @@ def test_positions_are_contiguous(spark):
     assert S.with_position(spark.range(0)).count() == 0
 
 
+def test_sorted_positions_are_contiguous_in_many_partitions(spark):
+    kept = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        n = 200_000
+        rows = spark.range(n, numPartitions=3).select((F.col("id") * 77_777 % n).alias("key"), F.sha2(F.col("id").cast("string"), 256).alias("more"))
+        placed = S.in_order(rows, "key").select("key", "row_idx", F.xxhash64("more").alias("h")).toArrow()  # a pass over positions alone would prune its sort
+        assert placed.num_rows == n and placed["key"].to_pylist() == placed["row_idx"].to_pylist()
+        assert S.in_order(rows.limit(0), "key").count() == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", kept)
+
+
 def test_csv_sink(spark, tmp_path):
     out = str(tmp_path / "out")
     S.write_csv(spark.createDataFrame([('say "hi"', None, " x ")], "a string, b string, c string").coalesce(1), out)
