@@ -10,7 +10,8 @@ from __future__ import annotations
 import csv
 import io
 import json
-from collections.abc import Iterator
+import re
+from collections.abc import Iterator, Sequence
 from typing import Any
 
 import pandas as pd
@@ -105,7 +106,16 @@ def loads_as_table(value: Any) -> bool:
     return True
 
 
+#: Not in a text whose lines are records and whose commas all part cells.
+UNPLAIN = re.compile('["\r\0\ufeff\ud800-\udfff]')
+
+
 def loads_as_csv(text: str) -> bool:
+    """Whether pandas can load it; a plain table of named columns whose rows are equally wide always loads."""
+    if not UNPLAIN.search(text):
+        head, *body = text.removesuffix("\n").split("\n")
+        if all(c.strip() for c in head.split(",")) and all(x.strip() for x in body) and len({x.count(",") for x in body}) <= 1:
+            return True
     try:
         return len(pd.read_csv(io.StringIO(text)).columns) > 0
     except Exception:  # noqa: BLE001
@@ -116,8 +126,8 @@ def header(rows: list[list[str]]) -> list[str]:
     return [c.strip().lower() for c in rows[0]]
 
 
-def score(actual: str | None, expected: str | None, fmt: str, required: list[str] | None) -> tuple[float, float, float, float]:
-    """(format_validity, schema_compliance, loadability, content_accuracy), each from 0 to 1; a null text is empty."""
+def score(actual: str | None, expected: str | None, fmt: str, required: list[str] | None, load: bool = True) -> tuple[float, float, float | None, float]:
+    """(format_validity, schema_compliance, loadability, content_accuracy), each from 0 to 1; a null text is empty. Without ``load`` loadability is None where pandas would have to tell."""
     actual, expected, fmt = actual or "", expected or "", fmt.lower()
     if fmt == "txt":
         some = float(bool(actual.strip()))
@@ -129,7 +139,7 @@ def score(actual: str | None, expected: str | None, fmt: str, required: list[str
             return 0.0, 0.0, 0.0, 0.0
         want, have = dict(leaves(e)) if e is not MISSING else {}, dict(leaves(a))
         same = sum(p in have and equal(have[p], v) for p, v in want.items())
-        return 1.0, float(e is not MISSING and skeleton(a) == skeleton(e)), float(loads_as_table(a)), same / len(want) if want else 0.0
+        return 1.0, float(e is not MISSING and skeleton(a) == skeleton(e)), float(loads_as_table(a)) if load else None, same / len(want) if want else 0.0
     if fmt != "csv":
         raise ValueError(f"unknown format {fmt}")
     a, e = csv_rows(actual), csv_rows(expected)
@@ -140,19 +150,20 @@ def score(actual: str | None, expected: str | None, fmt: str, required: list[str
         cell = lambda i, j: a[i][j] if i < len(a) and j < len(a[i]) else ""
         same = sum(equal(cell(i, j), v) for i, row in enumerate(e[1:], 1) for j, v in enumerate(row))
         accuracy = min(1.0, same / ((len(e) - 1) * len(e[0])))
-    return float(valid), float(alike), float(loads_as_csv(actual)), accuracy
+    return float(valid), float(alike), float(loads_as_csv(actual)) if load else None, accuracy
 
 
-SCORES = "format_validity double, schema_compliance double, loadability double, content_accuracy double"
+SCORES = ("format_validity", "schema_compliance", "loadability", "content_accuracy")
 
 
-def scores(actual: Column, expected: Column, fmt: Column, required: Column | None = None) -> Column:
-    """struct of the four scores; an unknown format fails the job."""
+def scores(actual: Column, expected: Column, fmt: Column, required: Column | None = None, only: Sequence[str] = SCORES) -> Column:
+    """struct of the four scores, or of those asked for (nothing is loaded unless loadability is); an unknown format fails the job."""
+    places, load = [SCORES.index(c) for c in only], "loadability" in only
 
-    @F.pandas_udf(SCORES)
+    @F.pandas_udf(", ".join(f"{c} double" for c in only))
     def scored(a: pd.Series, e: pd.Series, f: pd.Series, r: pd.Series) -> pd.DataFrame:
-        rows = [score(x, y, z, None if w is None else list(w)) for x, y, z, w in zip(a, e, f, r, strict=True)]
-        return pd.DataFrame(rows, columns=["format_validity", "schema_compliance", "loadability", "content_accuracy"])
+        rows = [score(x, y, z, None if w is None else list(w), load) for x, y, z, w in zip(a, e, f, r, strict=True)]
+        return pd.DataFrame([[row[i] for i in places] for row in rows], columns=list(only))
 
     return scored(actual, expected, fmt, required if required is not None else F.lit(None).cast("array<string>"))
 

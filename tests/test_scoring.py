@@ -1,5 +1,8 @@
+import io
 import json
+import random
 
+import pandas as pd
 import pytest
 from hypothesis import Phase, given, settings
 from hypothesis import strategies as st
@@ -38,6 +41,24 @@ def test_loadability():
     assert loads("a,b\n1,2\n1,2,3\n", "csv") == 0
 
 
+def test_plain_tables_load_without_pandas(monkeypatch):
+    rng = random.Random(5)
+    cells = ["a", "1", " ", "\t", "\u00e9", "#", ".", "\x0b", "\x1c", "\u00a0", "NaN", "", '"', "\r", "9" * 30, "\ufeff"]
+    row = lambda n: ",".join("".join(rng.choices(cells, k=rng.randrange(3))) for _ in range(n))
+    texts = ["\n".join(row(width if rng.random() < 0.9 else rng.randrange(1, 4)) for _ in range(rng.randrange(1, 4))) + rng.choice(["", "\n"]) for width in rng.choices([1, 2, 3], k=3000)]
+
+    def loads(text):
+        try:
+            return len(pd.read_csv(io.StringIO(text)).columns) > 0
+        except Exception:  # noqa: BLE001
+            return False
+
+    assert [V.loads_as_csv(t) for t in texts] == [loads(t) for t in texts]
+    monkeypatch.setattr(V.pd, "read_csv", lambda *_: pytest.fail("a plain table went to pandas"))
+    assert V.score("id,kind\n7,view\n", "id,kind\n7,view\n", "csv", None) == (1, 1, 1, 1)
+    assert V.score('id\n"', "id\n", "csv", None, load=False)[2] is None
+
+
 def test_content_accuracy():
     accuracy = lambda a, e, f="json", r=None: V.score(a, e, f, r)[3]
     assert accuracy('{"a": "9.99", "b": [1, 2]}', '{"a": 9.99, "b": [1, 3]}') == pytest.approx(2 / 3)
