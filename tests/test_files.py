@@ -73,6 +73,24 @@ def test_sorted_positions_are_contiguous_in_many_partitions(spark):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", kept)
 
 
+def test_encoding_of_documents_in_parts(spark, tmp_path):
+    for name, data in {"a/0": b"abc\n", "a/1": b"Caf\xe9\n", "a/2": b"de\n", "b/0": b"x\n", "b/1": "\u00e9\n".encode()}.items():
+        (tmp_path / "docs" / name).parent.mkdir(parents=True, exist_ok=True)
+        write(tmp_path / "docs", name, data)
+    got = {r.path[-1]: (r.size, r.encoding, len(r.attempted)) for r in S.encodings(spark, str(tmp_path / "docs/*"), folders=True).collect()}
+    assert got == {"a": (12, "latin-1", 2), "b": (5, "utf-8-sig", 0)}
+
+
+def test_a_language_is_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    from tabshift import file_queries
+
+    rows = spark.range(40, numPartitions=4).select(F.lit("fr").alias("lang"), F.when(F.col("id") == 39, "\u00e9t\u00e9").otherwise("ete").alias("text"))
+    monkeypatch.setattr(file_queries, "table", lambda *_: rows)
+    monkeypatch.setattr(S, "scratch", lambda *_: str(tmp_path / "latin"))
+    assert [tuple(r) for r in file_queries.encoding(spark, "").collect()] == [("fr", "latin-1")]
+    assert len(list((tmp_path / "latin/lang=fr").glob("*.csv"))) == 4
+
+
 def test_csv_sink(spark, tmp_path):
     out = str(tmp_path / "out")
     S.write_csv(spark.createDataFrame([('say "hi"', None, " x ")], "a string, b string, c string").coalesce(1), out)
