@@ -106,6 +106,21 @@ def test_relational_csv_form_agrees(spark):
     check()
 
 
+def test_plain_csv_pairs_need_neither_python_nor_a_shuffle(spark):
+    texts = ["a,b\n1,2", "A , b\n1.0,2,3\n\n4\n", "a,b\n\n1,2\n\n", "", "\n", "\n\n1,2", "a,b", "a,b\n", "a\n,\nx", "x\n1", ",\n,\n1,", " a,b\n 1 ,2\n5", "a,b\n1_0,\u00e9\n\n"]
+    texts += ["\n".join(["h,i", "10,x", "3"]), None]
+    pairs = [(i * len(texts) + j, a, e) for i, a in enumerate(texts) for j, e in enumerate(texts)]
+    scored = V.csv_accuracy(spark.createDataFrame(pairs, "i long, a string, e string"), "i", "a", "e")
+    plan = scored._jdf.queryExecution().toString()
+    assert not any(x in plan for x in ("Python", "Arrow", "Exchange", "Join"))
+    got = {r.i: r.content_accuracy for r in scored.collect()}
+    odd = spark.createDataFrame([*pairs, (-1, 'a\n"1\n2"\n', 'a\n"1\n2"'), (-2, "a\r\n1", "a\n1"), (-3, 'a\n"', None)], "i long, a string, e string")
+    mixed = {r.i: r.content_accuracy for r in V.csv_accuracy(odd, "i", "a", "e").collect()}
+    for i, a, e in odd.collect():
+        want = V.score(a, e, "csv", None, load=False)[3]
+        assert mixed[i] == pytest.approx(want) and got.get(i, mixed[i]) == mixed[i], (a, e)
+
+
 def test_cleanup(spark):
     cases = [
         ("json", '```json\n{"a": 1}\n```\nDone', '{"a": 1}', ["strip_code_fence"]), ("json", 'Sure:\n{"a": "}"} bye', '{"a": "}"}', ["strip_preamble", "strip_trailing_prose"]),
