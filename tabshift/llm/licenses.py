@@ -128,10 +128,18 @@ def _decided(license: Column, plain: Column) -> Column:
     return out
 
 
-def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    """Whether the keys of ``left`` equal those of ``right``, there named n_<key>."""
-    on = [left[k].eqNullSafe(right[f"n_{k}"]) for k in keys]
-    return functools.reduce(lambda a, b: a & b, on)
+def similarities(notices: DataFrame, idf: DataFrame, weighted: DataFrame, most: float) -> DataFrame:
+    """(notice_id, license, similarity) of each notice and template that share a term.
+
+    The notices are dealt by their ids once, as texts; their words are taken apart, counted and summed where they lie. ``idf`` and
+    ``weighted`` have the templates' terms alone.
+    """
+    words = notices.select("notice_id", "notice").repartition("notice_id").select("notice_id", F.explode(terms_of(F.col("notice"))).alias("term"))
+    counted = words.groupBy("notice_id", "term").agg(F.count("*").alias("tf")).join(F.broadcast(idf), "term", "left")
+    square = F.when(F.col("idf").isNotNull(), F.pow(F.col("tf") * F.col("idf"), F.lit(2))).otherwise(F.col("tf") * F.lit(most * most))
+    length = counted.groupBy("notice_id").agg(F.sqrt(F.sum(square)).alias("length"))
+    dot = counted.filter("idf is not null").join(F.broadcast(weighted), "term").groupBy("notice_id", "license", "variant").agg(F.sum(F.col("tf") * F.col("idf") * F.col("w")).alias("dot"))
+    return dot.join(length, "notice_id").select("notice_id", "license", F.round(F.col("dot") / F.col("length"), 6).alias("similarity"))
 
 
 def own_licenses(files: DataFrame, *, id_col: str, path_col: str, text_col: str, threshold: float = THRESHOLD) -> DataFrame:
@@ -167,20 +175,12 @@ def own_licenses(files: DataFrame, *, id_col: str, path_col: str, text_col: str,
         F.when(F.col("whole"), F.array(piece(F.lit(WHOLE), F.lit(True), F.col("text")))).otherwise(F.array().cast("array<struct<line:int,edge:boolean,notice:string>>")),
     )
     notices = keyed.select("id", "path", "h", "third", F.inline(pieces)).filter(F.col("notice").rlike(SIGNAL)).distinct()
-    notices = staged(notices, "license-notices")
+    notices = staged(notices.withColumn("notice_id", F.monotonically_increasing_id()), "license-notices")
 
-    words = notices.select("id", "path", "h", "line", "edge", F.explode(terms_of(F.col("notice"))).alias("term"))
-    counted = words.groupBy("id", "path", "h", "line", "edge", "term").agg(F.count("*").alias("tf")).join(idf, "term", "left")
-    square = F.when(F.col("idf").isNotNull(), F.pow(F.col("tf") * F.col("idf"), F.lit(2))).otherwise(F.col("tf") * F.lit(most * most))
     keys = ["id", "path", "h", "line", "edge"]
-    length = counted.groupBy(*keys).agg(F.sqrt(F.sum(square)).alias("length"))
-    dot = counted.filter("idf is not null").join(weighted, "term").groupBy(*keys, "license", "variant").agg(F.sum(F.col("tf") * F.col("idf") * F.col("w")).alias("dot"))
-    sized = length.select(*[F.col(k).alias(f"n_{k}") for k in keys], "length")
-    scored = dot.join(sized, _same(dot, sized, keys)).select(*[dot[k] for k in keys], "license", F.round(F.col("dot") / F.col("length"), 6).alias("similarity"))
     # only what is alike is looked at for its deciding words
-    told = notices.select(*[F.col(k).alias(f"n_{k}") for k in keys], "notice", "third")
-    alike = scored.filter(F.col("similarity") >= threshold)
-    scored = alike.join(told, _same(alike, told, keys)).withColumn("plain", _plain(F.col("notice"), F.col("third"))).filter(_decided(F.col("license"), F.col("plain")))
+    alike = similarities(notices, idf, weighted, most).filter(F.col("similarity") >= threshold)
+    scored = alike.join(notices, "notice_id").withColumn("plain", _plain(F.col("notice"), F.col("third"))).filter(_decided(F.col("license"), F.col("plain")))
     # a licence file's copyright line is no licence
     scored = scored.filter((F.col("license") != "Proprietary") | (F.col("line") == WHOLE) | ~F.coalesce(F.col("path").rlike(LICENSE_FILE), F.lit(False)))
     ranked = scored.groupBy(*keys, "license").agg(F.max("similarity").alias("similarity"))

@@ -267,3 +267,14 @@ def test_known_files(spark):
     docs = [(i, f"p{i}/{name}", text) for i, (name, text, _) in enumerate(KNOWN)] + [(100 + i, f"d/{i}", "plain words of a text that has no notice and is free software for any person to use") for i in range(40)]
     got = {r.doc_id: r.own_license for r in L.scan(spark.createDataFrame(docs, FILES)).collect()}
     assert [got[i] for i in range(len(KNOWN))] == [want for _, _, want in KNOWN]
+
+
+def test_notices_are_dealt_once_without_their_paths(spark):
+    notices = spark.createDataFrame([(0, "a/" * 50, "Licensed under the MIT License."), (1, None, "Released under the MIT license, MIT")], "notice_id long, path string, notice string")
+    idf = spark.createDataFrame([("mit", 2.0), ("license", 1.0)], "term string, idf double")
+    weighted = spark.createDataFrame([("MIT", 0, "mit", 0.8), ("MIT", 0, "license", 0.6)], "license string, variant int, term string, w double")
+    scored = L.similarities(notices, idf, weighted, 3.0)
+    got = {r.notice_id: r.similarity for r in scored.collect()}
+    assert got == {0: pytest.approx(2.2 / (4 + 1 + 27) ** 0.5, abs=1e-6), 1: pytest.approx(3.8 / (16 + 1 + 27) ** 0.5, abs=1e-6)}
+    dealt = scored._jdf.queryExecution().executedPlan().toString().split("hashpartitioning(")[1:]
+    assert dealt and all(x.startswith("notice_id#") and x.split(")")[0].count("#") == 1 for x in dealt)
