@@ -1,6 +1,9 @@
+import itertools
+
 import pytest
 from pyspark.sql import functions as F
 
+from tabshift.functions import grammar as G
 from tabshift.operators import profile as P
 
 
@@ -101,3 +104,25 @@ def test_typed_columns_profile_like_their_text(spark):
             assert typed[c].asDict() | {"unique_count": 0} == plain[c].asDict() | {"unique_count": 0}
     assert P.profile(rows.limit(0), True).count() == P.profile(rows.limit(0)).count() == 0
     assert {c: r.dtype for c, r in typed.items()} == {"i": "integer", "big": "integer", "f": "float", "d": "float", "b": "boolean", "day": "date", "at": "datetime", "midnight": "date", "t": "integer", "none": "string"}
+
+
+def test_facts_of_plain_numbers_are_those_of_the_grammar(spark):
+    numbers = [a + b + c + d for a, b, c, d in itertools.product(("", "-", "+", " ", "--"), ("0", "00", "7", "1", "1_0", "2024", "20240229", "20241399", "0012", "9" * 19, "9" * 39), ("", ".", ".0", ".50", ".5_0"), ("", " ", "e5", "\n", "\u2028", "x"))]
+    cells = [*numbers, None, "", " ", "true", "0x1", ".5", "-.5", "-", "nan", "inf", "\u0663", "2024-01-05", "01/31/2024", "10:30", "yes"]
+    v = F.col("value")
+    rows = spark.createDataFrame([(0, "c", x, 1) for x in cells], "col_pos int, col_name string, value string, n long")
+    want = rows.select(
+        "col_pos", "col_name", "n", "value", G.is_null(v).alias("null"), G.is_integer(v).alias("i"), G.is_float(v).alias("f"), G.is_boolean(v).alias("b"), G.to_timestamp(v).alias("ts"), G.zero_padded(v).alias("z"),
+        G.to_number(v).alias("number"), G.to_integer(v).alias("whole"), G.integer_digits(v).alias("digits"), F.char_length(v).alias("length"))
+    got = P.facts(rows)
+    assert got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert rows.filter(G.is_plain(v)).count() == 48
+
+
+def test_distinct_values_travel_without_their_columns_names(spark):
+    df = spark.createDataFrame([("x", "1", "y"), ("x", "2", None)], "`a.b` string, value string, col_pos string")
+    found = P.profile(df)
+    dealt = [x.split(")")[0] for x in found._jdf.queryExecution().executedPlan().toString().split("hashpartitioning(")[1:]]
+    assert any("value#" in x for x in dealt) and not any("value#" in x and "col_name#" in x for x in dealt)
+    assert {(r.col_pos, r.col_name, r.dtype, r.unique_count, r.null_count) for r in found.collect()} == {(0, "a.b", "string", 1, 0), (1, "value", "integer", 2, 0), (2, "col_pos", "string", 1, 1)}
